@@ -91,7 +91,7 @@ def strip_directive(col, directive: str = K.CONTEXT_DIRECTIVE) -> Column:
 
 def json_entry(query, response) -> Column:
     """``{"query": ..., "response": ...}`` as JSON text."""
-    return F.to_json(F.struct(_c(query).alias("query"), _c(response).alias("response")))
+    return F.to_json(F.struct(_c(query).alias("query"), _c(response).alias("response")), {"ignoreNullFields": "false"})
 
 
 def json_entry_schema() -> str:

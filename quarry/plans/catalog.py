@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import embed, search
+from .. import constants as K
+from ..functions import text as tx
+from ..operators import chat, clean, embed, search
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -146,3 +148,183 @@ def q_text_search(spark: SparkSession, sf: str) -> DataFrame:
     qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     res = search.text_search(docs, qs, emb, id_col="doc_id", text_col="text", query_id="query_id", query_text="query_text", k=5, metric="cosine")
     return res.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), _r6(F.col("score")).alias("score"))
+
+
+# ---------------------------------------------------------------------------
+# Text functions over `documents`
+# ---------------------------------------------------------------------------
+
+_NONWS = r"[^\x{09}-\x{0D}\x{20}]"
+_AWS = r"[\x{09}-\x{0D}\x{20}]"
+_UWS = r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
+
+def _sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_UWS}+|{_UWS}+$', '', 'g')"
+
+
+@register(
+    "token_count",
+    f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{_NONWS}+')) AS BIGINT) AS tokens FROM documents",
+)
+def q_token_count(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens per document (default whitespace tokenizer)."""
+    return table(spark, sf, "documents").select("doc_id", tx.token_count("text").alias("tokens"))
+
+
+def _clip_sql(n: int) -> str:
+    return f"""
+WITH p AS (SELECT doc_id, text, regexp_extract_all(text, '({_AWS}*{_NONWS}+)', 1) AS pieces FROM documents)
+SELECT doc_id, CASE WHEN len(pieces) > {n} THEN array_to_string(pieces[1:{n}], '') ELSE text END AS clipped,
+       CAST(len(CASE WHEN len(pieces) > {n} THEN array_to_string(pieces[1:{n}], '') ELSE text END) AS BIGINT) AS clipped_chars
+FROM p"""
+
+
+def _clip_query(n: int):
+    def q(spark: SparkSession, sf: str) -> DataFrame:
+        c = tx.clip_tokens("text", n)
+        return table(spark, sf, "documents").select("doc_id", c.alias("clipped"), F.length(c).cast("bigint").alias("clipped_chars"))
+
+    return q
+
+
+register("clip_tokens", _clip_sql(K.MAX_TOKENS_SMALL))(_clip_query(K.MAX_TOKENS_SMALL))
+register("clip_tokens_256", _clip_sql(256))(_clip_query(256))
+
+
+@register(
+    "clip_chars",
+    f"""
+SELECT doc_id, substring(text, 1, {K.CONTEXT_CHARS}) AS clipped,
+       CASE WHEN length(text) > {K.PREVIEW_CHARS} THEN substring(text, 1, {K.PREVIEW_CHARS}) || '...' ELSE text END AS preview
+FROM documents""",
+)
+def q_clip_chars(spark: SparkSession, sf: str) -> DataFrame:
+    """P15 + P10: first 12,000 characters, and the 200-character preview."""
+    return table(spark, sf, "documents").select("doc_id", tx.clip_chars("text").alias("clipped"), tx.preview("text").alias("preview"))
+
+
+@register(
+    "normalize_whitespace",
+    f"SELECT doc_id, {_sql_strip(f'''regexp_replace(translate(text, chr(10) || chr(9), '  '), '{_UWS}+', ' ', 'g')''')} AS normalized FROM documents",
+)
+def q_normalize_whitespace(spark: SparkSession, sf: str) -> DataFrame:
+    """newline/tab → space, collapse whitespace runs, strip."""
+    return table(spark, sf, "documents").select("doc_id", tx.normalize_whitespace("text").alias("normalized"))
+
+
+# ---------------------------------------------------------------------------
+# Cleaning and keep-last
+# ---------------------------------------------------------------------------
+
+def _docs_with_labels(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    labels = table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), F.col("toxic").cast("string").alias("toxic"))
+    return docs.join(labels, "doc_id", "left")
+
+
+@register(
+    "fill_nulls",
+    """
+SELECT d.doc_id, coalesce(d.lang, 'empty') AS lang, coalesce(d.source, 'empty') AS source,
+       coalesce(CAST(l.quality AS VARCHAR), 'empty') AS quality, coalesce(CAST(l.toxic AS VARCHAR), 'empty') AS toxic
+FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def q_fill_nulls(spark: SparkSession, sf: str) -> DataFrame:
+    """Nulls (from the metadata gap) → 'empty'."""
+    return clean.fill_nulls(_docs_with_labels(spark, sf), K.NULL_FILL_METHOD)
+
+
+@register(
+    "any_null",
+    """
+SELECT CAST(count(*) AS BIGINT) AS rows,
+       CAST(sum(CASE WHEN d.lang IS NULL OR d.source IS NULL OR l.quality IS NULL OR l.toxic IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS null_rows,
+       sum(CASE WHEN d.lang IS NULL OR d.source IS NULL OR l.quality IS NULL OR l.toxic IS NULL THEN 1 ELSE 0 END) > 0 AS any_null
+FROM documents d LEFT JOIN labels l USING (doc_id)""",
+)
+def q_any_null(spark: SparkSession, sf: str) -> DataFrame:
+    """Does any row have a null?"""
+    return clean.any_null(_docs_with_labels(spark, sf))
+
+
+@register(
+    "keep_last",
+    """
+SELECT lang, source, max(doc_id) AS doc_id, arg_max(n_chars, doc_id) AS n_chars
+FROM documents GROUP BY lang, source""",
+)
+def q_keep_last(spark: SparkSession, sf: str) -> DataFrame:
+    """One row per key, last in scan order wins."""
+    docs = table(spark, sf, "documents").select("lang", "source", "doc_id", "n_chars")
+    return clean.keep_last(docs, ["lang", "source"], ["doc_id"])
+
+
+# ---------------------------------------------------------------------------
+# Conversation state
+# ---------------------------------------------------------------------------
+
+@register(
+    "carry_context",
+    f"""
+SELECT conv_id, turn, role,
+       substring(coalesce(last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS)
+         OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ''), 1, {K.CONTEXT_CHARS}) AS context
+FROM conversations""",
+)
+def q_carry_context(spark: SparkSession, sf: str) -> DataFrame:
+    """H2 + P15: a system turn sets the conversation's context; later turns reuse it."""
+    conv = table(spark, sf, "conversations")
+    out = chat.carry_context(
+        conv, user_col="conv_id", order_cols=["turn"], is_setter=F.col("role") == "system", value=F.col("text"),
+        chunk=F.floor(F.col("turn") / 64),
+    )
+    return out.select("conv_id", "turn", "role", tx.clip_chars("context").alias("context"))
+
+
+_EVENTS_CONTEXT_SQL = """
+SELECT event_id, user_id,
+       coalesce(last_value(CASE WHEN event_type = 'signup' THEN props END IGNORE NULLS)
+         OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS context
+FROM events"""
+
+
+@register("carry_context_events", _EVENTS_CONTEXT_SQL)
+def q_carry_context_events(spark: SparkSession, sf: str) -> DataFrame:
+    """H2 on the event log: the latest signup's props per user, carried forward."""
+    ev = table(spark, sf, "events")
+    out = chat.carry_context(
+        ev, user_col="user_id", order_cols=["ts", "event_id"], is_setter=F.col("event_type") == "signup", value=F.col("props"),
+        chunk=F.to_date("ts"),
+    )
+    return out.select("event_id", "user_id", "context")
+
+
+_PAIRS_CONV_SQL = """
+asks AS (SELECT conv_id, turn, text AS query FROM conversations WHERE role = 'user'),
+rep AS (SELECT conv_id, turn - 1 AS turn, text AS response FROM conversations WHERE role = 'assistant'),
+pairs AS (SELECT a.conv_id, a.turn, a.query, r.response FROM asks a LEFT JOIN rep r USING (conv_id, turn))"""
+
+
+@register("pair_turns", f"WITH {_PAIRS_CONV_SQL} SELECT conv_id, turn, query, response FROM pairs")
+def q_pair_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """H6: each user turn with the reply that follows it."""
+    conv = table(spark, sf, "conversations")
+    return chat.pair_turns(conv, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text")
+
+
+@register(
+    "last_n_history",
+    f"""
+WITH {_PAIRS_CONV_SQL},
+e AS (SELECT conv_id, turn, to_json(struct_pack(query := {_sql_strip("replace(query, '@codebase', '')")}, response := response)) AS entry FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM e)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS entries, string_agg(entry, chr(10) ORDER BY turn) AS history
+FROM r WHERE rn <= 5 GROUP BY conv_id""",
+)
+def q_last_n_history(spark: SparkSession, sf: str) -> DataFrame:
+    """H4 + H5 + P16: JSON history entries, last five per conversation, oldest first."""
+    conv = table(spark, sf, "conversations")
+    pairs = chat.pair_turns(conv, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text")
+    entries = chat.append_history(pairs)
+    return chat.last_n_history(entries, user_col="conv_id", order_col="turn")
