@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as tx
-from ..operators import chat, clean, embed, search
+from ..functions import vectors as vec
+from ..operators import chat, clean, embed, refs, search
+from ..sources import files
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -328,3 +330,93 @@ def q_last_n_history(spark: SparkSession, sf: str) -> DataFrame:
     pairs = chat.pair_turns(conv, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text")
     entries = chat.append_history(pairs)
     return chat.last_n_history(entries, user_col="conv_id", order_col="turn")
+
+
+# ---------------------------------------------------------------------------
+# References over document lines (R1, R2, R4, R10): a name "defined" by starting a
+# line is referenced wherever else it occurs.
+# ---------------------------------------------------------------------------
+
+_PIECE_SQL = "([^A-Za-z0-9_$]*)([A-Za-z0-9_$]+)"
+
+
+@register(
+    "references",
+    f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents
+), p AS (
+  SELECT doc_id, ln, unnest(regexp_extract_all(line, '{_PIECE_SQL}', 1)) AS sep,
+         unnest(regexp_extract_all(line, '{_PIECE_SQL}', 2)) AS tok,
+         generate_subscripts(regexp_extract_all(line, '{_PIECE_SQL}', 1), 1) AS j
+  FROM l
+), c AS (
+  SELECT *, coalesce(sum(length(sep) + length(tok)) OVER (PARTITION BY doc_id, ln ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)
+            + length(sep) + 1 AS col
+  FROM p
+), v AS (SELECT DISTINCT tok FROM c WHERE col = 1),
+m AS (SELECT c.tok, c.doc_id, c.ln, c.col FROM c JOIN v USING (tok) WHERE c.col <> 1)
+SELECT 'class' AS kind, tok AS name, CAST(doc_id AS VARCHAR) AS file, CAST(count(*) AS BIGINT) AS n,
+       string_agg(CAST(doc_id AS VARCHAR) || ':' || CAST(ln AS VARCHAR) || ':' || CAST(col AS VARCHAR), '; ' ORDER BY ln, col) AS refs
+FROM m GROUP BY tok, doc_id""",
+)
+def q_references(spark: SparkSession, sf: str) -> DataFrame:
+    """R1 occurrences → R2 vocabulary match → R4 group → R10 render, per (name, document)."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_path"), "text")
+    lines = docs.select("file_path", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).withColumn("ln", F.col("pos") + 1)
+    occ = refs.identifier_occurrences(lines, key="file_path", text_col="line")
+    vocab = occ.where(F.col("column") == 1).select(F.lit("class").alias("kind"), F.col("token").alias("name")).distinct()
+    hits = occ.where(F.col("column") != 1).withColumn("prev_token", F.lit(None).cast("string"))
+    matched = refs.match_references(hits, vocab, key="file_path")
+    return refs.render_by_file(matched)
+
+
+# ---------------------------------------------------------------------------
+# Path scan over `pages` (S1, S2, S4): URL path as a file path under the site root
+# ---------------------------------------------------------------------------
+
+_DENY_SQL = ", ".join(f"'{d}'" for d in K.DENY_DIRS)
+_EXT_CASE = " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in K.EXTENSION_LANGUAGE.items())
+
+
+@register(
+    "scan_filter",
+    f"""
+WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1) AS rel_path FROM pages),
+s AS (SELECT page_id, rel_path, string_split(rel_path, '/') AS parts FROM p)
+SELECT page_id, rel_path, parts[len(parts)] AS file_name,
+       regexp_extract(parts[len(parts)], '^.+(\\.[^.]+)$', 1) AS extension,
+       CASE regexp_extract(parts[len(parts)], '^.+(\\.[^.]+)$', 1) {_EXT_CASE} ELSE NULL END AS language
+FROM s
+WHERE NOT list_has_any(parts[1:len(parts) - 1], [{_DENY_SQL}])""",
+)
+def q_scan_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """S1 deny-directory pruning, S2 extension, S4 language tag over URL paths."""
+    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^?#]*)", 1).alias("rel_path"))
+    out = pages.where(files.not_in_denied_dir(F.col("rel_path")))
+    name = files.file_name(F.col("rel_path"))
+    ext = files.extension(name)
+    return out.select("page_id", "rel_path", name.alias("file_name"), ext.alias("extension"), files.language_of(ext).alias("language"))
+
+
+# ---------------------------------------------------------------------------
+# Bad-vector handling (E4): the table plus derived corrupt copies
+# ---------------------------------------------------------------------------
+
+@register(
+    "drop_bad_vectors",
+    """
+SELECT vec_id, label, CAST(len(embedding) AS BIGINT) AS dim,
+       round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm
+FROM embeddings""",
+)
+def q_drop_bad_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Every vector plus a truncated copy and a NaN copy of it; only the originals survive."""
+    emb = table(spark, sf, "embeddings")
+    short = emb.withColumn("embedding", F.slice("embedding", 1, F.size("embedding") - 1))
+    nan = emb.withColumn("embedding", F.concat(F.slice("embedding", 1, F.size("embedding") - 1), F.array(F.lit(float("nan")).cast("float"))))
+    nulls = emb.withColumn("embedding", F.concat(F.slice("embedding", 1, F.size("embedding") - 1), F.array(F.lit(None).cast("float"))))
+    allv = emb.unionByName(short).unionByName(nan).unionByName(nulls)
+    dim = 64
+    kept = embed.drop_bad_vectors(allv, "embedding", dim)
+    return kept.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dim"), _r6(vec.norm("embedding")).alias("norm"))
