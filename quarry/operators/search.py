@@ -92,24 +92,31 @@ def query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None = None
     no block handed to the driver or broadcast exceeds the bound.
     """
     queries = queries.where(F.col(qvec).isNotNull())
-    n = queries.count()
-    if n == 0:
-        return []
-    if dim is None:
-        dim = queries.select(F.size(qvec).alias("d")).first()["d"]
-    queries = queries.where(is_valid_vector(qvec, dim))
-    per_row = dim * 8 + 64
-    nblocks = max(1, math.ceil(n * per_row / max_block_bytes))
-    if nblocks == 1:
-        blk = _collect_block(queries, qid, qvec, dim)
-        return [blk] if blk else []
-    out = []
-    bucket = F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks))
-    for b in range(nblocks):
-        blk = _collect_block(queries.where(bucket == b), qid, qvec, dim)
-        if blk:
-            out.append(blk)
-    return out
+    if dim is not None:
+        queries = queries.where(is_valid_vector(qvec, dim))
+    # the query side is read several times (count, then each block): keep it cached
+    queries = queries.persist()
+    try:
+        n = queries.count()
+        if n == 0:
+            return []
+        if dim is None:
+            dim = queries.select(F.size(qvec).alias("d")).first()["d"]
+            queries = queries.where(is_valid_vector(qvec, dim))
+        per_row = dim * 8 + 64
+        nblocks = max(1, math.ceil(n * per_row / max_block_bytes))
+        if nblocks == 1:
+            blk = _collect_block(queries, qid, qvec, dim)
+            return [blk] if blk else []
+        out = []
+        bucket = F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks))
+        for b in range(nblocks):
+            blk = _collect_block(queries.where(bucket == b), qid, qvec, dim)
+            if blk:
+                out.append(blk)
+        return out
+    finally:
+        queries.unpersist()
 
 
 def _block_candidates(corpus: DataFrame, block, *, id_col, vec_col, qid_name, qid_type, carry, group_col, k, metric, chunk_cells):

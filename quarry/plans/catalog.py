@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import chat, clean, embed, refs, search
+from ..operators import chat, clean, embed, keyword, refs, rerank, search
 from ..sources import files
 from ..sources.tables import table
 
@@ -420,3 +420,139 @@ def q_drop_bad_vectors(spark: SparkSession, sf: str) -> DataFrame:
     dim = 64
     kept = embed.drop_bad_vectors(allv, "embedding", dim)
     return kept.select("vec_id", "label", F.size("embedding").cast("bigint").alias("dim"), _r6(vec.norm("embedding")).alias("norm"))
+
+
+# ---------------------------------------------------------------------------
+# Keyword search, fusion, recall, reranking (A1, A2, A4, V6, V7)
+# ---------------------------------------------------------------------------
+
+def _cos_topk_ctes(name: str, q_src: str, q_key: str, q_text: str, d_src: str, d_key: str, d_text: str, k: int = 5, extra_d_cols: str = "") -> str:
+    """CTEs ending in ``{name}(query_id, id, rank, score{extra})``: exact cosine top-k."""
+    qa, da = f"{name}_q", f"{name}_d"
+    extra_sel = "".join(f", d.{c}" for c in extra_d_cols.split(",") if c.strip())
+    return f"""{_hash_sql(q_src, q_key, q_text, alias=qa)},
+{_hash_sql(d_src, d_key, d_text, alias=da)},
+{name}_dots AS (SELECT {qa}_b.k AS qk, {da}_b.k AS dk, sum({qa}_b.c * {da}_b.c) AS g FROM {qa}_b JOIN {da}_b USING (bucket) GROUP BY ALL),
+{name}_pairs AS (
+  SELECT q.{q_key} AS query_id, d.{d_key} AS id{extra_sel},
+         CASE WHEN {qa}_n.nrm > 0 AND {da}_n.nrm > 0 THEN coalesce({name}_dots.g, 0) / ({qa}_n.nrm * {da}_n.nrm) ELSE 0 END AS score
+  FROM {q_src} q CROSS JOIN {d_src} d
+  LEFT JOIN {qa}_n ON {qa}_n.k = q.{q_key} LEFT JOIN {da}_n ON {da}_n.k = d.{d_key}
+  LEFT JOIN {name}_dots ON {name}_dots.qk = q.{q_key} AND {name}_dots.dk = d.{d_key}
+),
+{name} AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM {name}_pairs)
+  WHERE rank <= {k}
+)"""
+
+
+_BM25_CTES = f"""
+bm_t AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM documents),
+bm_post AS (SELECT term, doc_id, count(*) AS tf FROM bm_t GROUP BY ALL),
+bm_dl AS (SELECT doc_id, sum(tf) AS dl FROM bm_post GROUP BY ALL),
+bm_st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM bm_dl),
+bm_idf AS (SELECT term, ln(1 + ((SELECT n FROM bm_st) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM bm_post GROUP BY term),
+bm_qt AS (SELECT DISTINCT query_id, term FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS term FROM benchmark)),
+bm_sc AS (
+  SELECT bm_qt.query_id, bm_post.doc_id,
+         sum(bm_idf.idf * bm_post.tf * 2.2 / (bm_post.tf + 1.2 * (1 - 0.75 + 0.75 * bm_dl.dl / (SELECT avgdl FROM bm_st)))) AS score
+  FROM bm_qt JOIN bm_post USING (term) JOIN bm_idf USING (term) JOIN bm_dl USING (doc_id) GROUP BY ALL
+),
+bm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm_sc) WHERE rank <= 5)"""
+
+
+def _bench_queries(spark, sf):
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
+
+
+def _text_candidates(spark, sf, carry=("text",)):
+    emb = embed.HashingEmbedder(dim=TEXT_DIM)
+    docs = table(spark, sf, "documents")
+    return search.text_search(docs, _bench_queries(spark, sf), emb, id_col="doc_id", text_col="text", query_id="query_id", query_text="query_text", k=5, metric="cosine", carry=list(carry))
+
+
+@register("bm25_topk", f"WITH {_BM25_CTES} SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(score, 6) AS score FROM bm")
+def q_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """A1: BM25 top-5 documents for every benchmark question."""
+    res = keyword.bm25_topk(table(spark, sf, "documents"), _bench_queries(spark, sf), id_col="doc_id", text_col="text", query_id="query_id", query_text="query_text", k=5)
+    return res.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), _r6(F.col("score")).alias("score"))
+
+
+@register(
+    "hybrid_search",
+    f"""
+WITH {_BM25_CTES},
+{_cos_topk_ctes('vs', 'benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text')},
+u AS (SELECT query_id, doc_id, 1.0::DOUBLE / (60 + rank) AS rrf FROM bm UNION ALL SELECT query_id, id AS doc_id, 1.0::DOUBLE / (60 + rank) AS rrf FROM vs),
+f AS (SELECT query_id, doc_id, sum(rrf) AS rrf, count(*) AS lists FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM f)
+SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(rrf, 6) AS rrf, CAST(lists AS BIGINT) AS lists FROM r WHERE rank <= 5""",
+)
+def q_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A2: reciprocal-rank fusion of vector and BM25 rankings."""
+    vs = _text_candidates(spark, sf, carry=())
+    bm = keyword.bm25_topk(table(spark, sf, "documents"), _bench_queries(spark, sf), id_col="doc_id", text_col="text", query_id="query_id", query_text="query_text", k=5)
+    fused = keyword.reciprocal_rank_fusion({"vector": vs, "bm25": bm}, query_id="query_id", id_col="doc_id", k=5)
+    return fused.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), _r6(F.col("rrf")).alias("rrf"), F.col("lists").cast("bigint").alias("lists"))
+
+
+@register(
+    "recall_at_k",
+    _PAIRS_SQL.format(expr=_COS, where="", order="round(v, 9) DESC", out="v", name="score").replace(
+        "SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(v, 6) AS score\nFROM ranked WHERE rank <= 5",
+        """SELECT query_id, vec_id FROM ranked WHERE rank <= 5
+), lab AS (SELECT vec_id, label FROM embeddings),
+rel AS (SELECT a.vec_id AS query_id, count(*) AS relevant FROM lab a JOIN lab b ON a.label = b.label GROUP BY 1),
+hit AS (SELECT t.query_id, count(*) AS hits FROM top5 t JOIN lab a ON a.vec_id = t.query_id JOIN lab b ON b.vec_id = t.vec_id WHERE a.label = b.label GROUP BY 1)
+SELECT rel.query_id, CAST(coalesce(hits, 0) AS BIGINT) AS hits, CAST(relevant AS BIGINT) AS relevant, round(coalesce(hits, 0) / relevant, 6) AS recall
+FROM rel LEFT JOIN hit USING (query_id)""",
+    ).replace("WITH pairs AS", "WITH top5 AS (WITH pairs AS", 1),
+)
+def q_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
+    """A4: recall of the cosine top-5 against same-label truth, per query vector."""
+    emb = table(spark, sf, "embeddings")
+    qs = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    res = search.vector_topk(emb, qs, id_col="vec_id", vec_col="embedding", metric="cosine", k=5)
+    lab = emb.select("vec_id", "label")
+    truth = lab.alias("a").join(lab.alias("b"), "label").select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("vec_id"))
+    out = keyword.recall_at_k(res, truth, query_id="query_id", id_col="vec_id")
+    return out.select("query_id", F.col("hits").cast("bigint").alias("hits"), F.col("relevant").cast("bigint").alias("relevant"), _r6(F.col("recall")).alias("recall"))
+
+
+@register(
+    "maxsim_rerank",
+    f"""
+WITH {_cos_topk_ctes('vs', 'benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text')},
+qb AS (SELECT item_id AS query_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {TEXT_DIM} AS bucket, count(*) AS qn
+       FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM benchmark) GROUP BY ALL),
+db AS (SELECT DISTINCT vs.query_id, vs.id AS doc_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {TEXT_DIM} AS bucket
+       FROM vs JOIN (SELECT doc_id, unnest(regexp_extract_all(lower(text), '{TERM}')) AS t FROM documents) d ON d.doc_id = vs.id),
+ms AS (SELECT db.query_id, db.doc_id, sum(qb.qn) AS maxsim FROM db JOIN qb USING (query_id, bucket) GROUP BY ALL),
+c AS (SELECT vs.query_id, vs.id AS doc_id, vs.rank AS first_rank, coalesce(ms.maxsim, 0)::DOUBLE AS maxsim
+      FROM vs LEFT JOIN ms ON ms.query_id = vs.query_id AND ms.doc_id = vs.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY maxsim DESC, first_rank) AS rank FROM c)
+SELECT query_id, doc_id, CAST(first_rank AS BIGINT) AS first_rank, CAST(rank AS BIGINT) AS rank, maxsim FROM r WHERE rank <= 3""",
+)
+def q_maxsim_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """V6: late-interaction rerank of the vector top-5, top-3 kept."""
+    cands = _text_candidates(spark, sf).join(_bench_queries(spark, sf), "query_id")
+    res = rerank.maxsim_rerank(cands, query_id="query_id", query_text="query_text", id_col="doc_id", doc_text="text", keep=3, dim=TEXT_DIM)
+    return res.select("query_id", "doc_id", F.col("first_rank").cast("bigint").alias("first_rank"), F.col("rank").cast("bigint").alias("rank"), F.col("maxsim").cast("double").alias("maxsim"))
+
+
+@register(
+    "pair_rerank",
+    f"""
+WITH {_cos_topk_ctes('vs', 'benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text', extra_d_cols='text')},
+qt AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{TERM}')) AS qterms FROM benchmark),
+c AS (SELECT vs.query_id, vs.id AS doc_id, vs.rank AS first_rank,
+             CASE WHEN len(qterms) > 0 THEN len(list_intersect(qterms, list_distinct(regexp_extract_all(lower(vs.text), '{TERM}'))))::DOUBLE / len(qterms) ELSE 0 END AS pair_score
+      FROM vs JOIN qt USING (query_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(pair_score, 9) DESC, first_rank) AS rank FROM c)
+SELECT query_id, doc_id, CAST(first_rank AS BIGINT) AS first_rank, CAST(rank AS BIGINT) AS rank, round(pair_score, 6) AS pair_score FROM r WHERE rank <= 3""",
+)
+def q_pair_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """V7: pair-scorer (cross-encoder stand-in) rerank of the vector top-5, top-3 kept."""
+    cands = _text_candidates(spark, sf).join(_bench_queries(spark, sf), "query_id")
+    res = rerank.pair_rerank(cands, query_id="query_id", query_text="query_text", id_col="doc_id", doc_text="text", keep=3)
+    return res.select("query_id", "doc_id", F.col("first_rank").cast("bigint").alias("first_rank"), F.col("rank").cast("bigint").alias("rank"), _r6(F.col("pair_score")).alias("pair_score"))
