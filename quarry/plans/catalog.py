@@ -15,6 +15,8 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import chat, clean, embed, keyword, refs, rerank, search
 from ..sources import files
+from ..session import scratch_path
+from . import answer, index
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -556,3 +558,68 @@ def q_pair_rerank(spark: SparkSession, sf: str) -> DataFrame:
     cands = _text_candidates(spark, sf).join(_bench_queries(spark, sf), "query_id")
     res = rerank.pair_rerank(cands, query_id="query_id", query_text="query_text", id_col="doc_id", doc_text="text", keep=3)
     return res.select("query_id", "doc_id", F.col("first_rank").cast("bigint").alias("first_rank"), F.col("rank").cast("bigint").alias("rank"), _r6(F.col("pair_score")).alias("pair_score"))
+
+
+# ---------------------------------------------------------------------------
+# Flagship: two-pass retrieval context (C1-C7) over an index built from documents
+# ---------------------------------------------------------------------------
+
+_CLIP4000 = f"CASE WHEN len(regexp_extract_all(text, '({_AWS}*{_NONWS}+)', 1)) > {K.MAX_TOKENS_SMALL} THEN array_to_string(regexp_extract_all(text, '({_AWS}*{_NONWS}+)', 1)[1:{K.MAX_TOKENS_SMALL}], '') ELSE text END"
+
+_TWO_PASS_SQL = f"""
+WITH
+ml AS (
+  SELECT doc_id * 100000 + ln AS entity_id, 'doc/' || CAST(doc_id AS VARCHAR) AS file_path, code
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents)
+  WHERE regexp_matches(code, '{_NONWS}')
+),
+cl AS (
+  SELECT doc_id AS entity_id, 'doc/' || CAST(doc_id AS VARCHAR) AS file_path,
+         'File: doc/' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || 'Class: ' || source || chr(10) || chr(10) || 'Source Code:' || chr(10) || {_CLIP4000} || chr(10) || chr(10) AS source_code,
+         '' AS refs
+  FROM documents
+),
+q AS (SELECT item_id AS query_id, text AS query, '{K.HYDE_USER_PREFIX}' || text AS hyde FROM benchmark),
+{_cos_topk_ctes('p1m', 'q', 'query_id', 'hyde', 'ml', 'entity_id', 'code')},
+{_cos_topk_ctes('p1c', 'q', 'query_id', 'hyde', 'cl', 'entity_id', 'source_code')},
+tcls AS (SELECT p1c.query_id, string_agg(cl.source_code, chr(10) ORDER BY p1c.rank) AS kcls FROM p1c JOIN cl ON cl.entity_id = p1c.id GROUP BY 1),
+tm AS (
+  SELECT p1m.query_id, string_agg(ml.code || coalesce(tcls.kcls, ''), chr(10) ORDER BY p1m.rank) AS t
+  FROM p1m JOIN ml ON ml.entity_id = p1m.id LEFT JOIN tcls ON tcls.query_id = p1m.query_id GROUP BY 1
+),
+q3 AS (
+  SELECT q.query_id, q.query, q.hyde,
+         '{K.HYDE_V2_USER_PREFIX}' || q.hyde || chr(10) || q.query || chr(10) || coalesce(tm.t, '') AS hyde2
+  FROM q LEFT JOIN tm USING (query_id)
+),
+{_cos_topk_ctes('p2m', 'q3', 'query_id', 'hyde2', 'ml', 'entity_id', 'code')},
+{_cos_topk_ctes('p2c', 'q3', 'query_id', 'hyde2', 'cl', 'entity_id', 'source_code')},
+mtext AS (
+  SELECT p2m.query_id, string_agg('File: ' || ml.file_path || chr(10) || 'Code:' || chr(10) || ml.code, chr(10) || chr(10) ORDER BY p2m.rank) AS methods_text
+  FROM p2m JOIN ml ON ml.entity_id = p2m.id WHERE p2m.rank <= 3 GROUP BY 1
+),
+ctext AS (
+  SELECT p2c.query_id, string_agg('File: ' || cl.file_path || chr(10) || 'Class Info:' || chr(10) || cl.source_code || ' References: ' || chr(10) || cl.refs
+                                  || '  ' || chr(10) || ' END OF ROW ' || CAST(p2c.rank - 1 AS VARCHAR), chr(10) || chr(10) ORDER BY p2c.rank) AS classes_text
+  FROM p2c JOIN cl ON cl.entity_id = p2c.id WHERE p2c.rank <= 3 GROUP BY 1
+)
+SELECT q3.query_id, q3.hyde AS hyde_query, q3.hyde2 AS hyde_query_v2,
+       coalesce(mtext.methods_text, '') || chr(10) || ' below is class or constructor related code ' || chr(10) || coalesce(ctext.classes_text, '') AS context
+FROM q3 LEFT JOIN mtext USING (query_id) LEFT JOIN ctext USING (query_id)"""
+
+
+def _document_index(spark: SparkSession, sf: str, emb):
+    """Build the two vector tables from `documents`, publish them, read them back."""
+    mt, ct = index.document_tables(table(spark, sf, "documents"), emb)
+    root = scratch_path(spark, "document-index")
+    return spark.read.parquet(index.publish(mt, root, "documents_method")), spark.read.parquet(index.publish(ct, root, "documents_class"))
+
+
+@register("two_pass_context", _TWO_PASS_SQL)
+def q_two_pass_context(spark: SparkSession, sf: str) -> DataFrame:
+    """Expand → search both tables → temp context → expand again → search
+    again → top-3 per table → assembled context, for every benchmark question."""
+    emb = embed.HashingEmbedder(dim=TEXT_DIM)
+    mt, ct = _document_index(spark, sf, emb)
+    qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return answer.two_pass_context(qs, mt, ct, emb)
