@@ -25,14 +25,17 @@ from .. import constants as K
 IDENT = r"[A-Za-z0-9_$]+"
 PIECE = r"([^A-Za-z0-9_$]*)([A-Za-z0-9_$]+)"
 DEFINITION_KEYWORDS = ["def", "class", "fn", "struct", "function"]
-BROADCAST_ROWS = 2_000_000
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Join with ``small`` broadcast only when its row count is under ``max_rows``."""
-    n = small.count()
-    side = F.broadcast(small) if n <= max_rows else small
-    return big.join(side, on, how)
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join with a side expected to be small (a vocabulary).
+
+    No hint: adaptive execution measures the side once its stage has run and turns
+    the join into a broadcast only when that measured size is under
+    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a shuffle
+    join. The broadcast is therefore always behind a size check, with no extra job.
+    """
+    return big.join(small, on, how)
 
 
 def identifier_occurrences(lines: DataFrame, *, key: str = "file_path", text_col: str = "masked", ident: str = IDENT) -> DataFrame:

@@ -16,5 +16,21 @@ DRIVER_TABLES = (
 ).split()
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Spread an under-partitioned scan over the cluster's cores.
+
+    A scan yields one task per Parquet row group; a file written as one row group
+    would put every per-row text operation on one core. When the scan has fewer
+    partitions than the session's parallelism, rows are redistributed round-robin;
+    at scale (many row groups) this is a no-op and adds no shuffle.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, balance: bool = True) -> DataFrame:
+    df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    return balanced(df) if balance else df
