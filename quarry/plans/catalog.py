@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import chat, clean, embed, keyword, refs, rerank, search
+from ..operators import chat, chunk, clean, embed, enrich, keyword, refs, rerank, search
 from ..sources import files
 from ..session import scratch_path
 from . import answer, index
@@ -623,3 +623,82 @@ def q_two_pass_context(spark: SparkSession, sf: str) -> DataFrame:
     mt, ct = _document_index(spark, sf, emb)
     qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return answer.two_pass_context(qs, mt, ct, emb)
+
+
+# ---------------------------------------------------------------------------
+# Splitters (A5-A8), enrichment (L1-L5), streaming context (H2 stream)
+# ---------------------------------------------------------------------------
+
+@register(
+    "fixed_chunks",
+    """
+SELECT doc_id, CAST((s - 1) // 800 + 1 AS BIGINT) AS chunk_no, CAST(s AS BIGINT) AS start, substring(text, s, 1000) AS chunk
+FROM (SELECT doc_id, text, unnest(generate_series(1, length(text), 800)) AS s FROM documents WHERE length(text) > 0)""",
+)
+def q_fixed_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """A5: 1000-character windows every 800 characters (200 overlap)."""
+    return chunk.fixed_chunks(table(spark, sf, "documents"), id_col="doc_id", text_col="text", size=1000, overlap=200)
+
+
+@register(
+    "token_chunks",
+    f"""
+WITH p AS (SELECT doc_id, regexp_extract_all(text, '({_AWS}*{_NONWS}+)', 1) AS pieces FROM documents),
+s AS (SELECT doc_id, pieces, unnest(generate_series(1, len(pieces), 128)) AS st FROM p WHERE len(pieces) > 0)
+SELECT doc_id, CAST((st - 1) // 128 + 1 AS BIGINT) AS chunk_no, CAST(len(pieces[st:st + 127]) AS BIGINT) AS n,
+       regexp_replace(array_to_string(pieces[st:st + 127], ''), '^{_AWS}+', '') AS chunk
+FROM s""",
+)
+def q_token_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Windows of 128 whitespace tokens."""
+    return chunk.token_chunks(table(spark, sf, "documents"), id_col="doc_id", text_col="text", n_tokens=128)
+
+
+@register("recursive_chunks")
+def q_recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Separator-priority split, greedy packing to 1000 characters (no SQL form;
+    checked against a direct Python implementation in the tests)."""
+    return chunk.recursive_chunks(table(spark, sf, "documents"), id_col="doc_id", text_col="text", size=1000)
+
+
+@register(
+    "line_sections",
+    f"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents
+), f AS (
+  SELECT *, NOT regexp_matches(line, '{_NONWS}') AS blank, regexp_matches(line, '^#{{1,6}}[ \\t]') AS header FROM l
+), g AS (
+  SELECT *, CASE WHEN NOT blank AND (header OR coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY ln), true)) THEN 1 ELSE 0 END AS st FROM f
+), h AS (
+  SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM g
+)
+SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(min(ln) AS BIGINT) AS first_line, CAST(count(*) AS BIGINT) AS n_lines,
+       string_agg(line, chr(10) ORDER BY ln) AS text
+FROM h WHERE NOT blank GROUP BY doc_id, section""",
+)
+def q_line_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """header/blank-line sections of every document."""
+    return chunk.line_sections(table(spark, sf, "documents"), id_col="doc_id", text_col="text")
+
+
+@register(
+    "enrich_batches",
+    "SELECT doc_id, 'Summary: Class: ' || source || ' / Method: doc' || CAST(doc_id AS VARCHAR) AS llm_comments FROM documents",
+)
+def q_enrich_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document as a method row, described in requests of 32 prompts."""
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.col("source").alias("class_name"), F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), F.col("text").alias("source_code")
+    )
+    return enrich.enrich(docs).select("doc_id", "llm_comments")
+
+
+@register("stream_context", _EVENTS_CONTEXT_SQL)
+def q_stream_context(spark: SparkSession, sf: str) -> DataFrame:
+    """H2 as a stream: the event log replayed in three time-ordered micro-batches
+    through keyed state; must equal the batch form."""
+    from ..streaming.context_stream import replay_events_context
+
+    out = replay_events_context(spark, table(spark, sf, "events", balance=False))
+    return out.select("event_id", "user_id", "context")
