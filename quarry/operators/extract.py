@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import checkpoint_dir
 
 # --- fixed per-language patterns -------------------------------------------------
 _STR_DQ = r'"(?:\\.|[^"\\])*"'
@@ -127,7 +128,11 @@ def headers(lines: DataFrame, key: str = "file_path") -> DataFrame:
     hs = hs.withColumn("_pri", F.when(F.col("kind") == "class", 0).otherwise(1))
     w = Window.partitionBy(key, "ln").orderBy("_pri")
     hs = hs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_pri")
-    decl_only = F.col("language").isin(*BRACE_LANGUAGES) & ~F.col("masked").contains("{") & F.rtrim("masked").endswith(";")
+    ends_semi = F.rtrim("masked").endswith(";")
+    # a Java "header" ending in ';' is a call statement unless it declares an abstract/native method
+    java_call = (F.col("language") == "java") & (F.col("kind") == "method") & ends_semi & ~F.col("masked").rlike(r"\b(abstract|native)\b")
+    hs = hs.where(~java_call)
+    decl_only = F.col("language").isin(*BRACE_LANGUAGES) & ~F.col("masked").contains("{") & ends_semi
     return hs.withColumn("decl_only", decl_only).withColumn(
         "level", F.when(F.col("language") == "python", F.col("indent")).otherwise(F.col("depth") + 1)
     ).drop("masked")
@@ -228,16 +233,26 @@ def doc_comments(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> Dat
 
 
 def extract_definitions(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", enclosing: str = "outer"):
-    """``(classes, methods)`` DataFrames from a table of source files.
+    """``(classes, methods)``; see ``extract_all``."""
+    _, classes, methods = extract_all(files, key=key, text_col=text_col, lang_col=lang_col, enclosing=enclosing)
+    return classes, methods
+
+
+def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", enclosing: str = "outer"):
+    """``(lines, classes, methods)`` DataFrames from a table of source files.
 
     classes: ``file_path, class_name, constructor_declaration, method_declarations,
     source_code, start_line, end_line, language``.
     methods: ``file_path, class_name, name, doc_comment, source_code, start_line,
     end_line, language``.
     """
-    lines = line_table(files, key=key, text_col=text_col, lang_col=lang_col)
+    # The line table feeds every later step (headers, block ends, doc comments, text):
+    # materialise it once as a reliable checkpoint in the shared folder instead of
+    # re-splitting and re-masking the corpus in each branch; same for the spans.
+    checkpoint_dir(files.sparkSession)
+    lines = line_table(files, key=key, text_col=text_col, lang_col=lang_col).checkpoint(eager=True)
     hs = headers(lines, key)
-    spans = block_ends(lines, hs, key)
+    spans = block_ends(lines, hs, key).checkpoint(eager=True)
     text = _span_text(lines, spans.select(key, "start_line", "end_line"), key, [key, "start_line"], "start_line", "end_line", "source_code")
     defs = spans.join(text, [key, "start_line"], "left").withColumn("source_code", F.coalesce("source_code", F.lit("")))
     classes = defs.where(F.col("kind") == "class").select(key, F.col("name").alias("class_name"), "start_line", "end_line", "source_code", "language")
@@ -280,7 +295,7 @@ def extract_definitions(files: DataFrame, *, key: str = "file_path", text_col: s
             "language",
         )
     )
-    return classes_out, methods_out
+    return lines, classes_out, methods_out
 
 
 def name_vocabulary(classes: DataFrame, methods: DataFrame) -> DataFrame:
