@@ -702,3 +702,75 @@ def q_stream_context(spark: SparkSession, sf: str) -> DataFrame:
 
     out = replay_events_context(spark, table(spark, sf, "events", balance=False))
     return out.select("event_id", "user_id", "context")
+
+
+# ---------------------------------------------------------------------------
+# Turn routing, chat prompt, class-row text, context filter
+# ---------------------------------------------------------------------------
+
+def _sql_lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+@register(
+    "route_turns",
+    f"""
+SELECT conv_id, turn, regexp_matches(text, '@codebase') AS retrieve,
+       {_sql_strip("replace(text, '@codebase', '')")} AS query
+FROM conversations WHERE role = 'user'""",
+)
+def q_route_turns(spark: SparkSession, sf: str) -> DataFrame:
+    """H3 + P13 + P14: which user turns trigger retrieval, and the stripped query."""
+    conv = table(spark, sf, "conversations").where(F.col("role") == "user")
+    return conv.select("conv_id", "turn", tx.has_directive("text").alias("retrieve"), tx.strip_directive("text").alias("query"))
+
+
+@register(
+    "chat_prompts",
+    f"""
+WITH c AS (
+  SELECT conv_id, turn, role,
+         substring(coalesce(last_value(CASE WHEN role = 'system' THEN text END IGNORE NULLS)
+           OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), ''), 1, {K.CONTEXT_CHARS}) AS context
+  FROM conversations
+)
+SELECT conv_id, turn, replace({_sql_lit(K.CHAT_SYSTEM_PROMPT)}, '{{context}}', context) AS system_prompt FROM c WHERE role = 'user'""",
+)
+def q_chat_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """C8 + H2 + P15: the answering prompt of every user turn, context clipped to 12,000 characters."""
+    from ..operators import context as C
+
+    conv = table(spark, sf, "conversations")
+    ctx = chat.carry_context(conv, user_col="conv_id", order_cols=["turn"], is_setter=F.col("role") == "system", value=F.col("text"), chunk=F.floor(F.col("turn") / 64))
+    return ctx.where(F.col("role") == "user").select("conv_id", "turn", C.chat_system(tx.clip_chars("context")).alias("system_prompt"))
+
+
+@register(
+    "class_rows",
+    f"""
+SELECT doc_id, 'File: doc/' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || 'Class: ' || source || chr(10) || chr(10) || 'Source Code:' || chr(10) || {_CLIP4000} || chr(10) || chr(10) AS source_code,
+       'File: doc/' || CAST(doc_id AS VARCHAR) || chr(10) || chr(10) || 'Content:' || chr(10) || {_CLIP4000} || chr(10) || chr(10) AS special_text
+FROM documents""",
+)
+def q_class_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """P4 + P5 + P8: class-row and special-file text as stored (clipped to 4000 tokens)."""
+    d = table(spark, sf, "documents")
+    fp = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    return d.select("doc_id", clean.format_class_text(fp, F.col("source"), F.col("text")).alias("source_code"), clean.format_special_text(fp, F.col("text")).alias("special_text"))
+
+
+@register(
+    "context_filter",
+    f"""
+WITH {_cos_topk_ctes('vs', 'benchmark', 'item_id', 'text', 'documents', 'doc_id', 'text', extra_d_cols='text')},
+qt AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '{TERM}')) AS qterms FROM benchmark),
+c AS (SELECT vs.query_id, vs.id AS doc_id, vs.rank,
+             CASE WHEN len(qterms) > 0 THEN len(list_intersect(qterms, list_distinct(regexp_extract_all(lower(vs.text), '{TERM}'))))::DOUBLE / len(qterms) ELSE 0 END AS relevance
+      FROM vs JOIN qt USING (query_id))
+SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(relevance, 6) AS relevance FROM c WHERE relevance >= 0.5""",
+)
+def q_context_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieved items kept only when half the question's terms occur in them."""
+    cands = _text_candidates(spark, sf).join(_bench_queries(spark, sf), "query_id")
+    kept = rerank.filter_candidates(cands, query_text="query_text", doc_text="text", min_score=0.5)
+    return kept.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), _r6(F.col("relevance")).alias("relevance"))
