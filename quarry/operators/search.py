@@ -125,7 +125,10 @@ def _block_candidates(corpus: DataFrame, block, *, id_col, vec_col, qid_name, qi
     qsq = np.einsum("ij,ij->i", Q, Q)
     bc = spark.sparkContext.broadcast((qids, Q, qsq))
     keep = [id_col] + [c for c in carry if c != id_col] + ([group_col] if group_col else [])
-    src = corpus.where(is_valid_vector(vec_col, dim)).select(*keep, vec_col)
+    # vectors are validated inside the Arrow batch (length, null, NaN), not with a
+    # native filter: a filter on a UDF-produced column would be pushed below the
+    # UDF's exchange and make Spark evaluate the UDF twice
+    src = corpus.select(*keep, vec_col)
     fields = [T.StructField(qid_name, qid_type)]
     for c in keep:
         fields.append(src.schema[c])
@@ -137,11 +140,27 @@ def _block_candidates(corpus: DataFrame, block, *, id_col, vec_col, qid_name, qi
         qids_, Q_, qsq_ = bc.value
         nq = len(qids_)
         rows_per_chunk = max(k, chunk_cells // max(nq, 1))
+        dim_ = Q_.shape[1]
         for rb in batches:
+            if rb.num_rows == 0:
+                continue
+            vcol = rb.column(vec_col)
+            lens = pc.fill_null(pc.list_value_length(vcol), -1).to_numpy(zero_copy_only=False)
+            ok = lens == dim_
+            if not ok.all():
+                rb = rb.filter(pa.array(ok))
+                vcol = rb.column(vec_col)
             n = rb.num_rows
             if n == 0:
                 continue
-            D_all = _matrix(rb.column(vec_col), n, Q_.shape[1])
+            D_all = _matrix(vcol, n, dim_)
+            finite = ~np.isnan(D_all).any(axis=1)
+            if not finite.all():
+                rb = rb.filter(pa.array(finite))
+                D_all = D_all[finite]
+                n = rb.num_rows
+                if n == 0:
+                    continue
             ids_all = rb.column(id_col).to_numpy(zero_copy_only=False)
             if group_col:
                 gcol = rb.column(group_col).to_pylist()

@@ -7,6 +7,8 @@ side-by-side run is a real check.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import chat, chunk, clean, embed, enrich, keyword, refs, rerank, search
 from ..sources import files
-from ..session import scratch_path
+from ..session import scratch_path, ship_package
 from . import answer, index
 from ..sources.tables import table
 
@@ -29,7 +31,12 @@ TERM = r"[\p{L}\p{N}_]+"
 
 def register(name: str, sql: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLE_SQL[name] = sql.strip()
         return fn

@@ -58,3 +58,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return os.path.join(checkpoint_dir(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``quarry`` importable on every executor (once per application).
+
+    Functions that run on executors (Arrow UDFs, ``mapInArrow``, keyed state) are
+    pickled by reference to this package, so executors need it on their path. The
+    package is zipped into the shared checkpoint folder and added with ``addPyFile``.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    target = scratch_path(spark, "pyfiles") + ".zip"
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:  # remote shared folder: build locally, Spark ships it from the driver
+        local = os.path.join(tempfile.mkdtemp(prefix="quarry-pkg-"), "quarry.zip")
+    with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.join("quarry", os.path.relpath(full, pkg_dir)))
+    sc.addPyFile(local)
+    _SHIPPED.add(app)
