@@ -31,6 +31,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
         .config("spark.driver.memory", "16g")
         .config("spark.sql.ansi.enabled", "false")
     )
+    if os.environ.get("QUARRY_EVENT_LOG_DIR"):  # stage/task timings for profiling runs
+        builder = builder.config("spark.eventLog.enabled", "true").config("spark.eventLog.dir", os.environ["QUARRY_EVENT_LOG_DIR"])
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

@@ -1,94 +1,106 @@
 """Per-user conversation context over a stream of turns (H2, streaming form).
 
-``readStream`` of turn files → ``groupBy(user).applyInPandasWithState`` → file sink
-with a checkpoint, so a restarted query resumes from its last committed batch. The
-state of a user is one string (the latest context). Inside a micro-batch, a user's
-rows are ordered by the order columns before the state is advanced; rows that
-arrive in a later batch with an earlier timestamp are not reordered (the source
-has no event-time rule to wait for).
+``readStream`` of turn files → ``foreachBatch``. Each micro-batch is processed by
+the same skew-safe batch operator as the batch form (``chat.carry_context``: a
+window per ``(user, chunk)`` plus a per-chunk carry), seeded with the state carried
+over from earlier micro-batches. The state is a table ``(user, context)`` — one row
+per user — written as a new snapshot for every micro-batch in the shared folder,
+so it is neither held in executor memory per key nor collected to one task: a user
+with a third of all turns is spread over as many tasks as the batch operator uses.
+
+Exactly-once: a micro-batch writes its output to ``batch=<id>`` and its state to
+``state/v=<id>`` with overwrite, reading ``state/v=<id-1>``; a retried micro-batch
+rewrites the same two folders. Rows arriving in a later micro-batch with an earlier
+timestamp are not reordered (the source has no event-time rule to wait for).
 """
 
 from __future__ import annotations
 
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupStateTimeout
+from pyspark.sql.utils import AnalysisException
 
+from ..operators import chat
 from ..session import scratch_path
 
 
+def _state_path(root: str, batch_id: int) -> str:
+    return os.path.join(root, "state", f"v={batch_id:012d}")
+
+
+def _read_state(spark: SparkSession, root: str, batch_id: int, schema: str):
+    if batch_id <= 0:
+        return spark.createDataFrame([], schema)
+    try:
+        return spark.read.parquet(_state_path(root, batch_id - 1))
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+def carry_context_batch(
+    batch: DataFrame,
+    state: DataFrame,
+    *,
+    user_col: str,
+    order_cols: list[str],
+    setter,
+    value,
+    keep_cols: list[str],
+    chunk=None,
+    default: str = "",
+):
+    """One micro-batch: ``(rows with context, new state)``."""
+    inner = chat.carry_context(batch, user_col=user_col, order_cols=order_cols, is_setter=setter, value=value, chunk=chunk, default=None, out_col="_ctx")
+    seeded = inner.join(state.withColumnRenamed("context", "_prev"), user_col, "left")
+    rows = seeded.select(user_col, *[c for c in keep_cols if c != user_col], F.coalesce("_ctx", "_prev", F.lit(default)).alias("context"))
+    ordk = [F.col(c) for c in order_cols]
+    last = batch.where(setter).groupBy(user_col).agg(F.max(F.struct(*ordk, value.alias("_v")))["_v"].alias("_new"))
+    new_state = state.join(last, user_col, "full").select(user_col, F.coalesce("_new", "context").alias("context"))
+    return rows, new_state
+
+
 def carry_context_stream(
     stream: DataFrame,
     *,
+    root: str,
     user_col: str,
     order_cols: list[str],
-    setter_col: str,
-    value_col: str,
+    setter,
+    value,
     keep_cols: list[str],
-    default: str = "",
-) -> DataFrame:
-    """Streaming H2. ``setter_col`` is a boolean column (does this row set context?)."""
-    cols = [user_col] + [c for c in keep_cols if c != user_col]
-    out_fields = [stream.schema[c] for c in cols] + [T.StructField("context", T.StringType())]
-    out_schema = T.StructType(out_fields)
-    state_schema = T.StructType([T.StructField("context", T.StringType())])
-    prep = stream.select(*set(cols + order_cols + [setter_col, value_col]))
-
-    def step(key, pdfs, state):
-        ctx = state.get[0] if state.exists else None
-        frames = []
-        for pdf in pdfs:
-            frames.append(pdf)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(order_cols, kind="stable")
-        vals = pdf[value_col].astype(object).where(pdf[setter_col].astype(bool).to_numpy(), None)
-        # last setter value so far, seeded with the stored state
-        seed = default if ctx is None else ctx
-        carried, cur = [], seed
-        for v in vals.tolist():
-            if v is not None:
-                cur = v
-            carried.append(cur)
-        pdf["context"] = carried
-        setters = [v for v in vals.tolist() if v is not None]
-        if setters:
-            state.update((setters[-1],))
-        elif ctx is not None:
-            state.update((ctx,))
-        yield pdf[cols + ["context"]]
-
-    return prep.groupBy(user_col).applyInPandasWithState(step, out_schema, state_schema, "append", GroupStateTimeout.NoTimeout)
-
-
-def run_to_table(query_df: DataFrame, out_path: str, checkpoint: str) -> str:
-    """Run a streaming DataFrame until its input is exhausted; results land in Parquet."""
-    q = (
-        query_df.writeStream.format("parquet")
-        .option("path", out_path)
-        .option("checkpointLocation", checkpoint)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
-    q.awaitTermination()
-    return out_path
+    user_type: str = "bigint",
+    chunk=None,
+    trigger: dict | None = None,
+):
+    """Start the streaming H2 job; returns the query handle. Output: ``root/output``."""
+    out_dir = os.path.join(root, "output")
+    schema = f"{user_col} {user_type}, context string"
+
+    def process(batch: DataFrame, batch_id: int):
+        spark = batch.sparkSession
+        state = _read_state(spark, root, batch_id, schema)
+        rows, new_state = carry_context_batch(
+            batch, state, user_col=user_col, order_cols=order_cols, setter=setter, value=value, keep_cols=keep_cols, chunk=chunk
+        )
+        rows.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id:012d}"))
+        new_state.write.mode("overwrite").parquet(_state_path(root, batch_id))
+
+    writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", os.path.join(root, "checkpoint"))
+    writer = writer.trigger(**(trigger or {"availableNow": True}))
+    return writer.start()
 
 
 def stage_in_time_slices(df: DataFrame, ts_col: str, out_dir: str, slices: int = 3, files_per_slice: int = 4) -> int:
     """Write a table as ``slices`` consecutive time ranges (oldest first), each as
     ``files_per_slice`` files, so a file source replays it in time order, one range
-    per micro-batch. Returns ``maxFilesPerTrigger`` to use."""
+    per micro-batch. Returns the ``maxFilesPerTrigger`` to use."""
     bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
     lo, hi = bounds["lo"], bounds["hi"]
     span = (hi - lo) / slices
     for i in range(slices):
-        a = lo + span * i
-        cond = F.col(ts_col) >= F.lit(a)
+        cond = F.col(ts_col) >= F.lit(lo + span * i)
         if i < slices - 1:
             cond = cond & (F.col(ts_col) < F.lit(lo + span * (i + 1)))
         df.where(cond).repartition(files_per_slice).write.mode("overwrite").parquet(os.path.join(out_dir, f"slice={i:04d}"))
@@ -96,7 +108,7 @@ def stage_in_time_slices(df: DataFrame, ts_col: str, out_dir: str, slices: int =
 
 
 def replay_events_context(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The event log replayed as a stream; the signup event sets a user's context."""
+    """The event log replayed as a stream; a signup event sets a user's context."""
     root = scratch_path(spark, "events-stream")
     src_dir = os.path.join(root, "input")
     per_trigger = stage_in_time_slices(events, "ts", src_dir)
@@ -105,8 +117,10 @@ def replay_events_context(spark: SparkSession, events: DataFrame) -> DataFrame:
         .option("maxFilesPerTrigger", per_trigger)
         .option("recursiveFileLookup", "true")
         .parquet(src_dir)
-        .withColumn("_set", F.col("event_type") == "signup")
     )
-    out = carry_context_stream(stream, user_col="user_id", order_cols=["ts", "event_id"], setter_col="_set", value_col="props", keep_cols=["event_id"])
-    path = run_to_table(out, os.path.join(root, "output"), os.path.join(root, "checkpoint"))
-    return spark.read.parquet(path)
+    q = carry_context_stream(
+        stream, root=root, user_col="user_id", order_cols=["ts", "event_id"], setter=F.col("event_type") == "signup",
+        value=F.col("props"), keep_cols=["event_id"], chunk=F.to_date("ts"),
+    )
+    q.awaitTermination()
+    return spark.read.parquet(os.path.join(root, "output")).drop("batch")
