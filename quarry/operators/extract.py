@@ -14,8 +14,9 @@ Everything is a table operation over a **line table** ``(file_path, ln, line, 
 * doc comments are gaps-and-islands runs of comment lines directly above a header
   (Python: the docstring that opens the body).
 
-Each window is partitioned by file (and level), so no partition holds more than one
-file. A file's lines are one task; very large files can be filtered by size first.
+The running line state (block comments, triple quotes, nesting depth) is a two-level
+prefix sum over chunks of 65,536 lines, so even one huge file is spread over many
+tasks. The later windows are partitioned by file and nesting level or by file.
 """
 
 from __future__ import annotations
@@ -64,6 +65,44 @@ def _by_language(lang: Column, table: dict, fn) -> Column:
     return expr
 
 
+CHUNK_LINES = 65536
+
+
+def two_level_scan(df: DataFrame, part: list, value, agg: str, out: str, *, reverse: bool = False, inclusive: bool = False, tiebreak=None, chunk_lines: int | None = None) -> DataFrame:
+    """Running ``agg`` (sum / max / min) of ``value`` over the rows before each row in
+    ``ln`` order (after it when ``reverse``), within ``part`` (a file, or file and level).
+
+    Two levels: a window over ``(part, chunk of lines)`` and, for the chunks before
+    (or after) the row's chunk, their aggregates from a small per-chunk table joined
+    back on ``(part, chunk)`` — the partitioning the window already has. No window
+    partition ever holds more than ``chunk_lines`` lines of one file.
+    """
+    size = chunk_lines or CHUNK_LINES
+    fn = {"sum": F.sum, "max": F.max, "min": F.min}[agg]
+    d = df.withColumn("_ck", F.floor((F.col("ln") - 1) / size)).withColumn("_sv", value)
+    order = [F.col("ln").desc() if reverse else F.col("ln").asc()] + ([tiebreak] if tiebreak is not None else [])
+    w_in = Window.partitionBy(*part, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    d = d.withColumn("_sin", fn("_sv").over(w_in))
+    tot = d.groupBy(*part, "_ck").agg(fn("_sv").alias("_st"))
+    w_ck = Window.partitionBy(*part).orderBy(F.col("_ck").desc() if reverse else F.col("_ck").asc()).rowsBetween(Window.unboundedPreceding, -1)
+    prior = tot.select(*part, "_ck", fn("_st").over(w_ck).alias("_sp"))
+    d = d.join(prior, [*part, "_ck"], "left")
+    if agg == "sum":
+        res = F.coalesce("_sin", F.lit(0)) + F.coalesce("_sp", F.lit(0))
+    elif agg == "max":
+        res = F.coalesce(F.greatest("_sin", "_sp"), "_sin", "_sp")
+    else:
+        res = F.coalesce(F.least("_sin", "_sp"), "_sin", "_sp")
+    return d.withColumn(out, res).drop("_ck", "_sv", "_sin", "_sp")
+
+
+def prefix_sums(lines: DataFrame, key: str, values: dict, chunk_lines: int | None = None) -> DataFrame:
+    """Exclusive running sums over each file's lines (two-level, see ``two_level_scan``)."""
+    for name, v in values.items():
+        lines = two_level_scan(lines, [key], v, "sum", name, chunk_lines=chunk_lines).withColumn(name, F.col(name).cast("int"))
+    return lines
+
+
 def line_table(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language") -> DataFrame:
     """One row per line with masking, indentation, nesting depth and line state."""
     lang = F.col(lang_col)
@@ -79,9 +118,8 @@ def line_table(files: DataFrame, *, key: str = "file_path", text_col: str = "con
     bc_close = (brace & m1.contains("*/")).cast("int")
     tq = F.when(lang == "python", F.size(F.regexp_extract_all("line", F.lit("\"\"\"|'''"), 0))).otherwise(F.lit(0))
     lines = lines.withColumn("_m1", m1).withColumn("_bo", bc_open).withColumn("_bcl", bc_close).withColumn("tq", tq)
-    w_prev = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("in_block_comment", F.coalesce(F.sum(F.col("_bo") - F.col("_bcl")).over(w_prev), F.lit(0)) > 0)
-    lines = lines.withColumn("tq_before", F.coalesce(F.sum("tq").over(w_prev), F.lit(0)).cast("int"))
+    lines = prefix_sums(lines, key, {"_bc_before": F.col("_bo") - F.col("_bcl"), "tq_before": F.col("tq")})
+    lines = lines.withColumn("in_block_comment", F.col("_bc_before") > 0).drop("_bc_before")
     in_str = (F.col("tq_before") % 2) == 1
     masked = (
         F.when(F.col("in_block_comment"), F.when(F.col("_bcl") == 1, F.regexp_replace("_m1", r"^.*?\*/", "")).otherwise(F.lit("")))
@@ -95,9 +133,8 @@ def line_table(files: DataFrame, *, key: str = "file_path", text_col: str = "con
     braces = F.regexp_replace("masked", r"[^{}]", "")
     lines = lines.withColumn("_br", F.when(brace, braces).otherwise(F.lit("")))
     delta = F.length(F.regexp_replace("_br", r"\}", "")) - F.length(F.regexp_replace("_br", r"\{", ""))
-    lines = lines.withColumn("_delta", delta.cast("int"))
-    lines = lines.withColumn("depth", F.coalesce(F.sum("_delta").over(w_prev), F.lit(0)).cast("int"))
-    return lines.drop("_m1", "_bo", "_bcl", "_delta")
+    lines = prefix_sums(lines, key, {"depth": delta.cast("int")})
+    return lines.drop("_m1", "_bo", "_bcl")
 
 
 def _closed_levels(br: Column, depth: Column) -> Column:
@@ -153,19 +190,15 @@ def block_ends(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> DataF
     )
     heads = hs.select(key, "level", "ln", F.lit(1).alias("_h"), F.lit(None).cast("int").alias("_close"), F.lit(None).cast("int").alias("_bound"))
     allr = events.unionByName(heads)
-    # walk each (file, level) from the bottom up: the nearest later event is the running "last"
-    w_close = Window.partitionBy(key, "level").orderBy(F.col("ln").desc(), F.col("_h").asc()).rowsBetween(Window.unboundedPreceding, 0)
-    w_bound = Window.partitionBy(key, "level").orderBy(F.col("ln").desc(), F.col("_h").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = (
-        allr.withColumn("_close_at", F.last("_close", ignorenulls=True).over(w_close))
-        .withColumn("_bound_at", F.last("_bound", ignorenulls=True).over(w_bound))
-        .where(F.col("_h") == 1)
-        .select(key, "level", "ln", "_close_at", "_bound_at")
-    )
+    # nearest close at or after the header, nearest boundary strictly after it: a
+    # suffix minimum of event lines per (file, level), in two levels
+    allr = two_level_scan(allr, [key, "level"], F.col("_close"), "min", "_close_at", reverse=True, inclusive=True, tiebreak=F.col("_h").asc())
+    allr = two_level_scan(allr, [key, "level"], F.col("_bound"), "min", "_bound_at", reverse=True, inclusive=True, tiebreak=F.col("_h").desc())
+    found = allr.where(F.col("_h") == 1).select(key, "level", "ln", "_close_at", "_bound_at")
     out = hs.join(found, [key, "level", "ln"], "left")
     # python end = last content line before the boundary (or the file's last content line)
-    w_prev = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    prev_content = lines.select(key, F.col("ln").alias("_bound_at"), F.last(F.when(F.col("is_content"), F.col("ln")), ignorenulls=True).over(w_prev).alias("_pend"))
+    prev_content = two_level_scan(lines.select(key, "ln", "is_content"), [key], F.when(F.col("is_content"), F.col("ln")), "max", "_pend")
+    prev_content = prev_content.select(key, F.col("ln").alias("_bound_at"), "_pend")
     last_content = lines.where(F.col("is_content")).groupBy(key).agg(F.max("ln").alias("_fend"))
     out = out.join(prev_content, [key, "_bound_at"], "left").join(last_content, key, "left")
     end = (
@@ -201,8 +234,8 @@ def doc_comments(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> Dat
     annotation = (lang == "java") & trimmed.rlike(r"^@\w+(\(.*\))?$")
     transparent = is_blank | annotation | ((lang == "java") & trimmed.startswith("//"))
     solid = ~(keep | transparent)
-    w_run = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, 0)
-    brace_lines = lines.where(lang.isin(*BRACE_LANGUAGES)).withColumn("_keep", keep).withColumn("_g", F.sum(solid.cast("int")).over(w_run))
+    brace_lines = lines.where(lang.isin(*BRACE_LANGUAGES)).withColumn("_keep", keep)
+    brace_lines = two_level_scan(brace_lines, [key], solid.cast("int"), "sum", "_g", inclusive=True)
     h = hs.where((F.col("kind") == "method") & lang.isin(*BRACE_LANGUAGES)).select(key, F.col("start_line"))
     hg = h.join(brace_lines.select(key, F.col("ln").alias("start_line"), (F.col("_g") - 1).alias("_g")), [key, "start_line"])
     cm = brace_lines.where("_keep").select(key, "_g", F.col("ln").alias("_ln"), "line")
@@ -213,8 +246,7 @@ def doc_comments(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> Dat
 
     # python: the string that opens the body
     py = lines.where(lang == "python")
-    w_next = Window.partitionBy(key).orderBy(F.col("ln").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    py = py.withColumn("_next_content", F.last(F.when(F.col("is_content"), F.col("ln")), ignorenulls=True).over(w_next))
+    py = two_level_scan(py, [key], F.when(F.col("is_content"), F.col("ln")), "min", "_next_content", reverse=True)
     ph = hs.where((F.col("kind") == "method") & (lang == "python")).select(key, "start_line")
     ph = ph.join(py.select(key, F.col("ln").alias("start_line"), F.col("_next_content").alias("_b")), [key, "start_line"])
     first = py.select(key, F.col("ln").alias("_b"), F.col("line").alias("_bl"), "tq", "tq_before")
