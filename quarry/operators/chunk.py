@@ -87,7 +87,7 @@ def line_sections(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     header line or after a blank line; blank lines are not part of any section."""
     lines = df.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
     blank = ~F.col("line").rlike(tx.NON_WS)
-    header = F.col("line").rlike(r"^#{1,6}\s")
+    header = F.col("line").rlike(r"^#{1,6}[ \t]")
     w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     prev_blank = F.coalesce(F.lag(blank).over(Window.partitionBy(id_col).orderBy("pos")), F.lit(True))
     starts = (~blank & (header | prev_blank)).cast("int")
@@ -103,5 +103,5 @@ def line_sections(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
         F.col("section").cast("bigint").alias("section"),
         (F.col("_first") + 1).cast("bigint").alias("first_line"),
         "n_lines",
-        F.array_join(F.transform("_l", lambda x: x["line"]), "\n").alias("text"),
+        F.array_join(F.col("_l.line"), "\n").alias("text"),
     )

@@ -216,7 +216,7 @@ def _span_text(lines: DataFrame, spans: DataFrame, key: str, id_cols: list[str],
     piece = F.when(F.col("_ln") == F.col(start), F.expr("substring(_line, _ind + 1)")).otherwise(F.col("_line"))
     piece = F.when(F.col("_ln") == F.col(end), F.regexp_replace(piece, r"\s+$", "")).otherwise(piece)
     agg = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct(F.col("_ln").alias("o"), piece.alias("t")))).alias("_p"))
-    return agg.select(*id_cols, F.array_join(F.transform("_p", lambda x: x["t"]), "\n").alias(out))
+    return agg.select(*id_cols, F.array_join(F.col("_p.t"), "\n").alias(out))
 
 
 def doc_comments(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> DataFrame:
@@ -242,7 +242,7 @@ def doc_comments(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> Dat
     runs = hg.join(cm, [key, "_g"]).where(F.col("_ln") < F.col("start_line"))
     brace_docs = runs.groupBy(key, "start_line").agg(
         F.array_sort(F.collect_list(F.struct(F.col("_ln").alias("o"), F.col("line").alias("t")))).alias("_p")
-    ).select(key, "start_line", F.trim(F.array_join(F.transform("_p", lambda x: x["t"]), "\n")).alias("doc_comment"))
+    ).select(key, "start_line", F.trim(F.array_join(F.col("_p.t"), "\n")).alias("doc_comment"))
 
     # python: the string that opens the body
     py = lines.where(lang == "python")
@@ -312,7 +312,7 @@ def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "co
         )
     )
     decl = pairs.groupBy("_cf", "_cs").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start_line", "source_code"))), lambda x: x["source_code"]), K.METHOD_DECL_SEPARATOR).alias("method_declarations")
+        F.array_join(F.array_sort(F.collect_list(F.struct("start_line", "source_code")))["source_code"], K.METHOD_DECL_SEPARATOR).alias("method_declarations")
     )
     classes_out = (
         classes.join(decl, (classes[key] == decl["_cf"]) & (classes["start_line"] == decl["_cs"]), "left")

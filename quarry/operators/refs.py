@@ -82,11 +82,9 @@ def _fmt(file_col, line_col, col_col):
 def render_by_file(refs: DataFrame, by: list[str] = ("kind", "name")) -> DataFrame:
     """R10 per file: ``(by…, file, n, refs)`` with ``file:line:column`` joined by ``; ``."""
     by = list(by)
-    agg = refs.groupBy(*by, "file").agg(
-        F.array_sort(F.collect_list(F.struct("line", "column"))).alias("_p"), F.count(F.lit(1)).cast("bigint").alias("n")
-    )
-    text = F.array_join(F.transform("_p", lambda x: _fmt(F.col("file"), x["line"], x["column"])), K.REFERENCE_SEPARATOR)
-    return agg.select(*by, "file", "n", text.alias("refs"))
+    item = F.struct("line", "column", _fmt(F.col("file"), F.col("line"), F.col("column")).alias("t"))
+    agg = refs.groupBy(*by, "file").agg(F.array_sort(F.collect_list(item)).alias("_p"), F.count(F.lit(1)).cast("bigint").alias("n"))
+    return agg.select(*by, "file", "n", F.array_join(F.col("_p.t"), K.REFERENCE_SEPARATOR).alias("refs"))
 
 
 def render_references(refs: DataFrame, by: list[str] = ("kind", "name")) -> DataFrame:
@@ -94,7 +92,7 @@ def render_references(refs: DataFrame, by: list[str] = ("kind", "name")) -> Data
     by = list(by)
     chunks = render_by_file(refs, by)
     agg = chunks.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("file", "refs"))).alias("_c"), F.sum("n").cast("bigint").alias("n_refs"))
-    return agg.select(*by, "n_refs", F.array_join(F.transform("_c", lambda x: x["refs"]), K.REFERENCE_SEPARATOR).alias("references"))
+    return agg.select(*by, "n_refs", F.array_join(F.col("_c.refs"), K.REFERENCE_SEPARATOR).alias("references"))
 
 
 def group_references(refs: DataFrame) -> DataFrame:
