@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 from .. import constants as K
 
 IDENT = r"[A-Za-z0-9_$]+"
-PIECE = r"([^A-Za-z0-9_$]*)([A-Za-z0-9_$]+)"
 DEFINITION_KEYWORDS = ["def", "class", "fn", "struct", "function"]
 
 

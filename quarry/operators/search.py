@@ -134,7 +134,6 @@ def _block_candidates(corpus: DataFrame, block, *, id_col, vec_col, qid_name, qi
         fields.append(src.schema[c])
     fields += [T.StructField("score", T.DoubleType()), T.StructField("_key", T.DoubleType())]
     out_schema = T.StructType(fields)
-    score_name = "score"
 
     def run(batches):
         qids_, Q_, qsq_ = bc.value
