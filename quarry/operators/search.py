@@ -35,12 +35,37 @@ KEY_DECIMALS = 9
 
 
 def _matrix(col: pa.Array, n: int, dim: int) -> np.ndarray:
+    """Dense ``(n, dim)`` float64 matrix from a list column or a sparse struct<idx, val>."""
     if isinstance(col, pa.ChunkedArray):
         col = col.combine_chunks()
+    if pa.types.is_struct(col.type):
+        idx, val = col.field("idx"), col.field("val")
+        lens = pc.fill_null(pc.list_value_length(idx), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        D = np.zeros((n, dim), dtype=np.float64)
+        rows = np.repeat(np.arange(n, dtype=np.int64), lens)
+        D[rows, pc.list_flatten(idx).to_numpy(zero_copy_only=False)] = pc.list_flatten(val).to_numpy(zero_copy_only=False)
+        return D
     flat = pc.list_flatten(col)
     return np.asarray(flat.to_numpy(zero_copy_only=False), dtype=np.float64).reshape(n, dim)
 
 
+def _valid_rows(col: pa.Array, dim: int) -> np.ndarray:
+    """Rows whose vector is usable: dense of length ``dim``, or sparse with matching
+    index/value lengths and indices inside ``[0, dim)``."""
+    if pa.types.is_struct(col.type):
+        idx, val = col.field("idx"), col.field("val")
+        li = pc.fill_null(pc.list_value_length(idx), -1).to_numpy(zero_copy_only=False)
+        lv = pc.fill_null(pc.list_value_length(val), -2).to_numpy(zero_copy_only=False)
+        ok = (li == lv) & (li >= 0) & ~col.is_null().to_numpy(zero_copy_only=False)
+        flat = pc.list_flatten(idx).to_numpy(zero_copy_only=False)
+        if len(flat) and (flat.min() < 0 or flat.max() >= dim):
+            bad = np.repeat(np.arange(len(col)), np.maximum(li, 0))[(flat < 0) | (flat >= dim)]
+            ok[bad] = False
+        return ok
+    lens = pc.fill_null(pc.list_value_length(col), -1).to_numpy(zero_copy_only=False)
+    return lens == dim
+
+
 def _scores(D: np.ndarray, Q: np.ndarray, qsq: np.ndarray, metric: str):
     """Return (score matrix (nd, nq), key matrix where higher is better)."""
     G = D @ Q.T
@@ -80,8 +105,9 @@ def _collect_block(block: DataFrame, qid: str, qvec: str, dim: int | None):
     col = tbl.column(qvec).combine_chunks()
     if dim is None:
         dim = len(col[0].as_py())
-    Q = _matrix(col, n, dim)
-    return tbl.column(qid).to_numpy(), Q, dim
+    ok = _valid_rows(col, dim)
+    Q = _matrix(col.filter(pa.array(ok)), int(ok.sum()), dim)
+    return tbl.column(qid).to_numpy()[ok], Q, dim
 
 
 def query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None = None, max_block_bytes: int = 64 << 20):
@@ -92,7 +118,7 @@ def query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None = None
     no block handed to the driver or broadcast exceeds the bound.
     """
     queries = queries.where(F.col(qvec).isNotNull())
-    if dim is not None:
+    if dim is not None and not isinstance(queries.schema[qvec].dataType, T.StructType):
         queries = queries.where(is_valid_vector(qvec, dim))
     # the query side is read several times (count, then each block): keep it cached
     queries = queries.persist()
@@ -103,6 +129,8 @@ def query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None = None
         if dim is None:
             dim = queries.select(F.size(qvec).alias("d")).first()["d"]
             queries = queries.where(is_valid_vector(qvec, dim))
+        elif isinstance(queries.schema[qvec].dataType, T.StructType):
+            pass  # sparse questions: validated when the block is densified
         per_row = dim * 8 + 64
         nblocks = max(1, math.ceil(n * per_row / max_block_bytes))
         if nblocks == 1:
@@ -144,8 +172,7 @@ def _block_candidates(corpus: DataFrame, block, *, id_col, vec_col, qid_name, qi
             if rb.num_rows == 0:
                 continue
             vcol = rb.column(vec_col)
-            lens = pc.fill_null(pc.list_value_length(vcol), -1).to_numpy(zero_copy_only=False)
-            ok = lens == dim_
+            ok = _valid_rows(vcol, dim_)
             if not ok.all():
                 rb = rb.filter(pa.array(ok))
                 vcol = rb.column(vec_col)

@@ -154,7 +154,7 @@ SELECT query_id, doc_id, CAST(rank AS BIGINT) AS rank, round(v, 6) AS score FROM
 )
 def q_text_search(spark: SparkSession, sf: str) -> DataFrame:
     """M0 / A10: every benchmark question against every document, top-5 by cosine."""
-    emb = embed.HashingEmbedder(dim=TEXT_DIM)
+    emb = embed.HashingEmbedder(dim=TEXT_DIM, sparse=True)
     docs = table(spark, sf, "documents")
     qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query_text"))
     res = search.text_search(docs, qs, emb, id_col="doc_id", text_col="text", query_id="query_id", query_text="query_text", k=5, metric="cosine")
@@ -475,7 +475,7 @@ def _bench_queries(spark, sf):
 
 
 def _text_candidates(spark, sf, carry=("text",)):
-    emb = embed.HashingEmbedder(dim=TEXT_DIM)
+    emb = embed.HashingEmbedder(dim=TEXT_DIM, sparse=True)
     docs = table(spark, sf, "documents")
     return search.text_search(docs, _bench_queries(spark, sf), emb, id_col="doc_id", text_col="text", query_id="query_id", query_text="query_text", k=5, metric="cosine", carry=list(carry))
 
@@ -626,7 +626,7 @@ def _document_index(spark: SparkSession, sf: str, emb):
 def q_two_pass_context(spark: SparkSession, sf: str) -> DataFrame:
     """Expand → search both tables → temp context → expand again → search
     again → top-3 per table → assembled context, for every benchmark question."""
-    emb = embed.HashingEmbedder(dim=TEXT_DIM)
+    emb = embed.HashingEmbedder(dim=TEXT_DIM, sparse=True)
     mt, ct = _document_index(spark, sf, emb)
     qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return answer.two_pass_context(qs, mt, ct, emb)

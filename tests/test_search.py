@@ -78,3 +78,16 @@ def test_group_col_ranks_per_table(spark):
     c = c.withColumn("kind", F.when(F.col("id") % 2 == 0, "method").otherwise("class"))
     res = search.vector_topk(c, q, id_col="id", vec_col="v", k=2, group_col="kind").collect()
     assert sorted((r["kind"], r["rank"]) for r in res) == [("class", 1), ("class", 2), ("method", 1), ("method", 2)]
+
+
+def test_sparse_and_dense_vectors_rank_the_same(spark):
+    from quarry.operators import embed
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    qs = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.col("text").alias("q"))
+    out = []
+    for sparse in (False, True):
+        e = embed.HashingEmbedder(dim=64, sparse=sparse)
+        r = search.text_search(docs, qs, e, id_col="doc_id", text_col="text", query_id="query_id", query_text="q", k=5, metric="cosine")
+        out.append(sorted((x.query_id, x["rank"], x.doc_id, round(x.score, 9)) for x in r.collect()))
+    assert out[0] == out[1] and len(out[0]) > 0
