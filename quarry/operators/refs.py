@@ -2,9 +2,9 @@
 
 * ``identifier_occurrences`` (R1): every identifier with file, 1-based line and
   1-based character column, the next non-space character (call detection) and the
-  previous token (``new`` / definition keywords). Columns come from a running sum of
-  piece lengths over ``(file, line)`` — a window whose clustering is already given by
-  the file partitioning of the line table, so it adds no shuffle.
+  previous token (definition keywords). Positions come from one regex pass per line
+  in a small Arrow helper (Spark SQL has no all-match-positions function); the
+  matches are exploded natively, with no sort or window.
 * ``match_references`` (R2, R3): semi/inner join with the name vocabulary. The
   vocabulary is broadcast only after its size is checked (``join_small``); above
   the bound it is a shuffle join.
@@ -17,8 +17,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import constants as K
 
@@ -37,20 +39,51 @@ def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> Data
     return big.join(small, on, how)
 
 
+_OCC_TYPE = T.ArrayType(
+    T.StructType([
+        T.StructField("column", T.IntegerType()),
+        T.StructField("token", T.StringType()),
+        T.StructField("next_char", T.StringType()),
+        T.StructField("prev_token", T.StringType()),
+    ])
+)
+
+
+def _positions_udf(ident: str):
+    """Arrow helper: identifier matches of each line with 1-based character column,
+    the next non-space character and the previous identifier of the line. (Spark SQL
+    has no regex function that returns every match position.)"""
+    import re
+
+    pat = re.compile(ident)
+    ws = " \t\n\x0b\x0c\r"
+
+    @F.arrow_udf(_OCC_TYPE)
+    def positions(lines: pa.Array) -> pa.Array:
+        out = []
+        for line in lines.to_pylist():
+            if line is None:
+                out.append(None)
+                continue
+            row, prev = [], None
+            for m in pat.finditer(line):
+                rest = line[m.end():].lstrip(ws)
+                row.append({"column": m.start() + 1, "token": m.group(), "next_char": rest[:1], "prev_token": prev})
+                prev = m.group()
+            out.append(row)
+        return pa.array(out, type=pa.list_(pa.struct([("column", pa.int32()), ("token", pa.string()), ("next_char", pa.string()), ("prev_token", pa.string())])))
+
+    return positions
+
+
 def identifier_occurrences(lines: DataFrame, *, key: str = "file_path", text_col: str = "masked", ident: str = IDENT) -> DataFrame:
-    """``(file, line, column, token, next_char, prev_token)`` for every identifier."""
-    piece = f"([^{ident[1:-2]}]*)({ident})"
-    seps = F.regexp_extract_all(F.col(text_col), F.lit(piece), 1)
-    toks = F.regexp_extract_all(F.col(text_col), F.lit(piece), 2)
-    z = lines.select(key, "ln", text_col, F.posexplode(F.arrays_zip(seps.alias("s"), toks.alias("t"))).alias("j", "p"))
-    z = z.select(key, "ln", text_col, "j", F.col("p.s").alias("sep"), F.col("p.t").alias("token"))
-    w = Window.partitionBy(key, "ln").orderBy("j")
-    before = F.coalesce(F.sum(F.length("sep") + F.length("token")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    z = z.withColumn("column", (before + F.length("sep") + 1).cast("int"))
-    z = z.withColumn("_next_sep", F.lead("sep").over(w)).withColumn("prev_token", F.lag("token").over(w))
-    tail = F.expr(f"substring({text_col}, column + length(token))")
-    z = z.withColumn("next_char", F.substring(F.ltrim(F.coalesce(F.col("_next_sep"), tail)), 1, 1))
-    return z.select(key, F.col("ln").alias("line"), "column", "token", "next_char", "prev_token")
+    """``(file, line, column, token, next_char, prev_token)`` for every identifier.
+
+    One regex pass per line yields the matches with their positions; the rows are
+    then exploded natively. No sort or window is needed for the columns.
+    """
+    occ = lines.select(key, F.col("ln").alias("line"), F.explode(_positions_udf(ident)(F.col(text_col))).alias("o"))
+    return occ.select(key, "line", "o.column", "o.token", "o.next_char", "o.prev_token")
 
 
 def match_references(occ: DataFrame, vocab: DataFrame, *, key: str = "file_path", definitions: DataFrame | None = None) -> DataFrame:
