@@ -10,6 +10,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -29,9 +30,11 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() < target:
-        # hash on the leading key columns: as deterministic under task retries as a
-        # round-robin split, without the full sort that round-robin needs for that
-        return df.repartition(target, *[F.col(c) for c in df.columns[:2]])
+        # hash on the leading key columns (numbers/timestamps, not long text): as
+        # deterministic under task retries as a round-robin split, without the full
+        # sort that round-robin needs for that
+        keys = [f.name for f in df.schema.fields[:2] if isinstance(f.dataType, (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType))]
+        return df.repartition(target, *[F.col(c) for c in (keys or df.columns[:1])])
     return df
 
 
