@@ -95,15 +95,18 @@ def carry_context_stream(
 def stage_in_time_slices(df: DataFrame, ts_col: str, out_dir: str, slices: int = 3, files_per_slice: int = 4) -> int:
     """Write a table as ``slices`` consecutive time ranges (oldest first), each as
     ``files_per_slice`` files, so a file source replays it in time order, one range
-    per micro-batch. Returns the ``maxFilesPerTrigger`` to use."""
-    bounds = df.agg(F.min(ts_col).alias("lo"), F.max(ts_col).alias("hi")).first()
-    lo, hi = bounds["lo"], bounds["hi"]
-    span = (hi - lo) / slices
+    per micro-batch. Returns the ``maxFilesPerTrigger`` to use.
+
+    The slice of a row is computed in Spark from epoch microseconds (no datetime
+    literals), so every row lands in exactly one slice whatever the time zones.
+    """
+    t = F.unix_micros(F.col(ts_col).cast("timestamp"))
+    b = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
+    lo, span = b["lo"], max(1, (b["hi"] - b["lo"] + slices) // slices)
+    sliced = df.withColumn("_slice", F.least(F.floor((t - F.lit(lo)) / F.lit(span)), F.lit(slices - 1)))
     for i in range(slices):
-        cond = F.col(ts_col) >= F.lit(lo + span * i)
-        if i < slices - 1:
-            cond = cond & (F.col(ts_col) < F.lit(lo + span * (i + 1)))
-        df.where(cond).repartition(files_per_slice).write.mode("overwrite").parquet(os.path.join(out_dir, f"slice={i:04d}"))
+        part = sliced.where(F.col("_slice") == i).drop("_slice")
+        part.repartition(files_per_slice).write.mode("overwrite").parquet(os.path.join(out_dir, f"slice={i:04d}"))
     return files_per_slice
 
 
