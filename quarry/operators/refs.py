@@ -28,15 +28,19 @@ IDENT = r"[A-Za-z0-9_$]+"
 DEFINITION_KEYWORDS = ["def", "class", "fn", "struct", "function"]
 
 
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner") -> DataFrame:
+VOCAB_BROADCAST_ROWS = 1_000_000
+
+
+def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = VOCAB_BROADCAST_ROWS) -> DataFrame:
     """Join with a side expected to be small (a vocabulary).
 
-    No hint: adaptive execution measures the side once its stage has run and turns
-    the join into a broadcast only when that measured size is under
-    ``spark.sql.adaptive.autoBroadcastJoinThreshold``; otherwise it stays a shuffle
-    join. The broadcast is therefore always behind a size check, with no extra job.
+    The side is counted first; it is broadcast only when it has at most ``max_rows``
+    rows (names are short, so this bounds its bytes too). Above the bound the join is
+    a shuffle join, where adaptive execution still splits skewed keys. Pass a
+    cheaply computable ``small`` — it is evaluated twice (count, then join).
     """
-    return big.join(small, on, how)
+    n = small.count()
+    return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
 
 
 _OCC_TYPE = T.ArrayType(
