@@ -2,8 +2,8 @@
 index build produces.
 
 An edge is a method-call occurrence (R3) placed inside the innermost method whose
-line span contains it (X5-style containment: equi-join on the file plus a range
-condition, bounded per file). ``expand`` follows edges to a fixed depth with
+line span contains it (equi-join on ``(file, line)`` against each method's exploded
+line span). ``expand`` follows edges to a fixed depth with
 repeated equi-joins on the callee name.
 """
 
@@ -16,8 +16,13 @@ from pyspark.sql import functions as F
 def call_edges(methods: DataFrame, method_refs: DataFrame, key: str = "file_path") -> DataFrame:
     """``(caller_file, caller_class, caller, callee, line, column)`` per call site."""
     calls = method_refs.where(F.col("kind") == "method").select(F.col("file").alias("_f"), "line", "column", F.col("name").alias("callee"))
-    m = methods.select(F.col(key).alias("caller_file"), F.col("class_name").alias("caller_class"), F.col("name").alias("caller"), "start_line", "end_line")
-    j = calls.join(m, (calls["_f"] == m["caller_file"]) & (calls["line"] >= m["start_line"]) & (calls["line"] <= m["end_line"]))
+    # each method exploded into the lines it covers: placing a call is an equi-join on
+    # (file, line), never a range test of every call against every method of a file
+    m = methods.select(
+        F.col(key).alias("caller_file"), F.col("class_name").alias("caller_class"), F.col("name").alias("caller"), "start_line",
+        F.explode(F.sequence(F.col("start_line"), F.col("end_line"))).alias("_ml"),
+    )
+    j = calls.join(m, (calls["_f"] == m["caller_file"]) & (calls["line"] == m["_ml"]))
     # innermost enclosing method = the latest start line among those containing the call
     best = j.groupBy("_f", "line", "column", "callee").agg(F.max_by(F.struct("caller_file", "caller_class", "caller"), "start_line").alias("c"))
     return best.select("c.caller_file", "c.caller_class", "c.caller", "callee", "line", "column")

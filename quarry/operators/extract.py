@@ -9,8 +9,9 @@ Everything is a table operation over a **line table** ``(file_path, ln, line, 
 * block ends become equi-joins / ordered windows keyed by ``(file, level)``:
   brace languages — the first ``}`` that closes the header's nesting level;
   Python — the next code line indented at or left of the header;
-* containment (methods of a class, enclosing class) is an equi-join on the file
-  plus a range condition, so its cost is bounded per file;
+* containment (methods of a class, enclosing class) is an equi-join on
+  ``(file, line)``: each class is exploded into the lines it covers, so the work is
+  the size of the result, never classes × methods of a file;
 * doc comments are gaps-and-islands runs of comment lines directly above a header
   (Python: the docstring that opens the body).
 
@@ -210,11 +211,17 @@ def block_ends(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> DataF
 
 
 def _span_text(lines: DataFrame, spans: DataFrame, key: str, id_cols: list[str], start: str, end: str, out: str) -> DataFrame:
-    """Text of lines ``start..end`` per span; first line from its indent, last line right-trimmed."""
+    """Text of lines ``start..end`` per span; first line from its indent, last line right-trimmed.
+
+    Each span is exploded into its line numbers and joined to the line table on
+    ``(file, line)`` — an equi-join whose size is the text being assembled, instead of
+    a range condition that would test every span against every line of its file.
+    """
+    sp = spans.select(*id_cols, F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(F.col(start), F.col(end))).alias("_ln"))
     l = lines.select(F.col(key).alias("_f"), F.col("ln").alias("_ln"), F.col("line").alias("_line"), F.col("indent").alias("_ind"))
-    j = spans.join(l, (spans[key] == l["_f"]) & (l["_ln"] >= spans[start]) & (l["_ln"] <= spans[end]))
-    piece = F.when(F.col("_ln") == F.col(start), F.expr("substring(_line, _ind + 1)")).otherwise(F.col("_line"))
-    piece = F.when(F.col("_ln") == F.col(end), F.regexp_replace(piece, r"\s+$", "")).otherwise(piece)
+    j = sp.join(l, (sp[key] == l["_f"]) & (sp["_ln"] == l["_ln"])).drop(l["_ln"])
+    piece = F.when(F.col("_ln") == F.col("_s"), F.expr("substring(_line, _ind + 1)")).otherwise(F.col("_line"))
+    piece = F.when(F.col("_ln") == F.col("_e"), F.regexp_replace(piece, r"\s+$", "")).otherwise(piece)
     agg = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct(F.col("_ln").alias("o"), piece.alias("t")))).alias("_p"))
     return agg.select(*id_cols, F.array_join(F.col("_p.t"), "\n").alias(out))
 
@@ -292,8 +299,13 @@ def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "co
 
     # X5 enclosing class (outermost by default) and X3 methods of each class: one
     # equi-join on the file with a containment condition
-    c = classes.select(F.col(key).alias("_cf"), F.col("class_name").alias("_cn"), F.col("start_line").alias("_cs"), F.col("end_line").alias("_ce"))
-    pairs = methods.join(c, (methods[key] == c["_cf"]) & (c["_cs"] < methods["start_line"]) & (methods["end_line"] <= c["_ce"]))
+    # containment as an equi-join: every class is exploded into the lines it covers,
+    # and a method meets the classes covering its first line (then its end is checked)
+    c = classes.select(
+        F.col(key).alias("_cf"), F.col("class_name").alias("_cn"), F.col("start_line").alias("_cs"), F.col("end_line").alias("_ce"),
+        F.explode(F.sequence(F.col("start_line") + 1, F.greatest(F.col("end_line"), F.col("start_line") + 1))).alias("_cl"),
+    )
+    pairs = methods.join(c, (methods[key] == c["_cf"]) & (methods["start_line"] == c["_cl"])).where((c["_cs"] < methods["start_line"]) & (methods["end_line"] <= c["_ce"]))
     pick = F.min_by if enclosing == "outer" else F.max_by
     encl = pairs.groupBy(key, "start_line").agg(pick("_cn", "_cs").alias("class_name"))
     docs = doc_comments(lines, hs.withColumnRenamed("ln", "start_line"), key)
