@@ -784,3 +784,39 @@ def q_context_filter(spark: SparkSession, sf: str) -> DataFrame:
     cands = _text_candidates(spark, sf).join(_bench_queries(spark, sf), "query_id")
     kept = rerank.filter_candidates(cands, query_text="query_text", doc_text="text", min_score=0.5)
     return kept.select("query_id", "doc_id", F.col("rank").cast("bigint").alias("rank"), _r6(F.col("relevance")).alias("relevance"))
+
+
+def _maxsim_ctes(name: str, cand: str, doc_table: str, doc_key: str, doc_text: str) -> str:
+    """CTE ``{name}(query_id, id, rank)``: candidates of ``cand`` reordered by MaxSim of
+    the expanded question (q3.hyde2) against the candidate text, ties by first rank."""
+    return f"""
+{name}_qb AS (SELECT query_id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {TEXT_DIM} AS bucket, count(*) AS qn
+              FROM (SELECT query_id, unnest(regexp_extract_all(lower(hyde2), '{TERM}')) AS t FROM q3) GROUP BY ALL),
+{name}_db AS (SELECT DISTINCT c.query_id, c.id, ('0x' || substr(md5(t), 1, 8))::BIGINT % {TEXT_DIM} AS bucket
+              FROM {cand} c JOIN (SELECT {doc_key} AS id, unnest(regexp_extract_all(lower({doc_text}), '{TERM}')) AS t FROM {doc_table}) d ON d.id = c.id),
+{name}_ms AS (SELECT query_id, id, sum(qn) AS maxsim FROM {name}_db JOIN {name}_qb USING (query_id, bucket) GROUP BY ALL),
+{name} AS (
+  SELECT c.query_id, c.id, row_number() OVER (PARTITION BY c.query_id ORDER BY coalesce(m.maxsim, 0) DESC, c.rank) AS rank
+  FROM {cand} c LEFT JOIN {name}_ms m ON m.query_id = c.query_id AND m.id = c.id
+)"""
+
+
+_TWO_PASS_RERANK_SQL = (
+    _TWO_PASS_SQL.replace(
+        "\nmtext AS (",
+        "\n" + _maxsim_ctes("r2m", "p2m", "ml", "entity_id", "code").strip() + ",\n" + _maxsim_ctes("r2c", "p2c", "cl", "entity_id", "source_code").strip() + ",\nmtext AS (",
+        1,
+    )
+    .replace("FROM p2m JOIN ml ON ml.entity_id = p2m.id WHERE p2m.rank <= 3 GROUP BY 1", "FROM r2m AS p2m JOIN ml ON ml.entity_id = p2m.id WHERE p2m.rank <= 3 GROUP BY 1")
+    .replace("FROM p2c JOIN cl ON cl.entity_id = p2c.id WHERE p2c.rank <= 3 GROUP BY 1", "FROM r2c AS p2c JOIN cl ON cl.entity_id = p2c.id WHERE p2c.rank <= 3 GROUP BY 1")
+)
+
+
+@register("two_pass_context_rerank", _TWO_PASS_RERANK_SQL)
+def q_two_pass_context_rerank(spark: SparkSession, sf: str) -> DataFrame:
+    """C7 with rerank on (V6): second-pass candidates reordered by late interaction
+    against the expanded question before the top-3 of each table are formatted."""
+    emb = embed.HashingEmbedder(dim=TEXT_DIM, sparse=True)
+    mt, ct = _document_index(spark, sf, emb)
+    qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return answer.two_pass_context(qs, mt, ct, emb, rerank=True)
