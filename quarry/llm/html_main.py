@@ -199,7 +199,7 @@ def node_features(page: Page) -> list[list[str]]:
     for i in range(n):
         c = chars[i]
         f = ["bias", "t=" + page.tag[i], *page.names[i]]
-        f.append(f"words{min(9, words[i].bit_length())}")
+        f.append(f"words{min(9, words[i].bit_length())}" if kids[i] else "leaf")
         f.append(f"link{int(4 * link[i] / c) if c else 5}")
         f.append(f"share{int(4 * c / whole)}")
         f.append(f"own{min(8, page.n_words[i].bit_length())}")
@@ -254,7 +254,7 @@ def sum_product(forest: Forest, own: np.ndarray, pair: np.ndarray) -> tuple[np.n
     return marginal, joint, z
 
 
-def train(pages: list[Page], labels: list[list[int]], steps: int = 250) -> dict:
+def train(pages: list[Page], labels: list[list[int]], steps: int = 400) -> dict:
     """Maximum likelihood by Adam; features seen in at least two pages."""
     names = [node_features(p) for p in pages]
     seen: dict[str, int] = {}
@@ -281,7 +281,7 @@ def train(pages: list[Page], labels: list[list[int]], steps: int = 250) -> dict:
         g = np.bincount(col, (marginal[:, 1] - y)[row], len(index))
         gp = np.zeros_like(pair)
         np.add.at(gp, forest.kind[child], (joint - gold)[child])
-        grad = np.concatenate([g, gp.ravel()]) / len(pages) + 2e-3 * theta
+        grad = np.concatenate([g, gp.ravel()]) / len(pages) + 5e-4 * theta
         mom, vel = 0.9 * mom + 0.1 * grad, 0.999 * vel + 0.001 * grad * grad
         theta = theta - 0.08 * (mom / (1 - 0.9**step)) / (np.sqrt(vel / (1 - 0.999**step)) + 1e-8)
     return {"index": index, "w": theta[: len(index)].copy(), "pair": theta[len(index) :].reshape(pair.shape).copy()}
@@ -367,6 +367,8 @@ def layouts(sentences: list[str], n: int, seed: int = SEED) -> tuple[list[str],
 
     def good():
         kind = rng.random()
+        if kind < 0.22:
+            return f"<p>{few(5)}</p>"
         if kind < 0.72:
             return f"<p>{say(1, 6)}</p>"
         if kind < 0.8:
@@ -385,7 +387,9 @@ def layouts(sentences: list[str], n: int, seed: int = SEED) -> tuple[list[str],
 
     pages, marks = [], []
     for _ in range(n):
-        parts = [good() for _ in range(rng.choice((1, 2, 4, 8, 14)))]
+        parts = [good() for _ in range(rng.choice((1, 2, 4, 8, 14, 30)))]
+        if rng.random() < 0.15:  # line by line
+            parts = [f"<p>{few(3)}</p>" for _ in parts]
         if rng.random() < 0.7:
             parts.insert(0, f"<h1>{few(8)}</h1>")
         for _ in range(rng.choice((0, 0, 1, 2))):  # inside the article
@@ -434,14 +438,14 @@ def fit(pages: DataFrame, *, sample_pages: int = SAMPLE_PAGES, layout_pages: int
     n = rows.count()
     unit = F.xxhash64("page_id", F.lit(seed)) / F.lit(2.0**64) + 0.5
     some = rows.where(unit < 2.0 * sample_pages / max(1, n)).orderBy(unit, "page_id").limit(sample_pages)  # bounded
-    sources = sorted(r["html"][:200_000] for r in some.select("html").toLocalIterator())
+    sources = sorted(r["html"] for r in some.select("html").toLocalIterator())
     rng = random.Random(seed)
     train_pages, labels, sentences = [], [], []
     for s in sources:
         page = Page(s)
         got = own_labels(page)
         sentences += [x for at, t in page.runs for x in t.split(". ")][:20]
-        if got is not None and len(page.tag) < 2_000:
+        if got is not None:
             if rng.random() < 0.5:
                 page = Page(disguised(s, rng))
             if len(page.tag) == len(got):
