@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,16 +48,17 @@ def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_slices(batch, column: str = "text", chars: int = 1_000_000):
-    """Cut an Arrow batch into runs of rows of about ``chars`` characters: (rows, texts).
+def text_slices(batch, column: str = "text", chars: int = 2_000_000):
+    """Cut an Arrow batch into runs of rows of about ``chars`` bytes of text: (rows, texts).
 
     Bounds what one step of a task holds, however many long texts a batch has; a longer
     single text is a run of its own. Null texts come as None.
     """
-    texts = batch.column(column).to_pylist()
-    a = held = 0
-    for i, t in enumerate(texts):
-        held += len(t) if t else 0
-        if held >= chars or i + 1 == len(texts):
-            yield batch.slice(a, i + 1 - a), texts[a : i + 1]
-            a, held = i + 1, 0
+    texts = batch.column(column)
+    end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    a = 0
+    while a < batch.num_rows:
+        before = int(end[a - 1]) if a else 0
+        z = max(a + 1, int(np.searchsorted(end, before + chars, side="right")))
+        yield batch.slice(a, z - a), texts.slice(a, z - a).to_pylist()
+        a = z

@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import re
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -41,13 +40,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import read, text_slices
+from .runs import RunEncoder
 
 SPACE = "▁"
-MEMO_RUNS = 400_000
+MEMO_RUNS = 300_000
+MEMO_PAIRS = 500_000
+_RUN = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 INF = float("inf")
 
 
-class Transducer:
+class Transducer(RunEncoder):
     def __init__(self, path: str):
         import sentencepiece as spm
         from sentencepiece import sentencepiece_model_pb2 as pb
@@ -75,21 +77,21 @@ class Transducer:
             else:
                 self.text[p.piece] = i
                 self.out.append(p.piece.replace(SPACE, " ").encode())
-        self.bytes = set(self.byte_id)
-        self.longest = max(map(len, self.text))
         self.unknown = 10.0 - min(self.score[i] for i in self.text.values())
-        runs_end = not any(SPACE in p.lstrip(SPACE) for p in self.text)
-        lines_end = not any("\n" in p and len(p) > 1 for p in self.text)
-        if runs_end and lines_end:
-            self.run = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
-        else:
-            self.run = re.compile("(?s).+")
-        self._beside = lru_cache(maxsize=1 << 20)(self._side_by_side)
-        self.reset()
-
-    def reset(self) -> None:
-        self.memo: dict[str, int] = {}
-        self.pool: list[np.ndarray] = []
+        # the pieces as a tree of characters; under "" the piece that ends there
+        self.tree: dict = {}
+        for p in self.text:
+            node = self.tree
+            for c in p:
+                node = node.setdefault(c, {})
+            node[""] = p
+        self.by_blank = bool(self.prefix) and not any(SPACE in p.lstrip(SPACE) for p in self.text) and not any("\n" in p and len(p) > 1 for p in self.text)
+        self.beside: dict[tuple[str, str], bool] = {}
+        self.id_bytes = {p: np.int32(i).tobytes() for p, i in self.text.items()}
+        self.byte_ids = [np.int32(i).tobytes() for i in self.byte_id]
+        size = np.array([len(x) for x in self.out], np.int64)
+        self.out_flat, self.out_size, self.out_begin = np.frombuffer(b"".join(self.out), np.uint8), size, np.cumsum(size) - size
+        super().__init__(MEMO_RUNS)
 
     def normalise(self, text: str) -> str:
         return (self.prefix + text.replace(" ", SPACE)) if text else ""
@@ -108,56 +110,110 @@ class Transducer:
             parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
 
     def _side_by_side(self, a: str, b: str) -> bool:
-        return self.merges(a + b) == ([a, b] if a else [b])
+        if len(self.beside) > MEMO_PAIRS:
+            self.beside.clear()
+        ok = self.beside[a, b] = self.merges(a + b) == ([a, b] if a else [b])
+        return ok
 
     def shortest_path(self, text: str) -> list[str]:
         """Pieces (or characters without one) on the shortest path through the lattice."""
+        return self._free_path(text) if self.bpe else self._light_path(text)
+
+    def _arcs(self, text: str, i: int) -> list[str]:
+        """Pieces that begin at ``i``, short to long; the character itself if it is none."""
+        node, z, n = self.tree.get(text[i]), i + 1, len(text)
+        if node is None:
+            return [text[i]]
+        out = [node.get("") or text[i]]
+        while z < n:
+            node = node.get(text[z])
+            if node is None:
+                break
+            z += 1
+            piece = node.get("")
+            if piece is not None:
+                out.append(piece)
+        return out
+
+    def _free_path(self, text: str) -> list[str]:
+        """The one path without an infinite arc, depth first, long arcs first.
+
+        A position is entered at most once: its prefix has one finite path only.
+        """
+        n, beside = len(text), self.beside
+        path, at = [""], [0]
+        open_ = [self._arcs(text, 0)] if n else []
+        while at[-1] < n:
+            arcs, last, i = open_[-1], path[-1], at[-1]
+            while arcs:
+                piece = arcs.pop()
+                ok = beside.get((last, piece))
+                if ok is None:
+                    ok = self._side_by_side(last, piece)
+                if ok:
+                    z = i + len(piece)
+                    path.append(piece)
+                    at.append(z)
+                    if z < n:
+                        open_.append(self._arcs(text, z))
+                    break
+            else:
+                path.pop(), at.pop(), open_.pop()
+        return path[1:]
+
+    def _light_path(self, text: str) -> list[str]:
         n = len(text)
         weight, back = [INF] * (n + 1), [""] * (n + 1)
         weight[0] = 0.0
         for i in range(n):
-            if weight[i] == INF:
-                continue
-            for z in range(i + 1, min(n, i + self.longest) + 1):
-                piece = text[i:z]
-                at = self.text.get(piece)
-                if at is None and z > i + 1:
-                    continue
-                if self.bpe:
-                    w = weight[i] if self._beside(back[i], piece) else INF
-                else:
-                    w = weight[i] + (self.unknown if at is None else -self.score[at])
-                if w < weight[z]:
-                    weight[z], back[z] = w, piece
+            for piece in self._arcs(text, i):
+                j = self.text.get(piece)
+                to, z = weight[i] + (self.unknown if j is None else -self.score[j]), i + len(piece)
+                if to < weight[z]:
+                    weight[z], back[z] = to, piece
         path = []
         while n:
             path.append(back[n])
             n -= len(back[n])
         return path[::-1]
 
-    def _ids(self, run: str) -> np.ndarray:
-        out: list[int] = []
-        for piece in self.shortest_path(run):
-            i = self.text.get(piece)
-            out.extend([i] if i is not None else [self.byte_id[b] for b in piece.encode()])
-        return np.array(out, np.int32)
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO_RUNS:
-            self.reset()
-        memo, pool, out = self.memo, self.pool, []
-        for t in texts:
-            runs = self.run.findall(self.normalise(t))
-            for r in set(runs).difference(memo):
-                memo[r] = len(pool)
-                pool.append(self._ids(r))
-            out.append(np.concatenate([pool[memo[r]] for r in runs]) if runs else np.zeros(0, np.int32))
+    def prepare(self, text: str) -> str:
+        """The runs of a text, between which no piece can reach, with blanks between them.
+
+        A word stands for itself with a U+2581 in front, one after a line feed for the line
+        feed and itself; what follows ``\0`` is taken as it is, ``\1`` has no ids.
+        """
+        if not text:
+            return "\1"
+        if not self.by_blank or "  " in text or text[0] == " " or SPACE in text or "\0" in text or "\1" in text:
+            text = self.normalise(text)
+            return " ".join(["\0" + r for r in (_RUN.findall(text) if self.by_blank else [text])])
+        return text.replace("\n", " \n")
+
+    def ids_of(self, runs: list[str]) -> list[bytes]:
+        out, known, path = [], self.id_bytes, self.shortest_path
+        for run in runs:
+            first = run[:1]
+            if first == "\0":
+                found = path(run[1:])
+            elif first == "\1":
+                found = []
+            elif first == "\n":
+                found = ["\n", *path(run[1:])]
+            else:
+                found = path(SPACE + run)
+            out.append(b"".join([known.get(p) or b"".join([self.byte_ids[b] for b in p.encode()]) for p in found]))
         return out
 
+    def decode_bytes(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that a row of ids writes."""
+        n = self.out_size[ids]
+        total = np.cumsum(n)
+        return self.out_flat[np.repeat(self.out_begin[ids] - (total - n), n) + np.arange(int(total[-1]) if len(n) else 0)]
+
     def decode(self, ids) -> str:
-        out = self.out
-        raw = b"".join([out[i] for i in ids if 0 <= i < len(out)])
-        text = raw.decode("utf-8", "replace")
+        known = np.array([i for i in ids if 0 <= i < len(self.out)], np.int64)
+        text = self.decode_bytes(known).tobytes().decode("utf-8", "replace")
         return text[1:] if self.prefix and text.startswith(" ") else text
 
 
@@ -177,8 +233,9 @@ def encode(docs: DataFrame, model: str, text: str = "text", out: str = "piece_id
     def ids(texts: pd.Series) -> pd.Series:
         fst, found = compile_model(model), []
         for _, part in text_slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])):
-            got = iter(fst.encode([t for t in part if t is not None]))
-            found += [None if t is None else next(got) for t in part]
+            ids, n = fst.encode([t or "" for t in part])
+            lists = np.split(ids, np.cumsum(n)[:-1])
+            found += [None if t is None else x for t, x in zip(part, lists)]
         return pd.Series(found, dtype=object)
 
     return docs.withColumn(out, ids(F.col(text).cast("string")))
@@ -205,19 +262,22 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
     def run(batches):
         fst = compile_model(model)
         is_byte = np.zeros(len(fst.out), bool)
-        is_byte[list(fst.bytes)] = True
+        is_byte[fst.byte_id] = True
+        drop = len(fst.prefix)  # the blank that the normaliser put in front
         for batch in batches:
             for part, texts in text_slices(batch):
-                texts = [t or "" for t in texts]
-                ids = fst.encode(texts)
+                ids, n = fst.encode([t or "" for t in texts])
+                end = np.cumsum(n)
+                begin = end - n
+                raw = fst.decode_bytes(ids).tobytes()
+                written = np.concatenate([[0], np.cumsum(fst.out_size[ids])])
+                crc, same, fell = [], [], np.concatenate([[0], np.cumsum(is_byte[ids])])
+                flat = ids.astype("<u4")
+                for t, a, z in zip(texts, begin.tolist(), end.tolist()):
+                    crc.append(zlib.crc32(flat[a:z]))
+                    same.append(raw[written[a] + (drop if z > a else 0) : written[z]] == (t or "").replace(SPACE, " ").encode())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array([len(x) for x in ids], pa.int64()),
-                        pa.array([int(is_byte[x].sum()) for x in ids], pa.int64()),
-                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
-                        pa.array([fst.decode(x.tolist()) == t.replace(SPACE, " ") for x, t in zip(ids, texts)], pa.bool_()),
-                    ],
+                    [part.column("doc_id"), pa.array(n), pa.array(fell[end] - fell[begin]), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())],
                     names=["doc_id", "n_tokens", "n_bytes", "ids_crc32", "round_trip"],
                 )
 
