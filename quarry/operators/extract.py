@@ -2,9 +2,8 @@
 
 Everything is a table operation over a **line table** ``(file_path, ln, line, …)``:
 
-* strings and comments are masked per line with native regexes; state that spans
-  lines (block comments, Python triple-quoted strings) is a running sum over the
-  file's lines;
+* strings and comments are masked by one native regex pass over each file (the leftmost
+  piece wins), with every line as long as before;
 * definition headers are found by per-language regexes on the masked line;
 * block ends become equi-joins / ordered windows keyed by ``(file, level)``:
   brace languages — the first ``}`` that closes the header's nesting level;
@@ -29,14 +28,17 @@ from .. import constants as K
 from ..session import checkpoint_dir
 
 # --- fixed per-language patterns -------------------------------------------------
-_STR_DQ = r'"(?:\\.|[^"\\])*"'
-STRING_PATTERNS = {
-    "python": _STR_DQ + r"|'(?:\\.|[^'\\])*'",
-    "java": _STR_DQ + r"|'(?:\\.|[^'\\])+'",
-    "javascript": _STR_DQ + r"|'(?:\\.|[^'\\])*'|`(?:\\.|[^`\\])*`",
-    "rust": _STR_DQ + r"|'(?:\\.|[^'\\])'",
+_DQ = r'"(?:[^"\\\n]++|\\[\s\S])*+(?:"|(?=\n)|\z)'
+_SQ = r"'(?:[^'\\\n]++|\\[\s\S])*+(?:'|(?=\n)|\z)"
+_BLOCK = r"/\*[\s\S]*?(?:\*/|\z)"
+_LINE = r"//[^\n]*+"
+# the pieces a source falls into, the leftmost match first: strings, comments, code
+TOKENS = {
+    "python": r'"""[\s\S]*?(?:"""|\z)' + r"|\'\'\'[\s\S]*?(?:\'\'\'|\z)|#[^\n]*+|" + _DQ + "|" + _SQ + r"""|[^"'#]++""",
+    "java": r'"""[\s\S]*?(?:"""|\z)|' + _BLOCK + "|" + _LINE + "|" + _DQ + "|" + _SQ + r"""|[^"'/]++|/""",
+    "javascript": _BLOCK + "|" + _LINE + "|" + _DQ + "|" + _SQ + r"""|`(?:[^`\\]++|\\[\s\S])*+(?:`|\z)|[^"'`/]++|/""",
+    "rust": _BLOCK + "|" + _LINE + r"""|"(?:[^"\\]++|\\[\s\S])*+(?:"|\z)|'(?:[^'\\\n]|\\[^\n]{1,9}?)'|'|[^"'/]++|/""",
 }
-LINE_COMMENT = {"python": r"#.*$", "java": r"//.*$", "javascript": r"//.*$", "rust": r"//.*$"}
 _ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
 CLASS_HEADER = {
     "python": r"^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)",
@@ -47,12 +49,13 @@ CLASS_HEADER = {
 METHOD_HEADER = {
     "python": r"^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)",
     "java": (
-        r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
-        r"(?:<[^>]*>\s+)?(?:(?!return\b|new\b|throw\b|else\b|case\b)[\w$.<>\[\]?, ]+?\s+)?(" + _ID + r")\s*\("
+        r"^\s*+(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
+        r"(?:<[^>]*>\s+)?(?:(?!return\b|new\b|throw\b|else\b|case\b|assert\b|yield\b)[\w$.<>\[\]?, ]+?\s+)?(" + _ID + r")\s*\("
     ),
     "javascript": r"^\s*(?:(?:static|async|get|set)\s+|\*\s*)*(#?" + _ID + r")\s*\([^)]*\)\s*\{",
     "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+([A-Za-z_][A-Za-z0-9_]*)",
 }
+JAVA_BARE = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|synchronized)\s+)*" + _ID + r"\s*\("
 # names a header regex may capture that are statements, not definitions
 NOT_A_NAME = ["if", "for", "while", "switch", "catch", "with", "function", "return", "new", "else", "do", "try", "synchronized"]
 BRACE_LANGUAGES = ["java", "javascript", "rust"]
@@ -104,38 +107,66 @@ def prefix_sums(lines: DataFrame, key: str, values: dict, chunk_lines: int | Non
     return lines
 
 
+IN_STRING, IN_COMMENT = "\x01", "\x02"
+
+
+def _masked(text, lang) -> Column:
+    """The source with strings and comments blanked, every line as long as before.
+
+    One regex pass over the whole file cuts it into strings, comments and code, so a quote
+    in a comment or a comment sign in a string means nothing. A string keeps its quotes.
+    A line that begins inside a string or comment begins with a mark (``IN_STRING``,
+    ``IN_COMMENT``), which the caller takes off.
+    """
+
+    def blank(piece, mark):
+        return F.regexp_replace(F.regexp_replace(piece, r"[^\n]", " "), "\n", "\n" + mark)
+
+    def mask(piece):
+        first, three, n = F.substring(piece, 1, 1), F.substring(piece, 1, 3), F.length(piece)
+        comment = (first == "#") & (lang == "python") | (lang != "python") & F.substring(piece, 1, 2).isin("//", "/*")
+        triple = three.isin('"""', "'''") & (n >= 6)
+        inner = F.when(triple, piece.substr(F.lit(4), n - 6)).otherwise(piece.substr(F.lit(2), n - 2))
+        quote = F.when(triple, three).otherwise(first)
+        closed = F.when(triple, piece.endswith('"""') | piece.endswith("'''")).otherwise((n > 1) & (F.substring(piece, -1, 1) == first))
+        string = F.when(closed, F.concat(quote, blank(inner, IN_STRING), quote)).otherwise(F.concat(first, blank(piece.substr(F.lit(2), n - 1), IN_STRING)))
+        return F.when(comment, blank(piece, IN_COMMENT)).when(first.isin('"', "'", "`"), string).otherwise(piece)
+
+    pieces = _by_language(lang, TOKENS, lambda p: F.regexp_extract_all(text, F.lit(p), 0))
+    return F.coalesce(F.array_join(F.transform(pieces, mask), ""), text)
+
+
 def line_table(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language") -> DataFrame:
-    """One row per line with masking, indentation, nesting depth and line state."""
-    lang = F.col(lang_col)
-    lines = files.select(key, F.col(lang_col).alias("language"), F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("pos", "line"))
-    lines = lines.withColumn("ln", (F.col("pos") + 1).cast("int")).drop("pos")
+    """One row per line with masking, indentation, nesting depth and line state.
+
+    A file is one row of the scan already, so masking it as a whole holds no more than the
+    scan does; everything after works on lines.
+    """
+    files = files.select(key, F.col(lang_col).alias("language"), F.col(text_col).alias("_text"))
+    files = files.withColumn("_mask", _masked(F.col("_text"), F.col("language")))
+    both = F.arrays_zip(F.split("_text", "\n", -1).alias("line"), F.split("_mask", "\n", -1).alias("m"))
+    lines = files.select(key, "language", F.posexplode(both).alias("pos", "both"))
+    lines = lines.select(key, "language", (F.col("pos") + 1).cast("int").alias("ln"), F.col("both.line").alias("line"), F.col("both.m").alias("_m"))
     lang = F.col("language")
-    m = _by_language(lang, STRING_PATTERNS, lambda p: F.regexp_replace("line", p, '""'))
-    m = _by_language(lang, LINE_COMMENT, lambda p: F.regexp_replace(m, p, ""))
     brace = lang.isin(*BRACE_LANGUAGES)
-    # block comments (brace languages): same-line ones go first, then open/close state
-    m1 = F.when(brace, F.regexp_replace(m, r"/\*.*?\*/", " ")).otherwise(m)
-    bc_open = (brace & m1.contains("/*")).cast("int")
-    bc_close = (brace & m1.contains("*/")).cast("int")
-    tq = F.when(lang == "python", F.size(F.regexp_extract_all("line", F.lit("\"\"\"|'''"), 0))).otherwise(F.lit(0))
-    lines = lines.withColumn("_m1", m1).withColumn("_bo", bc_open).withColumn("_bcl", bc_close).withColumn("tq", tq)
-    lines = prefix_sums(lines, key, {"_bc_before": F.col("_bo") - F.col("_bcl"), "tq_before": F.col("tq")})
-    lines = lines.withColumn("in_block_comment", F.col("_bc_before") > 0).drop("_bc_before")
-    in_str = (F.col("tq_before") % 2) == 1
-    masked = (
-        F.when(F.col("in_block_comment"), F.when(F.col("_bcl") == 1, F.regexp_replace("_m1", r"^.*?\*/", "")).otherwise(F.lit("")))
-        .when(in_str, F.lit(""))
-        .otherwise(F.regexp_replace(F.regexp_replace("_m1", r"/\*.*$", ""), r"^.*?\*/", ""))
-    )
-    lines = lines.withColumn("masked", masked).withColumn("in_string", in_str)
+    lines = lines.withColumns(
+        {
+            "in_string": F.col("_m").startswith(IN_STRING),
+            "in_block_comment": F.col("_m").startswith(IN_COMMENT),
+            "masked": F.regexp_replace("_m", f"^[{IN_STRING}{IN_COMMENT}]", ""),
+        }
+    ).drop("_m")
+    tq = F.when(lang == "python", F.size(F.regexp_extract_all("masked", F.lit("\"\"\"|'''"), 0))).otherwise(F.lit(0))
+    lines = lines.withColumn("tq", tq)
     lines = lines.withColumn("indent", F.length(F.regexp_extract("line", r"^[ \t]*", 0)).cast("int"))
-    lines = lines.withColumn("is_code", F.length(F.trim("masked")) > 0)
+    lines = lines.withColumn("is_code", ~F.col("in_string") & (F.length(F.trim("masked")) > 0) | F.col("in_string") & F.col("masked").rlike(r"[^\s\"'`]"))
     lines = lines.withColumn("is_content", F.col("is_code") | (F.col("in_string") & (F.length(F.trim("line")) > 0)))
-    braces = F.regexp_replace("masked", r"[^{}]", "")
-    lines = lines.withColumn("_br", F.when(brace, braces).otherwise(F.lit("")))
-    delta = F.length(F.regexp_replace("_br", r"\}", "")) - F.length(F.regexp_replace("_br", r"\{", ""))
-    lines = prefix_sums(lines, key, {"depth": delta.cast("int")})
-    return lines.drop("_m1", "_bo", "_bcl")
+    # nesting: braces, in Python the brackets that make a statement go on over lines
+    lines = lines.withColumn("_br", F.when(brace, F.regexp_replace("masked", r"[^{}]", "")).otherwise(F.lit("")))
+    marks = F.when(brace, F.col("_br")).otherwise(F.regexp_replace("masked", r"[^\[\](){}]", ""))
+    delta = F.length(F.regexp_replace(marks, r"[\])}]", "")) - F.length(F.regexp_replace(marks, r"[\[({]", ""))
+    lines = prefix_sums(lines, key, {"tq_before": F.col("tq"), "depth": delta.cast("int")})
+    return lines.withColumn("goes_on", (lang == "python") & (F.col("depth") > 0))
 
 
 def _closed_levels(br: Column, depth: Column) -> Column:
@@ -157,7 +188,7 @@ def headers(lines: DataFrame, key: str = "file_path") -> DataFrame:
     lang = F.col("language")
     cname = _by_language(lang, CLASS_HEADER, lambda p: F.regexp_extract("masked", p, 1))
     mname = _by_language(lang, METHOD_HEADER, lambda p: F.regexp_extract("masked", p, 1))
-    code = lines.where(F.col("is_code"))
+    code = lines.where(F.col("is_code") & ~F.col("goes_on") & ~F.col("in_string"))
     cls = code.select(key, "language", "ln", "indent", "depth", "masked", F.lit("class").alias("kind"), cname.alias("name"))
     mth = code.select(key, "language", "ln", "indent", "depth", "masked", F.lit("method").alias("kind"), mname.alias("name"))
     statement = F.col("language").isin("java", "javascript") & F.col("name").isin(*NOT_A_NAME)
@@ -170,6 +201,10 @@ def headers(lines: DataFrame, key: str = "file_path") -> DataFrame:
     # a Java "header" ending in ';' is a call statement unless it declares an abstract/native method
     java_call = (F.col("language") == "java") & (F.col("kind") == "method") & ends_semi & ~F.col("masked").rlike(r"\b(abstract|native)\b")
     hs = hs.where(~java_call)
+    # a name and a bracket without a type before it is a constructor or, over several lines, a call
+    bare = (F.col("language") == "java") & (F.col("kind") == "method") & F.col("masked").rlike(JAVA_BARE)
+    own = hs.where(F.col("kind") == "class").select(F.col(key).alias("_ck"), F.col("name").alias("_cn")).distinct()
+    hs = hs.where(~bare).unionByName(hs.where(bare).join(own, (F.col(key) == F.col("_ck")) & (F.col("name") == F.col("_cn")), "left_semi"))
     decl_only = F.col("language").isin(*BRACE_LANGUAGES) & ~F.col("masked").contains("{") & ends_semi
     return hs.withColumn("decl_only", decl_only).withColumn(
         "level", F.when(F.col("language") == "python", F.col("indent")).otherwise(F.col("depth") + 1)
@@ -183,7 +218,7 @@ def block_ends(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> DataF
     closes = blines.select(key, "ln", F.explode(_closed_levels(F.col("_br"), F.col("depth"))).alias("level"))
     # python: every code line is a boundary for each header level at or right of it
     py_levels = hs.where(F.col("language") == "python").groupBy(key).agg(F.collect_set("level").alias("_lv"))
-    pcode = lines.where((F.col("language") == "python") & F.col("is_code") & ~F.col("in_string")).select(key, "ln", "indent")
+    pcode = lines.where((F.col("language") == "python") & F.col("is_code") & ~F.col("in_string") & ~F.col("goes_on")).select(key, "ln", "indent")
     bounds = pcode.join(py_levels, key).select(key, "ln", F.explode(F.filter("_lv", lambda lv: lv >= F.col("indent"))).alias("level"))
     events = (
         closes.select(key, "level", "ln", F.lit(0).alias("_h"), F.col("ln").alias("_close"), F.lit(None).cast("int").alias("_bound"))
