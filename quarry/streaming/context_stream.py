@@ -20,7 +20,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
 
 from ..operators import chat
 from ..session import scratch_path
@@ -31,12 +30,10 @@ def _state_path(root: str, batch_id: int) -> str:
 
 
 def _read_state(spark: SparkSession, root: str, batch_id: int, schema: str):
+    """State after the micro-batch before; a missing snapshot raises, users are never forgotten."""
     if batch_id <= 0:
         return spark.createDataFrame([], schema)
-    try:
-        return spark.read.parquet(_state_path(root, batch_id - 1))
-    except AnalysisException:
-        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(_state_path(root, batch_id - 1))
 
 
 def carry_context_batch(
@@ -56,7 +53,7 @@ def carry_context_batch(
     seeded = inner.join(state.withColumnRenamed("context", "_prev"), user_col, "left")
     rows = seeded.select(user_col, *[c for c in keep_cols if c != user_col], F.coalesce("_ctx", "_prev", F.lit(default)).alias("context"))
     ordk = [F.col(c) for c in order_cols]
-    last = batch.where(setter).groupBy(user_col).agg(F.max(F.struct(*ordk, value.alias("_v")))["_v"].alias("_new"))
+    last = batch.where(setter & value.isNotNull()).groupBy(user_col).agg(F.max(F.struct(*ordk, value.alias("_v")))["_v"].alias("_new"))
     new_state = state.join(last, user_col, "full").select(user_col, F.coalesce("_new", "context").alias("context"))
     return rows, new_state
 
@@ -92,38 +89,39 @@ def carry_context_stream(
     return writer.start()
 
 
-def stage_in_time_slices(df: DataFrame, ts_col: str, out_dir: str, slices: int = 3, files_per_slice: int = 4) -> int:
-    """Write a table as ``slices`` consecutive time ranges (oldest first), each as
-    ``files_per_slice`` files, so a file source replays it in time order, one range
-    per micro-batch. Returns the ``maxFilesPerTrigger`` to use.
+def time_slices(df: DataFrame, ts_col: str, slices: int) -> list[DataFrame]:
+    """A table as ``slices`` consecutive time ranges, oldest first; some may be empty.
 
     The slice of a row is computed in Spark from epoch microseconds (no datetime
     literals), so every row lands in exactly one slice whatever the time zones.
     """
     t = F.unix_micros(F.col(ts_col).cast("timestamp"))
     b = df.agg(F.min(t).alias("lo"), F.max(t).alias("hi")).first()
-    lo, span = b["lo"], max(1, (b["hi"] - b["lo"] + slices) // slices)
-    sliced = df.withColumn("_slice", F.least(F.floor((t - F.lit(lo)) / F.lit(span)), F.lit(slices - 1)))
-    for i in range(slices):
-        part = sliced.where(F.col("_slice") == i).drop("_slice")
-        part.repartition(files_per_slice).write.mode("overwrite").parquet(os.path.join(out_dir, f"slice={i:04d}"))
-    return files_per_slice
+    if b["lo"] is None:
+        return []
+    span = max(1, (b["hi"] - b["lo"] + slices) // slices)
+    at = F.coalesce(F.least(F.floor((t - F.lit(b["lo"])) / F.lit(span)), F.lit(slices - 1)), F.lit(0))
+    return [df.where(at == i) for i in range(slices)]
+
 
+def replay_events_context(spark: SparkSession, events: DataFrame, slices: int = 3) -> DataFrame:
+    """The event log replayed as a stream; a signup event sets a user's context.
 
-def replay_events_context(spark: SparkSession, events: DataFrame) -> DataFrame:
-    """The event log replayed as a stream; a signup event sets a user's context."""
+    Each time range is appended to the source folder (as many files as it has partitions)
+    and consumed by one run of the query, which goes on from the checkpoint of the run
+    before: a micro-batch is exactly one range, whatever its size.
+    """
     root = scratch_path(spark, "events-stream")
     src_dir = os.path.join(root, "input")
-    per_trigger = stage_in_time_slices(events, "ts", src_dir)
-    stream = (
-        spark.readStream.schema(events.schema)
-        .option("maxFilesPerTrigger", per_trigger)
-        .option("recursiveFileLookup", "true")
-        .parquet(src_dir)
-    )
-    q = carry_context_stream(
-        stream, root=root, user_col="user_id", order_cols=["ts", "event_id"], setter=F.col("event_type") == "signup",
-        value=F.col("props"), keep_cols=["event_id"], chunk=F.to_date("ts"),
-    )
-    q.awaitTermination()
-    return spark.read.parquet(os.path.join(root, "output")).drop("batch")
+    for part in time_slices(events, "ts", slices):
+        part.write.mode("append").parquet(src_dir)
+        stream = spark.readStream.schema(events.schema).parquet(src_dir)
+        q = carry_context_stream(
+            stream, root=root, user_col="user_id", order_cols=["ts", "event_id"], setter=F.col("event_type") == "signup",
+            value=F.col("props"), keep_cols=["event_id"],
+        )
+        q.awaitTermination()
+    out = spark.createDataFrame([], "user_id bigint, event_id bigint, context string")
+    if events.isEmpty():
+        return out
+    return spark.read.schema(out.schema).parquet(os.path.join(root, "output"))
