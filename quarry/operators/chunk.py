@@ -3,20 +3,21 @@
 * ``fixed_chunks`` (A5): equal-size character windows with optional overlap —
   ``sequence`` of start offsets, ``explode``, ``substring``.
 * ``token_chunks`` (A6): windows of n whitespace tokens over the token pieces.
-* ``recursive_chunks`` (A7): separator priority ``\\n\\n`` → ``\\n`` → `` `` → characters;
-  a piece longer than the limit is split by the next separator, then pieces are
-  greedily packed into chunks of at most ``size`` characters (an ``aggregate`` over
-  the piece array — a per-row fold, no shuffle).
+* ``recursive_chunks`` (A7): separator priority ``\\n\\n`` → ``\\n`` → ``. `` → `` `` → characters;
+  a stretch longer than the limit is split by the next separator, then stretches are
+  greedily packed into chunks of at most ``size`` characters (a per-row fold over their
+  lengths, no shuffle).
 * ``line_sections`` (A8): a header line (markdown ``#``) or a blank line starts a
   section; running count over the document's lines gives the section id.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from .extract import two_level_scan
 
 
 def fixed_chunks(df: DataFrame, *, id_col: str, text_col: str, size: int, overlap: int = 0) -> DataFrame:
@@ -51,35 +52,47 @@ def token_chunks(df: DataFrame, *, id_col: str, text_col: str, n_tokens: int) ->
     )
 
 
-SEPARATORS = ["\n\n", "\n", " "]
+SEPARATORS = ["\n\n", "\n", ". ", " "]
 
 
 def _split_level(piece, size: int, level: int):
-    """Pieces of ``piece`` no longer than ``size``, by separator priority."""
+    """``piece`` cut into stretches of at most ``size`` characters, by separator priority.
+
+    A separator stays at the end of the stretch before it: the stretches joined are the text.
+    """
     if level >= len(SEPARATORS):
-        n = F.length(piece)
-        starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(size))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(piece), F.lit(1)), F.lit(size))
         return F.transform(starts, lambda s: F.substring(piece, s, size))
-    sep = SEPARATORS[level]
-    parts = F.filter(F.split(piece, sep if sep != " " else " ", -1), lambda p: F.length(p) > 0)
+    sep = SEPARATORS[level].replace(".", r"\.")
+    parts = F.filter(F.split(piece, f"(?<={sep})", -1), lambda p: F.length(p) > 0)
     return F.flatten(F.transform(parts, lambda p: F.when(F.length(p) <= size, F.array(p)).otherwise(_split_level(p, size, level + 1))))
 
 
-def recursive_chunks(df: DataFrame, *, id_col: str, text_col: str, size: int, joiner: str = " ") -> DataFrame:
-    """``(id, chunk_no, chunk)``: recursive split, then greedy packing up to ``size``."""
-    pieces = _split_level(F.col(text_col), size, 0)
-    init = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+def recursive_chunks(df: DataFrame, *, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(id, chunk_no, start, chunk)``: recursive split, then greedy packing up to ``size``.
+
+    Chunks are stretches of the text (``start`` is the 1-based position); joined in order
+    they are the text. The packing is a fold over the lengths of the stretches that yields
+    the chunks' ends; the text is cut once at the end.
+    """
+    sizes = F.transform(_split_level(F.col(text_col), size, 0), F.length)
+    init = F.struct(F.lit(0).alias("at"), F.lit(0).alias("held"), F.lit("").alias("cuts"))
 
-    def step(acc, p):
-        cur = acc["cur"]
-        fits = cur.isNotNull() & (F.length(cur) + F.lit(len(joiner)) + F.length(p) <= size)
-        return F.when(cur.isNull(), F.struct(acc["done"].alias("done"), p.alias("cur"))).when(
-            fits, F.struct(acc["done"].alias("done"), F.concat(cur, F.lit(joiner), p).alias("cur"))
-        ).otherwise(F.struct(F.array_append(acc["done"], cur).alias("done"), p.alias("cur")))
+    def step(acc, n):
+        fits = acc["held"] + n <= size
+        cuts = F.when(fits | (acc["held"] == 0), acc["cuts"]).otherwise(F.concat(acc["cuts"], F.lit(","), acc["at"].cast("string")))
+        return F.struct((acc["at"] + n).alias("at"), F.when(fits, acc["held"] + n).otherwise(n).alias("held"), cuts.alias("cuts"))
 
-    packed = F.aggregate(pieces, init, step, lambda acc: F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["cur"])))
-    out = df.select(id_col, F.posexplode(packed).alias("pos", "chunk"))
-    return out.select(id_col, (F.col("pos") + 1).cast("bigint").alias("chunk_no"), "chunk")
+    cuts = F.aggregate(sizes, init, step, lambda acc: F.concat(F.lit("0"), acc["cuts"], F.lit(","), acc["at"].cast("string")))
+    ends = df.where(F.length(text_col) > 0).select(id_col, text_col, F.transform(F.split(cuts, ","), lambda c: c.cast("int")).alias("_e"))
+    parts = F.transform(F.sequence(F.lit(1), F.size("_e") - 1), lambda i: F.struct(F.element_at("_e", i).alias("a"), F.element_at("_e", i + 1).alias("z")))
+    out = ends.select(id_col, text_col, F.posexplode(parts).alias("pos", "p"))
+    return out.select(
+        id_col,
+        (F.col("pos") + 1).cast("bigint").alias("chunk_no"),
+        (F.col("p.a") + 1).cast("bigint").alias("start"),
+        F.col(text_col).substr(F.col("p.a") + 1, F.col("p.z") - F.col("p.a")).alias("chunk"),
+    )
 
 
 def line_sections(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
@@ -88,11 +101,11 @@ def line_sections(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     lines = df.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
     blank = ~F.col("line").rlike(tx.NON_WS)
     header = F.col("line").rlike(r"^#{1,6}[ \t]")
-    w = Window.partitionBy(id_col).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    prev_blank = F.coalesce(F.lag(blank).over(Window.partitionBy(id_col).orderBy("pos")), F.lit(True))
-    starts = (~blank & (header | prev_blank)).cast("int")
-    lines = lines.withColumn("_blank", blank).withColumn("_start", starts)
-    lines = lines.withColumn("section", F.sum("_start").over(w)).where(~F.col("_blank"))
+    lines = lines.withColumns({"ln": F.col("pos") + 1, "_blank": blank, "_header": header})
+    prev_blank = lines.select(id_col, (F.col("ln") + 1).alias("ln"), F.col("_blank").alias("_before"))  # the line above
+    lines = lines.join(prev_blank, [id_col, "ln"], "left")
+    starts = (~F.col("_blank") & (F.col("_header") | F.coalesce("_before", F.lit(True)))).cast("int")
+    lines = two_level_scan(lines, [id_col], starts, "sum", "section", inclusive=True).where(~F.col("_blank"))
     agg = lines.groupBy(id_col, "section").agg(
         F.min("pos").alias("_first"),
         F.count(F.lit(1)).cast("bigint").alias("n_lines"),

@@ -82,40 +82,43 @@ def test_maxsim_counts_query_tokens_found(spark):
     assert top.d == 11 and top.first_rank == 2
 
 
-def py_recursive(text, size, seps=("\n\n", "\n", " ")):
-    def split(p, lvl):
-        if lvl >= len(seps):
-            return [p[i:i + size] for i in range(0, max(len(p), 1), size)]
-        out = []
-        for x in p.split(seps[lvl]):
-            if not x:
-                continue
-            out += [x] if len(x) <= size else split(x, lvl + 1)
+def py_recursive(text, size, seps=("\n\n", "\n", ". ", " ")):
+    """Ends of the stretches by recursion over positions, then ends of the packed chunks."""
+
+    def stretches(a, z, level):
+        if z - a <= size:
+            return [z]
+        if level == len(seps):
+            return [*range(a + size, z, size), z]
+        out, at = [], a
+        while at < z:
+            i = text.find(seps[level], at, z)
+            end = z if i < 0 else i + len(seps[level])
+            out += stretches(at, end, level + 1)
+            at = end
         return out
 
-    chunks, cur = [], None
-    for piece in split(text, 0):
-        if cur is None:
-            cur = piece
-        elif len(cur) + 1 + len(piece) <= size:
-            cur = cur + " " + piece
-        else:
-            chunks.append(cur)
-            cur = piece
-    if cur is not None:
-        chunks.append(cur)
-    return chunks
+    chunks, begin, last = [], 0, 0
+    for end in stretches(0, len(text), 0) if text else []:
+        if end - begin > size:
+            chunks.append(text[begin:last])
+            begin = last
+        last = end
+    return chunks + [text[begin:last]] if text else []
 
 
 def test_recursive_chunks_against_python(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
-    got = {}
-    for r in chunk.recursive_chunks(docs, id_col="doc_id", text_col="text", size=300).collect():
-        got.setdefault(r.doc_id, []).append((r.chunk_no, r.chunk))
-    for r in docs.collect():
-        want = py_recursive(r.text, 300)
-        assert [c for _, c in sorted(got.get(r.doc_id, []))] == want
-        assert all(len(c) <= 300 for c in want)
+    odd = spark.createDataFrame([(-1, "aa\n\nbb\ncc dd"), (-2, ""), (-3, None), (-4, "x" * 1000 + "\n\n\n\ny. z. ")], "doc_id long, text string")
+    for size in (6, 300):
+        got = {}
+        for r in chunk.recursive_chunks(docs.unionByName(odd), id_col="doc_id", text_col="text", size=size).collect():
+            got.setdefault(r.doc_id, []).append((r.chunk_no, r.start, r.chunk))
+        for r in docs.unionByName(odd).collect():
+            own = sorted(got.get(r.doc_id, []))
+            assert [c for _, _, c in own] == py_recursive(r.text or "", size)
+            assert "".join(c for _, _, c in own) == (r.text or "") and all(len(c) <= size for _, _, c in own)
+            assert all(r.text[s - 1 : s - 1 + len(c)] == c for _, s, c in own)
 
 
 def test_fixed_and_token_chunks_cover_text(spark):
