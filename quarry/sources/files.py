@@ -2,27 +2,30 @@
 
 The listing is Spark's ``binaryFile`` source with recursive lookup; the extension
 filter is handed to the listing as ``pathGlobFilter`` and the directory deny list
-is a native predicate on the path, evaluated before the text is decoded.
+is a predicate on the scan's file metadata: files in denied folders are not opened.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as K
 
 
-def _rel_path(path: Column, root: str) -> Column:
-    root_uri = root.rstrip("/")
-    # binaryFile reports fully-qualified URIs (file:/..., s3a://...); strip up to the root
-    return F.regexp_replace(path, r"^.*?" + _re_escape(root_uri.split(":", 1)[-1]) + "/", "")
-
+def _qualified(spark: SparkSession, root: str):
+    """The root as the file system names it, however it was written (``./x``, ``x``, ``/a/x/``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path)
 
-def _re_escape(s: str) -> str:
-    import re
 
-    return re.escape(s)
+def _below(path: Column, root: str) -> Column:
+    """The part of ``path`` below ``root`` (both fully qualified)."""
+    root = re.sub("^file:/+", "file:/", root.rstrip("/")) + "/"
+    path = F.regexp_replace(path, "^file:/+", "file:/")  # the two forms of a local URI
+    return F.when(path.startswith(root), path.substr(F.lit(len(root) + 1), F.length(path))).otherwise(path)
 
 
 def dir_segments(rel_path) -> Column:
@@ -55,12 +58,17 @@ def decode_text(content) -> Column:
     return F.regexp_replace(F.regexp_replace(content.cast("string"), "\r\n", "\n"), "\r", "\n")
 
 
-def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
+def list_files(spark: SparkSession, root: str, glob: str | None = None, deny_dirs=()) -> DataFrame:
+    """Files below ``root`` with ``rel_path``. The deny list is a predicate on the scan's file
+    metadata, so files in denied folders are dropped from the listing and never opened."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = reader.load(root)
-    return df.withColumn("rel_path", _rel_path(F.col("path"), root))
+    root_path = _qualified(spark, root)
+    if deny_dirs:
+        df = df.where(not_in_denied_dir(_below(F.col("_metadata.file_path"), root_path.toUri().toString()), deny_dirs))
+    return df.withColumn("rel_path", _below(F.col("path"), root_path.toString()))
 
 
 def tag_files(paths: DataFrame, *, path_col: str = "rel_path", deny_dirs=K.DENY_DIRS, extensions=K.ALLOWED_EXTENSIONS, deny_files=K.DENY_FILES) -> DataFrame:
@@ -79,7 +87,7 @@ def scan_files(spark: SparkSession, root: str, *, deny_dirs=K.DENY_DIRS, extensi
     caller can quarantine them instead of failing the whole run.
     """
     glob = "*.{" + ",".join(e.lstrip(".") for e in extensions) + "}"
-    files = tag_files(list_files(spark, root, glob), deny_dirs=deny_dirs, extensions=extensions, deny_files=deny_files)
+    files = tag_files(list_files(spark, root, glob, deny_dirs), deny_dirs=deny_dirs, extensions=extensions, deny_files=deny_files)
     files = files.where(F.col("language").isNotNull())
     text = decode_text(F.col("content"))
     return files.select(
@@ -93,20 +101,21 @@ def scan_files(spark: SparkSession, root: str, *, deny_dirs=K.DENY_DIRS, extensi
 
 def unsupported_files(spark: SparkSession, root: str, extensions=K.ALLOWED_EXTENSIONS) -> DataFrame:
     """S4 report: allowed extension but no language mapping (rows the scan skips)."""
-    files = tag_files(list_files(spark, root).drop("content"), extensions=extensions)
+    files = tag_files(list_files(spark, root, deny_dirs=K.DENY_DIRS).drop("content"), extensions=extensions)
     return files.where(F.col("language").isNull()).select("path", "extension")
 
 
 def scan_special_files(spark: SparkSession, root: str, *, suffixes=K.SPECIAL_SUFFIXES, prune_dirs: bool = False) -> DataFrame:
     """``.md`` / ``.sh`` files with their text. No directory pruning by default."""
-    df = list_files(spark, root, "*.{" + ",".join(s.lstrip(".") for s in suffixes) + "}")
+    df = list_files(spark, root, "*.{" + ",".join(s.lstrip(".") for s in suffixes) + "}", K.DENY_DIRS if prune_dirs else ())
     cond = F.lit(False)
     for s in suffixes:
         cond = cond | F.col("rel_path").endswith(s)
-    df = df.where(cond)
-    if prune_dirs:
-        df = df.where(not_in_denied_dir(F.col("rel_path")))
-    return df.select(F.col("path").alias("file_path"), decode_text(F.col("content")).alias("content"))
+    return df.where(cond).select(
+        F.col("path").alias("file_path"),
+        decode_text(F.col("content")).alias("content"),
+        F.is_valid_utf8(F.col("content").cast("string")).alias("valid_utf8"),
+    )
 
 
 def corpus_name(path_col_or_str) -> Column:

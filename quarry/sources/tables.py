@@ -22,14 +22,13 @@ def balanced(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Spread an under-partitioned scan over the cluster's cores.
 
     A scan yields one task per Parquet row group; a file written as one row group
-    would put every per-row text operation on one core. When the scan has fewer
-    partitions than the session's parallelism, rows are hash-distributed on the leading
-    key columns;
-    at scale (many row groups) this is a no-op and adds no shuffle.
+    would put every per-row text operation on one core. When the table has fewer
+    files than ``min_partitions`` (the session's parallelism), rows are hash-distributed on
+    the leading key columns; a table of many files is read as it is.
     """
     spark = df.sparkSession
     target = min_partitions or spark.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
+    if len(df.inputFiles()) < target:
         # hash on the leading key columns (numbers/timestamps, not long text): as
         # deterministic under task retries as a round-robin split, without the full
         # sort that round-robin needs for that

@@ -36,15 +36,15 @@ def test_build_index_and_publish(spark, tmp_tree, tmp_path):
     emb = embed.HashingEmbedder(dim=32)
     paths = index.build_code_index(spark, root, out, emb)
     name = root.rstrip("/").split("/")[-1]
-    mt = index.open_index(spark, out, f"{name}_method")
-    ct = index.open_index(spark, out, f"{name}_class")
+    mt = index.open_index(spark, out, name, "method")
+    ct = index.open_index(spark, out, name, "class")
     m = mt.collect()
     assert [r.name for r in m] == ["m"] and m[0].class_name == "C" and len(m[0].method_embeddings) == 32
     cls = {r.file_path.split(root)[-1]: r for r in ct.collect()}
     assert cls["/a/b.py"].source_code.startswith("File: ") and "Class: C" in cls["/a/b.py"].source_code
     assert cls["/a/b.py"].references.endswith("a/b.py:3:16")
     assert cls["/node_modules/r.md"].class_name == "empty"  # special files in the class table
-    assert paths["method"].startswith(out)
+    assert paths["method"][0].startswith(out)
 
 
 def test_placeholder_row_only_when_empty(spark):
@@ -60,3 +60,50 @@ def test_tag_files_paths(spark):
     df = spark.createDataFrame([(p,) for p in TREE], "rel_path string")
     kept = sorted(r.rel_path for r in src.tag_files(df).collect())
     assert kept == ["a/b.py"]
+
+
+def test_every_way_to_write_the_root(spark, tmp_tree, tmp_path, monkeypatch):
+    root = tmp_tree({"tree/build/proj/src/a.py": "x = 1\n", "tree/build/proj/src/tree/build/proj/b.py": "x = 2\n", "tree/build/proj/src/proj/c.py": "x = 3\n"})
+    monkeypatch.chdir(root)
+    want = ["a.py", "proj/c.py"]  # b.py lies in a denied folder below the root
+    for r in ("tree/build/proj/src", "./tree/build/proj/src", f"{root}/tree/build/proj/src", f"{root}/tree/build/proj/src/", f"file://{root}/tree/build/proj/src"):
+        r = r if r.startswith(("/", "file")) else f"{root}/{r}" if not r.startswith("./") else f"{root}/./{r[2:]}"
+        assert sorted(x.rel_path for x in src.scan_files(spark, r).collect()) == want
+
+
+def test_denied_files_are_not_opened(spark, tmp_tree):
+    root = tmp_tree({"ok.py": "x = 1\n", "node_modules/big.py": "y" * 5000, "a b/c d.py": "z = 1\n"})
+    spark.conf.set("spark.sql.sources.binaryFile.maxLength", "1000")
+    try:
+        assert sorted(r.rel_path for r in src.scan_files(spark, root).select("rel_path", "content").collect()) == ["a b/c d.py", "ok.py"]
+    finally:
+        spark.conf.unset("spark.sql.sources.binaryFile.maxLength")
+
+
+def test_index_life_cycle(spark, tmp_path):
+    import pytest
+    from pyspark.sql.utils import PythonException
+
+    root = str(tmp_path / "index")
+    one, two = spark.range(3).toDF("id"), spark.range(3, 5).toDF("id")
+    with pytest.raises(FileNotFoundError):
+        index.open_index(spark, root, "x", "method")
+    index.publish({"method": one, "class": one}, root, "x")
+    ids = lambda t: sorted(r.id for r in index.open_index(spark, root, "x", t).collect())
+
+    def fail(batches):
+        raise ValueError("no")
+        yield from batches
+
+    with pytest.raises(PythonException):  # the second table fails: the old pair stays
+        index.publish({"method": two, "class": two.mapInPandas(fail, "id long")}, root, "x")
+    with pytest.raises(ValueError):
+        index.publish({"method": two, "class": two.limit(0)}, root, "x", required=("class",))
+    assert ids("method") == ids("class") == [0, 1, 2]
+    index.append_index({"method": two}, root, "x")
+    assert ids("method") == [0, 1, 2, 3, 4] and ids("class") == [0, 1, 2]
+    with pytest.raises(ValueError):
+        index.append_index({"class": two.toDF("other")}, root, "x")
+    index.publish({"method": two, "class": two}, root, "x")
+    assert index.clean_up(spark, root, "x") >= 3
+    assert ids("method") == ids("class") == [3, 4]
