@@ -2,12 +2,9 @@
 
 * ``identifier_occurrences`` (R1): every identifier with file, 1-based line and
   1-based character column, the next non-space character (call detection) and the
-  previous token (definition keywords). Positions come from one regex pass per line
-  in a small Arrow helper (Spark SQL has no all-match-positions function); the
-  matches are exploded natively, with no sort or window.
-* ``match_references`` (R2, R3): semi/inner join with the name vocabulary. The
-  vocabulary is broadcast only after its size is checked (``join_small``); above
-  the bound it is a shuffle join.
+  previous token (definition keywords), native: two regex passes and a running length.
+* ``match_references`` (R2, R3): equi-join with the name vocabulary; adaptive execution
+  measures the vocabulary and broadcasts it or splits hot names.
 * ``group_references`` / ``render_references`` (R4, R10): ordered ``file:line:column``
   lists. Rendering is two-level — per ``(name, file)`` first (bounded by one file),
   then file chunks in file order — so the expensive sort/format work of a popular
@@ -17,77 +14,51 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .. import constants as K
 
-IDENT = r"[A-Za-z0-9_$]+"
+IDENT_CHARS = r"\p{L}\p{N}\p{M}_$"
 DEFINITION_KEYWORDS = ["def", "class", "fn", "struct", "function"]
 
 
-VOCAB_BROADCAST_ROWS = 1_000_000
-
-
-def join_small(big: DataFrame, small: DataFrame, on, how: str = "inner", max_rows: int = VOCAB_BROADCAST_ROWS) -> DataFrame:
-    """Join with a side expected to be small (a vocabulary).
-
-    The side is counted first; it is broadcast only when it has at most ``max_rows``
-    rows (names are short, so this bounds its bytes too). Above the bound the join is
-    a shuffle join, where adaptive execution still splits skewed keys. Pass a
-    cheaply computable ``small`` — it is evaluated twice (count, then join).
-    """
-    n = small.count()
-    return big.join(F.broadcast(small) if n <= max_rows else small, on, how)
-
-
-_OCC_TYPE = T.ArrayType(
-    T.StructType([
-        T.StructField("column", T.IntegerType()),
-        T.StructField("token", T.StringType()),
-        T.StructField("next_char", T.StringType()),
-        T.StructField("prev_token", T.StringType()),
-    ])
-)
-
-
-def _positions_udf(ident: str):
-    """Arrow helper: identifier matches of each line with 1-based character column,
-    the next non-space character and the previous identifier of the line. (Spark SQL
-    has no regex function that returns every match position.)"""
-    import re
-
-    pat = re.compile(ident)
-    ws = " \t\n\x0b\x0c\r"
-
-    @F.arrow_udf(_OCC_TYPE)
-    def positions(lines: pa.Array) -> pa.Array:
-        out = []
-        for line in lines.to_pylist():
-            if line is None:
-                out.append(None)
-                continue
-            row, prev = [], None
-            for m in pat.finditer(line):
-                rest = line[m.end():].lstrip(ws)
-                row.append({"column": m.start() + 1, "token": m.group(), "next_char": rest[:1], "prev_token": prev})
-                prev = m.group()
-            out.append(row)
-        return pa.array(out, type=pa.list_(pa.struct([("column", pa.int32()), ("token", pa.string()), ("next_char", pa.string()), ("prev_token", pa.string())])))
-
-    return positions
-
-
-def identifier_occurrences(lines: DataFrame, *, key: str = "file_path", text_col: str = "masked", ident: str = IDENT) -> DataFrame:
+def identifier_occurrences(lines: DataFrame, *, key: str = "file_path", text_col: str = "masked", chars: str = IDENT_CHARS) -> DataFrame:
     """``(file, line, column, token, next_char, prev_token)`` for every identifier.
 
-    One regex pass per line yields the matches with their positions; the rows are
-    then exploded natively. No sort or window is needed for the columns.
+    Two native regex passes cut a line into (text before, identifier) pairs; an
+    identifier's column is the running length of the pairs before it, summed in a fold over
+    the lengths alone. What follows an identifier is the text before the next one, or the
+    rest of the line.
     """
-    occ = lines.select(key, F.col("ln").alias("line"), F.explode(_positions_udf(ident)(F.col(text_col))).alias("o"))
-    return occ.select(key, "line", "o.column", "o.token", "o.next_char", "o.prev_token")
+    pair = f"([^{chars}]*+)([{chars}]++)"
+    t = F.col(text_col)
+    cut = lines.select(
+        key,
+        F.col("ln").alias("line"),
+        F.regexp_extract_all(t, F.lit(pair), 1).alias("_sep"),
+        F.regexp_extract_all(t, F.lit(pair), 2).alias("_tok"),
+        F.regexp_extract(t, f"([^{chars}]*+)$", 1).alias("_rest"),
+    ).where(F.size("_tok") > 0)
+    sizes = F.transform("_tok", lambda x, i: F.length(x) + F.length(F.element_at("_sep", i + 1)))
+    # ends of the pairs as text: appending to an array in a fold would copy it every time
+    ends = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).alias("at"), F.lit("0").alias("all")),
+        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.lit(","), (acc["at"] + n).cast("string")).alias("all")),
+        lambda acc: acc["all"],
+    )
+    cut = cut.withColumn("_end", F.split(ends, ","))
+    occ = cut.select(key, "line", "_sep", "_tok", "_end", "_rest", F.posexplode("_tok").alias("_i", "token"))
+    after = F.coalesce(F.get("_sep", F.col("_i") + 1), F.col("_rest"))
+    return occ.select(
+        key,
+        "line",
+        (F.get("_end", F.col("_i")).cast("int") + F.length(F.get("_sep", F.col("_i"))) + 1).alias("column"),
+        "token",
+        F.substring(F.regexp_replace(after, r"^[ \t\n\x0B\f\r]+", ""), 1, 1).alias("next_char"),
+        F.get("_tok", F.col("_i") - 1).alias("prev_token"),
+    )
 
 
 def match_references(occ: DataFrame, vocab: DataFrame, *, key: str = "file_path", definitions: DataFrame | None = None) -> DataFrame:
@@ -99,7 +70,7 @@ def match_references(occ: DataFrame, vocab: DataFrame, *, key: str = "file_path"
     after a definition keyword is a definition.
     """
     v = vocab.select("kind", F.col("name").alias("token"))
-    m = join_small(occ, v, "token")
+    m = occ.join(v, "token")  # adaptive execution measures the vocabulary and picks the join
     is_def = F.coalesce(F.col("prev_token").isin(*DEFINITION_KEYWORDS), F.lit(False))
     m = m.where(~is_def)
     if definitions is not None:

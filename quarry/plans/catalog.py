@@ -346,7 +346,7 @@ def q_last_n_history(spark: SparkSession, sf: str) -> DataFrame:
 # line is referenced wherever else it occurs.
 # ---------------------------------------------------------------------------
 
-_PIECE_SQL = "([^A-Za-z0-9_$]*)([A-Za-z0-9_$]+)"
+_PIECE_SQL = r"([^\p{L}\p{N}\p{M}_$]*)([\p{L}\p{N}\p{M}_$]+)"
 
 
 @register(
@@ -376,7 +376,7 @@ def q_references(spark: SparkSession, sf: str) -> DataFrame:
     occ = refs.identifier_occurrences(lines, key="file_path", text_col="line")
     # the vocabulary: names that start a line (read straight off the lines, so the
     # occurrence table is computed once)
-    first = F.regexp_extract("line", r"^([A-Za-z0-9_$]+)", 1)
+    first = F.regexp_extract("line", f"^([{refs.IDENT_CHARS}]+)", 1)
     vocab = lines.select(first.alias("name")).where(F.col("name") != "").distinct().select(F.lit("class").alias("kind"), "name")
     hits = occ.where(F.col("column") != 1).withColumn("prev_token", F.lit(None).cast("string"))
     matched = refs.match_references(hits, vocab, key="file_path")
@@ -579,7 +579,7 @@ _CLIP4000 = f"CASE WHEN len(regexp_extract_all(text, '({_AWS}*{_NONWS}+)', 1)) >
 _TWO_PASS_SQL = f"""
 WITH
 ml AS (
-  SELECT doc_id * 100000 + ln AS entity_id, 'doc/' || CAST(doc_id AS VARCHAR) AS file_path, code
+  SELECT ('0x' || substr(md5(CAST(doc_id AS VARCHAR) || '|' || CAST(ln AS VARCHAR)), 1, 15))::BIGINT AS entity_id, 'doc/' || CAST(doc_id AS VARCHAR) AS file_path, code
   FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS code, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents)
   WHERE regexp_matches(code, '{_NONWS}')
 ),
@@ -622,7 +622,8 @@ def _document_index(spark: SparkSession, sf: str, emb):
     """Build the two vector tables from `documents`, publish them, read them back."""
     mt, ct = index.document_tables(table(spark, sf, "documents"), emb)
     root = scratch_path(spark, "document-index")
-    return spark.read.parquet(index.publish(mt, root, "documents_method")), spark.read.parquet(index.publish(ct, root, "documents_class"))
+    index.publish({"method": mt, "class": ct}, root, "documents")
+    return index.open_index(spark, root, "documents", "method"), index.open_index(spark, root, "documents", "class")
 
 
 @register("two_pass_context", _TWO_PASS_SQL)
