@@ -18,7 +18,7 @@ from ..functions import vectors as vec
 from ..operators import chat, chunk, clean, embed, enrich, keyword, refs, rerank, search
 from ..sources import files
 from ..session import scratch_path, ship_package
-from . import answer, index
+from . import answer, code_corpus, index
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -821,3 +821,23 @@ def q_two_pass_context_rerank(spark: SparkSession, sf: str) -> DataFrame:
     mt, ct = _document_index(spark, sf, emb)
     qs = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return answer.two_pass_context(qs, mt, ct, emb, rerank=True)
+
+
+# ---------------------------------------------------------------------------
+# Code extraction, references and call edges over sources derived from `documents`
+# ---------------------------------------------------------------------------
+
+for _name, _sql in {
+    "extract_classes": code_corpus.EXTRACT_CLASSES_SQL,
+    "extract_methods": code_corpus.EXTRACT_METHODS_SQL,
+    "name_vocabulary": code_corpus.NAME_VOCABULARY_SQL,
+    "code_references": code_corpus.CODE_REFERENCES_SQL,
+    "attach_references": code_corpus.ATTACH_REFERENCES_SQL,
+    "call_edges": code_corpus.CALL_EDGES_SQL,
+    "csv_round_trip": code_corpus.CSV_ROUND_TRIP_SQL,
+    "special_rows": f"""
+SELECT 'File: doc/' || CAST(doc_id AS VARCHAR) || '.md' || chr(10) || chr(10) || 'Content:' || chr(10) || {_CLIP4000} || chr(10) || chr(10) AS source_code,
+       'doc/' || CAST(doc_id AS VARCHAR) || '.md' AS file_path, 'empty' AS class_name, 'empty' AS constructor_declaration, 'empty' AS method_declarations, 'empty' AS refs
+FROM documents""",
+}.items():
+    register(_name, _sql)(getattr(code_corpus, _name))
