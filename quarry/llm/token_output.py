@@ -21,68 +21,84 @@ hash of their text; further columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism, read, scratch_path
+from .common import parallelism, read, scratch_path, text_slices
+from .runs import RunEncoder
 
 END_ID = 2
-#: distinct chunks kept per task before the memo starts again
-MEMO_CHUNKS = 400_000
+#: distinct chunks (in each of two generations) and words kept per worker
+MEMO_CHUNKS = 300_000
+MEMO_WORDS = 500_000
 WRITTEN = "doc_id bigint, part int, local_start bigint, n_tokens int, tokens array<int>"
 
+#: the pre-tokenizer's pattern (fixed by the tokenizer file), applied to lower case
+_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 _TOKENIZERS: dict = {}
 
 
-class ChunkEncoder:
-    """Encodes texts chunk by chunk with a memo of the chunks seen.
+class ChunkEncoder(RunEncoder):
+    """Encodes texts chunk by chunk, between blanks and line feeds.
 
     The pre-tokenizer never joins text across a blank or a line feed, and neither the
     normaliser nor an added token looks past one, so the ids of a text are those of its
-    chunks between blanks and line feeds, one after the other.
+    chunks. New chunks fall into words by the pre-tokenizer's own pattern; the library
+    encodes the words not seen before in one call, and the end-of-word ids tell them apart.
+    Chunks whose lower case or composed form could depend on more than that (not in
+    composed form, capital sigma, dotted capital i, added tokens) go to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        if path not in _TOKENIZERS:
-            _TOKENIZERS[path] = Tokenizer.from_file(path)
-        self.tokenizer = _TOKENIZERS[path]
-        self.reset()
-
-    def reset(self) -> None:
-        self.code: dict[str, int] = {"": 0}
-        self.pool = [np.zeros(0, np.int32)]
-        self.sizes = [0]
-
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids one after the other, number of ids per text)."""
-        if len(self.code) > MEMO_CHUNKS:
-            self.reset()
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        code = self.code
-        new = list({c for p in parts for c in p if c not in code})
-        if new:
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                code[c] = len(self.pool)
-                ids = np.array(e.ids, np.int32)
-                self.pool.append(ids)
-                self.sizes.append(len(ids))
-        counts = np.fromiter((len(p) for p in parts), np.int64, len(parts))
-        codes = np.fromiter((code[c] for p in parts for c in p), np.int64, int(counts.sum()))
-        used, at = np.unique(codes, return_inverse=True)
-        flat = np.concatenate([self.pool[u] for u in used]) if len(used) else np.zeros(0, np.int32)
-        size = np.asarray(self.sizes, np.int64)[used]
-        begin = np.cumsum(size) - size
-        n = size[at]
-        total = np.cumsum(n)
-        ids = flat[np.repeat(begin[at] - (total - n), n) + np.arange(int(total[-1]) if len(n) else 0)]
-        edges = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(counts)])]
-        return ids, np.diff(edges)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        for piece, i in vocabulary.items():
+            self.last[i] = piece.endswith("</w>")
+        self.words: dict[str, bytes] = {}
+        super().__init__(MEMO_CHUNKS)
+
+    def prepare(self, text: str) -> str:
+        return text.replace("\n", " ")
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, np.int32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+    def ids_of(self, runs: list[str]) -> list[bytes]:
+        find, composed = _PIECE.findall, unicodedata.is_normalized
+        pieces = [find(c.lower()) if "<|" not in c and (c.isascii() or (composed("NFC", c) and "\u03a3" not in c and "\u0130" not in c)) else None for c in runs]
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        words = self.words
+        new = list(set(chain.from_iterable(filter(None, pieces))).difference(words))
+        for a in range(0, len(new), 20_000):
+            block = new[a : a + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(block)], add_special_tokens=False)[0].ids, np.int32)
+            ends = np.nonzero(self.last[ids])[0] + 1
+            if len(ends) == len(block) and ends[-1] == len(ids):
+                flat, ends = ids.tobytes(), (4 * ends).tolist()
+                words.update((w, flat[x:z]) for w, x, z in zip(block, [0, *ends], ends))
+            else:
+                words.update(zip(block, self._whole(block)))
+        odd = iter(self._whole([c for c, p in zip(runs, pieces) if p is None]))
+        of = words.__getitem__
+        return [next(odd) if p is None else of(p[0]) if len(p) == 1 else b"".join(map(of, p)) for p in pieces]
+
+
+def encoder(path: str) -> ChunkEncoder:
+    """One per worker process: later tasks know the words of earlier ones."""
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ChunkEncoder(path)
+    return _TOKENIZERS[path]
 
 
 def _with_end(ids: np.ndarray, n: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -94,24 +110,22 @@ def _encoder(path: str, end_id: int):
         from pyspark import TaskContext
 
         part, seen = TaskContext.get().partitionId(), 0
-        enc = ChunkEncoder(path)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            texts = [t or "" for t in b.column("text").to_pylist()]
-            ids, n = _with_end(*enc.encode(texts), end_id)
-            offsets = np.concatenate([[0], np.cumsum(n)])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column("doc_id"),
-                    pa.array(np.full(len(n), part, np.int32)),
-                    pa.array(seen + offsets[:-1]),
-                    pa.array(n.astype(np.int32)),
-                    pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
-                ],
-                names=["doc_id", "part", "local_start", "n_tokens", "tokens"],
-            )
-            seen += int(offsets[-1])
+        enc = encoder(path)
+        for batch in batches:
+            for b, texts in text_slices(batch):
+                ids, n = _with_end(*enc.encode([t or "" for t in texts]), end_id)
+                offsets = np.concatenate([[0], np.cumsum(n)])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column("doc_id"),
+                        pa.array(np.full(len(n), part, np.int32)),
+                        pa.array(seen + offsets[:-1]),
+                        pa.array(n.astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids)),
+                    ],
+                    names=["doc_id", "part", "local_start", "n_tokens", "tokens"],
+                )
+                seen += int(offsets[-1])
 
     return encode
 
