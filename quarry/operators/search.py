@@ -3,17 +3,20 @@
 Plan shape, whatever the corpus size:
 
 1. The query vectors are split into blocks whose size is checked against
-   ``max_block_bytes``; each block is collected and broadcast. The corpus is never
-   broadcast and never shuffled.
+   ``max_block_bytes``; one block at a time is collected and broadcast. The corpus is
+   never broadcast and never shuffled.
 2. The corpus streams through ``mapInArrow``: every Arrow batch is turned into a
-   matrix, multiplied against the query block, and an *exact* per-batch top-k
-   (ties broken by id) is emitted — at most k rows per query per batch.
+   matrix, multiplied against the query block, and merged into the task's running
+   *exact* top-k (ties broken by id), which is emitted once: ids, scores and keys, no
+   payload.
 3. ``row_number() over (partition by query[, group] order by key desc, id)`` keeps
    the global top-k. Catalyst plans a partial ``WindowGroupLimit`` before the
    shuffle, so only k rows per query per partition cross the network.
+4. Payload columns are joined to the final rows by id.
 
 Ranking key: the score rounded to 9 decimals (so that float noise cannot reorder
-true ties), then the corpus id ascending.
+true ties), then the corpus id ascending. L2 distances of the best rows are computed from
+the differences themselves, as |d|^2 + |q|^2 - 2dq loses them for long vectors.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ from pyspark.sql import types as T
 
 from .. import constants as K
 from ..functions.vectors import is_valid_vector
+from ..session import scratch_path
 
 METRICS = ("l2", "cosine", "dot")
 KEY_DECIMALS = 9
@@ -66,19 +70,67 @@ def _valid_rows(col: pa.Array, dim: int) -> np.ndarray:
     return lens == dim
 
 
-def _scores(D: np.ndarray, Q: np.ndarray, qsq: np.ndarray, metric: str):
-    """Return (score matrix (nd, nq), key matrix where higher is better)."""
+def _keys(S: np.ndarray, metric: str) -> np.ndarray:
+    """Ranking keys of scores (for l2: of squared distances); larger is nearer."""
+    return -np.round(S, KEY_DECIMALS) if metric == "l2" else np.round(S, KEY_DECIMALS)
+
+
+def _scores(D: np.ndarray, Q: np.ndarray, qsq: np.ndarray, metric: str) -> np.ndarray:
+    """Score matrix (nd, nq); for l2 the squared distance up to rounding."""
     G = D @ Q.T
     if metric == "dot":
-        return G, np.round(G, KEY_DECIMALS)
+        return G
     dsq = np.einsum("ij,ij->i", D, D)
     if metric == "cosine":
         den = np.sqrt(dsq)[:, None] * np.sqrt(qsq)[None, :]
         with np.errstate(invalid="ignore", divide="ignore"):
-            S = np.where(den > 0, G / np.where(den > 0, den, 1.0), 0.0)
-        return S, np.round(S, KEY_DECIMALS)
-    d2 = np.maximum(dsq[:, None] + qsq[None, :] - 2.0 * G, 0.0)
-    return np.sqrt(d2), -np.round(d2, KEY_DECIMALS)
+            return np.where(den > 0, G / np.where(den > 0, den, 1.0), 0.0)
+    return np.maximum(dsq[:, None] + qsq[None, :] - 2.0 * G, 0.0)
+
+
+def _true_l2(D: np.ndarray, Q: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Squared distances of ``rows[:, j]`` to query j from the differences (16 MB at a time)."""
+    out = np.empty(rows.shape)
+    step = max(1, (2 << 20) // max(1, rows.shape[0] * Q.shape[1]))
+    for a in range(0, rows.shape[1], step):
+        diff = D[rows[:, a : a + step]] - Q[None, a : a + step]
+        out[:, a : a + step] = np.einsum("ijk,ijk->ij", diff, diff)
+    return out
+
+
+def _best(D: np.ndarray, Q: np.ndarray, qsq: np.ndarray, ids: np.ndarray, metric: str, k: int):
+    """(ids, scores, keys), each (k, nq): the best rows of one matrix for every query."""
+    S = _scores(D, Q, qsq, metric)
+    if metric != "l2":
+        sel = _topk_rows(_keys(S, metric), ids, k)
+        S = np.take_along_axis(S, sel, axis=0)
+        return ids[sel], S, _keys(S, metric)
+    n, nq = S.shape
+    wide = min(n, k + 32)
+    rows = np.argpartition(S, wide - 1, axis=0)[:wide] if wide < n else np.repeat(np.arange(n)[:, None], nq, axis=1)
+    true = _true_l2(D, Q, rows)
+    if wide < n:
+        # rows left out are farther than the k-th for sure unless rounding could hide it
+        slack = 8 * np.finfo(float).eps * D.shape[1] * (np.einsum("ij,ij->i", D, D).max() + qsq)
+        edge = np.take_along_axis(S, rows, axis=0).max(axis=0) - slack
+        unsure = np.nonzero(np.partition(true, k - 1, axis=0)[k - 1] >= edge)[0]
+        sel = _topk_rows_2d(_keys(true, metric), ids[rows], k)
+        out_rows, out_true = np.take_along_axis(rows, sel, axis=0), np.take_along_axis(true, sel, axis=0)
+        for j in unsure:
+            full = np.einsum("ij,ij->i", D - Q[j], D - Q[j])
+            top = _topk_rows(_keys(full, metric)[:, None], ids, k)[:, 0]
+            out_rows[:, j], out_true[:, j] = top, full[top]
+    else:
+        sel = _topk_rows_2d(_keys(true, metric), ids[rows], k)
+        out_rows, out_true = np.take_along_axis(rows, sel, axis=0), np.take_along_axis(true, sel, axis=0)
+    return ids[out_rows], out_true, _keys(out_true, metric)
+
+
+def _topk_rows_2d(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Row indices of the best k per column by (key desc, id asc); ids per cell."""
+    by_id = np.argsort(ids, axis=0, kind="stable")
+    order = np.argsort(-np.take_along_axis(key, by_id, axis=0), axis=0, kind="stable")[:k]
+    return np.take_along_axis(by_id, order, axis=0)
 
 
 def _topk_rows(key: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -114,8 +166,8 @@ def query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None = None
     """Split the query side into blocks of at most ``max_block_bytes`` each.
 
     The size check uses the row count and the vector width; above the limit the
-    queries are hashed into as many blocks as needed, each collected separately, so
-    no block handed to the driver or broadcast exceeds the bound.
+    queries are hashed into as many blocks as needed. Yields ``(block, blocks)``; each block is
+    collected when it is asked for, so the driver holds one at a time.
     """
     queries = queries.where(F.col(qvec).isNotNull())
     if dim is not None and not isinstance(queries.schema[qvec].dataType, T.StructType):
@@ -125,94 +177,69 @@ def query_blocks(queries: DataFrame, qid: str, qvec: str, dim: int | None = None
     try:
         n = queries.count()
         if n == 0:
-            return []
+            return
         if dim is None:
             dim = queries.select(F.size(qvec).alias("d")).first()["d"]
             queries = queries.where(is_valid_vector(qvec, dim))
-        elif isinstance(queries.schema[qvec].dataType, T.StructType):
-            pass  # sparse questions: validated when the block is densified
-        per_row = dim * 8 + 64
-        nblocks = max(1, math.ceil(n * per_row / max_block_bytes))
-        if nblocks == 1:
-            blk = _collect_block(queries, qid, qvec, dim)
-            return [blk] if blk else []
-        out = []
+        nblocks = max(1, math.ceil(n * (dim * 8 + 64) / max_block_bytes))
         bucket = F.pmod(F.xxhash64(F.col(qid)), F.lit(nblocks))
         for b in range(nblocks):
-            blk = _collect_block(queries.where(bucket == b), qid, qvec, dim)
+            blk = _collect_block(queries if nblocks == 1 else queries.where(bucket == b), qid, qvec, dim)
             if blk:
-                out.append(blk)
-        return out
+                yield blk, nblocks
     finally:
         queries.unpersist()
 
 
-def _block_candidates(corpus: DataFrame, block, *, id_col, vec_col, qid_name, qid_type, carry, group_col, k, metric, chunk_cells):
+def _block_candidates(corpus: DataFrame, block, *, id_col, vec_col, qid_name, qid_type, group_col, k, metric, chunk_cells):
+    """One task's best rows for one block of queries: ``query, [group], id, score, _key``."""
     spark = corpus.sparkSession
     qids, Q, dim = block
     qsq = np.einsum("ij,ij->i", Q, Q)
     bc = spark.sparkContext.broadcast((qids, Q, qsq))
-    keep = [id_col] + [c for c in carry if c != id_col] + ([group_col] if group_col else [])
+    keep = ([group_col] if group_col else []) + [id_col]
     # vectors are validated inside the Arrow batch (length, null, NaN), not with a
     # native filter: a filter on a UDF-produced column would be pushed below the
     # UDF's exchange and make Spark evaluate the UDF twice
     src = corpus.select(*keep, vec_col)
-    fields = [T.StructField(qid_name, qid_type)]
-    for c in keep:
-        fields.append(src.schema[c])
-    fields += [T.StructField("score", T.DoubleType()), T.StructField("_key", T.DoubleType())]
+    fields = [T.StructField(qid_name, qid_type), *[src.schema[c] for c in keep], T.StructField("score", T.DoubleType()), T.StructField("_key", T.DoubleType())]
     out_schema = T.StructType(fields)
 
     def run(batches):
         qids_, Q_, qsq_ = bc.value
-        nq = len(qids_)
+        nq, dim_ = Q_.shape
         rows_per_chunk = max(k, chunk_cells // max(nq, 1))
-        dim_ = Q_.shape[1]
+        best: dict = {}  # group -> (ids, scores, keys), each (up to k, nq)
         for rb in batches:
-            if rb.num_rows == 0:
-                continue
-            vcol = rb.column(vec_col)
-            ok = _valid_rows(vcol, dim_)
-            if not ok.all():
-                rb = rb.filter(pa.array(ok))
-                vcol = rb.column(vec_col)
+            ok = _valid_rows(rb.column(vec_col), dim_)
+            rb = rb.filter(pa.array(ok))
             n = rb.num_rows
             if n == 0:
                 continue
-            D_all = _matrix(vcol, n, dim_)
-            finite = ~np.isnan(D_all).any(axis=1)
-            if not finite.all():
-                rb = rb.filter(pa.array(finite))
-                D_all = D_all[finite]
-                n = rb.num_rows
-                if n == 0:
-                    continue
-            ids_all = rb.column(id_col).to_numpy(zero_copy_only=False)
+            D = _matrix(rb.column(vec_col), n, dim_)
+            ids = rb.column(id_col).to_numpy(zero_copy_only=False)
+            finite = ~np.isnan(D).any(axis=1)
+            groups = np.array(rb.column(group_col).to_pylist(), dtype=object) if group_col else np.zeros(n, dtype=object)
+            for g in dict.fromkeys(groups[finite]):
+                rows = np.nonzero(finite & (groups == g))[0]
+                for a in range(0, len(rows), rows_per_chunk):
+                    r = rows[a : a + rows_per_chunk]
+                    found = _best(D[r], Q_, qsq_, ids[r], metric, k)
+                    if g in best:
+                        found = tuple(np.concatenate([x, y], axis=0) for x, y in zip(best[g], found))
+                        sel = _topk_rows_2d(found[2], found[0], k)
+                        found = tuple(np.take_along_axis(x, sel, axis=0) for x in found)
+                    best[g] = found
+        for g, (ids, score, key) in best.items():
+            score = np.sqrt(score) if metric == "l2" else score
+            cols = [pa.array(np.repeat(qids_, len(ids)))]
             if group_col:
-                gcol = rb.column(group_col).to_pylist()
-                groups = {}
-                for i, g in enumerate(gcol):
-                    groups.setdefault(g, []).append(i)
-                parts = [np.asarray(v, dtype=np.int64) for v in groups.values()]
-            else:
-                parts = [np.arange(n, dtype=np.int64)]
-            for rows in parts:
-                for s in range(0, len(rows), rows_per_chunk):
-                    r = rows[s : s + rows_per_chunk]
-                    S, key = _scores(D_all[r], Q_, qsq_, metric)
-                    sel = _topk_rows(key, ids_all[r], k)
-                    kk = sel.shape[0]
-                    local = sel.T.ravel()
-                    qidx = np.repeat(np.arange(nq), kk)
-                    take = pa.array(r[local])
-                    cols = [pa.array(qids_[qidx])]
-                    for c in keep:
-                        cols.append(rb.column(c).take(take))
-                    cols.append(pa.array(S[local, qidx], type=pa.float64()))
-                    cols.append(pa.array(key[local, qidx], type=pa.float64()))
-                    yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([pa.field(f.name, _arrow_type(f.dataType)) for f in out_schema.fields]))
-
-    return src.mapInArrow(run, out_schema)
+                cols.append(pa.array([g] * ids.size, type=_arrow_type(out_schema[group_col].dataType)))
+            cols += [pa.array(ids.T.ravel()), pa.array(score.T.ravel()), pa.array(key.T.ravel())]
+            cols = [c.cast(_arrow_type(f.dataType)) for c, f in zip(cols, out_schema.fields)]
+            yield pa.RecordBatch.from_arrays(cols, names=out_schema.names)
+
+    return src.mapInArrow(run, out_schema), bc
 
 
 def _arrow_type(dt):
@@ -240,32 +267,34 @@ def vector_topk(
     """Exact top-k corpus rows per query.
 
     Output: ``query_id, [group_col], id_col, carry…, score|dist, rank`` with rank
-    1..k. For ``l2`` the distance column is ``dist`` (smaller is nearer); for
+    1..k; ``id_col`` (with the group) names a corpus row. For ``l2`` the distance column is ``dist`` (smaller is nearer); for
     ``cosine`` and ``dot`` it is ``score`` (larger is nearer).
     """
     if metric not in METRICS:
         raise ValueError(f"metric must be one of {METRICS}")
     qid_type = queries.schema[query_id].dataType
-    blocks = query_blocks(queries, query_id, query_vec, dim, max_block_bytes)
     spark = corpus.sparkSession
-    if not blocks:
-        fields = [T.StructField(query_id, qid_type)] + [corpus.schema[c] for c in [id_col, *carry] + ([group_col] if group_col else [])]
-        fields += [T.StructField("score", T.DoubleType()), T.StructField("_key", T.DoubleType())]
-        cands = spark.createDataFrame([], T.StructType(fields))
-    else:
-        parts = [
-            _block_candidates(
-                corpus, b, id_col=id_col, vec_col=vec_col, qid_name=query_id, qid_type=qid_type,
-                carry=list(carry), group_col=group_col, k=k, metric=metric, chunk_cells=chunk_cells,
-            )
-            for b in blocks
-        ]
-        cands = parts[0]
-        for p in parts[1:]:
-            cands = cands.unionByName(p)
-    part_cols = [query_id] + ([group_col] if group_col else [])
-    w = Window.partitionBy(*part_cols).orderBy(F.col("_key").desc(), F.col(id_col).asc())
-    ranked = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_key")
+    groups = [group_col] if group_col else []
+    w = Window.partitionBy(query_id, *groups).orderBy(F.col("_key").desc(), F.col(id_col).asc())
+    ranked = None
+    for block, n in query_blocks(queries, query_id, query_vec, dim, max_block_bytes):
+        cands, bc = _block_candidates(
+            corpus, block, id_col=id_col, vec_col=vec_col, qid_name=query_id, qid_type=qid_type, group_col=group_col, k=k, metric=metric, chunk_cells=chunk_cells
+        )
+        top = cands.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("_key")
+        if n > 1:  # the block's answers are written before the next block is collected
+            path = scratch_path(spark, "topk")
+            top.write.parquet(path)
+            top = spark.read.schema(top.schema).parquet(path)
+            bc.destroy()
+        ranked = top if ranked is None else ranked.unionByName(top)
+    if ranked is None:
+        fields = [T.StructField(query_id, qid_type), *[corpus.schema[c] for c in [*groups, id_col]], T.StructField("score", T.DoubleType()), T.StructField("rank", T.IntegerType())]
+        ranked = spark.createDataFrame([], T.StructType(fields))
+    more = [c for c in carry if c not in (id_col, *groups)]
+    if more:
+        ranked = ranked.join(corpus.select(*groups, id_col, *more), [*groups, id_col])
+    ranked = ranked.select(query_id, *groups, id_col, *more, "score", "rank")
     if metric == "l2":
         ranked = ranked.withColumnRenamed("score", "dist")
     return ranked

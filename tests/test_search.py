@@ -50,7 +50,7 @@ def test_query_blocks_split_gives_same_answer(spark):
     c, q = frames(spark, corpus, queries)
     one = search.vector_topk(c, q, id_col="id", vec_col="v", k=3, metric="l2")
     many = search.vector_topk(c, q, id_col="id", vec_col="v", k=3, metric="l2", max_block_bytes=2000)
-    assert len(search.query_blocks(q, "query_id", "query_vec", max_block_bytes=2000)) > 1
+    assert len(list(search.query_blocks(q, "query_id", "query_vec", max_block_bytes=2000))) > 1
     a = sorted((r["query_id"], r["rank"], r["id"]) for r in one.collect())
     b = sorted((r["query_id"], r["rank"], r["id"]) for r in many.collect())
     assert a == b
@@ -91,3 +91,24 @@ def test_sparse_and_dense_vectors_rank_the_same(spark):
         r = search.text_search(docs, qs, e, id_col="doc_id", text_col="text", query_id="query_id", query_text="q", k=5, metric="cosine")
         out.append(sorted((x.query_id, x["rank"], x.doc_id, round(x.score, 9)) for x in r.collect()))
     assert out[0] == out[1] and len(out[0]) > 0
+
+
+def test_long_vectors_keep_their_distances(spark):
+    rows = [(1, [1e6, 0.001]), (2, [1e6, 0.0]), (3, [1e6, 0.002])] + [(i, [1e6, 1.0 + i]) for i in range(10, 90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    q = spark.createDataFrame([(7, [1e6, 0.0012])], "query_id long, query_vec array<double>")
+    got = search.vector_topk(df, q, id_col="id", vec_col="v", k=3).orderBy("rank").collect()
+    assert [r.id for r in got] == [1, 3, 2] and abs(got[0].dist - 0.0002) < 1e-9
+
+
+def test_blocks_and_running_topk_agree(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(300, 6)), 1)
+    df = spark.createDataFrame([(i, [float(a) for a in v], "a" if i % 3 else "b", f"t{i}") for i, v in enumerate(x)], "id long, v array<double>, g string, t string").repartition(3)
+    q = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x[:20])], "query_id long, query_vec array<double>")
+    for metric in search.METRICS:
+        one = search.vector_topk(df, q, id_col="id", vec_col="v", k=4, metric=metric, carry=["t"], group_col="g", chunk_cells=200)
+        many = search.vector_topk(df, q, id_col="id", vec_col="v", k=4, metric=metric, carry=["t"], group_col="g", max_block_bytes=400)
+        key = lambda r: (r.query_id, r.g, r["rank"], r.id, r.t)
+        got = sorted(map(key, one.collect()))
+        assert got == sorted(map(key, many.collect())) and len(got) == 160 and all(t == f"t{i}" for *_, i, t in got)
