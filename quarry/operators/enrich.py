@@ -1,9 +1,9 @@
 """Batched enrichment of method rows with a generated description.
 
-The prompt is a native ``concat``; the model call happens in ``mapInPandas``: each
+The prompt is a native ``concat``; the model call is a pandas UDF on the prompt alone: each
 Arrow batch is cut into requests of ``batch`` prompts, answered by a pool of
-``concurrency`` threads per task (cluster concurrency = tasks × pool). The description is added
-as a column of the same batch, so there is no positional write-back or join.
+``concurrency`` threads per task (cluster concurrency = tasks × pool). No other column goes
+through Python, and there is no write-back or join.
 """
 
 from __future__ import annotations
@@ -37,15 +37,13 @@ def enrich(
 ) -> DataFrame:
     """Add ``out_col`` to every row; prompts go to the enricher 32 at a time."""
     enricher = enricher or DefaultEnricher()
-    with_prompt = df.withColumn("_prompt", enrich_prompt(F.col(class_col), F.col(name_col), F.col(source_col)))
-    schema = T.StructType(with_prompt.schema.fields + [T.StructField(out_col, T.StringType())])
 
-    def run(it):
+    @F.pandas_udf(T.StringType())
+    def describe(prompts: pd.Series) -> pd.Series:
+        chunks = [prompts.iloc[i : i + batch] for i in range(0, len(prompts), batch)]
         with ThreadPoolExecutor(max_workers=concurrency) as pool:
-            for pdf in it:
-                chunks = [pdf["_prompt"].iloc[i : i + batch] for i in range(0, len(pdf), batch)]
-                outs = list(pool.map(enricher.describe, chunks))
-                pdf[out_col] = pd.concat(outs, ignore_index=True).values if outs else []
-                yield pdf
+            outs = list(pool.map(enricher.describe, chunks))
+        return pd.concat(outs, ignore_index=True) if outs else pd.Series([], dtype=object)
 
-    return with_prompt.mapInPandas(run, schema).drop("_prompt")
+    prompt = enrich_prompt(F.col(class_col), F.col(name_col), F.col(source_col))
+    return df.withColumn(out_col, describe.asNondeterministic()(prompt))

@@ -49,22 +49,34 @@ def _r6(c):
 
 
 # ---------------------------------------------------------------------------
-# Vector search over `embeddings` (every vector is also a query: exact self-kNN)
+# Vector search over `embeddings`; the queries are the mean vectors of the labels, so the
+# query side does not grow with the corpus
 # ---------------------------------------------------------------------------
 
-def _self_knn(spark, sf, metric, corpus_filter=None):
+def _label_means(emb: DataFrame) -> DataFrame:
+    """The query side: the mean vector of every label, over the whole table."""
+    parts = emb.select("label", F.posexplode("embedding").alias("pos", "x"))
+    means = parts.groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    vecs = means.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("pos", "x")))["x"].alias("query_vec"))
+    return vecs.select(F.col("label").cast("bigint").alias("query_id"), "query_vec")
+
+
+def _mean_knn(spark, sf, metric, corpus_filter=None):
     emb = table(spark, sf, "embeddings")
     corpus = emb if corpus_filter is None else emb.where(corpus_filter)
-    qs = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    res = search.vector_topk(corpus, qs, id_col="vec_id", vec_col="embedding", metric=metric, k=5)
+    res = search.vector_topk(corpus, _label_means(emb), id_col="vec_id", vec_col="embedding", metric=metric, k=5)
     val = "dist" if metric == "l2" else "score"
     return res.select("query_id", "vec_id", F.col("rank").cast("bigint").alias("rank"), _r6(F.col(val)).alias(val))
 
 
 _PAIRS_SQL = """
-WITH pairs AS (
-  SELECT q.vec_id AS query_id, d.vec_id AS vec_id, {expr} AS v
-  FROM embeddings q CROSS JOIN embeddings d {where}
+WITH mean AS (
+  SELECT label, pos, avg(CAST(x AS DOUBLE)) AS x
+  FROM (SELECT label, unnest(embedding) AS x, unnest(range(1, len(embedding) + 1)) AS pos FROM embeddings) GROUP BY label, pos
+), q AS (SELECT CAST(label AS BIGINT) AS query_id, list(x ORDER BY pos) AS embedding FROM mean GROUP BY label),
+pairs AS (
+  SELECT q.query_id, d.vec_id AS vec_id, {expr} AS v
+  FROM q CROSS JOIN embeddings d {where}
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {order}, vec_id) AS rank FROM pairs
 )
@@ -81,26 +93,26 @@ _COS = f"CASE WHEN {_QN} * {_DN} > 0 THEN {_DOT} / ({_QN} * {_DN}) ELSE 0 END"
 
 @register("vector_topk", _PAIRS_SQL.format(expr=_D2, where="", order="round(v, 9)", out="sqrt(v)", name="dist"))
 def q_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
-    """V1/V4: exact L2 top-5 for every embedding."""
-    return _self_knn(spark, sf, "l2")
+    """V1/V4: exact L2 top-5 for the mean vector of every label."""
+    return _mean_knn(spark, sf, "l2")
 
 
 @register("cosine_topk", _PAIRS_SQL.format(expr=_COS, where="", order="round(v, 9) DESC", out="v", name="score"))
 def q_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     """V2: cosine-similarity top-5."""
-    return _self_knn(spark, sf, "cosine")
+    return _mean_knn(spark, sf, "cosine")
 
 
 @register("dot_topk", _PAIRS_SQL.format(expr=_DOT, where="", order="round(v, 9) DESC", out="v", name="score"))
 def q_dot_topk(spark: SparkSession, sf: str) -> DataFrame:
     """V3: inner-product top-5."""
-    return _self_knn(spark, sf, "dot")
+    return _mean_knn(spark, sf, "dot")
 
 
 @register("prefiltered_topk", _PAIRS_SQL.format(expr=_COS, where="WHERE d.label = 3", order="round(v, 9) DESC", out="v", name="score"))
 def q_prefiltered_topk(spark: SparkSession, sf: str) -> DataFrame:
     """A3: metadata pre-filter on the corpus (pushed to the scan), then search."""
-    return _self_knn(spark, sf, "cosine", corpus_filter=F.col("label") == 3)
+    return _mean_knn(spark, sf, "cosine", corpus_filter=F.col("label") == 3)
 
 
 # ---------------------------------------------------------------------------
@@ -394,8 +406,10 @@ _EXT_CASE = " ".join(f"WHEN '{e}' THEN '{l}'" for e, l in K.EXTENSION_LANGUAGE.i
 @register(
     "scan_filter",
     f"""
-WITH p AS (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1) AS rel_path FROM pages),
-s AS (SELECT page_id, rel_path, string_split(rel_path, '/') AS parts FROM p)
+WITH p AS (
+  SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'node_modules/' WHEN 1 THEN 'src/build/' ELSE '' END || regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1)
+         || CASE page_id % 3 WHEN 0 THEN '.py' WHEN 1 THEN '.rs' ELSE '' END AS rel_path FROM pages
+), s AS (SELECT page_id, rel_path, string_split(rel_path, '/') AS parts FROM p)
 SELECT page_id, rel_path, parts[len(parts)] AS file_name,
        regexp_extract(parts[len(parts)], '^.+(\\.[^.]+)$', 1) AS extension,
        CASE regexp_extract(parts[len(parts)], '^.+(\\.[^.]+)$', 1) {_EXT_CASE} ELSE NULL END AS language
@@ -403,8 +417,12 @@ FROM s
 WHERE NOT list_has_any(parts[1:len(parts) - 1], [{_DENY_SQL}])""",
 )
 def q_scan_filter(spark: SparkSession, sf: str) -> DataFrame:
-    """S1 deny-directory pruning, S2 extension, S4 language tag over URL paths."""
-    pages = table(spark, sf, "pages").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^?#]*)", 1).alias("rel_path"))
+    """S1 deny-directory pruning, S2 extension, S4 language tag over URL paths, some of them put
+    into denied folders or given a source extension by a rule on page_id."""
+    folder = F.when(F.col("page_id") % 5 == 0, "node_modules/").when(F.col("page_id") % 5 == 1, "src/build/").otherwise("")
+    suffix = F.when(F.col("page_id") % 3 == 0, ".py").when(F.col("page_id") % 3 == 1, ".rs").otherwise("")
+    path = F.concat(folder, F.regexp_extract("url", r"^[a-z]+://[^/?#]+/([^?#]*)", 1), suffix)
+    pages = table(spark, sf, "pages").select("page_id", path.alias("rel_path"))
     out = pages.where(files.not_in_denied_dir(F.col("rel_path")))
     name = files.file_name(F.col("rel_path"))
     ext = files.extension(name)
@@ -512,22 +530,19 @@ def q_hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
     "recall_at_k",
     _PAIRS_SQL.format(expr=_COS, where="", order="round(v, 9) DESC", out="v", name="score").replace(
         "SELECT query_id, vec_id, CAST(rank AS BIGINT) AS rank, round(v, 6) AS score\nFROM ranked WHERE rank <= 5",
-        """SELECT query_id, vec_id FROM ranked WHERE rank <= 5
-), lab AS (SELECT vec_id, label FROM embeddings),
-rel AS (SELECT a.vec_id AS query_id, count(*) AS relevant FROM lab a JOIN lab b ON a.label = b.label GROUP BY 1),
-hit AS (SELECT t.query_id, count(*) AS hits FROM top5 t JOIN lab a ON a.vec_id = t.query_id JOIN lab b ON b.vec_id = t.vec_id WHERE a.label = b.label GROUP BY 1)
-SELECT rel.query_id, CAST(coalesce(hits, 0) AS BIGINT) AS hits, CAST(relevant AS BIGINT) AS relevant, round(coalesce(hits, 0) / relevant, 6) AS recall
-FROM rel LEFT JOIN hit USING (query_id)""",
-    ).replace("WITH pairs AS", "WITH top5 AS (WITH pairs AS", 1),
+        """, n AS (SELECT CAST(label AS BIGINT) AS label, count(*) AS relevant FROM embeddings GROUP BY 1)
+SELECT query_id, CAST(sum(CASE WHEN e.label = query_id THEN 1 ELSE 0 END) AS BIGINT) AS hits, CAST(any_value(relevant) AS BIGINT) AS relevant,
+       round(sum(CASE WHEN e.label = query_id THEN 1 ELSE 0 END) / any_value(relevant), 6) AS recall
+FROM ranked JOIN embeddings e USING (vec_id) JOIN n ON n.label = query_id WHERE rank <= 50 GROUP BY query_id""",
+    ),
 )
 def q_recall_at_k(spark: SparkSession, sf: str) -> DataFrame:
-    """A4: recall of the cosine top-5 against same-label truth, per query vector."""
+    """A4: recall of the cosine top-50 around a label's mean against the label's items."""
     emb = table(spark, sf, "embeddings")
-    qs = emb.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    res = search.vector_topk(emb, qs, id_col="vec_id", vec_col="embedding", metric="cosine", k=5)
-    lab = emb.select("vec_id", "label")
-    truth = lab.alias("a").join(lab.alias("b"), "label").select(F.col("a.vec_id").alias("query_id"), F.col("b.vec_id").alias("vec_id"))
-    out = keyword.recall_at_k(res, truth, query_id="query_id", id_col="vec_id")
+    res = search.vector_topk(emb, _label_means(emb), id_col="vec_id", vec_col="embedding", metric="cosine", k=50)
+    out = keyword.recall_by_label(
+        res.withColumn("query_label", F.col("query_id")), emb, query_id="query_id", id_col="vec_id", label_col="label", query_label="query_label"
+    )
     return out.select("query_id", F.col("hits").cast("bigint").alias("hits"), F.col("relevant").cast("bigint").alias("relevant"), _r6(F.col("recall")).alias("recall"))
 
 
@@ -675,8 +690,10 @@ def q_recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
 @register(
     "line_sections",
     f"""
-WITH l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents
+WITH t AS (
+  SELECT doc_id, replace(replace(text, '. ', chr(10) || chr(10)), ', ', chr(10) || '## part' || chr(10)) AS text FROM documents
+), l AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM t
 ), f AS (
   SELECT *, NOT regexp_matches(line, '{_NONWS}') AS blank, regexp_matches(line, '^#{{1,6}}[ \\t]') AS header FROM l
 ), g AS (
@@ -689,13 +706,16 @@ SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(min(ln) AS BIGINT) AS fi
 FROM h WHERE NOT blank GROUP BY doc_id, section""",
 )
 def q_line_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """header/blank-line sections of every document."""
-    return chunk.line_sections(table(spark, sf, "documents"), id_col="doc_id", text_col="text")
+    """header/blank-line sections of every document; sentences become paragraphs and
+    commas header lines, so that both rules bite."""
+    docs = table(spark, sf, "documents").select("doc_id", F.replace(F.replace("text", F.lit(". "), F.lit("\n\n")), F.lit(", "), F.lit("\n## part\n")).alias("text"))
+    return chunk.line_sections(docs, id_col="doc_id", text_col="text")
 
 
 @register(
     "enrich_batches",
-    "SELECT doc_id, 'Summary: Class: ' || source || ' / Method: doc' || CAST(doc_id AS VARCHAR) AS llm_comments FROM documents",
+    """SELECT doc_id, 'Summary: Class: ' || source || ' / Method: doc' || CAST(doc_id AS VARCHAR) || ' #'
+       || substr(md5('Class: ' || source || chr(10) || 'Method: doc' || CAST(doc_id AS VARCHAR) || chr(10) || 'Source Code:' || chr(10) || text), 1, 12) AS llm_comments FROM documents""",
 )
 def q_enrich_batches(spark: SparkSession, sf: str) -> DataFrame:
     """Every document as a method row, described in requests of 32 prompts."""
@@ -726,16 +746,26 @@ def _sql_lit(s: str) -> str:
 @register(
     "route_turns",
     f"""
-SELECT conv_id, turn, regexp_matches(text, '@codebase') AS retrieve,
-       {_sql_strip("replace(text, '@codebase', '')")} AS query
-FROM conversations WHERE role = 'user'""",
+WITH u AS (
+  SELECT conv_id, turn, CASE WHEN turn = min(turn) OVER (PARTITION BY conv_id) THEN '@codebase ' || text || ' @codebase' ELSE text END AS text
+  FROM conversations WHERE role = 'user'
+)
+SELECT conv_id, turn, regexp_matches(text, '@codebase') AS retrieve, {_sql_strip("replace(text, '@codebase', '')")} AS query FROM u""",
 )
 def q_route_turns(spark: SparkSession, sf: str) -> DataFrame:
     """H3 + P13 + P14: which user turns trigger retrieval, and the stripped query."""
-    conv = table(spark, sf, "conversations").where(F.col("role") == "user")
+    conv = _directed(table(spark, sf, "conversations").where(F.col("role") == "user"))
     return conv.select("conv_id", "turn", tx.has_directive("text").alias("retrieve"), tx.strip_directive("text").alias("query"))
 
 
+def _directed(asks: DataFrame) -> DataFrame:
+    """User turns with the directive put into each conversation's first one."""
+    first = asks.groupBy("conv_id").agg(F.min("turn").alias("_first"))
+    j = asks.join(first, "conv_id")
+    marked = F.concat(F.lit("@codebase "), F.col("text"), F.lit(" @codebase"))
+    return j.withColumn("text", F.when(F.col("turn") == F.col("_first"), marked).otherwise(F.col("text"))).drop("_first")
+
+
 @register(
     "chat_prompts",
     f"""
