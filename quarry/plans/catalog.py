@@ -853,6 +853,79 @@ def q_two_pass_context_rerank(spark: SparkSession, sf: str) -> DataFrame:
     return answer.two_pass_context(qs, mt, ct, emb, rerank=True)
 
 
+_ASKED_SQL = """
+u AS (
+  SELECT conv_id, turn, turn = min(turn) OVER (PARTITION BY conv_id) AS retrieve, text FROM conversations WHERE role = 'user'
+), asked AS (
+  SELECT conv_id, turn, retrieve, regexp_replace(CASE WHEN retrieve THEN replace(text, '@codebase', '') ELSE text END, '^{ws}+|{ws}+$', '', 'g') AS query FROM u
+)""".format(ws=_UWS)
+
+
+def _two_pass_of(sql: str, parity: int) -> str:
+    """A two-pass query over the asking turns of conversations with this parity."""
+    q = f"q AS (SELECT conv_id AS query_id, query, '{K.HYDE_USER_PREFIX}' || query AS hyde FROM asked WHERE retrieve AND conv_id % 2 = {parity})"
+    old = f"q AS (SELECT item_id AS query_id, text AS query, '{K.HYDE_USER_PREFIX}' || text AS hyde FROM benchmark)"
+    if old not in sql:
+        raise ValueError("the two-pass SQL has another question table")
+    return "SELECT query_id AS conv_id, context FROM (" + sql.replace(old, q) + ")"
+
+
+@register(
+    "answer_conversations",
+    f"""
+WITH {_ASKED_SQL},
+found AS ({_two_pass_of(_TWO_PASS_SQL, 1)} UNION ALL {_two_pass_of(_TWO_PASS_RERANK_SQL, 0)}),
+log AS (
+  SELECT a.conv_id, a.turn, a.retrieve, a.query,
+         coalesce(last_value(CASE WHEN a.retrieve THEN f.context END IGNORE NULLS)
+           OVER (PARTITION BY a.conv_id ORDER BY a.turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), '') AS context
+  FROM asked a LEFT JOIN found f ON f.conv_id = a.conv_id AND a.retrieve
+)
+SELECT conv_id, turn, retrieve, query, query || chr(10) || substring(context, 1, {K.CONTEXT_CHARS}) AS response FROM log""",
+)
+def q_answer_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """The turn job: directive, retrieval (reranked for even conversations), stored context,
+    answer of every user turn; the directive stands in each conversation's first one."""
+    emb = embed.HashingEmbedder(dim=TEXT_DIM, sparse=True)
+    mt, ct = _document_index(spark, sf, emb)
+    asks = _directed(table(spark, sf, "conversations").where(F.col("role") == "user")).withColumn("rerank", F.when(F.col("conv_id") % 2 == 0, "true"))
+    out = answer.answer_log(asks, mt, ct, emb, user_col="conv_id", order_col="turn", rerank_col="rerank")
+    return out.select("conv_id", "turn", "retrieve", "query", "response")
+
+
+def _filled_sql(template: str, **slots: str) -> str:
+    """A prompt template as SQL: its text with the slots' expressions in between."""
+    out = _sql_lit(template).replace("\n", "' || chr(10) || '")
+    for name, expr in slots.items():
+        out = out.replace("{" + name + "}", f"' || {expr} || '")
+    return out
+
+
+@register(
+    "expansion_prompts",
+    f"""
+SELECT item_id AS query_id, {_filled_sql(K.HYDE_SYSTEM_PROMPT)} AS hyde_system, '{K.HYDE_USER_PREFIX}' || b.text AS hyde_prompt,
+       {_filled_sql(K.HYDE_V2_SYSTEM_PROMPT, query='b.text', temp_context='d.text')} AS hyde_v2_system, '{K.HYDE_V2_USER_PREFIX}' || b.text AS hyde_v2_prompt,
+       {_filled_sql(K.REFERENCES_SYSTEM_PROMPT, query='b.text', context='d.text')} AS references_prompt
+FROM benchmark b JOIN documents d ON d.doc_id = b.item_id""",
+)
+def q_expansion_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """The filled prompts of every question, with the document of its id as context."""
+    from ..operators import context as C
+
+    b = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("query_id"), F.col("text").alias("found"))
+    j = b.join(d, "query_id")
+    return j.select(
+        "query_id",
+        F.lit(K.HYDE_SYSTEM_PROMPT).alias("hyde_system"),
+        C.hyde_user("query").alias("hyde_prompt"),
+        C.hyde_v2_system(F.col("query"), F.col("found")).alias("hyde_v2_system"),
+        C.hyde_v2_user("query").alias("hyde_v2_prompt"),
+        C.references_system(F.col("query"), F.col("found")).alias("references_prompt"),
+    )
+
+
 # ---------------------------------------------------------------------------
 # Code extraction, references and call edges over sources derived from `documents`
 # ---------------------------------------------------------------------------

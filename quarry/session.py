@@ -42,8 +42,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     Uses ``spark.checkpoint.dir`` (or the context's checkpoint dir) when the cluster
-    names one; otherwise (tests, local runs) creates a fresh scratch folder and
-    registers it, so later calls agree.
+    names one. Without one, a local session (tests) gets a fresh scratch folder, registered
+    so that later calls agree; on a cluster a folder of one machine would be invisible to the
+    others, so that is an error.
     """
     conf = spark.conf.get("spark.checkpoint.dir", None)
     if conf:
@@ -51,6 +52,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     ctx_dir = spark.sparkContext.getCheckpointDir()
     if ctx_dir:
         return ctx_dir.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
     local = tempfile.mkdtemp(prefix="quarry-ckpt-")
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)
@@ -70,7 +73,7 @@ def ship_package(spark: SparkSession) -> None:
 
     Functions that run on executors (Arrow UDFs, ``mapInArrow``, keyed state) are
     pickled by reference to this package, so executors need it on their path. The
-    package is zipped into the shared checkpoint folder and added with ``addPyFile``.
+    driver zips the package and Spark's ``addPyFile`` sends it to the executors.
     """
     sc = spark.sparkContext
     app = sc.applicationId
@@ -79,10 +82,7 @@ def ship_package(spark: SparkSession) -> None:
     import zipfile
 
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    target = scratch_path(spark, "pyfiles") + ".zip"
-    local = target[len("file:"):] if target.startswith("file:") else target
-    if "://" in local:  # remote shared folder: build locally, Spark ships it from the driver
-        local = os.path.join(tempfile.mkdtemp(prefix="quarry-pkg-"), "quarry.zip")
+    local = os.path.join(tempfile.mkdtemp(prefix="quarry-pkg-"), "quarry.zip")
     with zipfile.ZipFile(local, "w", zipfile.ZIP_DEFLATED) as z:
         for root, _dirs, files in os.walk(pkg_dir):
             for f in files:
