@@ -148,7 +148,10 @@ Most importantly - If you are not sure about the answer, say so. Ask user polite
 
 If you need additional context or clarification, request it specifically.'''
 
-ENRICH_SYSTEM_PROMPT = (
-    "You are an expert programmer who specializes in java, python, rust and javascript. "
-    'Describe the code in less than 3 lines. Do not add fluff like "the code you provided".'
-)
+ENRICH_SYSTEM_PROMPT = """You are an expert programmer who specializes in java, python, rust and javascript. Describe the code in less than 3 lines. Do not add fluff like "the code you provided"."""
+
+# --- column names of the entity tables (fixed values) ------------------------------
+CLASS_FIELDS = ["file_path", "class_name", "constructor_declaration", "method_declarations", "source_code", "references"]
+METHOD_FIELDS = ["file_path", "class_name", "name", "doc_comment", "source_code", "references"]
+CLASS_COLUMNS = ["source_code", "file_path", "class_name", "constructor_declaration", "method_declarations", "references"]
+METHOD_COLUMNS = ["code", "file_path", "class_name", "name", "doc_comment", "source_code", "references"]

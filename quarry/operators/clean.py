@@ -54,8 +54,7 @@ def format_special_text(file_path, content, max_tokens: int = K.MAX_TOKENS_SMALL
     return F.concat(F.lit("File: "), tx._c(file_path), F.lit("\n\nContent:\n"), tx.clip_tokens(content, max_tokens), F.lit("\n\n"))
 
 
-CLASS_COLUMNS = ["source_code", "file_path", "class_name", "constructor_declaration", "method_declarations", "references"]
-METHOD_COLUMNS = ["code", "file_path", "class_name", "name", "doc_comment", "source_code", "references"]
+CLASS_COLUMNS, METHOD_COLUMNS = K.CLASS_COLUMNS, K.METHOD_COLUMNS
 
 
 def special_rows(files: DataFrame, max_tokens: int = K.MAX_TOKENS_SMALL, path_col: str = "file_path", content_col: str = "content") -> DataFrame:

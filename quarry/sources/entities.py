@@ -12,12 +12,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CLASS_FIELDS = ["file_path", "class_name", "constructor_declaration", "method_declarations", "source_code", "references"]
-METHOD_FIELDS = ["file_path", "class_name", "name", "doc_comment", "source_code", "references"]
+from .. import constants as K
 
+CLASS_FIELDS, METHOD_FIELDS = K.CLASS_FIELDS, K.METHOD_FIELDS
 
-def write_entities_csv(df: DataFrame, path: str, fields: list[str]) -> None:
-    """Header + the given columns in order; never overwrites an input path."""
+
+def write_entities_csv(df: DataFrame, path: str, fields: list[str] | None = None) -> None:
+    """Header + the given columns in order (all of the frame's by default); never
+    overwrites an input path."""
+    fields = fields or df.columns
     (df.select(*[F.col(c).cast("string") for c in fields])
      .write.mode("errorifexists")
      .option("header", True).option("quoteAll", True).option("escape", '"').option("multiLine", True)
