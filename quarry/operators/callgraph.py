@@ -29,12 +29,16 @@ def call_edges(methods: DataFrame, method_refs: DataFrame, key: str = "file_path
 
 
 def expand(edges: DataFrame, depth: int = 2) -> DataFrame:
-    """Distinct ``(caller, callee, hops)`` reachable within ``depth`` hops."""
+    """Distinct ``(caller, callee, hops)`` reachable within ``depth`` hops (the fewest hops).
+
+    A pair reached before is not followed again, so cycles end.
+    """
     base = edges.select("caller", "callee").distinct()
     out = base.withColumn("hops", F.lit(1))
     frontier = base
     for h in range(2, depth + 1):
-        nxt = frontier.alias("a").join(base.alias("b"), F.col("a.callee") == F.col("b.caller")).select(F.col("a.caller").alias("caller"), F.col("b.callee").alias("callee")).distinct()
-        out = out.unionByName(nxt.withColumn("hops", F.lit(h)))
-        frontier = nxt
-    return out.groupBy("caller", "callee").agg(F.min("hops").alias("hops"))
+        step = frontier.alias("a").join(base.alias("b"), F.col("a.callee") == F.col("b.caller"))
+        step = step.select(F.col("a.caller").alias("caller"), F.col("b.callee").alias("callee")).distinct()
+        frontier = step.join(out.select("caller", "callee"), ["caller", "callee"], "left_anti")
+        out = out.unionByName(frontier.withColumn("hops", F.lit(h)))
+    return out
