@@ -51,8 +51,10 @@ def _nearest(a: np.ndarray, b: np.ndarray, k: int, block: int = 1_024) -> np.nda
 
 
 def _choose(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, m: int) -> np.ndarray:
-    """The diversity rule for all nodes at once: (nodes x m) chosen candidates, -1 where none."""
+    """The diversity rule for many nodes at once: (nodes x m) chosen candidates, -1 where none."""
     n = len(nodes)
+    if n > 2_048:  # bounds the gathered vectors
+        return np.concatenate([_choose(x, nodes[a : a + 2_048], cand[a : a + 2_048], m) for a in range(0, n, 2_048)])
     chosen, count = np.full((n, m), -1, np.int32), np.zeros(n, np.int64)
     sims = np.einsum("nd,ncd->nc", x[nodes], x[np.maximum(cand, 0)])
     sims[(cand < 0) | (cand == nodes[:, None])] = -np.inf
