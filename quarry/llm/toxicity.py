@@ -7,14 +7,14 @@ hashed; a text has a feature or not. ``fit``:
    smallest hashes of their id) is written once;
 2. tasks count, per hashed feature, the toxic and the other texts that have it; features
    that speak for toxicity (likelihood ratio above ``MIN_G2``) are kept, the strongest
-   ``MAX_FEATURES``;
+   ``MAX_FEATURES``, and named by the grams of toxic texts that have these hashes;
 3. every sentence of the sample that names a group (``IDENTITY_GROUPS``) is written again
    with the other terms of its group. Logistic regression is fitted on the texts with an
    L2 penalty and with ``penalty`` x (score of the sentence - score of its counterfactual)^2, so
    weight that only a group's name would carry goes to what is said about it.
 
-Scoring reads whole texts once and keeps a memo of words; the model is at most
-``MAX_FEATURES`` numbers. ``labels.toxic`` is the only label used; lang, source and doc_id are
+Scoring reads whole texts once and keeps a memo of words; the model is at most four times
+``MAX_FEATURES`` grams and weights. ``labels.toxic`` is the only label used; lang, source and doc_id are
 never inputs of a score.
 
 Defined cases: a null text is scored like an empty one (the score of no feature); several
@@ -62,35 +62,46 @@ _WORD = re.compile(r"\w+")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features of a word in lower case: itself and its n-grams with its edges."""
+def grams_of(word: str) -> set[str]:
+    """A word in lower case with its edges, and the n-grams inside."""
     s = f"<{word}>"
-    grams = {s}
-    for n in GRAMS:
-        grams.update(s[i : i + n] for i in range(len(s) - n + 1))
-    mask = (1 << BITS) - 1
-    return sorted({xxhash.xxh3_64_intdigest(g) & mask for g in grams})
+    return {s, *(s[i : i + n] for n in GRAMS for i in range(len(s) - n + 1))}
+
+
+def hashed(gram: str) -> int:
+    return xxhash.xxh3_64_intdigest(gram) & ((1 << BITS) - 1)
 
 
 class Vocabulary:
-    """word -> features, with a bounded memo; ``among``: only these (an array by feature, -1: none)."""
+    """word -> numbers of its features, with a bounded memo.
+
+    ``grams``: the features of a model (gram -> number); without it every gram counts, by
+    its hash.
+    """
 
-    def __init__(self, among: np.ndarray | None = None):
-        self.among, self.memo = among, {}
+    def __init__(self, grams: dict[str, int] | None = None):
+        self.grams, self.memo = grams, {}
 
     def of(self, words: set[str]) -> np.ndarray:
         """Features of a text with these words."""
-        memo = self.memo
+        memo, grams = self.memo, self.grams
         if len(memo) > MEMO_WORDS:
             memo.clear()
         for w in words.difference(memo):
-            x = np.array(word_features(w), np.int64)
-            if self.among is not None:
-                x = self.among[x]
-                x = x[x >= 0]
-            memo[w] = x if len(x) else None
+            if grams is None:
+                memo[w] = np.array([hashed(g) for g in grams_of(w)], np.int32)
+            else:
+                s = f"<{w}>"
+                n = len(s)
+                found = {grams[s]} if s in grams else set()
+                for k in GRAMS:
+                    for i in range(n - k + 1):
+                        g = s[i : i + k]
+                        if g in grams:
+                            found.add(grams[g])
+                memo[w] = np.array(list(found), np.int32) if found else None
         found = [x for x in map(memo.__getitem__, words) if x is not None]
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int32)
 
 
 def counterfactuals(text: str, groups=IDENTITY_GROUPS):
@@ -125,15 +136,25 @@ def _counter(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[1, at].astype(np.int64)), pa.array(n[0, at].astype(np.int64))], names=["feature", "pos", "neg"])
 
 
-def _chosen(features: list[int]) -> np.ndarray:
-    among = np.full(1 << BITS, -1, np.int32)
-    among[features] = np.arange(len(features))
-    return among
+def _grams_in(features: list[int]):
+    """The grams of the batches' texts whose hash is among ``features``."""
+
+    def grams(batches):
+        among, words = set(features), set()
+        found = set()
+        for batch in batches:
+            for _, texts in text_slices(batch):
+                new = {w for t in texts for w in _WORD.findall(t.lower())}.difference(words)
+                found.update(g for w in new for g in grams_of(w) if hashed(g) in among)
+                words |= new if len(words) < MEMO_WORDS else set()
+        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["gram"])
+
+    return grams
 
 
-def _rows_of(features: list[int], groups):
+def _rows_of(grams: dict[str, int], groups):
     def rows(batches):
-        vocabulary = Vocabulary(_chosen(features))
+        vocabulary = Vocabulary(grams)
         for batch in batches:
             for part, texts in text_slices(batch):
                 kinds, ys, xs, cs = [], [], [], []
@@ -146,7 +167,7 @@ def _rows_of(features: list[int], groups):
                         if (pair := (x.tobytes(), c.tobytes())) not in seen and pair[0] != pair[1]:
                             seen.add(pair)
                             kinds.append(1), ys.append(y), xs.append(x), cs.append(c)
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.int64())), pa.array(cs, pa.list_(pa.int64()))], names=["kind", "y", "x", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.int32()), pa.array(ys, pa.int32()), pa.array(xs, pa.list_(pa.int32())), pa.array(cs, pa.list_(pa.int32()))], names=["kind", "y", "x", "c"])
 
     return rows
 
@@ -179,11 +200,11 @@ def train(x: list, y: np.ndarray, pairs: list[tuple], n_features: int, penalty:
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, penalty: float = PENALTY, groups=IDENTITY_GROUPS) -> dict:
-    """The model: ``features`` (hashes), ``weights``, ``intercept``."""
+    """The model: ``grams`` (gram -> number), ``weights`` by number, ``intercept``."""
     rows = staged(sample(docs, labels, sample_rows), "toxic-sample")
     per = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     pos, neg = per.get(1, 0), per.get(0, 0)
-    flat = {"features": [], "weights": np.zeros(0), "intercept": float(np.log((pos + 1) / (neg + 1)))}
+    flat = {"grams": {}, "weights": np.zeros(0), "intercept": float(np.log((pos + 1) / (neg + 1)))}
     if not pos or not neg:
         return flat
     counts = rows.mapInArrow(_counter, "feature int, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p >= 2")
@@ -198,17 +219,20 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, p
     features = [r["feature"] for r in best.collect()]
     if not features:
         return flat
-    got = rows.mapInArrow(_rows_of(features, groups), "kind int, y int, x array<bigint>, c array<bigint>").toArrow().to_pydict()  # the bounded sample
+    # the grams of toxic texts behind the chosen hashes
+    of_toxic = rows.where("y = 1").mapInArrow(_grams_in(features), "gram string").distinct().orderBy("gram").limit(4 * MAX_FEATURES)
+    grams = {r["gram"]: i for i, r in enumerate(of_toxic.collect())}
+    got = rows.mapInArrow(_rows_of(grams, groups), "kind int, y int, x array<int>, c array<int>").toArrow().to_pydict()  # the bounded sample
     of = [i for i, k in enumerate(got["kind"]) if k == 0]
     pairs = [(x, c) for k, x, c in zip(got["kind"], got["x"], got["c"]) if k == 1]
-    w, b = train([got["x"][i] for i in of], np.array([got["y"][i] for i in of], float), pairs, len(features), penalty)
-    return {"features": features, "weights": w, "intercept": b}
+    w, b = train([got["x"][i] for i in of], np.array([got["y"][i] for i in of], float), pairs, len(grams), penalty)
+    return {"grams": grams, "weights": w, "intercept": b}
 
 
 def scorer(model: dict):
     """texts -> scores"""
-    among, w, b = _chosen(model["features"]), np.asarray(model["weights"]), model["intercept"]
-    vocabulary = Vocabulary(among)
+    w, b = np.asarray(model["weights"]), model["intercept"]
+    vocabulary = Vocabulary(model["grams"])
 
     def scores(texts) -> np.ndarray:
         z = np.array([b + (w[vocabulary.of(set(_WORD.findall(t.lower())))].sum() if t else 0.0) for t in texts])

@@ -10,7 +10,7 @@ def corpus(spark, n=600):
     for i in range(n):
         bad = i % 5 == 0
         word = ("idiot", "moronic", "scummy")[i % 3]
-        rows.append((i, f"the weather of day {i % 17} is fine. " + (f"you are an {word} for it." if bad else "we all like it."), "en", "s", 1))
+        rows.append((i, f"the weather of day {i % 17} is fine. " + f"you are an {word if bad else 'artist'} for it.", "en", "s", 1))
         labels.append((i, 1, int(bad)))
     return rows, labels
 
