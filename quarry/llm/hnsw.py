@@ -4,8 +4,8 @@ Distinct vectors are hashed to shards of about ``SHARD`` vectors. A shard become
 its vectors and a hierarchical navigable small-world graph as flat neighbour arrays. A node
 is on layer l with probability ``M``^-l; on each layer it is linked to at most ``2 M`` (layer 0)
 or ``M`` nodes, chosen from its nearest ones on the layer and on the layer above by the rule
-that a candidate nearer to an already chosen neighbour than to the node is passed over;
-links go both ways.
+that a candidate nearer to an already chosen neighbour than to the node is passed over
+while others are left; links go both ways.
 
 A search enters at the top layer and keeps the ``EF`` best nodes found on every layer, all
 queries of a block together. Every query meets every shard: blocks of queries are sent to
@@ -68,6 +68,11 @@ def _choose(x: np.ndarray, nodes: np.ndarray, cand: np.ndarray, m: int) -> np.nd
         at = np.nonzero(ok)[0]
         chosen[at, count[at]] = c[at]
         count[at] += 1
+    for j in range(cand.shape[1]):  # free places go to the nearest that were passed over
+        c = cand[:, j]
+        at = np.nonzero(np.isfinite(sims[:, j]) & (count < m) & ~(chosen == c[:, None]).any(axis=1))[0]
+        chosen[at, count[at]] = c[at]
+        count[at] += 1
     return chosen
 
 
@@ -213,15 +218,15 @@ def neighbours(graphs: DataFrame, queries: DataFrame, *, k: int = 5, ef: int = E
             x = x64.astype(np.float32)
             n_ids = np.frombuffer(row["n_ids"], np.int32)
             ids, begin = np.frombuffer(row["ids"], np.int64), np.cumsum(n_ids) - n_ids
-            for a in range(0, len(asked), 512):
-                part = asked.iloc[a : a + 512]
+            for a in range(0, len(asked), 256):
+                part = asked.iloc[a : a + 256]
                 q = np.array(part["v"].to_list(), np.float64)
                 unit, own = _unit(q), part["vec_id"].to_numpy(np.int64)
-                best, sims = search(x, layers, links, unit.astype(np.float32), max(ef, 2 * (k + 1)))
-                top = np.argsort(-sims, axis=1, kind="stable")[:, : 2 * (k + 1)]
-                best = np.take_along_axis(best, top, 1)
-                exact = np.einsum("qd,qcd->qc", unit, x64[np.maximum(best, 0)])
-                # equal vectors have cosine 1 exactly, whatever the rounding of the sum
+                best, _ = search(x, layers, links, unit.astype(np.float32), max(ef, 2 * (k + 1)))
+                # what was found is ranked again in double precision
+                exact = np.where(best >= 0, np.einsum("qd,qcd->qc", unit, x64[np.maximum(best, 0)]), -2.0)
+                top = np.argsort(-exact, axis=1, kind="stable")[:, : 2 * (k + 1)]
+                best, exact = np.take_along_axis(best, top, 1), np.take_along_axis(exact, top, 1)
                 for i in range(len(part)):
                     for node, s in zip(best[i], exact[i]):
                         if node >= 0:

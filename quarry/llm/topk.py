@@ -68,7 +68,7 @@ def _batches(frames, ids, vecs, rows: int = 2_048):
         right = pdf["v"].map(len).to_numpy() == width
         cand, mats = pdf["vec_id"].to_numpy(np.int64)[right], pdf["v"][right].to_list()
         for a in range(0, len(mats), rows):
-            m = np.array(mats[a : a + rows], dtype=np.int64).reshape(-1, width)
+            m = np.array(mats[a : a + rows], dtype=np.int64).reshape(len(mats[a : a + rows]), width)
             yield _scores(vecs, m), cand[a : a + rows]
 
 

@@ -82,8 +82,9 @@ def test_mix(spark):
     again = X.mix(df.repartition(7), group_rows=50).collect()
     key = lambda r: (r["doc_id"] is None, r["doc_id"], r["text"] or "", r["mix"]["repeats"])
     assert sorted(map(key, got)) == sorted(map(key, again))
-    other = X.mix(df, seed=99, group_rows=50).collect()
-    assert sorted(map(key, other)) != sorted(map(key, got))
+    even = df.where("doc_id <> 9")  # without the text that fills the mix, length groups are taken in part
+    one, other = (sorted(map(key, X.mix(even, seed=s, group_rows=50).collect())) for s in (1, 99))
+    assert one != other and len(one) == len(other)
 
 
 def test_edges(spark):
