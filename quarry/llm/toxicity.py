@@ -30,6 +30,7 @@ import re
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -172,6 +173,13 @@ def _rows_of(grams: dict[str, int], groups):
     return rows
 
 
+def _lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of an Arrow column as views of one array."""
+    whole = column.combine_chunks()
+    end = np.cumsum(pc.list_value_length(whole).to_numpy(zero_copy_only=False))
+    return np.split(whole.flatten().to_numpy(), end[:-1]) if len(end) else []
+
+
 def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
     return row, np.concatenate([np.asarray(x, np.int64) for x in lists]) if len(lists) else np.zeros(0, np.int64)
@@ -222,10 +230,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, p
     # the grams of toxic texts behind the chosen hashes
     of_toxic = rows.where("y = 1").mapInArrow(_grams_in(features), "gram string").distinct().orderBy("gram").limit(4 * MAX_FEATURES)
     grams = {r["gram"]: i for i, r in enumerate(of_toxic.collect())}
-    got = rows.mapInArrow(_rows_of(grams, groups), "kind int, y int, x array<int>, c array<int>").toArrow().to_pydict()  # the bounded sample
-    of = [i for i, k in enumerate(got["kind"]) if k == 0]
-    pairs = [(x, c) for k, x, c in zip(got["kind"], got["x"], got["c"]) if k == 1]
-    w, b = train([got["x"][i] for i in of], np.array([got["y"][i] for i in of], float), pairs, len(grams), penalty)
+    got = rows.mapInArrow(_rows_of(grams, groups), "kind int, y int, x array<int>, c array<int>").toArrow()  # the bounded sample
+    text = got["kind"].to_numpy() == 0
+    x, c = _lists(got["x"]), _lists(got["c"])
+    pairs = [(x[i], c[i]) for i in np.nonzero(~text)[0]]
+    w, b = train([x[i] for i in np.nonzero(text)[0]], got["y"].to_numpy()[text].astype(float), pairs, len(grams), penalty)
     return {"grams": grams, "weights": w, "intercept": b}
 
 
