@@ -208,9 +208,9 @@ class Labeller:
         """(words per text, number of words per text, marginals of all words in order)."""
         found = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
         n = np.array([len(x) for x in found], np.int64)
+        if not self.k or not n.sum():
+            return found, n, np.zeros((int(n.sum()), self.k))
         rows = self._rows([w for x in found for w in x])
-        if not len(rows):
-            return found, n, np.zeros((0, self.k))
         # chains: (begin, length) of at most CHAIN words inside a text, longest first
         per = -(-n // CHAIN)
         text = np.repeat(np.arange(len(n)), per)
