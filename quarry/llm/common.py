@@ -48,7 +48,7 @@ def parallelism(spark: SparkSession) -> int:
     return max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def text_slices(batch, column: str = "text", chars: int = 2_000_000):
+def text_slices(batch, column: str = "text", chars: int = 4_000_000):
     """Cut an Arrow batch into runs of rows of about ``chars`` bytes of text: (rows, texts).
 
     Bounds what one step of a task holds, however many long texts a batch has; a longer

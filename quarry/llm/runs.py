@@ -13,39 +13,28 @@ def _gather(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray
     return flat[np.repeat(begin - (total - size), size) + np.arange(int(total[-1]) if len(size) else 0)]
 
 
-class _Memo:
-    """run -> number, and the ids of the numbered runs."""
-
-    def __init__(self):
-        self.code: dict[str, int] = {}
-        self.flat, self.used = np.zeros(1 << 16, np.int32), 0
-        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-
-    def add(self, runs: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        n = len(self.code)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(runs) > len(self.begin):
-            self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.begin[n : n + len(runs)] = self.used + np.cumsum(sizes) - sizes
-        self.size[n : n + len(runs)] = sizes
-        self.used += len(ids)
-        self.code.update(zip(runs, range(n, n + len(runs))))
-
-
 class RunEncoder:
     """Base of tokenizers whose ids of a text are those of its runs, one after the other.
 
     A subclass writes a text as its runs with blanks between them (``prepare``) and knows
-    the ids of runs (``ids_of``). Runs are told apart by Arrow; Python sees each distinct run
-    of a call once. The memo has two generations of at most ``limit`` runs: when the young
-    one is full it becomes the old one, and runs met again move back from there.
+    the ids of runs (``ids_of``). Runs are cut, told apart and looked up in the memo by Arrow;
+    Python sees only runs that are new. Beyond ``limit`` runs the memo keeps those that were
+    met more than once since the last time.
     """
 
     def __init__(self, limit: int):
         self.limit = limit
-        self.young, self.old = _Memo(), _Memo()
+        self._keep(None)
+
+    def _keep(self, some: np.ndarray | None) -> None:
+        if some is None or some.sum() > self.limit // 2:
+            self.keys = pa.array([], pa.string())
+            self.flat = np.zeros(0, np.int32)
+            self.begin, self.size, self.met = (np.zeros(0, np.int64) for _ in range(3))
+        else:
+            self.keys = self.keys.filter(pa.array(some))
+            self.flat, self.size = _gather(self.flat, self.begin[some], self.size[some]), self.size[some]
+            self.begin, self.met = np.cumsum(self.size) - self.size, np.zeros(len(self.size), np.int64)
 
     def prepare(self, text: str) -> str:
         raise NotImplementedError
@@ -54,30 +43,27 @@ class RunEncoder:
         """The ids of each run as 32-bit integers."""
         raise NotImplementedError
 
-    def _learn(self, new: list[str]) -> None:
-        old = self.old.code
-        back = [r for r in new if r in old] if old else []
-        if back:
-            at = np.fromiter(map(old.__getitem__, back), np.int64, len(back))
-            sizes = self.old.size[at]
-            self.young.add(back, _gather(self.old.flat, self.old.begin[at], sizes), sizes)
-            new = [r for r in new if r not in old]
-        ids = self.ids_of(new)
-        self.young.add(new, np.frombuffer(b"".join(ids), np.int32), np.fromiter(map(len, ids), np.int64, len(ids)) // 4)
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids one after the other, number of ids per text)."""
-        if len(self.young.code) > self.limit:
-            self.young, self.old = _Memo(), self.young
+        if len(self.keys) > self.limit:
+            self._keep(self.met > 1)
         parts = pc.split_pattern(pa.array(list(map(self.prepare, texts)), pa.string()), " ")
         told = parts.flatten().dictionary_encode()
-        runs = told.dictionary.to_pylist()
-        code = self.young.code
-        new = [r for r in runs if r not in code]
-        if new:
-            self._learn(new)
-        memo = self.young
-        codes = np.fromiter(map(memo.code.__getitem__, runs), np.int64, len(runs))[told.indices.to_numpy()]
-        n = memo.size[codes]
+        runs = told.dictionary
+        code = pc.index_in(runs, value_set=self.keys).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        new = np.nonzero(code < 0)[0]
+        if len(new):
+            unknown = runs.take(pa.array(new))
+            ids = self.ids_of(unknown.to_pylist())
+            size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            code[new] = np.arange(len(self.keys), len(self.keys) + len(new))
+            self.begin = np.concatenate([self.begin, len(self.flat) + np.cumsum(size) - size])
+            self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(ids), np.int32)])
+            self.size = np.concatenate([self.size, size])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int64)])
+            self.keys = pa.concat_arrays([self.keys, unknown])
+        self.met[code] += 1
+        codes = code[told.indices.to_numpy()]
+        n = self.size[codes]
         edges = np.concatenate([[0], np.cumsum(n)])[np.asarray(parts.offsets)]
-        return _gather(memo.flat, memo.begin[codes], n), np.diff(edges)
+        return _gather(self.flat, self.begin[codes], n), np.diff(edges)

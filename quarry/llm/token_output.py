@@ -35,9 +35,9 @@ from .common import parallelism, read, scratch_path, text_slices
 from .runs import RunEncoder
 
 END_ID = 2
-#: distinct chunks (in each of two generations) and words kept per worker
-MEMO_CHUNKS = 300_000
-MEMO_WORDS = 500_000
+#: distinct chunks and words kept per worker
+MEMO_CHUNKS = 1_000_000
+MEMO_WORDS = 300_000
 WRITTEN = "doc_id bigint, part int, local_start bigint, n_tokens int, tokens array<int>"
 
 #: the pre-tokenizer's pattern (fixed by the tokenizer file), applied to lower case
