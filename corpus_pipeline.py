@@ -23,7 +23,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: documents of no language, or mostly of none of the learned ones, go."""
+    """Operator 7: documents without a language, or with no leading one, go."""
     return langid.keep_known(docs, langid.fit(docs))
 
 

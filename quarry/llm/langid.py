@@ -38,8 +38,8 @@ CHAIN = 64
 MIN_FEATURE, MIN_LEXICON = 3, 5
 EPOCHS = 4
 SEED = 7
-SURE = 0.5
-MEMO_WORDS = 300_000
+SURE = 0.3
+MEMO_WORDS = 200_000
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -323,7 +323,10 @@ def word_languages(docs: DataFrame, model: dict) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, model: dict, sure: float = SURE) -> DataFrame:
-    """``docs`` without rows of no language (``und``) or whose language has a share under ``sure``."""
+    """``docs`` without rows of no language (``und``) or whose best language has a share under ``sure``.
+
+    Texts that switch between languages stay: their best one has more than that.
+    """
     shared, column = share_model(docs.sparkSession, model), fresh(docs, "sure")
 
     @F.pandas_udf(T.DoubleType())
