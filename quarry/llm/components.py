@@ -31,8 +31,9 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         joined = _star(large, least)
         small = joined.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = staged(small.where("u <> v").distinct(), "cc")
-        # stars only: nobody is both linked to a smaller node and a centre
-        if after.select("u").join(after.select(F.col("v").alias("u")), "u", "left_semi").isEmpty() and after.groupBy("u").count().where("count > 1").isEmpty():
+        # stars only: nobody is linked to two nodes, or to one and a centre as well
+        ends = after.select(F.col("u").alias("n"), F.lit(2).alias("w")).unionByName(after.select(F.col("v").alias("n"), F.lit(1).alias("w")).distinct())
+        if ends.groupBy("n").agg(F.sum("w").alias("w")).where("w > 2").isEmpty():
             break
         edges = after
     return after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

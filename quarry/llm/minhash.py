@@ -11,14 +11,14 @@ words make one run). Documents with equal multisets are one node. Per node:
   with probability sum(min) / sum(max). Points are drawn in order of time and only while
   they can still be earlier than what the document holds, so the work is
   O(shingles + m log m), also for large counts.
-* ``BANDS`` bands of ``ROWS`` positions name buckets. In every bucket all members are
-  compared with one leader, by the true overlap of the multisets. That settles a bucket
-  whose members are all linked, however many they are. By the triangle inequality of the
-  Jaccard distance, members closer to the leader than (nearest unlinked member - 0.2)
-  cannot be linked to an unlinked one and leave. What is left: at most ``SMALL`` members are
-  compared with each other; a larger bucket is dealt again by fresh signatures with more
-  rows per band (``LEVELS``), on which texts that only share a passage part. The last
-  level compares whatever is still together.
+* bands of positions name buckets (``LEVELS``). In every bucket all members are compared
+  with one leader, by the true overlap of the multisets. A bucket whose members are then in
+  one class is done, however many they are. By the triangle inequality of the Jaccard
+  distance, members closer to the leader than (its nearest unlinked member - 0.2) cannot be
+  linked to an unlinked one and leave. A remainder of at most ``BLOCK`` members is compared
+  as one block, in which the links between different classes are found without listing pairs;
+  a larger one is dealt again by fresh signatures with more rows per band, on which texts that
+  only share a passage part. The last level compares whatever is still together.
 * classes are the connected components of the verified links.
 
 No links, components or signatures are gathered on the driver, hot buckets and hot leaders
@@ -50,13 +50,15 @@ THRESHOLD = 0.8
 #: (rows per band, bands) of each level; a pair of similarity 0.8 is missed with
 #: probability (1 - 0.8^rows)^bands: 7e-5, 1e-4, 1e-4
 LEVELS = ((5, 24), (8, 50), (11, 100))
-SMALL = 32
+#: members, and shingles, of a bucket's remainder that one task compares as a block
+BLOCK = 2_048
+BLOCK_SHINGLES = 2_000_000
 
 _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0x100000001B3)
 _MEMO: dict[str, int] = {}
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 200_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -215,6 +217,38 @@ def _verify(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3), pa.array(sims, pa.float64())], names=["a", "b", "j"])
 
 
+def _block_links(threshold: float):
+    """Links between different classes among the members of one (bounded) block.
+
+    One pass over the block's shingles gives a member's overlap with all others. Of each
+    member outside the largest class, one link to each other class is enough.
+    """
+
+    def links(block: pa.Table) -> pa.Table:
+        keys, roots, main = (block[c].to_pylist() for c in ("key", "root", "main"))
+        bags = [_bag(h, c) for h, c in zip(block["hashes"].to_pylist(), block["counts"].to_pylist())]
+        _, at = np.unique(np.concatenate([b[0] for b in bags]), return_inverse=True)
+        count = np.concatenate([b[1] for b in bags])
+        begin = np.concatenate([[0], np.cumsum([len(b[0]) for b in bags])])
+        total = np.array([b[1].sum() for b in bags])
+        number = {r: i for i, r in enumerate(dict.fromkeys(roots))}
+        root = np.array([number[r] for r in roots])
+        own = np.zeros(int(at.max()) + 1, np.int64)
+        a, b, j = [], [], []
+        for i in np.nonzero(~np.array(main))[0]:
+            mine = slice(begin[i], begin[i + 1])
+            own[at[mine]] = count[mine]
+            common = np.add.reduceat(np.minimum(own[at], count), begin[:-1])
+            own[at[mine]] = 0
+            sim = common / (total + total[i] - common)
+            hit = np.nonzero((sim >= threshold) & (root != root[i]))[0]
+            for k in hit[np.unique(root[hit], return_index=True)[1]]:
+                a.append(keys[i]), b.append(keys[k]), j.append(float(sim[k]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "j": pa.array(j, pa.float64())})
+
+    return links
+
+
 def similarities(pairs: DataFrame, bags: DataFrame) -> DataFrame:
     """``(a, b, j)`` for the pairs of keys, by the true multiset overlap."""
     left = bags.select(F.col("key").alias("a"), F.col("hashes").alias("ha"), F.col("counts").alias("ca"))
@@ -239,7 +273,7 @@ def _rebucket(rows: int, bands: int, level: int):
     return sign
 
 
-def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, levels=LEVELS, small: int = SMALL) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, levels=LEVELS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``docs(doc_id, text)`` -> per row ``doc_id, key, class_key`` (null for a null text).
 
     ``key`` names the row's multiset, ``class_key`` its class.
@@ -255,56 +289,73 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
 
     # the multisets of every text that shares a bucket, once
     wanted = member.groupBy("key").agg(F.any_value("doc_id").alias("doc_id"))
-    only = wanted.select(F.col("doc_id").alias("w")).distinct()
+    only = wanted.select(F.col("doc_id").alias("w")).distinct().hint("merge")  # grows with the input: never broadcast
     once = texts.join(only, texts["doc_id"].eqNullSafe(only["w"]), "left_semi").withColumn("tie", F.xxhash64("text")).dropDuplicates(["doc_id", "tie"])
     bags = once.select("doc_id", "text").mapInArrow(_bags(width), "key binary, hashes binary, counts binary")
     bags = staged(bags.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "near-bags")
 
-    links = None  # verified so far
-    roots = None
+    roots = None  # node, root of the links verified so far
 
     def add(found: DataFrame):
-        nonlocal links, roots
-        ok = found.where(F.col("j") >= threshold).select("a", "b")
-        links = ok if links is None else links.unionByName(ok)
-        roots = staged(components(links), "near-roots")
+        """Merge the classes that the links among ``found`` join."""
+        nonlocal roots
+        ok = found.where(F.col("j") >= threshold)
+        if roots is None:
+            roots = staged(components(ok), "near-roots")
+            return
+        at = [roots.select(F.col("node").alias(x), F.col("root").alias(f"r{x}")) for x in ("a", "b")]
+        cross = ok.join(at[0], "a", "left").join(at[1], "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+        cross = staged(cross.where("a <> b").distinct(), "near-cross")
+        if cross.isEmpty():
+            return
+        new = staged(components(cross), "near-merged")
+        to = new.select(F.col("node").alias("root"), F.col("root").alias("to"))
+        moved = roots.join(to, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+        roots = staged(moved.unionByName(new.join(roots.select("node"), "node", "left_anti")), "near-roots")
 
     def with_root(m: DataFrame) -> DataFrame:
         r = roots.select(F.col("node").alias("key"), "root")
         return m.join(r, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
+    far = 1.0 - threshold
+    far = 1.0 - threshold
     for level in range(len(levels)):
         # 1. every member against the leader of its bucket
-        order = F.struct(F.xxhash64("key", F.lit(level)).alias("o"), "key", "total")
-        lead = member.groupBy("bucket").agg(F.min(order).alias("l"), F.count("*").alias("n")).where("n > 1")
-        star = member.join(lead, "bucket").where("key <> l.key").select("bucket", F.col("l.key").alias("a"), F.col("key").alias("b"), "total")
+        first = F.min(F.struct(F.xxhash64("key", F.lit(level)).alias("o"), F.col("key").alias("k"))).alias("l")
+        lead = member.groupBy("bucket").agg(F.count("*").alias("n"), first).where("n > 1").select("bucket", F.col("l.k").alias("a"))
+        star = member.join(lead, "bucket").where("key <> a").select("bucket", "a", F.col("key").alias("b"), "total")
         tested = staged(similarities(star.select("a", "b").distinct(), bags), "near-tested")
         add(tested)
         # 2. what the leader leaves open
-        far = 1.0 - threshold
         known = star.join(tested.select("a", "b", (1.0 - F.col("j")).alias("d")), ["a", "b"])
-        known = with_root(known.select("bucket", F.col("b").alias("key"), "total", "d"))
+        known = staged(with_root(known.select("bucket", F.col("b").alias("key"), "total", "d")), "near-known")
         nearest = F.min(F.when(F.col("d") > far + 1e-9, F.col("d"))).alias("nearest")  # unlinked member
         open_ = known.groupBy("bucket").agg(nearest, F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "nearest")
-        known = staged(known.join(open_, "bucket").where(F.col("d") >= F.col("nearest") - F.lit(far + 1e-9)).select("bucket", "key", "total", "root"), "near-known")
-        sizes = known.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("bucket", "n")
-        left = staged(known.join(sizes, "bucket"), "near-left")
-        # 3. few are left: compare them with each other (all that is left, at the last level)
-        few = left if level + 1 == len(levels) else left.where(F.col("n") <= small)
-        x = few.select("bucket", F.col("key").alias("a"), F.col("total").alias("ta"), F.col("root").alias("ra"))
-        y = few.select("bucket", F.col("key").alias("b"), F.col("total").alias("tb"), F.col("root").alias("rb"))
-        pairs = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _alike(F.col("ta"), F.col("tb"), threshold)).select("a", "b").distinct()
-        pairs = staged(pairs, "near-pairs")
-        if not pairs.isEmpty():
-            add(staged(similarities(pairs, bags), "near-tested"))
-        if level + 1 == len(levels):
+        left = staged(known.join(open_, "bucket").where(F.col("d") >= F.col("nearest") - F.lit(far + 1e-9)).select("bucket", "key", "total", "root"), "near-left")
+        classes_ = left.groupBy("bucket", "root").agg(F.count("*").alias("c"), F.sum("total").alias("t"))
+        sizes = classes_.groupBy("bucket").agg(F.sum("c").alias("n"), F.sum("t").alias("t"), F.max("c").alias("most"), F.max_by("root", "c").alias("top")).where("n > most")
+        left = left.join(sizes, "bucket").withColumn("main", F.col("root") == F.col("top"))
+        left = staged(left.select("bucket", "key", "total", "root", "main", ((F.col("n") <= block) & (F.col("t") <= block_shingles)).alias("one_block")), "near-left")
+        # 3. a bounded remainder is compared as one block, links alone come out
+        rest = left.where("one_block")
+        if not rest.isEmpty():
+            held = rest.select("bucket", "key", "main", "root").join(bags, "key")
+            add(staged(held.groupBy("bucket").applyInArrow(_block_links(threshold), "a binary, b binary, j double"), "near-tested"))
+        rest = left.where(~F.col("one_block")).drop("one_block")
+        if rest.isEmpty():
             break
-        # 4. many are left: deal them out again by fresh signatures with more rows a band
-        many = left.where(F.col("n") > small).select("key", "total").distinct()
-        if many.isEmpty():
+        if level + 1 == len(levels):
+            # what is still together after the last level: pair by pair
+            rest = staged(with_root(rest.drop("root")), "near-rest")
+            x = rest.where(~F.col("main")).select("bucket", F.col("key").alias("a"), F.col("total").alias("ta"), F.col("root").alias("ra"))
+            y = rest.select("bucket", F.col("key").alias("b"), F.col("total").alias("tb"), F.col("root").alias("rb"), F.col("main").alias("mb"))
+            apart = (F.col("ra") != F.col("rb")) & (F.col("mb") | (F.col("a") < F.col("b")))
+            pairs = x.join(y, "bucket").where(apart & _alike(F.col("ta"), F.col("tb"), threshold)).select("a", "b").distinct()
+            add(staged(similarities(pairs, bags), "near-tested"))
             break
+        # 4. a larger one is dealt out again by fresh signatures with more rows a band
         r, b = levels[level + 1]
-        again = bags.join(many, "key").mapInArrow(_rebucket(r, b, level + 1), "key binary, total bigint, buckets array<bigint>")
+        again = bags.join(rest.select("key", "total").distinct(), "key").mapInArrow(_rebucket(r, b, level + 1), "key binary, total bigint, buckets array<bigint>")
         member = again.select("key", "total", F.explode("buckets").alias("bucket"))
         shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
         member = staged(member.join(shared, "bucket", "left_semi"), "near-members")

@@ -75,10 +75,11 @@ def corpus():
 def test_classes_against_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in rows], DOCS)
-    got = M.classes(df, levels=((5, 24), (8, 50), (11, 100)), small=4).collect()
     want = brute(rows)
-    assert len(got) == len(rows)
-    assert groups((r.doc_id, r.class_id) for r in got) == groups(enumerate(want))
+    for block in (M.BLOCK, 6, 0):  # one level; several levels; no block at all, down to single pairs
+        got = M.classes(df, block=block).collect()
+        assert len(got) == len(rows)
+        assert groups((r.doc_id, r.class_id) for r in got) == groups(enumerate(want))
     size = Counter(r.class_id for r in got)
     assert all(r.class_rows == size[r.class_id] for r in got)
     kept = M.keep_one(df)
