@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,8 @@ def text_slices(batch, column: str = "text", chars: int = 4_000_000):
     single text is a run of its own. Null texts come as None.
     """
     texts = batch.column(column)
+    if not pa.types.is_string(texts.type):
+        texts = texts.cast(pa.string())
     end = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     a = 0
     while a < batch.num_rows:

@@ -23,14 +23,12 @@ import re
 from collections import Counter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fold, fresh, read, staged, text_slices
+from .common import fold, read, staged, text_slices
 
 PER_LANG = 1_000
 PIECES, PIECE_WORDS = 4, 24
@@ -327,17 +325,16 @@ def keep_known(docs: DataFrame, model: dict, sure: float = SURE) -> DataFrame:
 
     Texts that switch between languages stay: their best one has more than that.
     """
-    shared, column = share_model(docs.sparkSession, model), fresh(docs, "sure")
+    shared = share_model(docs.sparkSession, model)
 
-    @F.pandas_udf(T.DoubleType())
-    def share(texts: pd.Series) -> pd.Series:
-        labeller, out = _labeller(shared), []
-        for _, part in text_slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])):
-            langs, score = labeller.texts(part)
-            out.append(np.where(np.array(langs) == "und", -1.0, score))
-        return pd.Series(np.concatenate(out) if out else np.zeros(0))
+    def run(batches):
+        labeller = _labeller(shared)
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                langs, score = labeller.texts(texts)
+                yield part.filter(pa.array((np.array(langs) != "und") & (score >= sure)))
 
-    return docs.withColumn(column, share(F.col("text").cast("string"))).where(F.col(column) >= sure).drop(column)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,8 @@ from .common import read, text_slices
 from .runs import RunEncoder
 
 SPACE = "▁"
-MEMO_RUNS = 300_000
-MEMO_PAIRS = 500_000
+MEMO_RUNS = 600_000
+MEMO_PAIRS = 250_000
 _RUN = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n|[^{SPACE}\n]+")
 INF = float("inf")
 
@@ -228,17 +228,20 @@ def compile_model(path: str) -> Transducer:
 
 def encode(docs: DataFrame, model: str, text: str = "text", out: str = "piece_ids") -> DataFrame:
     """``docs`` with the ids of ``text`` as ``out`` (a column of that name is replaced)."""
+    docs = docs.select(*[c for c in docs.columns if c.lower() != out.lower()])
+    if docs.schema[text].dataType != T.StringType():
+        docs = docs.withColumn(text, F.col(text).cast("string"))
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def ids(texts: pd.Series) -> pd.Series:
-        fst, found = compile_model(model), []
-        for _, part in text_slices(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["text"])):
-            ids, n = fst.encode([t or "" for t in part])
-            lists = np.split(ids, np.cumsum(n)[:-1])
-            found += [None if t is None else x for t, x in zip(part, lists)]
-        return pd.Series(found, dtype=object)
+    def run(batches):
+        fst = compile_model(model)
+        for batch in batches:
+            for part, texts in text_slices(batch, text):
+                ids, n = fst.encode([t or "" for t in texts])
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(ids), mask=pa.array([t is None for t in texts]))
+                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
 
-    return docs.withColumn(out, ids(F.col(text).cast("string")))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:

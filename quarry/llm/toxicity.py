@@ -28,15 +28,13 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import fold, fresh, read, staged, text_slices
+from .common import fold, read, staged, text_slices
 
 SAMPLE_ROWS = 20_000
 BITS = 20
@@ -45,7 +43,7 @@ MAX_FEATURES = 8_192
 MIN_G2 = 10.83
 PENALTY = 4.0
 CUT = 0.3
-MEMO_WORDS = 400_000
+MEMO_WORDS = 200_000
 #: fixed values: terms that name groups of people; a swap stays inside its list
 IDENTITY_GROUPS = (
     ("women", "men", "girls", "boys"),
@@ -269,20 +267,14 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_clean(docs: DataFrame, model: dict, cut: float = CUT) -> DataFrame:
     """``docs`` without the rows that score ``cut`` or more."""
-    column = fresh(docs, "toxicity")
-
-    @F.pandas_udf(T.DoubleType())
-    def value(texts: pd.Series) -> pd.Series:
-        global _SCORER
-        if _SCORER is None or _SCORER[0] != key:
-            _SCORER = (key, scorer(model))
-        return pd.Series(_SCORER[1](texts))
-
-    key = xxhash.xxh3_64_intdigest(np.asarray(model["weights"]).tobytes() + repr(model["intercept"]).encode())
-    return docs.withColumn(column, value(F.col("text").cast("string"))).where(F.col(column) < cut).drop(column)
 
+    def run(batches):
+        scores = scorer(model)
+        for batch in batches:
+            for part, texts in text_slices(batch):
+                yield part.filter(pa.array(scores(texts) < cut))
 
-_SCORER = None
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
