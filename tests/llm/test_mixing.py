@@ -94,3 +94,61 @@ def test_edges(spark):
     assert all(r["mix"]["repeats"] == 0 and r["mix"]["target"] == 0 for r in X.mix(void).collect())
     one = X.mix(df.where("source = 'c'")).collect()
     assert all(r["mix"]["repeats"] == 1 for r in one if r["mix"]["size"])
+
+
+def sums_of(lengths, counts):
+    reach = {0}
+    for n, c in zip(lengths, counts):
+        reach = {r + k * int(n) for r in reach for k in range(int(c) + 1)}
+    return reach
+
+
+def fitted(lengths, counts, budget, **options):
+    lengths, counts = np.array(lengths, np.int64), np.array(counts, np.int64)
+    take = X.fit_counts(lengths, counts, budget, above=True, **options)
+    assert (take >= 0).all() and (take <= counts).all()
+    return int((lengths * take).sum()), take
+
+
+def test_fit_counts_takes_the_nearest_sum():
+    assert fitted([100_000], [1], 95_000)[0] == 100_000  # one long document, far over the window
+    assert fitted([100_000], [1], 45_000)[0] == 0
+    assert fitted([40_000, 50_000, 60_000], [1, 1, 1], 90_000)[0] == 90_000
+    assert fitted([7, 10], [2, 2], 20)[0] == 20  # not a document of each length
+    assert fitted([50, 100], [3, 3], 120)[0] == 100 and fitted([50, 100], [3, 3], 130)[0] == 150
+    assert fitted([20_000, 20_500], [30, 30], 401_000)[0] == 401_000
+    rng = random.Random(4)
+    for step in (1, 1000):
+        for window in (1, 50, X.WINDOW):
+            for _ in range(30):
+                lengths = [n * step for n in sorted(rng.sample(range(1, 60), 6))]
+                counts = [rng.randint(0, 4) for _ in lengths]
+                budget = rng.randint(0, sum(n * c for n, c in zip(lengths, counts)) + 5)
+                got, best = fitted(lengths, counts, budget, window=window)[0], min(abs(r - budget) for r in sums_of(lengths, counts))
+                assert abs(got - budget) == best
+
+
+def test_fit_counts_far_over_the_window():
+    rng = random.Random(5)
+    lengths = sorted(rng.sample(range(20, 3000), 350)) + [19_999, 20_020, 90_001]
+    counts = [rng.choice((1, 1, 2)) for _ in lengths]
+    total = sum(n * c for n, c in zip(lengths, counts))
+    for part in (0.1, 0.3, 0.8):
+        got, take = fitted(lengths, counts, int(part * total))
+        assert got == int(part * total)
+        # documents of all lengths, not the longest first: each third of the lengths near its share
+        for k in range(3):
+            mine = slice(k * 117, k * 117 + 117)
+            assert abs(take[mine].sum() / sum(counts[mine]) - part) < 0.1
+        assert not np.array_equal(take, fitted(lengths, counts, int(part * total), seed=99)[1])
+    long = [20_000 + 7 * i for i in range(300)]  # every document longer than the window
+    assert fitted(long, [1] * 300, 1_234_567)[0] == 1_234_567
+    # cells wider than a word: sums stay exact, and as near as a cell
+    assert abs(fitted(long, [1] * 300, 1_234_567, cells=4096)[0] - 1_234_567) <= 1000
+
+
+def test_mix_of_long_documents(spark):
+    df = spark.createDataFrame([(1, "a " * 100_000, "a", 0, "", 0), (2, "b " * 90_000, "b", 0, "", 0)], DOCS)
+    got = {r.doc_id: r.mix for r in X.mix(df).collect()}
+    assert got[1].target == pytest.approx(190_000 * 5 / 7) and got[1].repeats == 1  # 135,714 words: 100,000 is nearer than 200,000
+    assert got[2].target == pytest.approx(190_000 * 2 / 7) and got[2].repeats == 1  # 54,286 words: 90,000 is nearer than 0
