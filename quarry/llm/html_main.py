@@ -15,12 +15,17 @@ at least one half are the main text.
 * pages laid out by ``layouts`` (a seeded grammar of common page layouts, with sidebars,
   notices, forms, comments ...), filled with sentences of the sampled pages.
 
-Scripts, styles, head and comments are markup and never text. Blocks follow the page
-order; white space inside one becomes a single space.
+Head, comments and the contents of ``RAW`` elements (scripts, styles, templates ...) are never
+text; nor are block elements that the page itself hides, with all they hold: by a ``hidden``
+attribute (but ``until-found``), by ``aria-hidden="true"`` or by ``display: none`` in ``style``.
+The words of other attributes hide nothing. ``math``, ``object`` and ``xmp`` are text like any
+other, ``xmp`` with its markup as written. Blocks follow the page order; white space inside one
+becomes a single space.
 
 Defined cases: null, empty or text-free html gives the empty text; a page without any
-markup is one block of text; unclosed or stray tags are closed or skipped as browsers do;
-repeated pages are extracted each; further columns are ignored.
+markup is one block of text; unclosed or stray tags are closed or skipped as browsers do, but
+an unclosed ``RAW`` element ends at the next block (``script``, ``style`` and ``xmp``: where the
+block around it ends) and not with the page; repeated pages are extracted each; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +47,9 @@ SEED = 5
 
 #: fixed values of HTML
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style textarea template iframe noembed noframes noscript svg math object xmp".split()
+RAW = set("script style textarea template iframe noembed noframes noscript svg title annotation annotation-xml".split())
+#: what stands in these is not markup, even where it looks so
+LITERAL = {"script", "style", "xmp"}
 BLOCK = set(
     "html body address article aside blockquote button center dd details dialog div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 header hgroup label legend li main menu nav ol option p pre search section select summary table "
@@ -63,16 +70,43 @@ ENDS = {
 }
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r"|title)\b[^>]*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?][^>]*>|<[!?/a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|display\s*:\s*none|aria-hidden\s*=\s*.?true", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NAMED = {"class", "id", "role", "itemprop"}
+_START_OR_END = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_CLOSING = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in (*RAW, "xmp")}
+_CSS_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 _NAMES = re.compile(r"[A-Za-z][a-z]+|[A-Z]+|\d+")
 _SPACES = re.compile(r"\s+")
 
 
+def attributes(source: str) -> dict[str, str]:
+    """Attributes of a start tag by name in lower case; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(source):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def is_hidden(attrs: dict[str, str]) -> bool:
+    """Whether an element with these attributes hides itself."""
+    if "hidden" in attrs and attrs["hidden"].strip().lower() != "until-found":
+        return True
+    if attrs.get("aria-hidden", "").strip().lower() == "true":
+        return True
+    display = ("", False)  # the last declaration counts, one marked important before others
+    for one in _CSS_COMMENT.sub("", entities.unescape(attrs["style"])).lower().split(";") if "style" in attrs else ():
+        name, _, value = one.partition(":")
+        value, mark, important = value.partition("!")
+        important = mark and important.strip() == "important"
+        if name.strip() == "display" and (important or not display[1]):
+            display = (value.strip(), bool(important))
+    return display[0] == "none"
+
+
 class Page:
     """Block elements in page order: ``tag``, ``parent``, ``names``, ``text`` and ``link`` characters,
     ``words``, and ``runs``: (element, text) in page order."""
@@ -85,14 +119,14 @@ class Page:
         self._parse(source)
 
     def _push(self, stack, tag, attrs):
-        names = []
-        for m in _ATTR.finditer(attrs) if attrs else ():
-            value = m[2] or m[3] or m[4] or ""
-            names += [("r=" if m[1].lower() == "role" else "c=") + n.lower() for n in _NAMES.findall(value)]
+        names, found = [], attributes(attrs) if attrs else {}
+        for name, value in found.items():
+            if name in _NAMED:
+                names += [("r=" if name == "role" else "c=") + n.lower() for n in _NAMES.findall(value)]
         self.tag.append(tag)
         self.parent.append(stack[-1])
         self.names.append(tuple(dict.fromkeys(names)))
-        self.hidden.append(self.hidden[stack[-1]] or bool(attrs and _HIDDEN.search(attrs)))
+        self.hidden.append(self.hidden[stack[-1]] or is_hidden(found))
         for x in (self.chars, self.link, self.n_words):
             x.append(0)
         stack.append(len(self.tag) - 1)
@@ -115,8 +149,8 @@ class Page:
                     self.link[at] += min(linked, len(text))
             linked = 0
 
-        pos = 0
-        for m in _TOKEN.finditer(source):
+        pos, never_closed = 0, set()
+        while m := _TOKEN.search(source, pos):
             if m.start() > pos and not in_head:
                 piece = source[pos : m.start()]
                 buffer.append(piece)
@@ -127,6 +161,25 @@ class Page:
             if not tag:
                 continue
             tag, end, attrs = tag.lower(), m["end"] or m["end2"], m["attrs"] or m["attrs2"] or ""
+            if not end and (tag in RAW or tag == "xmp"):
+                if tag == "svg" and attrs.endswith("/"):
+                    continue
+                closing = None if tag in never_closed else _CLOSING[tag].search(source, pos)
+                if closing:
+                    stop, after = closing.span()
+                else:
+                    never_closed.add(tag)
+                    stop = after = self._end_of_unclosed(source, pos, tag, stack, in_head)
+                if tag == "xmp":  # a block like pre, its text as written
+                    flush()
+                    in_head = in_link = False
+                    self._close(stack, {"p"}, {"button", "td", "th"}, one=True)
+                    self._push(stack, "pre", attrs)
+                    buffer.append(entities.escape(source[pos:stop], quote=False))
+                    flush()
+                    stack.pop()
+                pos = after
+                continue
             if tag == "head":
                 in_head = not end
                 continue
@@ -167,6 +220,22 @@ class Page:
             buffer.append(source[pos:])
         flush()
 
+    def _end_of_unclosed(self, source, pos, tag, stack, in_head):
+        """Where an element of ``RAW`` (or ``xmp``) without an end tag ends."""
+        around, inner = {self.tag[i] for i in stack[1:]} | ({"head"} if in_head else set()), {}
+        for m in _START_OR_END.finditer(source, pos):
+            t = m[2].lower()
+            if m[1]:
+                if inner.get(t):
+                    inner[t] -= 1
+                elif t in around:
+                    return m.start()
+            elif t in BLOCK:
+                if tag not in LITERAL or (t == "body" and in_head):
+                    return m.start()
+                inner[t] = inner.get(t, 0) + 1
+        return len(source)
+
     def _close(self, stack, what, until, one=False):
         for i in range(len(stack) - 1, 0, -1):
             t = self.tag[stack[i]]

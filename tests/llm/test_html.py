@@ -101,3 +101,36 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     model = H.fit(empty, layout_pages=60)
     assert H.extract(empty, model).collect() == []
+
+
+def test_only_the_page_itself_hides_text():
+    for shown in (
+        '<article class="prose hidden md:block">a</article>',
+        '<article data-title="The hidden cost of cheap bread">a</article>',
+        '<div style="overflow: hidden !important">a</div>',
+        '<div data-style="display:none" data-hidden="1" aria-hidden="false">a</div>',
+        '<div title="set display: none or aria-hidden=true">a</div>',
+        '<div style="display:none; display: block">a</div>',
+        '<section hidden="until-found">a</section>',
+    ):
+        assert runs(shown) == ["a"], shown
+    for hidden in ("hidden", "HIDDEN=''", 'class="x" hidden="hidden"', "aria-hidden='true'", "aria-hidden=true", 'style="color:red;DISPLAY : none !important; display:block"', "style=display:none"):
+        assert runs(f"<div {hidden}><p>a</p></div><p>b</p>") == ["b"], hidden
+    assert H.Page('<div data-id="menu" ID=top class="post main">a</div>').names[1] == ("c=top", "c=post", "c=main")
+
+
+def test_math_object_xmp_and_unclosed_elements():
+    assert runs("<article><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds<p>b <object data=f><param name=p>shown</object> c</article>") == ["so x=1 holds", "b shown c"]
+    assert runs("<p>a<xmp>if <b>x</b> &amp; y</xmp>z") == ["a", "if <b>x</b> &amp; y", "z"]
+    for tag in ("svg", "iframe", "noscript", "template", "textarea", "object", "math"):
+        assert runs(f"<article><p>a</p><{tag}><p>b</p></article><p>c</p>") == ["a", "b", "c"], tag
+    assert runs("<article><p>a</p><div><script>x('<div></div>')</div><p>b</p></article>") == ["a", "b"]
+    assert runs("<article><p>a</p><xmp><i></article><p>c") == ["a", "<i>", "c"]
+    assert runs("<head><title>t</head><body><p>a") == ["a"] and runs("<head><style>p{}<body><p>a") == ["a"]
+    assert runs("<p>a<svg/>b<svg-icon>c</svg-icon>d<svg><text>no</text></svg>") == ["abcd"]
+
+
+def test_article_with_hidden_in_a_value_is_extracted(model):
+    body = "<h1>Title here</h1><p>First paragraph of the story, long enough to read.</p><p>Second one with more of the same story.</p>"
+    texts = H.content(model, [f"<html><body><nav><a href='/'>Home</a></nav><article {a}>{body}</article><footer>me</footer></body></html>" for a in ("", 'data-title="The hidden cost of bread"', 'style="overflow: hidden !important"')])
+    assert "Second one with" in texts[0] and texts[0] == texts[1] == texts[2]
