@@ -10,8 +10,8 @@ scores, the value of the k-th best one is located with histograms:
   ``KEEP`` rows per query reach its lower end, or the interval is one integer wide,
 * if more rows than that share the k-th score, the same selection goes on over ``vec_id``
   (smaller first) among the rows of that score,
-* a last pass emits exactly the rows at or above the found (score, vec_id) bound, and a
-  window ranks them.
+* a last pass emits exactly the rows at or above the found (score, vec_id) bound, and one
+  window over all blocks ranks them by query id.
 
 Queries go through the driver in blocks of ``BLOCK`` rows, one block at a time, so what is
 sent to executors has a fixed bound (``BLOCK`` x dimension numbers). Scores are integers:
@@ -22,7 +22,8 @@ Defined cases: vectors that are null, hold a null or non-finite component take n
 query or as candidate; vectors of another length than the query's are no candidates of it;
 with fewer than k candidates all are returned; ties go to the smaller ``vec_id``; repeated
 rows (same ``vec_id`` twice) are separate candidates except that a query never meets rows with
-its own ``vec_id``; a repeated query row is answered once per distinct vector; empty tables
+its own ``vec_id``; all distinct vectors of a query id ask and their candidates are ranked
+together (one found by two of them counts twice), exact copies of a query row ask once; empty tables
 give an empty result; rows with null ``vec_id`` take no part; further columns are ignored.
 """
 
@@ -104,7 +105,7 @@ def _emit(ids, vecs, bound, id_bound):
 
 
 def _block(base: DataFrame, ids: list[int], vecs: np.ndarray, k: int, low_id: int, high_id: int) -> DataFrame:
-    """The k best of one block of queries (all of one length)."""
+    """At least the k best of every query of one block (all of one length), not ranked."""
     n = len(ids)
     top = base.where(F.size("v") == vecs.shape[1]).agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0] or 0
     reach = [int(np.abs(v.astype(object)).sum()) * int(top) + 1 if v.size else 1 for v in vecs]
@@ -151,9 +152,7 @@ def _block(base: DataFrame, ids: list[int], vecs: np.ndarray, k: int, low_id: in
             still.append(i)
         open_ = still
     # rows above the bound all count; of the bound's own score those up to the id bound
-    out = base.mapInPandas(_emit(ids, vecs, bound, id_bound), "query_id bigint, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return out.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return base.mapInPandas(_emit(ids, vecs, bound, id_bound), "query_id bigint, vec_id bigint, score bigint")
 
 
 def topk(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -168,7 +167,7 @@ def topk(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         def run(rows):
             return _block(base, [r.vec_id for r in rows], np.array([r.v for r in rows], dtype=np.int64).reshape(len(rows), -1), k, ends[0], ends[1])
 
-        rows = queries.groupBy("vec_id").agg(F.min("v").alias("v")).select("vec_id", "v")
+        rows = queries.select("vec_id", "v").distinct()
         for r in rows.toLocalIterator():
             same = block.setdefault(len(r.v), [])
             same.append(r)
@@ -179,7 +178,10 @@ def topk(base: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
         for d in done:
             result = d if result is None else result.unionByName(d)
     if result is None:
-        result = spark.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+        result = spark.createDataFrame([], "query_id long, vec_id long, score long")
+    # the vectors of one query id may stand in several blocks
+    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    result = result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return result.select("query_id", "rank", "vec_id", "score")
 
 

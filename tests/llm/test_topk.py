@@ -60,3 +60,20 @@ def test_oracle(spark, sf):
     con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{sf}/embeddings.parquet')")
     want = sorted(con.execute(K.ORACLE).fetchall())
     assert sorted(tuple(r) for r in K.op3_topk(spark, sf).collect()) == want
+
+
+@pytest.mark.parametrize("block", [1, 1024])
+def test_every_vector_of_a_query_id_asks(spark, monkeypatch, tmp_path, block):
+    import random
+
+    import duckdb
+
+    monkeypatch.setattr(K, "BLOCK", block)
+    rng = random.Random(6)
+    rows = [(i, [rng.randint(-8, 8) / 8 for _ in range(3)], 1, 2) for i in range(120)]
+    rows += [(100, [1.0, 1.0, -1.0], 1, 2), (100, [-1.0, 0.5, 1.0], 1, 2), (0, [0.5, 0.25], 1, 2), (7, [1.0, 1.0], 1, 2)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(K.ORACLE).fetchall())
+    assert len(want) == 20 and sorted(tuple(r) for r in K.op3_topk(spark, str(tmp_path)).collect()) == want
