@@ -135,20 +135,46 @@ def _counter(batches):
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[1, at].astype(np.int64)), pa.array(n[0, at].astype(np.int64))], names=["feature", "pos", "neg"])
 
 
-def _grams_in(features: list[int]):
-    """The grams of the batches' texts whose hash is among ``features``."""
+def _gram_counter(features: list[int]):
+    """Texts per class of every gram whose hash is among ``features``."""
 
-    def grams(batches):
-        among, words = set(features), set()
-        found = set()
+    def count(batches):
+        among, memo, n = set(features), {}, {}
         for batch in batches:
-            for _, texts in text_slices(batch):
-                new = {w for t in texts for w in _WORD.findall(t.lower())}.difference(words)
-                found.update(g for w in new for g in grams_of(w) if hashed(g) in among)
-                words |= new if len(words) < MEMO_WORDS else set()
-        yield pa.RecordBatch.from_arrays([pa.array(sorted(found), pa.string())], names=["gram"])
+            for part, texts in text_slices(batch):
+                for t, y in zip(texts, part.column("y").to_pylist()):
+                    found = set()
+                    for w in set(_WORD.findall(t.lower())):
+                        got = memo.get(w)
+                        if got is None:
+                            if len(memo) >= MEMO_WORDS:
+                                memo.clear()
+                            memo[w] = got = tuple(g for g in grams_of(w) if hashed(g) in among)
+                        found.update(got)
+                    for g in found:
+                        n.setdefault(g, [0, 0])[y] += 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array([x[1] for x in n.values()], pa.int64()), pa.array([x[0] for x in n.values()], pa.int64())], names=["gram", "pos", "neg"])
+
+    return count
+
+
+def _g2(pos: int, neg: int):
+    """G2 of a feature that ``p`` of ``pos`` toxic and ``n`` of ``neg`` other texts have."""
+    p, n, all_ = F.col("p").cast("double"), F.col("n").cast("double"), float(pos + neg)
+    seen = p + n
+
+    def part(observed, expected):
+        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
+
+    return 2 * (part(p, seen * (pos / all_)) + part(n, seen * (neg / all_)) + part(pos - p, (all_ - seen) * (pos / all_)) + part(neg - n, (all_ - seen) * (neg / all_)))
 
-    return grams
+
+def strongest(rows: DataFrame, features: list[int], pos: int, neg: int, most: int) -> list[str]:
+    """The grams of toxic texts behind the chosen hashes, those that tell most for toxic first, at most ``most``."""
+    counts = rows.mapInArrow(_gram_counter(features), "gram string, pos bigint, neg bigint").groupBy("gram").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p > 0")
+    g2 = _g2(pos, neg)
+    signed = F.when(F.col("p") / pos > F.col("n") / neg, g2).otherwise(-g2)
+    return [r["gram"] for r in counts.withColumn("g2", signed).orderBy(F.col("g2").desc(), "gram").limit(most).collect()]
 
 
 def _rows_of(grams: dict[str, int], groups):
@@ -214,20 +240,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, p
     if not pos or not neg:
         return flat
     counts = rows.mapInArrow(_counter, "feature int, pos bigint, neg bigint").groupBy("feature").agg(F.sum("pos").alias("p"), F.sum("neg").alias("n")).where("p >= 2")
-    p, n = F.col("p").cast("double"), F.col("n").cast("double")
-    seen, all_ = p + n, float(pos + neg)
-
-    def part(observed, expected):
-        return F.when(observed > 0, observed * F.log(observed / expected)).otherwise(0.0)
-
-    g2 = 2 * (part(p, seen * (pos / all_)) + part(n, seen * (neg / all_)) + part(pos - p, (all_ - seen) * (pos / all_)) + part(neg - n, (all_ - seen) * (neg / all_)))
-    best = counts.where(p / pos > n / neg).withColumn("g2", g2).where(F.col("g2") > MIN_G2).orderBy(F.col("g2").desc(), "feature").limit(MAX_FEATURES)
+    best = counts.where(F.col("p") / pos > F.col("n") / neg).withColumn("g2", _g2(pos, neg)).where(F.col("g2") > MIN_G2).orderBy(F.col("g2").desc(), "feature").limit(MAX_FEATURES)
     features = [r["feature"] for r in best.collect()]
     if not features:
         return flat
-    # the grams of toxic texts behind the chosen hashes
-    of_toxic = rows.where("y = 1").mapInArrow(_grams_in(features), "gram string").distinct().orderBy("gram").limit(4 * MAX_FEATURES)
-    grams = {r["gram"]: i for i, r in enumerate(of_toxic.collect())}
+    grams = {g: i for i, g in enumerate(strongest(rows, features, pos, neg, 4 * MAX_FEATURES))}
     got = rows.mapInArrow(_rows_of(grams, groups), "kind int, y int, x array<int>, c array<int>").toArrow()  # the bounded sample
     text = got["kind"].to_numpy() == 0
     x, c = _lists(got["x"]), _lists(got["c"])

@@ -73,3 +73,13 @@ def test_held_out_quality(spark):
     hit = ((got.predicted == 1) & (got.toxic == 1)).sum()
     assert hit / max(1, (got.predicted == 1).sum()) > 0.9
     assert got[got.toxic == 1].score.mean() > 5 * got[got.toxic == 0].score.mean()
+
+
+def test_strongest_grams_are_kept_whatever_their_letters(spark):
+    rows = [(f"aaa{i} bbb{i} злодей 坏蛋", 1) for i in range(20)] + [(f"aaa{i} ccc{i} мир", 0) for i in range(20)]
+    df = spark.createDataFrame(rows, "text string, y int")
+    features = sorted({X.hashed(g) for t, _ in rows for w in X._WORD.findall(t) for g in X.grams_of(w)})
+    got = X.strongest(df, features, 20, 20, 12)
+    assert len(got) == 12 and "<злодей>" in got and "<坏蛋>" in got and not any("aaa" in g for g in got)
+    everything = X.strongest(df, features, 20, 20, 10_000)
+    assert set(got) < set(everything) and "<мир>" not in everything and "<aaa3>" in everything
