@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .extract import two_level_scan
+from .scan import two_level_scan
 
 
 def fixed_chunks(df: DataFrame, *, id_col: str, text_col: str, size: int, overlap: int = 0) -> DataFrame:

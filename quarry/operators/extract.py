@@ -1,64 +1,57 @@
-"""Class and method extraction without a parser.
-
-Everything is a table operation over a **line table** ``(file_path, ln, line, …)``:
-
-* strings and comments are masked by one native regex pass over each file (the leftmost
-  piece wins), with every line as long as before;
-* definition headers are found by per-language regexes on the masked line;
-* block ends become equi-joins / ordered windows keyed by ``(file, level)``:
-  brace languages — the first ``}`` that closes the header's nesting level;
-  Python — the next code line indented at or left of the header;
-* containment (methods of a class, enclosing class) is an equi-join on
-  ``(file, line)``: each class is exploded into the lines it covers, so the work is
-  the size of the result, never classes × methods of a file;
-* doc comments are gaps-and-islands runs of comment lines directly above a header
-  (Python: the docstring that opens the body).
-
-The running line state (block comments, triple quotes, nesting depth) is a two-level
-prefix sum over chunks of 65,536 lines, so even one huge file is spread over many
-tasks. The later windows are partitioned by file and nesting level or by file.
+"""Class and method extraction.
+
+A source file is a row of the scan. ``units`` makes it one or more units: a file above
+``CHUNK_CHARS`` characters is cut into chunks of whole lines, and each chunk is lexed by itself,
+once from every state that it may well begin in; folding these transition maps in file
+order gives the state and bracket depth that every chunk begins in. From these each chunk
+knows its first place between two top-level statements, and the stretches from one such place to
+the next are units, which need nothing from each other. The rows found are the same for
+every chunk size.
+
+A unit is lexed (strings and comments blanked in place), cut into statements by its brackets,
+and each statement knows the bracket (in Python the line) that ends its block. Headers are
+regular expressions over a statement's own level of brackets, so a header may hold strings,
+generics and parameter lists over many lines. Which class holds a method is an equi-join on
+(unit, line): each class is exploded into the lines it covers, so the work is the size of
+the result, never classes x methods of a file.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import checkpoint_dir
-
-# --- fixed per-language patterns -------------------------------------------------
-_DQ = r'"(?:[^"\\\n]++|\\[\s\S])*+(?:"|(?=\n)|\z)'
-_SQ = r"'(?:[^'\\\n]++|\\[\s\S])*+(?:'|(?=\n)|\z)"
-_BLOCK = r"/\*[\s\S]*?(?:\*/|\z)"
-_LINE = r"//[^\n]*+"
-# the pieces a source falls into, the leftmost match first: strings, comments, code
-TOKENS = {
-    "python": r'"""[\s\S]*?(?:"""|\z)' + r"|\'\'\'[\s\S]*?(?:\'\'\'|\z)|#[^\n]*+|" + _DQ + "|" + _SQ + r"""|[^"'#]++""",
-    "java": r'"""[\s\S]*?(?:"""|\z)|' + _BLOCK + "|" + _LINE + "|" + _DQ + "|" + _SQ + r"""|[^"'/]++|/""",
-    "javascript": _BLOCK + "|" + _LINE + "|" + _DQ + "|" + _SQ + r"""|`(?:[^`\\]++|\\[\s\S])*+(?:`|\z)|[^"'`/]++|/""",
-    "rust": _BLOCK + "|" + _LINE + r"""|"(?:[^"\\]++|\\[\s\S])*+(?:"|\z)|'(?:[^'\\\n]|\\[^\n]{1,9}?)'|'|[^"'/]++|/""",
+from ..session import checkpoint_dir, ship_package
+from . import lex
+
+CHUNK_CHARS = 4_000_000
+
+# --- fixed per-language patterns, over the head of a statement --------------------------
+_ID = r"[\p{L}_$][\p{L}\p{N}_$]*"
+_JAVA_PREFIX = (
+    r"^(?:@[\w.]+\s*(?:\(\))?\s*|(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp|sealed|non-sealed|transient|volatile)\s+)*"
+)
+_JAVA_TAIL = r"\s*\(\)\s*(?:\[\s*\]\s*)*(?:throws\b[\s\S]*)?$"
+_JAVA_TYPE = r"(?!(?:return|new|throw|else|case|assert|yield|package|import|class|enum|record|interface)\b)(?:<[^()]*?>\s*)?(?:[\w$.<>\[\]?,&@\s]*[\w$>\]]\s+|[\w$.<>\[\]?,&@\s]*[>\]])"
+CLASS_HEAD = {
+    "python": rf"^class\s+({_ID})",
+    "java": rf"{_JAVA_PREFIX}class\s+({_ID})",
+    "javascript": rf"^class\s+({_ID})",
+    "rust": rf"^(?:pub\s*(?:\(\))?\s+)?struct\s+({_ID})",
 }
-_ID = r"[A-Za-z_$][A-Za-z0-9_$]*"
-CLASS_HEADER = {
-    "python": r"^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)",
-    "java": r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|sealed|non-sealed|strictfp)\s+)*class\s+(" + _ID + ")",
-    "javascript": r"^\s*(?:export\s+(?:default\s+)?)?class\s+(" + _ID + ")",
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_][A-Za-z0-9_]*)",
+METHOD_HEAD = {
+    "python": rf"^(?:async\s+)?def\s+({_ID})",
+    "java": rf"{_JAVA_PREFIX}{_JAVA_TYPE}({_ID}){_JAVA_TAIL}",
+    "javascript": rf"^(?:(?:static|async|get|set)\s+|\*\s*)*(#?{_ID}|\[\])\s*\(\)$",
+    "rust": rf"^(?:pub\s*(?:\(\))?\s+)?(?:(?:default|const|async|unsafe|extern(?:\s+\"\s*\")?)\s+)*fn\s+({_ID})",
 }
-METHOD_HEADER = {
-    "python": r"^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)",
-    "java": (
-        r"^\s*+(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|abstract|synchronized|native|default|strictfp)\s+)*"
-        r"(?:<[^>]*>\s+)?(?:(?!return\b|new\b|throw\b|else\b|case\b|assert\b|yield\b)[\w$.<>\[\]?, ]+?\s+)?(" + _ID + r")\s*\("
-    ),
-    "javascript": r"^\s*(?:(?:static|async|get|set)\s+|\*\s*)*(#?" + _ID + r")\s*\([^)]*\)\s*\{",
-    "rust": r"^\s*(?:pub(?:\([^)]*\))?\s+)?(?:(?:const|async|unsafe|extern(?:\s+\"[^\"]*\")?)\s+)*fn\s+([A-Za-z_][A-Za-z0-9_]*)",
-}
-JAVA_BARE = r"^\s*(?:@\w+(?:\([^)]*\))?\s+)*(?:(?:public|protected|private|static|final|synchronized)\s+)*" + _ID + r"\s*\("
-# names a header regex may capture that are statements, not definitions
+JAVA_CONSTRUCTOR = rf"{_JAVA_PREFIX}(?:<[^()]*?>\s*)?({_ID}){_JAVA_TAIL}"
+JAVA_TYPE_NAME = rf"{_JAVA_PREFIX}(?:class|enum|record)\s+({_ID})"
+COMPUTED_NAME = r"^(?:(?:static|async|get|set)\s+|\*\s*)*(\[[^\]]*\])"
+# names a head may give that are statements, not definitions
 NOT_A_NAME = ["if", "for", "while", "switch", "catch", "with", "function", "return", "new", "else", "do", "try", "synchronized"]
-BRACE_LANGUAGES = ["java", "javascript", "rust"]
 
 
 def _by_language(lang: Column, table: dict, fn) -> Column:
@@ -69,312 +62,227 @@ def _by_language(lang: Column, table: dict, fn) -> Column:
     return expr
 
 
-CHUNK_LINES = 65536
+def _key(df: DataFrame) -> str:
+    return f"key {df.schema['key'].dataType.simpleString()}"
 
 
-def two_level_scan(df: DataFrame, part: list, value, agg: str, out: str, *, reverse: bool = False, inclusive: bool = False, tiebreak=None, chunk_lines: int | None = None) -> DataFrame:
-    """Running ``agg`` (sum / max / min) of ``value`` over the rows before each row in
-    ``ln`` order (after it when ``reverse``), within ``part`` (a file, or file and level).
+def _chunks(files: DataFrame, size: int) -> DataFrame:
+    """``key, language, chunk, first_line, piece``: files cut behind line ends, ``size`` characters or more each."""
 
-    Two levels: a window over ``(part, chunk of lines)`` and, for the chunks before
-    (or after) the row's chunk, their aggregates from a small per-chunk table joined
-    back on ``(part, chunk)`` — the partitioning the window already has. No window
-    partition ever holds more than ``chunk_lines`` lines of one file.
-    """
-    size = chunk_lines or CHUNK_LINES
-    fn = {"sum": F.sum, "max": F.max, "min": F.min}[agg]
-    d = df.withColumn("_ck", F.floor((F.col("ln") - 1) / size)).withColumn("_sv", value)
-    order = [F.col("ln").desc() if reverse else F.col("ln").asc()] + ([tiebreak] if tiebreak is not None else [])
-    w_in = Window.partitionBy(*part, "_ck").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    d = d.withColumn("_sin", fn("_sv").over(w_in))
-    tot = d.groupBy(*part, "_ck").agg(fn("_sv").alias("_st"))
-    w_ck = Window.partitionBy(*part).orderBy(F.col("_ck").desc() if reverse else F.col("_ck").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    prior = tot.select(*part, "_ck", fn("_st").over(w_ck).alias("_sp"))
-    d = d.join(prior, [*part, "_ck"], "left")
-    if agg == "sum":
-        res = F.coalesce("_sin", F.lit(0)) + F.coalesce("_sp", F.lit(0))
-    elif agg == "max":
-        res = F.coalesce(F.greatest("_sin", "_sp"), "_sin", "_sp")
-    else:
-        res = F.coalesce(F.least("_sin", "_sp"), "_sin", "_sp")
-    return d.withColumn(out, res).drop("_ck", "_sv", "_sin", "_sp")
-
-
-def prefix_sums(lines: DataFrame, key: str, values: dict, chunk_lines: int | None = None) -> DataFrame:
-    """Exclusive running sums over each file's lines (two-level, see ``two_level_scan``)."""
-    for name, v in values.items():
-        lines = two_level_scan(lines, [key], v, "sum", name, chunk_lines=chunk_lines).withColumn(name, F.col(name).cast("int"))
-    return lines
-
-
-IN_STRING, IN_COMMENT = "\x01", "\x02"
-
-
-def _masked(text, lang) -> Column:
-    """The source with strings and comments blanked, every line as long as before.
-
-    One regex pass over the whole file cuts it into strings, comments and code, so a quote
-    in a comment or a comment sign in a string means nothing. A string keeps its quotes.
-    A line that begins inside a string or comment begins with a mark (``IN_STRING``,
-    ``IN_COMMENT``), which the caller takes off.
-    """
+    def run(batches):
+        for b in batches:
+            for i, text in enumerate(b.column("text").to_pylist()):
+                out, at, ln = [], 0, 0
+                while at < len(text):
+                    z = text.find("\n", min(len(text), at + size) - 1) + 1 or len(text)
+                    out.append((len(out), ln, text[at:z]))
+                    ln += text.count("\n", at, z)
+                    at = z
+                take = pa.array([i] * len(out), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("key").take(take), b.column("language").take(take), *(pa.array(c, t) for c, t in zip(map(list, zip(*out)), (pa.int32(), pa.int32(), pa.string())))],
+                    names=["key", "language", "chunk", "first_line", "piece"],
+                )
 
-    def blank(piece, mark):
-        return F.regexp_replace(F.regexp_replace(piece, r"[^\n]", " "), "\n", "\n" + mark)
+    return files.mapInArrow(run, f"{_key(files)}, language string, chunk int, first_line int, piece string")
 
-    def mask(piece):
-        first, three, n = F.substring(piece, 1, 1), F.substring(piece, 1, 3), F.length(piece)
-        comment = (first == "#") & (lang == "python") | (lang != "python") & F.substring(piece, 1, 2).isin("//", "/*")
-        triple = three.isin('"""', "'''") & (n >= 6)
-        inner = F.when(triple, piece.substr(F.lit(4), n - 6)).otherwise(piece.substr(F.lit(2), n - 2))
-        quote = F.when(triple, three).otherwise(first)
-        closed = F.when(triple, piece.endswith('"""') | piece.endswith("'''")).otherwise((n > 1) & (F.substring(piece, -1, 1) == first))
-        string = F.when(closed, F.concat(quote, blank(inner, IN_STRING), quote)).otherwise(F.concat(first, blank(piece.substr(F.lit(2), n - 1), IN_STRING)))
-        return F.when(comment, blank(piece, IN_COMMENT)).when(first.isin('"', "'", "`"), string).otherwise(piece)
 
-    pieces = _by_language(lang, TOKENS, lambda p: F.regexp_extract_all(text, F.lit(p), 0))
-    return F.coalesce(F.array_join(F.transform(pieces, mask), ""), text)
+def _transitions(batches):
+    """The state that a chunk ends in, for each state that it is asked about."""
+    for b in batches:
+        exits = []
+        for piece, language, chunk, state in zip(*(b.column(c).to_pylist() for c in ("piece", "language", "chunk", "asked"))):
+            states = [state] if state is not None else ["", *lex.USUAL[language]] if chunk else [""]
+            exits.append([(s, lex.lex(piece, language, s)[1]) for s in states])
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("chunk"), pa.array(exits, pa.map_(pa.string(), pa.string()))], names=["key", "chunk", "exits"])
 
 
-def line_table(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language") -> DataFrame:
-    """One row per line with masking, indentation, nesting depth and line state.
+def chunk_states(chunks: DataFrame) -> DataFrame:
+    """``key, chunk, state``: the lexer's state at the begin of every chunk.
 
-    A file is one row of the scan already, so masking it as a whole holds no more than the
-    scan does; everything after works on lines.
+    Every chunk is lexed once for all usual states; a fold over each file's maps gives the states.
+    Where a chunk turns out to begin in an unusual one (deep nests), it is lexed from that one
+    and the fold goes on, until nothing is left open.
     """
-    files = files.select(key, F.col(lang_col).alias("language"), F.col(text_col).alias("_text"))
-    files = files.withColumn("_mask", _masked(F.col("_text"), F.col("language")))
-    both = F.arrays_zip(F.split("_text", "\n", -1).alias("line"), F.split("_mask", "\n", -1).alias("m"))
-    lines = files.select(key, "language", F.posexplode(both).alias("pos", "both"))
-    lines = lines.select(key, "language", (F.col("pos") + 1).cast("int").alias("ln"), F.col("both.line").alias("line"), F.col("both.m").alias("_m"))
-    lang = F.col("language")
-    brace = lang.isin(*BRACE_LANGUAGES)
-    lines = lines.withColumns(
-        {
-            "in_string": F.col("_m").startswith(IN_STRING),
-            "in_block_comment": F.col("_m").startswith(IN_COMMENT),
-            "masked": F.regexp_replace("_m", f"^[{IN_STRING}{IN_COMMENT}]", ""),
-        }
-    ).drop("_m")
-    tq = F.when(lang == "python", F.size(F.regexp_extract_all("masked", F.lit("\"\"\"|'''"), 0))).otherwise(F.lit(0))
-    lines = lines.withColumn("tq", tq)
-    lines = lines.withColumn("indent", F.length(F.regexp_extract("line", r"^[ \t]*", 0)).cast("int"))
-    lines = lines.withColumn("is_code", ~F.col("in_string") & (F.length(F.trim("masked")) > 0) | F.col("in_string") & F.col("masked").rlike(r"[^\s\"'`]"))
-    lines = lines.withColumn("is_content", F.col("is_code") | (F.col("in_string") & (F.length(F.trim("line")) > 0)))
-    # nesting: braces, in Python the brackets that make a statement go on over lines
-    lines = lines.withColumn("_br", F.when(brace, F.regexp_replace("masked", r"[^{}]", "")).otherwise(F.lit("")))
-    marks = F.when(brace, F.col("_br")).otherwise(F.regexp_replace("masked", r"[^\[\](){}]", ""))
-    delta = F.length(F.regexp_replace(marks, r"[\])}]", "")) - F.length(F.regexp_replace(marks, r"[\[({]", ""))
-    lines = prefix_sums(lines, key, {"tq_before": F.col("tq"), "depth": delta.cast("int")})
-    return lines.withColumn("goes_on", (lang == "python") & (F.col("depth") > 0))
-
-
-def _closed_levels(br: Column, depth: Column) -> Column:
-    """Levels closed by the ``}`` of one line, scanning its braces left to right."""
-    chars = F.filter(F.split(br, ""), lambda c: c != "")
-    init = F.struct(depth.alias("d"), F.array().cast("array<int>").alias("c"))
-    res = F.aggregate(
-        chars,
-        init,
-        lambda acc, ch: F.when(ch == "{", F.struct((acc["d"] + 1).alias("d"), acc["c"].alias("c"))).otherwise(
-            F.struct((acc["d"] - 1).alias("d"), F.array_append(acc["c"], acc["d"]).alias("c"))
-        ),
-    )
-    return res["c"]
+    schema = f"{_key(chunks)}, chunk int, exits map<string,string>"
+    maps = chunks.withColumn("asked", F.lit(None).cast("string")).mapInArrow(_transitions, schema).checkpoint(eager=True)
+    while True:
+        files = maps.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("chunk", F.map_entries("exits").alias("exits")))).alias("c"))
+        begin = F.struct(F.lit("").alias("at"), F.array(F.lit("")).alias("states"))
+
+        def step(acc, x):
+            after = F.coalesce(F.element_at(F.map_from_entries(x["exits"]), acc["at"]), F.lit("?"))
+            return F.struct(after.alias("at"), F.array_append(acc["states"], after).alias("states"))
+
+        states = files.select("key", F.posexplode(F.aggregate("c", begin, step, lambda acc: acc["states"])).alias("chunk", "state"))
+        found = maps.join(states, ["key", "chunk"])
+        # the first chunk of a file whose state its map doesn't know
+        open_ones = found.where((F.col("state") != "?") & F.element_at("exits", F.col("state")).isNull()).select("key", "chunk", F.col("state").alias("asked"))
+        if open_ones.isEmpty():
+            return found.select("key", "chunk", "state")
+        more = chunks.join(open_ones, ["key", "chunk"]).select("key", "language", "chunk", "piece", "asked").mapInArrow(_transitions, schema)
+        both = maps.unionByName(more).select("key", "chunk", F.explode("exits").alias("s", "e"))
+        maps = both.groupBy("key", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("s", "e"))).alias("exits")).checkpoint(eager=True)
+
+
+def _cuts(batches):
+    """Per chunk: the change of bracket depth, and its first clean cut for each depth it may begin at."""
+    for b in batches:
+        delta, cuts = [], []
+        for piece, language, state in zip(*(b.column(c).to_pylist() for c in ("piece", "language", "state"))):
+            closed = []
+            masked, _ = lex.lex(piece, language, state, closed=closed)
+            delta.append(sum(map(masked.count, "([{")) - sum(map(masked.count, ")]}")))
+            cuts.append([(-d, at) for d, at in lex.clean_cuts(piece, masked, language, closed).items() if d <= 0])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("key"), b.column("chunk"), pa.array(delta, pa.int64()), pa.array(cuts, pa.map_(pa.int64(), pa.int32()))], names=["key", "chunk", "delta", "cuts"]
+        )
 
 
-def headers(lines: DataFrame, key: str = "file_path") -> DataFrame:
-    """Definition headers: ``(file, ln, kind, name, indent, level, decl_only)``."""
-    lang = F.col("language")
-    cname = _by_language(lang, CLASS_HEADER, lambda p: F.regexp_extract("masked", p, 1))
-    mname = _by_language(lang, METHOD_HEADER, lambda p: F.regexp_extract("masked", p, 1))
-    code = lines.where(F.col("is_code") & ~F.col("goes_on") & ~F.col("in_string"))
-    cls = code.select(key, "language", "ln", "indent", "depth", "masked", F.lit("class").alias("kind"), cname.alias("name"))
-    mth = code.select(key, "language", "ln", "indent", "depth", "masked", F.lit("method").alias("kind"), mname.alias("name"))
-    statement = F.col("language").isin("java", "javascript") & F.col("name").isin(*NOT_A_NAME)
-    hs = cls.unionByName(mth).where((F.col("name") != "") & ~statement)
-    # a class header line is not also a method header
-    hs = hs.withColumn("_pri", F.when(F.col("kind") == "class", 0).otherwise(1))
-    w = Window.partitionBy(key, "ln").orderBy("_pri")
-    hs = hs.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r", "_pri")
-    ends_semi = F.rtrim("masked").endswith(";")
-    # a Java "header" ending in ';' is a call statement unless it declares an abstract/native method
-    java_call = (F.col("language") == "java") & (F.col("kind") == "method") & ends_semi & ~F.col("masked").rlike(r"\b(abstract|native)\b")
-    hs = hs.where(~java_call)
-    # a name and a bracket without a type before it is a constructor or, over several lines, a call
-    bare = (F.col("language") == "java") & (F.col("kind") == "method") & F.col("masked").rlike(JAVA_BARE)
-    own = hs.where(F.col("kind") == "class").select(F.col(key).alias("_ck"), F.col("name").alias("_cn")).distinct()
-    hs = hs.where(~bare).unionByName(hs.where(bare).join(own, (F.col(key) == F.col("_ck")) & (F.col("name") == F.col("_cn")), "left_semi"))
-    decl_only = F.col("language").isin(*BRACE_LANGUAGES) & ~F.col("masked").contains("{") & ends_semi
-    return hs.withColumn("decl_only", decl_only).withColumn(
-        "level", F.when(F.col("language") == "python", F.col("indent")).otherwise(F.col("depth") + 1)
-    ).drop("masked")
-
-
-def block_ends(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> DataFrame:
-    """Add ``end_line`` to each header."""
-    # brace languages: close events per (file, level)
-    blines = lines.where(F.col("language").isin(*BRACE_LANGUAGES) & (F.length("_br") > 0))
-    closes = blines.select(key, "ln", F.explode(_closed_levels(F.col("_br"), F.col("depth"))).alias("level"))
-    # python: every code line is a boundary for each header level at or right of it
-    py_levels = hs.where(F.col("language") == "python").groupBy(key).agg(F.collect_set("level").alias("_lv"))
-    pcode = lines.where((F.col("language") == "python") & F.col("is_code") & ~F.col("in_string") & ~F.col("goes_on")).select(key, "ln", "indent")
-    bounds = pcode.join(py_levels, key).select(key, "ln", F.explode(F.filter("_lv", lambda lv: lv >= F.col("indent"))).alias("level"))
-    events = (
-        closes.select(key, "level", "ln", F.lit(0).alias("_h"), F.col("ln").alias("_close"), F.lit(None).cast("int").alias("_bound"))
-        .unionByName(bounds.select(key, "level", "ln", F.lit(0).alias("_h"), F.lit(None).cast("int").alias("_close"), F.col("ln").alias("_bound")))
+def _joined_units(chunks: DataFrame) -> DataFrame:
+    """Chunks put together to units that begin and end between two top-level statements."""
+    lexed = chunks.join(chunk_states(chunks), ["key", "chunk"])
+    schema = f"{_key(chunks)}, chunk int, delta bigint, cuts map<bigint,int>"
+    found = lexed.select("key", "chunk", "language", "piece", "state").mapInArrow(_cuts, schema)
+    w = Window.partitionBy("key").orderBy("chunk")  # a row per chunk, without its text
+    depth = F.coalesce(F.sum("delta").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    found = found.withColumn("cut", F.when(F.col("chunk") == 0, F.lit(0)).otherwise(F.element_at("cuts", depth)))
+    found = found.withColumn("unit", F.count("cut").over(w.rowsBetween(Window.unboundedPreceding, 0))).select("key", "chunk", "cut", "unit")
+    both = chunks.join(found, ["key", "chunk"])
+    cut = F.coalesce("cut", F.length("piece"))
+    parts = F.array(
+        F.struct((F.col("unit") - F.col("cut").isNotNull().cast("int")).alias("unit"), F.col("first_line"), F.substring("piece", F.lit(1), cut).alias("piece")),
+        F.struct(
+            F.col("unit"),
+            (F.col("first_line") + F.length(F.regexp_replace(F.substring("piece", F.lit(1), cut), "[^\n]", ""))).cast("int").alias("first_line"),
+            F.substring("piece", cut + 1, F.length("piece")).alias("piece"),
+        ),
     )
-    heads = hs.select(key, "level", "ln", F.lit(1).alias("_h"), F.lit(None).cast("int").alias("_close"), F.lit(None).cast("int").alias("_bound"))
-    allr = events.unionByName(heads)
-    # nearest close at or after the header, nearest boundary strictly after it: a
-    # suffix minimum of event lines per (file, level), in two levels
-    allr = two_level_scan(allr, [key, "level"], F.col("_close"), "min", "_close_at", reverse=True, inclusive=True, tiebreak=F.col("_h").asc())
-    allr = two_level_scan(allr, [key, "level"], F.col("_bound"), "min", "_bound_at", reverse=True, inclusive=True, tiebreak=F.col("_h").desc())
-    found = allr.where(F.col("_h") == 1).select(key, "level", "ln", "_close_at", "_bound_at")
-    out = hs.join(found, [key, "level", "ln"], "left")
-    # python end = last content line before the boundary (or the file's last content line)
-    prev_content = two_level_scan(lines.select(key, "ln", "is_content"), [key], F.when(F.col("is_content"), F.col("ln")), "max", "_pend")
-    prev_content = prev_content.select(key, F.col("ln").alias("_bound_at"), "_pend")
-    last_content = lines.where(F.col("is_content")).groupBy(key).agg(F.max("ln").alias("_fend"))
-    out = out.join(prev_content, [key, "_bound_at"], "left").join(last_content, key, "left")
-    end = (
-        F.when(F.col("decl_only"), F.col("ln"))
-        .when(F.col("language") == "python", F.coalesce(F.when(F.col("_bound_at").isNotNull(), F.col("_pend")), F.col("_fend")))
-        .otherwise(F.coalesce(F.col("_close_at"), F.col("ln")))
+    rows = both.select("key", "language", "chunk", F.posexplode(parts).alias("half", "p")).where(F.length("p.piece") > 0)
+    text = rows.groupBy("key", "language", "p.unit").agg(
+        F.min("p.first_line").alias("first_line"), F.array_join(F.array_sort(F.collect_list(F.struct("chunk", "half", "p.piece")))["piece"], "").alias("text")
     )
-    return out.withColumn("end_line", F.greatest(end, F.col("ln")).cast("int")).withColumnRenamed("ln", "start_line").drop("_close_at", "_bound_at", "_pend", "_fend")
+    return text.select("key", "language", "first_line", "text")
+
+
+def _parsed(batches):
+    """``masked`` text and statements of every unit; begin, end and lines counted within the unit."""
+    item = pa.list_(pa.struct([("a", pa.int32()), ("ln", pa.int32()), ("end_ln", pa.int32()), ("z", pa.int32()), ("name_ln", pa.int32()), ("head", pa.string()), ("stop", pa.string()), ("doc", pa.string()), ("source", pa.string())]))
+    for b in batches:
+        masks, found = [], []
+        for text, language in zip(b.column("text").to_pylist(), b.column("language").to_pylist()):
+            comments: list = []
+            masked, _ = lex.lex(text, language, comments=comments)
+            some = lex.python_statements(text, masked) if language == "python" else lex.statements(text, masked, language, comments)
+            rows, at, ln = [], 0, 1
+            for a, z, head, stop, doc, name in sorted(some):
+                ln += text.count("\n", at, a)
+                at = a
+                rows.append((a, ln, ln + text.count("\n", a, z), z, ln + text.count("\n", a, name), head, stop, doc, text[a:z]))
+            masks.append(masked)
+            found.append([dict(zip(("a", "ln", "end_ln", "z", "name_ln", "head", "stop", "doc", "source"), r)) for r in rows])
+        yield pa.RecordBatch.from_arrays(
+            [b.column("key"), b.column("language"), b.column("first_line"), b.column("text"), pa.array(masks, pa.string()), pa.array(found, item)],
+            names=["key", "language", "first_line", "text", "masked", "statements"],
+        )
 
 
-def _span_text(lines: DataFrame, spans: DataFrame, key: str, id_cols: list[str], start: str, end: str, out: str) -> DataFrame:
-    """Text of lines ``start..end`` per span; first line from its indent, last line right-trimmed.
+def units(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", chunk_chars: int | None = None) -> DataFrame:
+    """``key, language, first_line, text, masked, statements`` per unit, written once.
 
-    Each span is exploded into its line numbers and joined to the line table on
-    ``(file, line)`` — an equi-join whose size is the text being assembled, instead of
-    a range condition that would test every span against every line of its file.
+    Files of another language than the four, and null texts, have no unit.
     """
-    sp = spans.select(*id_cols, F.col(start).alias("_s"), F.col(end).alias("_e"), F.explode(F.sequence(F.col(start), F.col(end))).alias("_ln"))
-    l = lines.select(F.col(key).alias("_f"), F.col("ln").alias("_ln"), F.col("line").alias("_line"), F.col("indent").alias("_ind"))
-    j = sp.join(l, (sp[key] == l["_f"]) & (sp["_ln"] == l["_ln"])).drop(l["_ln"])
-    piece = F.when(F.col("_ln") == F.col("_s"), F.expr("substring(_line, _ind + 1)")).otherwise(F.col("_line"))
-    piece = F.when(F.col("_ln") == F.col("_e"), F.regexp_replace(piece, r"\s+$", "")).otherwise(piece)
-    agg = j.groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct(F.col("_ln").alias("o"), piece.alias("t")))).alias("_p"))
-    return agg.select(*id_cols, F.array_join(F.col("_p.t"), "\n").alias(out))
-
-
-def doc_comments(lines: DataFrame, hs: DataFrame, key: str = "file_path") -> DataFrame:
-    """``(file, start_line, doc_comment)`` for method headers."""
-    trimmed = F.trim(F.col("line"))
-    lang = F.col("language")
-    is_blank = F.length(trimmed) == 0
-    starts_cmt = trimmed.startswith("//") | trimmed.startswith("/*") | trimmed.startswith("*")
-    comment_line = F.col("in_block_comment") | starts_cmt
-    keep = (
-        F.when(lang == "java", F.col("in_block_comment") | trimmed.startswith("/*") | (trimmed.startswith("*") & ~trimmed.startswith("*/") | trimmed.startswith("*/")))
-        .when(lang.isin("javascript", "rust"), comment_line)
-        .otherwise(F.lit(False))
-    )
-    annotation = (lang == "java") & trimmed.rlike(r"^@\w+(\(.*\))?$")
-    transparent = is_blank | annotation | ((lang == "java") & trimmed.startswith("//"))
-    solid = ~(keep | transparent)
-    brace_lines = lines.where(lang.isin(*BRACE_LANGUAGES)).withColumn("_keep", keep)
-    brace_lines = two_level_scan(brace_lines, [key], solid.cast("int"), "sum", "_g", inclusive=True)
-    h = hs.where((F.col("kind") == "method") & lang.isin(*BRACE_LANGUAGES)).select(key, F.col("start_line"))
-    hg = h.join(brace_lines.select(key, F.col("ln").alias("start_line"), (F.col("_g") - 1).alias("_g")), [key, "start_line"])
-    cm = brace_lines.where("_keep").select(key, "_g", F.col("ln").alias("_ln"), "line")
-    runs = hg.join(cm, [key, "_g"]).where(F.col("_ln") < F.col("start_line"))
-    brace_docs = runs.groupBy(key, "start_line").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("_ln").alias("o"), F.col("line").alias("t")))).alias("_p")
-    ).select(key, "start_line", F.trim(F.array_join(F.col("_p.t"), "\n")).alias("doc_comment"))
-
-    # python: the string that opens the body
-    py = lines.where(lang == "python")
-    py = two_level_scan(py, [key], F.when(F.col("is_content"), F.col("ln")), "min", "_next_content", reverse=True)
-    ph = hs.where((F.col("kind") == "method") & (lang == "python")).select(key, "start_line")
-    ph = ph.join(py.select(key, F.col("ln").alias("start_line"), F.col("_next_content").alias("_b")), [key, "start_line"])
-    first = py.select(key, F.col("ln").alias("_b"), F.col("line").alias("_bl"), "tq", "tq_before")
-    ph = ph.join(first, [key, "_b"]).where(F.trim("_bl").rlike(r"^[rRuUbBfF]{0,2}(\"\"\"|'''|\"|')"))
-    # closing line of a triple-quoted docstring: where the running quote count reaches +2
-    reach = py.where(F.col("tq") > 0).select(
-        key, F.col("ln").alias("_e"), F.explode(F.sequence(F.col("tq_before") + 1, F.col("tq_before") + F.col("tq"))).alias("_target")
+    spark, size = files.sparkSession, chunk_chars or CHUNK_CHARS
+    ship_package(spark)
+    checkpoint_dir(spark)
+    rows = files.select(F.col(key).alias("key"), F.col(lang_col).alias("language"), F.col(text_col).alias("text"))
+    rows = rows.where(F.col("language").isin(*CLASS_HEAD) & F.col("text").isNotNull())
+    whole = rows.where(F.length("text") <= size).select("key", "language", F.lit(0).alias("first_line"), "text")
+    chunks = _chunks(rows.where(F.length("text") > size), size).repartition("key", "chunk").checkpoint(eager=True)
+    if not chunks.isEmpty():
+        whole = whole.unionByName(_joined_units(chunks))
+    items = "array<struct<a:int,ln:int,end_ln:int,z:int,name_ln:int,head:string,stop:string,doc:string,source:string>>"
+    schema = f"{_key(rows)}, language string, first_line int, text string, masked string, statements {items}"
+    return whole.mapInArrow(_parsed, schema).checkpoint(eager=True)
+
+
+def lines_of(parsed: DataFrame, key: str = "file_path") -> DataFrame:
+    """``file, language, ln, line, masked, is_code`` from units; the line that only ends a unit is left out."""
+    both = F.arrays_zip(F.split("text", "\n", -1).alias("line"), F.split("masked", "\n", -1).alias("masked"))
+    rows = parsed.select(F.col("key").alias(key), "language", "first_line", F.posexplode(both).alias("pos", "l"))
+    rows = rows.where((F.col("l.line") != "") | (F.col("pos") == 0))
+    return rows.select(
+        key, "language", (F.col("first_line") + F.col("pos") + 1).cast("int").alias("ln"), F.col("l.line").alias("line"), F.col("l.masked").alias("masked"),
+        F.col("l.masked").rlike(r"\S").alias("is_code"),
     )
-    ph = ph.withColumn(
-        "_target", F.when(F.trim("_bl").rlike(r"^[rRuUbBfF]{0,2}(\"\"\"|''')") & (F.col("tq") == 1), F.col("tq_before") + 2)
+
+
+def line_table(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", chunk_chars: int | None = None) -> DataFrame:
+    """One row per line that isn't empty, with strings and comments blanked in ``masked``."""
+    return lines_of(units(files, key=key, text_col=text_col, lang_col=lang_col, chunk_chars=chunk_chars), key)
+
+
+def definitions(parsed: DataFrame) -> DataFrame:
+    """``key, language, unit, begin, end, kind, name, doc, source, start_line, end_line``."""
+    lang = F.col("language")
+    own = F.transform("statements", lambda s: F.regexp_extract(s["head"], JAVA_TYPE_NAME, 1))
+    rows = parsed.select("key", "language", F.col("first_line").alias("unit"), F.when(lang == "java", own).alias("own"), F.explode("statements").alias("s"))
+    head, block = F.col("s.head"), F.col("s.stop") == "{"
+    cname = _by_language(lang, CLASS_HEAD, lambda p: F.regexp_extract(head, p, 1))
+    mname = _by_language(lang, METHOD_HEAD, lambda p: F.regexp_extract(head, p, 1))
+    bare = F.regexp_extract(head, JAVA_CONSTRUCTOR, 1)
+    # a name and brackets without a type before them: a constructor where a type has that name
+    mname = F.when((lang == "java") & (mname == ""), F.when(block & F.array_contains("own", bare), bare).otherwise("")).otherwise(mname)
+    mname = F.when(mname == "[]", F.regexp_extract("s.source", COMPUTED_NAME, 1)).otherwise(mname)
+    is_class = (cname != "") & (block | lang.isin("python", "rust"))
+    # what a semicolon ends is a definition in Java alone (abstract, native, of an interface)
+    is_method = (mname != "") & (block | lang.isin("python", "java")) & ~(lang.isin("java", "javascript") & mname.isin(*NOT_A_NAME))
+    rows = rows.withColumn("kind", F.when(is_class, "class").when(is_method, "method")).withColumn("name", F.when(is_class, cname).otherwise(mname))
+    return rows.where(F.col("kind").isNotNull()).select(
+        "key", "language", "unit", F.col("s.a").alias("begin"), F.col("s.z").alias("end"), "kind", "name", F.col("s.doc").alias("doc"), F.col("s.source").alias("source"),
+        (F.col("unit") + F.col("s.name_ln")).cast("int").alias("name_line"), (F.col("unit") + F.col("s.ln")).cast("int").alias("start_line"), (F.col("unit") + F.col("s.end_ln")).cast("int").alias("end_line"),
     )
-    ph = ph.join(reach, [key, "_target"], "left").withColumn("_end", F.coalesce("_e", "_b"))
-    py_docs = _span_text(lines, ph.select(key, "start_line", "_b", "_end"), key, [key, "start_line"], "_b", "_end", "doc_comment")
-    py_docs = py_docs.withColumn("doc_comment", F.trim("doc_comment"))
-    return brace_docs.unionByName(py_docs)
 
 
-def extract_definitions(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", enclosing: str = "outer"):
+def extract_definitions(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", enclosing: str = "outer", chunk_chars: int | None = None):
     """``(classes, methods)``; see ``extract_all``."""
-    _, classes, methods = extract_all(files, key=key, text_col=text_col, lang_col=lang_col, enclosing=enclosing)
+    _, classes, methods = extract_all(files, key=key, text_col=text_col, lang_col=lang_col, enclosing=enclosing, chunk_chars=chunk_chars)
     return classes, methods
 
 
-def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", enclosing: str = "outer"):
+def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", enclosing: str = "outer", chunk_chars: int | None = None):
     """``(lines, classes, methods)`` DataFrames from a table of source files.
 
     classes: ``file_path, class_name, constructor_declaration, method_declarations,
-    source_code, start_line, end_line, language``.
+    source_code, start_line, end_line, language, name_line``.
     methods: ``file_path, class_name, name, doc_comment, source_code, start_line,
-    end_line, language``.
+    end_line, language, name_line`` (the line that the name stands on).
     """
-    # The line table feeds every later step (headers, block ends, doc comments, text):
-    # materialise it once as a reliable checkpoint in the shared folder instead of
-    # re-splitting and re-masking the corpus in each branch; same for the spans.
-    checkpoint_dir(files.sparkSession)
-    lines = line_table(files, key=key, text_col=text_col, lang_col=lang_col).checkpoint(eager=True)
-    hs = headers(lines, key)
-    spans = block_ends(lines, hs, key).checkpoint(eager=True)
-    text = _span_text(lines, spans.select(key, "start_line", "end_line"), key, [key, "start_line"], "start_line", "end_line", "source_code")
-    defs = spans.join(text, [key, "start_line"], "left").withColumn("source_code", F.coalesce("source_code", F.lit("")))
-    classes = defs.where(F.col("kind") == "class").select(key, F.col("name").alias("class_name"), "start_line", "end_line", "source_code", "language")
-    methods = defs.where(F.col("kind") == "method").select(key, "name", "start_line", "end_line", "source_code", "language")
-
-    # X5 enclosing class (outermost by default) and X3 methods of each class: one
-    # equi-join on the file with a containment condition
-    # containment as an equi-join: every class is exploded into the lines it covers,
-    # and a method meets the classes covering its first line (then its end is checked)
+    parsed = units(files, key=key, text_col=text_col, lang_col=lang_col, chunk_chars=chunk_chars)
+    defs = definitions(parsed)
+    classes, methods = defs.where("kind = 'class'"), defs.where("kind = 'method'")
+    place = ["key", "unit", "begin"]
+    # containment as an equi-join: every class is exploded into the lines it covers, and a method
+    # meets the classes that cover its first line (then the places themselves are compared)
     c = classes.select(
-        F.col(key).alias("_cf"), F.col("class_name").alias("_cn"), F.col("start_line").alias("_cs"), F.col("end_line").alias("_ce"),
-        F.explode(F.sequence(F.col("start_line") + 1, F.greatest(F.col("end_line"), F.col("start_line") + 1))).alias("_cl"),
+        F.col("key").alias("_k"), F.col("unit").alias("_u"), F.col("begin").alias("_a"), F.col("end").alias("_z"), F.col("name").alias("_n"),
+        F.explode(F.sequence("start_line", "end_line")).alias("_l"),
     )
-    pairs = methods.join(c, (methods[key] == c["_cf"]) & (methods["start_line"] == c["_cl"])).where((c["_cs"] < methods["start_line"]) & (methods["end_line"] <= c["_ce"]))
+    m = methods.select(*place, "end", "start_line", F.col("source").alias("_text"))
+    pairs = m.join(c, (m["key"].eqNullSafe(c["_k"])) & (m["unit"] == c["_u"]) & (m["start_line"] == c["_l"])).where("_a < begin and end <= _z")
     pick = F.min_by if enclosing == "outer" else F.max_by
-    encl = pairs.groupBy(key, "start_line").agg(pick("_cn", "_cs").alias("class_name"))
-    docs = doc_comments(lines, hs.withColumnRenamed("ln", "start_line"), key)
-    methods_out = (
-        methods.join(encl, [key, "start_line"], "left")
-        .join(docs, [key, "start_line"], "left")
-        .select(
-            key,
-            F.coalesce("class_name", F.lit("")).alias("class_name"),
-            "name",
-            F.coalesce("doc_comment", F.lit("")).alias("doc_comment"),
-            "source_code",
-            "start_line",
-            "end_line",
-            "language",
-        )
+    # only the methods' places and class names, and the classes' method texts, are shuffled
+    encl = pairs.groupBy(*place).agg(pick("_n", "_a").alias("class_name"))
+    decl = pairs.groupBy("_k", "_u", "_a").agg(F.array_join(F.array_sort(F.collect_list(F.struct("begin", "_text")))["_text"], K.METHOD_DECL_SEPARATOR).alias("method_declarations"))
+    e = encl.select(*[F.col(x).alias(f"_e{x}") for x in place], "class_name")
+    methods_out = methods.join(e, methods["key"].eqNullSafe(e["_ekey"]) & (methods["unit"] == e["_eunit"]) & (methods["begin"] == e["_ebegin"]), "left").select(
+        F.col("key").alias(key), F.coalesce("class_name", F.lit("")).alias("class_name"), "name", F.col("doc").alias("doc_comment"), F.col("source").alias("source_code"), "start_line", "end_line", "language", "name_line"
     )
-    decl = pairs.groupBy("_cf", "_cs").agg(
-        F.array_join(F.array_sort(F.collect_list(F.struct("start_line", "source_code")))["source_code"], K.METHOD_DECL_SEPARATOR).alias("method_declarations")
-    )
-    classes_out = (
-        classes.join(decl, (classes[key] == decl["_cf"]) & (classes["start_line"] == decl["_cs"]), "left")
-        .select(
-            key,
-            "class_name",
-            F.lit("").alias("constructor_declaration"),
-            F.coalesce("method_declarations", F.lit("")).alias("method_declarations"),
-            "source_code",
-            "start_line",
-            "end_line",
-            "language",
-        )
+    classes_out = classes.join(decl, classes["key"].eqNullSafe(decl["_k"]) & (classes["unit"] == decl["_u"]) & (classes["begin"] == decl["_a"]), "left").select(
+        F.col("key").alias(key), F.col("name").alias("class_name"), F.lit("").alias("constructor_declaration"), F.coalesce("method_declarations", F.lit("")).alias("method_declarations"),
+        F.col("source").alias("source_code"), "start_line", "end_line", "language", "name_line"
     )
-    return lines, classes_out, methods_out
+    return lines_of(parsed, key), classes_out, methods_out
 
 
 def name_vocabulary(classes: DataFrame, methods: DataFrame) -> DataFrame:

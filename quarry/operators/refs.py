@@ -1,10 +1,16 @@
 """Cross-corpus references.
 
 * ``identifier_occurrences`` (R1): every identifier with file, 1-based line and
-  1-based character column, the next non-space character (call detection) and the
-  previous token (definition keywords), native: two regex passes and a running length.
+  1-based character column, the characters and the word beside it. One pass over each
+  Arrow batch: all its lines are one text, a regex gives the identifiers' places, and lines,
+  columns and neighbours follow from arrays of places. Map only.
+* ``construct`` names the position of an identifier: ``import``, ``construction``, ``type``,
+  ``call``, ``attribute`` or plain ``name``.
 * ``match_references`` (R2, R3): equi-join with the name vocabulary; adaptive execution
-  measures the vocabulary and broadcasts it or splits hot names.
+  measures the vocabulary and broadcasts it or splits hot names. Classes count in
+  construction and type position, methods where they are called.
+* ``imports`` and ``resolve_references``: which definition a reference means, by the scopes
+  around it, the imports of its file, then a name that is defined only once.
 * ``group_references`` / ``render_references`` (R4, R10): ordered ``file:line:column``
   lists. Rendering is two-level — per ``(name, file)`` first (bounded by one file),
   then file chunks in file order — so the expensive sort/format work of a popular
@@ -14,60 +20,109 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..session import ship_package
 
 IDENT_CHARS = r"\p{L}\p{N}\p{M}_$"
-DEFINITION_KEYWORDS = ["def", "class", "fn", "struct", "function"]
+DEFINITION_KEYWORDS = ["def", "class", "fn", "struct", "function", "enum", "interface", "trait", "record"]
+_SLICE = 2_000_000
+
+
+def _occurrences(lines: list[str], word) -> tuple:
+    """Flat arrays over all identifiers of the lines: line index, column, token, neighbours."""
+    text = "\n".join(lines) + "\n"
+    spans = np.array([m.span() for m in word.finditer(text)], np.int64).reshape(-1, 2)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.fromiter(map(len, lines), np.int64, len(lines)) + 1
+    begin = np.cumsum(size) - size
+    a, z = spans[:, 0], spans[:, 1]
+    row = np.searchsorted(begin, a, side="right") - 1
+    # places that aren't blank: the neighbours of a place on its own line
+    solid = np.nonzero(~np.isin(points, np.array([9, 10, 11, 12, 13, 32], np.uint32)))[0]
+    after = np.searchsorted(solid, z)
+    after = np.where(after < len(solid), solid[np.minimum(after, max(0, len(solid) - 1))], len(points))
+    has_next = after < (begin + size)[row] - 1
+    before = np.searchsorted(solid, a) - 1
+    before = np.where(before >= 0, solid[np.maximum(before, 0)], -1)
+    has_prev = before >= begin[row]
+    second = np.where(has_next & (after + 1 < (begin + size)[row] - 1), after + 1, -1)
+    first = np.concatenate([[True], row[1:] != row[:-1]]) if len(row) else np.zeros(0, bool)
+    adjacent = np.concatenate([[False], (before[1:] == z[:-1] - 1)]) & ~first if len(row) else first
+    token = [text[x:y] for x, y in spans.tolist()]
+    char = lambda at, ok: [text[i] if k else "" for i, k in zip(at.tolist(), ok.tolist())]
+    prev = [token[i - 1] if k else None for i, k in enumerate(adjacent.tolist())]
+    head = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)).tolist() if len(row) else []
+    follow = [x + y for x, y in zip(char(after, has_next), char(second, second >= 0))]
+    return row, a - begin[row] + 1, token, follow, char(before, has_prev), prev, [token[i] for i in head]
 
 
 def identifier_occurrences(lines: DataFrame, *, key: str = "file_path", text_col: str = "masked", chars: str = IDENT_CHARS) -> DataFrame:
-    """``(file, line, column, token, next_char, prev_token)`` for every identifier.
+    """``(file, line, column, token, next_char, next_two, prev_char, prev_token, first_token)`` for every identifier.
 
-    Two native regex passes cut a line into (text before, identifier) pairs; an
-    identifier's column is the running length of the pairs before it, summed in a fold over
-    the lengths alone. What follows an identifier is the text before the next one, or the
-    rest of the line.
+    ``next_char`` and ``prev_char`` are the nearest characters on the line that aren't blank
+    (``""`` at its ends), ``next_two`` the next one and its right neighbour; ``prev_token`` the
+    identifier before with nothing but blanks between, or null; ``first_token`` the line's first.
     """
-    pair = f"([^{chars}]*+)([{chars}]++)"
-    t = F.col(text_col)
-    cut = lines.select(
-        key,
-        F.col("ln").alias("line"),
-        F.regexp_extract_all(t, F.lit(pair), 1).alias("_sep"),
-        F.regexp_extract_all(t, F.lit(pair), 2).alias("_tok"),
-        F.regexp_extract(t, f"([^{chars}]*+)$", 1).alias("_rest"),
-    ).where(F.size("_tok") > 0)
-    sizes = F.transform("_tok", lambda x, i: F.length(x) + F.length(F.element_at("_sep", i + 1)))
-    # ends of the pairs as text: appending to an array in a fold would copy it every time
-    ends = F.aggregate(
-        sizes,
-        F.struct(F.lit(0).alias("at"), F.lit("0").alias("all")),
-        lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["all"], F.lit(","), (acc["at"] + n).cast("string")).alias("all")),
-        lambda acc: acc["all"],
-    )
-    cut = cut.withColumn("_end", F.split(ends, ","))
-    occ = cut.select(key, "line", "_sep", "_tok", "_end", "_rest", F.posexplode("_tok").alias("_i", "token"))
-    after = F.coalesce(F.get("_sep", F.col("_i") + 1), F.col("_rest"))
-    return occ.select(
-        key,
-        "line",
-        (F.get("_end", F.col("_i")).cast("int") + F.length(F.get("_sep", F.col("_i"))) + 1).alias("column"),
-        "token",
-        F.substring(F.regexp_replace(after, r"^[ \t\n\x0B\f\r]+", ""), 1, 1).alias("next_char"),
-        F.get("_tok", F.col("_i") - 1).alias("prev_token"),
-    )
+    ship_package(lines.sparkSession)
+    pattern = f"[{chars}]++"
+
+    def run(batches):
+        word = regex.compile(pattern)
+        for b in batches:
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            at = 0
+            while at < len(texts):
+                z, n = at, 0
+                while z < len(texts) and (z == at or n < _SLICE):
+                    n += len(texts[z])
+                    z += 1
+                row, column, token, follow, prev_char, prev, first = _occurrences(texts[at:z], word)
+                part = b.slice(at, z - at).select(["key", "line"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), part.column(1), pa.array(column.astype(np.int32)), pa.array(token, pa.string()), pa.array([x[:1] for x in follow], pa.string()),
+                     pa.array(follow, pa.string()), pa.array(prev_char, pa.string()), pa.array(prev, pa.string()), pa.array(first, pa.string())],
+                    names=["key", "line", "column", "token", "next_char", "next_two", "prev_char", "prev_token", "first_token"],
+                )
+                at = z
+
+    rows = lines.select(F.col(key).alias("key"), F.col("ln").cast("int").alias("line"), F.col(text_col).alias("text"))
+    kind = rows.schema["key"].dataType.simpleString()
+    names = "column int, token string, next_char string, next_two string, prev_char string, prev_token string, first_token string"
+    return rows.mapInArrow(run, f"key {kind}, line int, {names}").withColumnRenamed("key", key)
+
+
+def construct(language: Column) -> Column:
+    """The kind of place an identifier stands in, from its neighbours on the line."""
+    nxt, two, prev, word, first = (F.col(c) for c in ("next_char", "next_two", "prev_char", "prev_token", "first_token"))
+    call = nxt == "("
+    named = nxt.rlike(r"^[\p{L}_$]")  # another identifier follows: a type before what it types
+    after_type_word = word.isin("extends", "implements", "instanceof", "throws", "impl", "for", "dyn", "as", "mut")
+    of = {
+        "python": [("construction", call & (prev != ".")), ("type", prev.isin(":", ">") & ~call)],
+        "java": [("construction", word == "new"), ("type", ~call & (after_type_word | (named & (prev != ".")) | (prev == "<") | (nxt == "<") | (two == "::")))],
+        "javascript": [("construction", word == "new"), ("type", after_type_word & (word == "extends"))],
+        "rust": [("construction", (nxt == "{") & ~after_type_word & (prev != ">")), ("type", ~call & (after_type_word | prev.isin(":", ">", "&", "<") | (nxt == "{") | (two == "::")))],
+    }
+    out = F.when(first.isin("import", "from", "use", "package"), "import")
+    for name, rules in of.items():
+        for kind, rule in rules:
+            out = out.when((language == name) & F.coalesce(rule, F.lit(False)), kind)
+    return out.when(call, "call").when(prev == ".", "attribute").otherwise("name")
 
 
 def match_references(occ: DataFrame, vocab: DataFrame, *, key: str = "file_path", definitions: DataFrame | None = None) -> DataFrame:
     """Occurrences of vocabulary names in reference position.
 
-    ``vocab``: ``(kind, name)``. A class name counts anywhere but at its own
-    definition; a method name counts when it is called (``name(``). ``definitions``
-    (``file, line, name``) marks definition sites to skip; by default a token right
-    after a definition keyword is a definition.
+    ``vocab``: ``(kind, name)``. A class name counts in construction and type position
+    (anywhere, when ``occ`` has no column ``construct``), a method name when it is called
+    (``name(``). ``definitions`` (``file, line, name``) marks definition sites to skip; a token
+    right after a definition keyword is one by itself.
     """
     v = vocab.select("kind", F.col("name").alias("token"))
     m = occ.join(v, "token")  # adaptive execution measures the vocabulary and picks the join
@@ -77,9 +132,13 @@ def match_references(occ: DataFrame, vocab: DataFrame, *, key: str = "file_path"
         d = definitions.select(F.col(key).alias("_df"), F.col("start_line").alias("_dl"), F.col("name").alias("_dn"))
         first = m.withColumn("_first", F.row_number().over(Window.partitionBy(key, "line", "token").orderBy("column")) == 1)
         m = first.join(d, (first[key] == d["_df"]) & (first["line"] == d["_dl"]) & (first["token"] == d["_dn"]) & first["_first"], "left_anti").drop("_first")
-    call = F.col("next_char") == "("
-    m = m.where((F.col("kind") == "class") | call)
-    return m.select("kind", F.col("token").alias("name"), F.col(key).alias("file"), "line", "column")
+    of_class = F.col("construct").isin("construction", "type") if "construct" in occ.columns else F.lit(True)
+    of_method = F.col("next_char") == "("
+    if "construct" in occ.columns:
+        of_method = of_method & (F.col("construct") != "import")
+    m = m.where(F.when(F.col("kind") == "class", of_class).otherwise(of_method))
+    extra = [c for c in ("construct", "prev_char", "language") if c in occ.columns]
+    return m.select("kind", F.col("token").alias("name"), F.col(key).alias("file"), "line", "column", *extra)
 
 
 def _fmt(file_col, line_col, col_col):
@@ -118,11 +177,18 @@ def attach_references(entities: DataFrame, rendered: DataFrame, *, kind: str, na
     return j.withColumnRenamed("_refs", "references").withColumn("references", F.coalesce("references", F.lit("")))
 
 
+def code_occurrences(lines: DataFrame, key: str = "file_path") -> DataFrame:
+    """R1 over code lines, with the language and the construct of every identifier."""
+    code = lines.where("is_code").select(F.struct(F.col(key).alias("k"), F.col("language").alias("l")).alias("_kl"), "ln", "masked")
+    occ = identifier_occurrences(code, key="_kl", text_col="masked")
+    occ = occ.select(F.col("_kl.k").alias(key), F.col("_kl.l").alias("language"), *[c for c in occ.columns if c != "_kl"])
+    return occ.withColumn("construct", construct(F.col("language")))
+
+
 def code_references(lines: DataFrame, classes: DataFrame, methods: DataFrame, key: str = "file_path") -> DataFrame:
     """R1-R3 for code: occurrences of extracted class/method names across the corpus."""
     from .extract import name_vocabulary
 
-    vocab = name_vocabulary(classes, methods)
-    occ = identifier_occurrences(lines.where(F.col("is_code")), key=key, text_col="masked")
-    defs = classes.select(key, "start_line", F.col("class_name").alias("name")).unionByName(methods.select(key, "start_line", "name"))
-    return match_references(occ, vocab, key=key, definitions=defs)
+    defs = classes.select(key, F.col("name_line").alias("start_line"), F.col("class_name").alias("name"))
+    defs = defs.unionByName(methods.select(key, F.col("name_line").alias("start_line"), "name"))
+    return match_references(code_occurrences(lines, key), name_vocabulary(classes, methods), key=key, definitions=defs)

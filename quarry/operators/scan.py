@@ -1,0 +1,51 @@
+"""Running aggregates over long ordered groups, in two levels."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+CHUNK_LINES = 65536
+
+
+def two_level_scan(df: DataFrame, part: list, values: dict, order: str = "ln", *, chunk_rows: int | None = None) -> DataFrame:
+    """Add running values over the rows of a group ``part`` in ``order`` (an integer column), the own row included.
+
+    ``values``: new column -> (``sum`` | ``max`` | ``last``, expression); ``last`` is the last
+    value that isn't null. The rows of a group are cut into stretches of ``chunk_rows`` numbers of
+    ``order``; a window runs inside each stretch, and what the stretches before it add up to
+    comes from a small table of one row per stretch, joined on the partitioning that the window
+    already has. No window partition holds more than ``chunk_rows`` rows of a group, whatever
+    its size. Null and equal group keys are keys like any other.
+    """
+    fns = {"sum": F.sum, "max": F.max}
+    d = df.withColumn("_ck", F.floor(F.col(order) / (chunk_rows or CHUNK_LINES)))
+    d = d.withColumns({f"_v_{c}": v for c, (_, v) in values.items()})
+    w = Window.partitionBy(*part, "_ck").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def over(kind, column, window):
+        return F.last(column, ignorenulls=True).over(window) if kind == "last" else fns[kind](column).over(window)
+
+    d = d.withColumns({f"_in_{c}": over(kind, f"_v_{c}", w) for c, (kind, _) in values.items()})
+    total = d.groupBy(*part, "_ck").agg(
+        *[
+            (F.max_by(f"_v_{c}", F.when(F.col(f"_v_{c}").isNotNull(), F.col(order))) if kind == "last" else fns[kind](f"_v_{c}")).alias(f"_t_{c}")
+            for c, (kind, _) in values.items()
+        ]
+    )
+    before = Window.partitionBy(*part).orderBy("_ck").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(c).alias(f"_k{i}") for i, c in enumerate(part)]
+    prior = total.select(*keys, F.col("_ck").alias("_pk"), *[over(kind, f"_t_{c}", before).alias(f"_p_{c}") for c, (kind, _) in values.items()])
+    on = d["_ck"] == prior["_pk"]
+    for i, c in enumerate(part):
+        on = on & d[c].eqNullSafe(prior[f"_k{i}"])
+    d = d.join(prior, on, "left")
+
+    def both(c, kind):
+        a, b = F.col(f"_p_{c}"), F.col(f"_in_{c}")
+        if kind == "sum":
+            return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))
+        return F.coalesce(F.greatest(a, b), a, b) if kind == "max" else F.coalesce(b, a)
+
+    d = d.withColumns({c: both(c, kind) for c, (kind, _) in values.items()})
+    return d.select(*df.columns, *values)
