@@ -1,4 +1,4 @@
-"""Text splitters (A5-A8), all native per-row expressions (no Python):
+"""Text splitters (A5-A8); A5 to A7 are native per-row expressions, all are map only:
 
 * ``fixed_chunks`` (A5): equal-size character windows with optional overlap —
   ``sequence`` of start offsets, ``explode``, ``substring``.
@@ -8,16 +8,19 @@
   greedily packed into chunks of at most ``size`` characters (a per-row fold over their
   lengths, no shuffle).
 * ``line_sections`` (A8): a header line (markdown ``#``) or a blank line starts a
-  section; running count over the document's lines gives the section id.
+  section, fenced blocks are left whole, and a section knows the headings above it.
 """
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .scan import two_level_scan
+from ..session import ship_package
 
 
 def fixed_chunks(df: DataFrame, *, id_col: str, text_col: str, size: int, overlap: int = 0) -> DataFrame:
@@ -95,26 +98,63 @@ def recursive_chunks(df: DataFrame, *, id_col: str, text_col: str, size: int) ->
     )
 
 
+_HEADER = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
+_FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
+_BLANK = re.compile(r"[\x09-\x0D\x20]*$")
+
+
+def _sections(text: str) -> list[tuple]:
+    """(section, first line, number of lines, text, level, heading, path) of one text."""
+    out, held, above = [], [], []
+    fence, before = "", True
+    for i, line in enumerate(text.split("\n"), 1):
+        m = _FENCE.match(line)
+        inside = bool(fence)
+        if m and not fence:
+            fence = m.group(1)
+        elif m and m.group(1)[0] == fence[0] and len(m.group(1)) >= len(fence) and _BLANK.match(m.group(2)):
+            fence = ""
+        if not inside and _BLANK.match(line):
+            before = True
+            continue
+        header = None if inside else _HEADER.match(line)
+        if before or header:
+            level = len(header.group(1)) if header else 0
+            heading = header.group(2) if header else ""
+            if header:
+                above = [x for x in above if x[0] < level] + [(level, heading)]
+            held.append([i, [], level, heading, [x for _, x in above]])
+        held[-1][1].append(line)
+        before = False
+    for k, (i, lines, level, heading, path) in enumerate(held, 1):
+        out.append((k, i, len(lines), "\n".join(lines), level, heading, path))
+    return out
+
+
 def line_sections(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """``(id, section, first_line, n_lines, text)`` — sections start at a markdown
-    header line or after a blank line; blank lines are not part of any section."""
-    lines = df.select(id_col, F.posexplode(F.split(text_col, "\n", -1)).alias("pos", "line"))
-    blank = ~F.col("line").rlike(tx.NON_WS)
-    header = F.col("line").rlike(r"^#{1,6}[ \t]")
-    lines = lines.withColumns({"ln": F.col("pos") + 1, "_blank": blank, "_header": header})
-    prev_blank = lines.select(id_col, (F.col("ln") + 1).alias("ln"), F.col("_blank").alias("_before"))  # the line above
-    lines = lines.join(prev_blank, [id_col, "ln"], "left")
-    starts = (~F.col("_blank") & (F.col("_header") | F.coalesce("_before", F.lit(True)))).cast("int")
-    lines = two_level_scan(lines, [id_col], starts, "sum", "section", inclusive=True).where(~F.col("_blank"))
-    agg = lines.groupBy(id_col, "section").agg(
-        F.min("pos").alias("_first"),
-        F.count(F.lit(1)).cast("bigint").alias("n_lines"),
-        F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("_l"),
-    )
-    return agg.select(
-        id_col,
-        F.col("section").cast("bigint").alias("section"),
-        (F.col("_first") + 1).cast("bigint").alias("first_line"),
-        "n_lines",
-        F.array_join(F.col("_l.line"), "\n").alias("text"),
-    )
+    """``(id, section, first_line, n_lines, text, level, heading, path)``.
+
+    A section starts at a header line (one to six ``#`` and a blank) or after a blank line;
+    blank lines are part of no section. Between fences (a line of three or more backticks or
+    tildes, up to a bare line of the same sign at least as long, or the end) no line is a
+    header and a blank line ends nothing. ``level`` and ``heading`` are those of the section's own
+    header (0 and ``""`` without one), ``path`` the headings it stands under, its own included.
+
+    A text is one row already, so it is cut where it lies: map only, no shuffle, and every row
+    stays a document of its own, also where ids are equal or null. A null text has no section.
+    """
+    ship_package(df.sparkSession)
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    fields = [("section", pa.int64()), ("first_line", pa.int64()), ("n_lines", pa.int64()), ("text", pa.string()), ("level", pa.int32()), ("heading", pa.string()), ("path", pa.list_(pa.string()))]
+
+    def run(batches):
+        for b in batches:
+            for i, text in enumerate(b.column("text").to_pylist()):
+                found = _sections(text)
+                columns = list(map(list, zip(*found))) or [[] for _ in fields]
+                ids = b.column("id").take(pa.array([i] * len(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, (_, t) in zip(columns, fields))], names=["id", *(n for n, _ in fields)])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    out = rows.mapInArrow(run, f"id {kind}, section bigint, first_line bigint, n_lines bigint, text string, level int, heading string, path array<string>")
+    return out.withColumnRenamed("id", id_col)

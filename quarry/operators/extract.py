@@ -168,8 +168,9 @@ def _joined_units(chunks: DataFrame) -> DataFrame:
 def _parsed(batches):
     """``masked`` text and statements of every unit; begin, end and lines counted within the unit."""
     item = pa.list_(pa.struct([("a", pa.int32()), ("ln", pa.int32()), ("end_ln", pa.int32()), ("z", pa.int32()), ("name_ln", pa.int32()), ("head", pa.string()), ("stop", pa.string()), ("doc", pa.string()), ("source", pa.string())]))
+    names = pa.list_(pa.struct([(c, pa.string()) for c in ("alias", "name", "module")]))
     for b in batches:
-        masks, found = [], []
+        masks, found, imported = [], [], []
         for text, language in zip(b.column("text").to_pylist(), b.column("language").to_pylist()):
             comments: list = []
             masked, _ = lex.lex(text, language, comments=comments)
@@ -180,15 +181,16 @@ def _parsed(batches):
                 at = a
                 rows.append((a, ln, ln + text.count("\n", a, z), z, ln + text.count("\n", a, name), head, stop, doc, text[a:z]))
             masks.append(masked)
+            imported.append([dict(zip(("alias", "name", "module"), x)) for x in lex.imports(text, masked, language)])
             found.append([dict(zip(("a", "ln", "end_ln", "z", "name_ln", "head", "stop", "doc", "source"), r)) for r in rows])
         yield pa.RecordBatch.from_arrays(
-            [b.column("key"), b.column("language"), b.column("first_line"), b.column("text"), pa.array(masks, pa.string()), pa.array(found, item)],
-            names=["key", "language", "first_line", "text", "masked", "statements"],
+            [b.column("key"), b.column("language"), b.column("first_line"), b.column("text"), pa.array(masks, pa.string()), pa.array(found, item), pa.array(imported, names)],
+            names=["key", "language", "first_line", "text", "masked", "statements", "imports"],
         )
 
 
 def units(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", chunk_chars: int | None = None) -> DataFrame:
-    """``key, language, first_line, text, masked, statements`` per unit, written once.
+    """``key, language, first_line, text, masked, statements, imports`` per unit, written once.
 
     Files of another language than the four, and null texts, have no unit.
     """
@@ -202,7 +204,7 @@ def units(files: DataFrame, *, key: str = "file_path", text_col: str = "content"
     if not chunks.isEmpty():
         whole = whole.unionByName(_joined_units(chunks))
     items = "array<struct<a:int,ln:int,end_ln:int,z:int,name_ln:int,head:string,stop:string,doc:string,source:string>>"
-    schema = f"{_key(rows)}, language string, first_line int, text string, masked string, statements {items}"
+    schema = f"{_key(rows)}, language string, first_line int, text string, masked string, statements {items}, imports array<struct<alias:string,name:string,module:string>>"
     return whole.mapInArrow(_parsed, schema).checkpoint(eager=True)
 
 
@@ -258,7 +260,11 @@ def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "co
     methods: ``file_path, class_name, name, doc_comment, source_code, start_line,
     end_line, language, name_line`` (the line that the name stands on).
     """
-    parsed = units(files, key=key, text_col=text_col, lang_col=lang_col, chunk_chars=chunk_chars)
+    return entities_of(units(files, key=key, text_col=text_col, lang_col=lang_col, chunk_chars=chunk_chars), key=key, enclosing=enclosing)
+
+
+def entities_of(parsed: DataFrame, *, key: str = "file_path", enclosing: str = "outer"):
+    """``(lines, classes, methods)`` of units; see ``extract_all``."""
     defs = definitions(parsed)
     classes, methods = defs.where("kind = 'class'"), defs.where("kind = 'method'")
     place = ["key", "unit", "begin"]
@@ -285,6 +291,11 @@ def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "co
     return lines_of(parsed, key), classes_out, methods_out
 
 
+def imports_of(parsed: DataFrame, key: str = "file_path") -> DataFrame:
+    """``file, language, alias, name, module`` per imported name."""
+    return parsed.select(F.col("key").alias(key), "language", F.explode("imports").alias("i")).select(key, "language", "i.*").distinct()
+
+
 def name_vocabulary(classes: DataFrame, methods: DataFrame) -> DataFrame:
     """Distinct ``(kind, name)`` over all languages, before any dedupe."""
     return (

@@ -345,3 +345,55 @@ def _docstring(text: str, masked: str, at: int) -> str:
             return s.group() if s else ""
         depth += (c in "([{") - (c in ")]}")
     return ""
+
+
+_IMPORT = {
+    "python": re.compile(r"^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]*(\([^)]*\)|[^\n(]+)|^[ \t]*import[ \t]+([^\n]+)", re.M),
+    "java": re.compile(r"^\s*import\s+(?:static\s+)?([\w.]+)\s*;", re.M),
+    "javascript": re.compile(r"\bimport\s+(?:([\w$]+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s*as\s+([\w$]+))?\s*from\s*[\"'](\s*)[\"']"),
+    "rust": re.compile(r"\buse\s+([\w:]+?)(?:::\{([^}]*)\})?(?:\s+as\s+(\w+))?\s*;"),
+}
+_AS = re.compile(r"([\w$]+)(?:\s+as\s+([\w$]+))?\s*$")
+
+
+def _stem(module: str) -> str:
+    parts = [x for x in re.split(r"[./\\:]+", re.sub(r"\.(?:js|mjs|py|rs)$", "", module.strip())) if x]
+    return parts[-1] if parts else ""
+
+
+def imports(text: str, masked: str, language: str) -> list[tuple]:
+    """(alias, name, module) per imported name: the name it has here, the name it has there
+    (``""`` for a module as a whole) and the last part of the module's path."""
+    out = []
+
+    def each(names, module):
+        for one in names.strip("() \t\n").split(","):
+            m = _AS.match(one.strip())
+            if m:
+                out.append((m.group(2) or m.group(1), m.group(1), module))
+
+    for m in _IMPORT[language].finditer(masked):
+        if language == "python" and m.group(1):
+            each(m.group(2), _stem(m.group(1)))
+        elif language == "python":
+            for one in m.group(3).split(","):
+                path, _, alias = one.strip().partition(" as ")
+                out.append((alias.strip() or path.strip(), "", _stem(path)))
+        elif language == "java":
+            path = m.group(1).split(".")
+            out.append((path[-1], path[-1], path[-2] if len(path) > 1 and path[-2][:1].isupper() else path[-1]))
+        elif language == "javascript":
+            module = _stem(text[m.start(4) : m.end(4)])
+            if m.group(1):
+                out.append((m.group(1), m.group(1), module))
+            if m.group(2):
+                each(m.group(2), module)
+            if m.group(3):
+                out.append((m.group(3), "", module))
+        else:
+            path = [x for x in m.group(1).split("::") if x]
+            if m.group(2):
+                each(m.group(2), path[-1])
+            elif path:
+                out.append((m.group(3) or path[-1], path[-1], path[-2] if len(path) > 1 else ""))
+    return out

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import ship_package
+from ..session import checkpoint_dir, ship_package
 
 IDENT_CHARS = r"\p{L}\p{N}\p{M}_$"
 DEFINITION_KEYWORDS = ["def", "class", "fn", "struct", "function", "enum", "interface", "trait", "record"]
@@ -57,17 +57,24 @@ def _occurrences(lines: list[str], word) -> tuple:
     token = [text[x:y] for x, y in spans.tolist()]
     char = lambda at, ok: [text[i] if k else "" for i, k in zip(at.tolist(), ok.tolist())]
     prev = [token[i - 1] if k else None for i, k in enumerate(adjacent.tolist())]
+    # the identifier before a dot or a double colon that stands before this one
+    mark = np.where(has_prev, points[np.maximum(before, 0)], 0) if len(row) else before
+    gap = before - np.concatenate([[-9], z[:-1]]) if len(row) else before
+    double = (mark == 58) & (points[np.maximum(before - 1, 0)] == 58) if len(row) else first
+    qualified = (((mark == 46) & (gap == 0)) | (double & (gap == 1))) & ~first
+    qualifier = [token[i - 1] if k else None for i, k in enumerate(qualified.tolist())]
     head = np.maximum.accumulate(np.where(first, np.arange(len(row)), 0)).tolist() if len(row) else []
     follow = [x + y for x, y in zip(char(after, has_next), char(second, second >= 0))]
-    return row, a - begin[row] + 1, token, follow, char(before, has_prev), prev, [token[i] for i in head]
+    return row, a - begin[row] + 1, token, follow, char(before, has_prev), prev, qualifier, [token[i] for i in head]
 
 
 def identifier_occurrences(lines: DataFrame, *, key: str = "file_path", text_col: str = "masked", chars: str = IDENT_CHARS) -> DataFrame:
-    """``(file, line, column, token, next_char, next_two, prev_char, prev_token, first_token)`` for every identifier.
+    """``(file, line, column, token, next_char, next_two, prev_char, prev_token, qualifier, first_token)`` for every identifier.
 
     ``next_char`` and ``prev_char`` are the nearest characters on the line that aren't blank
     (``""`` at its ends), ``next_two`` the next one and its right neighbour; ``prev_token`` the
-    identifier before with nothing but blanks between, or null; ``first_token`` the line's first.
+    identifier before with nothing but blanks between, or null; ``qualifier`` the one that a dot
+    or double colon joins to this one; ``first_token`` the line's first.
     """
     ship_package(lines.sparkSession)
     pattern = f"[{chars}]++"
@@ -82,24 +89,26 @@ def identifier_occurrences(lines: DataFrame, *, key: str = "file_path", text_col
                 while z < len(texts) and (z == at or n < _SLICE):
                     n += len(texts[z])
                     z += 1
-                row, column, token, follow, prev_char, prev, first = _occurrences(texts[at:z], word)
+                row, column, token, follow, prev_char, prev, qualifier, first = _occurrences(texts[at:z], word)
                 part = b.slice(at, z - at).select(["key", "line"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(column.astype(np.int32)), pa.array(token, pa.string()), pa.array([x[:1] for x in follow], pa.string()),
-                     pa.array(follow, pa.string()), pa.array(prev_char, pa.string()), pa.array(prev, pa.string()), pa.array(first, pa.string())],
-                    names=["key", "line", "column", "token", "next_char", "next_two", "prev_char", "prev_token", "first_token"],
+                     pa.array(follow, pa.string()), pa.array(prev_char, pa.string()), pa.array(prev, pa.string()),
+                     pa.array(qualifier, pa.string()), pa.array(first, pa.string())],
+                    names=["key", "line", "column", "token", "next_char", "next_two", "prev_char", "prev_token", "qualifier", "first_token"],
                 )
                 at = z
 
     rows = lines.select(F.col(key).alias("key"), F.col("ln").cast("int").alias("line"), F.col(text_col).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
-    names = "column int, token string, next_char string, next_two string, prev_char string, prev_token string, first_token string"
+    names = "column int, token string, next_char string, next_two string, prev_char string, prev_token string, qualifier string, first_token string"
     return rows.mapInArrow(run, f"key {kind}, line int, {names}").withColumnRenamed("key", key)
 
 
 def construct(language: Column) -> Column:
     """The kind of place an identifier stands in, from its neighbours on the line."""
-    nxt, two, prev, word, first = (F.col(c) for c in ("next_char", "next_two", "prev_char", "prev_token", "first_token"))
+    nxt, two, prev, first = (F.col(c) for c in ("next_char", "next_two", "prev_char", "first_token"))
+    word = F.coalesce("prev_token", F.lit(""))
     call = nxt == "("
     named = nxt.rlike(r"^[\p{L}_$]")  # another identifier follows: a type before what it types
     after_type_word = word.isin("extends", "implements", "instanceof", "throws", "impl", "for", "dyn", "as", "mut")
@@ -130,17 +139,87 @@ def match_references(occ: DataFrame, vocab: DataFrame, *, key: str = "file_path"
     m = m.where(~is_def)
     if definitions is not None:
         d = definitions.select(F.col(key).alias("_df"), F.col("start_line").alias("_dl"), F.col("name").alias("_dn"))
-        first = m.withColumn("_first", F.row_number().over(Window.partitionBy(key, "line", "token").orderBy("column")) == 1)
+        first = m.withColumn("_first", F.rank().over(Window.partitionBy(key, "line", "token").orderBy("column")) == 1)
         m = first.join(d, (first[key] == d["_df"]) & (first["line"] == d["_dl"]) & (first["token"] == d["_dn"]) & first["_first"], "left_anti").drop("_first")
     of_class = F.col("construct").isin("construction", "type") if "construct" in occ.columns else F.lit(True)
     of_method = F.col("next_char") == "("
     if "construct" in occ.columns:
-        of_method = of_method & (F.col("construct") != "import")
+        of_method = of_method & (F.col("construct") != "import") & ~F.coalesce(F.col("prev_token") == "new", F.lit(False))
     m = m.where(F.when(F.col("kind") == "class", of_class).otherwise(of_method))
-    extra = [c for c in ("construct", "prev_char", "language") if c in occ.columns]
+    extra = [c for c in ("construct", "qualifier", "language") if c in occ.columns]
     return m.select("kind", F.col("token").alias("name"), F.col(key).alias("file"), "line", "column", *extra)
 
 
+#: what a method calls its own object or type
+OWN = ["self", "this", "cls", "Self", "super"]
+
+
+def resolve_references(lines: DataFrame, classes: DataFrame, methods: DataFrame, imports: DataFrame, *, key: str = "file_path") -> DataFrame:
+    """R1-R3 with the definition that each reference means.
+
+    ``(kind, name, file, line, column, construct, target_file, target_class, target_line, scope)``;
+    ``name`` is the name at its definition (an import may call it otherwise). In this order:
+
+    * ``scope``: a definition of the file whose scope holds the line, the smallest scope first:
+      the definition around it, else the file. Members of a class count behind ``self`` or ``this`` (in Java
+      also bare); other definitions count without a qualifier;
+    * ``import``: the name, or the module before it, is imported from the file that defines it;
+    * ``unique``: the language has one definition of that name;
+    * else the target is null.
+
+    Every step is an equi-join on (file, name), (module, name) or the name of a single definition,
+    so a name that every file defines meets only its own file's definitions.
+    """
+    cols = ["language", "name", "start_line", "end_line", "name_line"]
+    c = classes.withColumnRenamed("class_name", "name").select(F.col(key).alias("f"), F.lit("class").alias("kind"), F.lit("").alias("class_name"), *cols)
+    m = methods.select(F.col(key).alias("f"), F.lit("method").alias("kind"), "class_name", *cols)
+    defs = c.unionByName(m)
+    # the smallest definition around each definition
+    around = defs.select(F.col("f").alias("_f"), F.col("kind").alias("_kind"), F.col("start_line").alias("_s"), F.col("end_line").alias("_e"), F.explode(F.sequence("start_line", "end_line")).alias("_l"))
+    inside = defs.join(around, (F.col("f") == F.col("_f")) & (F.col("start_line") == F.col("_l")) & (F.col("_s") < F.col("start_line")) & (F.col("end_line") <= F.col("_e")))
+    place = ["f", "kind", "name", "name_line", "start_line"]
+    parent = inside.groupBy(*place).agg(F.max_by(F.struct("_kind", "_s", "_e"), "_s").alias("p"))
+    checkpoint_dir(lines.sparkSession)
+    defs = defs.join(parent, place, "left").checkpoint(eager=True)  # every step below asks the definitions
+    target = F.struct(F.col("f").alias("file"), F.col("class_name").alias("class"), F.col("name_line").alias("line"))
+
+    # a name counts where it is defined or imported under another one
+    named = imports.select(F.col(key).alias("_if"), F.col("alias"), F.col("name").alias("_real"), "module").where("_real != ''")
+    vocab = defs.select("kind", "name").distinct()
+    aliases = named.join(vocab, named["_real"] == vocab["name"]).select("kind", F.col("alias").alias("name"))
+    sites = defs.select(F.col("f").alias(key), F.col("name_line").alias("start_line"), "name")
+    hits = match_references(code_occurrences(lines, key), vocab.unionByName(aliases).distinct(), key=key, definitions=sites)
+    hits = hits.join(named, (hits["file"] == named["_if"]) & (hits["name"] == named["alias"]) & hits["qualifier"].isNull(), "left")
+    hits = hits.withColumn("token", F.col("name")).withColumn("name", F.coalesce("_real", "name"))
+    # an alias counts where what it names is defined somewhere
+    hits = hits.join(vocab, ["kind", "name"], "left_semi")
+    hits = hits.select("kind", "name", "token", "file", "line", "column", "construct", "qualifier", "language", F.col("module").alias("stem"))
+    hits = hits.checkpoint(eager=True)  # both the scopes and the imports ask about every reference
+
+    own = F.coalesce(F.col("qualifier").isin(*OWN), F.lit(False))
+    site = ["kind", "name", "file", "line", "column"]
+    d = defs.select(F.col("f").alias("_f"), F.col("kind").alias("_k"), F.col("name").alias("_n"), target.alias("t"), "p", F.coalesce("p._s", F.lit(0)).alias("_s"), F.coalesce("p._e", F.lit(2**31 - 1)).alias("_e"))
+    member = F.coalesce(F.col("p._kind") == "class", F.lit(False)) & (F.col("_k") == "method")
+    seen = F.when(member, own | (F.col("qualifier").isNull() & (F.col("language") == "java"))).otherwise(F.col("qualifier").isNull() | (own & (F.col("language") == "rust")))
+    near = hits.join(d, (F.col("file") == F.col("_f")) & (F.col("token") == F.col("_n")) & (F.col("kind") == F.col("_k")))
+    near = near.where((F.col("line") >= F.col("_s")) & (F.col("line") <= F.col("_e")) & seen)
+    # among equals (overloads) the first one
+    near = near.groupBy(*site).agg(F.min_by("t", F.struct((F.col("_e") - F.col("_s")).alias("a"), F.col("t.line").alias("b"))).alias("near"))
+
+    modules = imports.where("name = ''").select(F.col(key).alias("_if"), F.col("alias").alias("_alias"), F.col("module").alias("_module"))
+    hits = hits.join(modules, (hits["file"] == modules["_if"]) & (hits["qualifier"] == modules["_alias"]), "left").withColumn("stem", F.coalesce("stem", "_module"))
+    stem = F.regexp_extract("f", r"([^/]+?)(?:\.[^./]*)?$", 1)
+    there = defs.groupBy(stem.alias("_stem"), F.col("language").alias("_lang"), F.col("kind").alias("_k"), F.col("name").alias("_n")).agg(F.min(target).alias("far"))
+    once = defs.groupBy(F.col("language").alias("_ul"), F.col("kind").alias("_uk"), F.col("name").alias("_un")).agg(F.count("*").alias("c"), F.min(target).alias("only")).where("c = 1")
+    out = hits.join(near, site, "left")
+    out = out.join(there, (out["stem"] == there["_stem"]) & (out["language"] == there["_lang"]) & (out["kind"] == there["_k"]) & (out["name"] == there["_n"]), "left")
+    out = out.join(once, (out["language"] == once["_ul"]) & (out["kind"] == once["_uk"]) & (out["name"] == once["_un"]), "left")
+    # what an import names is there or unknown; it isn't another definition of that name
+    found = F.coalesce("near", "far", F.when(F.col("stem").isNull(), F.col("only")))
+    scope = F.when(F.col("near").isNotNull(), "scope").when(F.col("far").isNotNull(), "import").when(F.col("stem").isNull() & F.col("only").isNotNull(), "unique")
+    return out.select(*site, "construct", found["file"].alias("target_file"), found["class"].alias("target_class"), found["line"].alias("target_line"), scope.alias("scope"))
+
+
 def _fmt(file_col, line_col, col_col):
     return F.concat_ws(":", file_col.cast("string"), line_col.cast("string"), col_col.cast("string"))
 
@@ -182,6 +261,8 @@ def code_occurrences(lines: DataFrame, key: str = "file_path") -> DataFrame:
     code = lines.where("is_code").select(F.struct(F.col(key).alias("k"), F.col("language").alias("l")).alias("_kl"), "ln", "masked")
     occ = identifier_occurrences(code, key="_kl", text_col="masked")
     occ = occ.select(F.col("_kl.k").alias(key), F.col("_kl.l").alias("language"), *[c for c in occ.columns if c != "_kl"])
+    # a call on the value of an expression has a qualifier without a name
+    occ = occ.withColumn("qualifier", F.coalesce("qualifier", F.when(F.col("prev_char") == ".", "?")))
     return occ.withColumn("construct", construct(F.col("language")))
 
 

@@ -691,25 +691,50 @@ def q_recursive_chunks(spark: SparkSession, sf: str) -> DataFrame:
     "line_sections",
     f"""
 WITH t AS (
-  SELECT doc_id, replace(replace(text, '. ', chr(10) || chr(10)), ', ', chr(10) || '## part' || chr(10)) AS text FROM documents
+  SELECT doc_id, copy, '# top ' || CAST(doc_id AS VARCHAR) || chr(10) || replace(replace(text, '. ', chr(10) || chr(10)), ', ', chr(10) || '## part' || chr(10))
+         || chr(10) || '```sh' || chr(10) || '# no header' || chr(10) || chr(10) || replace(text, ', ', chr(10) || '~~~' || chr(10) || '## no' || chr(10)) || chr(10) || '````' || chr(10)
+         || '### deep  #' || chr(10) || chr(10) || 'under deep' || chr(10) || '## ' || source || chr(10) || 'end' AS text
+  FROM documents, (VALUES (0), (1)) c(copy)
 ), l AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM t
+  SELECT doc_id, copy, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM t
 ), f AS (
-  SELECT *, NOT regexp_matches(line, '{_NONWS}') AS blank, regexp_matches(line, '^#{{1,6}}[ \\t]') AS header FROM l
+  SELECT *, regexp_matches(line, '^ {{0,3}}```') AS mark FROM l
+), i AS (
+  SELECT *, coalesce(sum(CAST(mark AS INT)) OVER (PARTITION BY doc_id, copy ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS inside FROM f
 ), g AS (
-  SELECT *, CASE WHEN NOT blank AND (header OR coalesce(lag(blank) OVER (PARTITION BY doc_id ORDER BY ln), true)) THEN 1 ELSE 0 END AS st FROM f
+  SELECT *, NOT inside AND NOT regexp_matches(line, '{_NONWS}') AS blank, CASE WHEN inside THEN 0 ELSE length(regexp_extract(line, '^(#{{1,6}})[ \t]', 1)) END AS level,
+         regexp_extract(line, '^#{{1,6}}[ \t]+(.*?)[ \t]*#*[ \t]*$', 1) AS heading FROM i
 ), h AS (
-  SELECT *, sum(st) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS section FROM g
-)
-SELECT doc_id, CAST(section AS BIGINT) AS section, CAST(min(ln) AS BIGINT) AS first_line, CAST(count(*) AS BIGINT) AS n_lines,
-       string_agg(line, chr(10) ORDER BY ln) AS text
-FROM h WHERE NOT blank GROUP BY doc_id, section""",
+  SELECT *, CASE WHEN NOT blank AND (level > 0 OR coalesce(lag(blank) OVER (PARTITION BY doc_id, copy ORDER BY ln), true)) THEN 1 ELSE 0 END AS st FROM g
+), s AS (
+  SELECT *, sum(st) OVER w AS section, max(CASE WHEN level = 1 THEN ln END) OVER w AS l1, max(CASE WHEN level = 2 THEN ln END) OVER w AS l2, max(CASE WHEN level = 3 THEN ln END) OVER w AS l3
+  FROM h WINDOW w AS (PARTITION BY doc_id, copy ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+), a AS (
+  SELECT doc_id, copy, section, min(ln) AS first_line, count(*) AS n_lines, string_agg(line, chr(10) ORDER BY ln) AS text, min_by(level, ln) AS level,
+         min_by(CASE WHEN level > 0 THEN heading ELSE '' END, ln) AS heading, min(l1) AS l1, min(CASE WHEN l2 > l1 THEN l2 END) AS l2, min(CASE WHEN l3 > l1 AND l3 > coalesce(l2, 0) THEN l3 END) AS l3
+  FROM s WHERE NOT blank GROUP BY ALL
+)
+SELECT CASE WHEN a.copy = 0 OR a.doc_id % 2 = 0 THEN CAST(a.doc_id AS VARCHAR) END AS doc_id, CAST(section AS BIGINT) AS section, CAST(first_line AS BIGINT) AS first_line, CAST(n_lines AS BIGINT) AS n_lines, a.text,
+       CAST(a.level AS INTEGER) AS level, a.heading, p1.heading || coalesce(' > ' || p2.heading, '') || coalesce(' > ' || p3.heading, '') AS path
+FROM a LEFT JOIN g p1 ON p1.doc_id = a.doc_id AND p1.copy = a.copy AND p1.ln = l1
+       LEFT JOIN g p2 ON p2.doc_id = a.doc_id AND p2.copy = a.copy AND p2.ln = l2
+       LEFT JOIN g p3 ON p3.doc_id = a.doc_id AND p3.copy = a.copy AND p3.ln = l3""",
 )
 def q_line_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """header/blank-line sections of every document; sentences become paragraphs and
-    commas header lines, so that both rules bite."""
-    docs = table(spark, sf, "documents").select("doc_id", F.replace(F.replace("text", F.lit(". "), F.lit("\n\n")), F.lit(", "), F.lit("\n## part\n")).alias("text"))
-    return chunk.line_sections(docs, id_col="doc_id", text_col="text")
+    """Sections of every document, its sentences as paragraphs and its commas as header lines, behind them
+    the text again in a fenced block and headers of other levels. Every document comes twice,
+    the second time under the same id or none."""
+    docs = table(spark, sf, "documents").where("text is not null")
+    nl = F.lit("\n")
+    t = F.col("text")
+    text = F.concat(
+        F.lit("# top "), F.col("doc_id").cast("string"), nl, F.replace(F.replace(t, F.lit(". "), F.lit("\n\n")), F.lit(", "), F.lit("\n## part\n")),
+        F.lit("\n```sh\n# no header\n\n"), F.replace(t, F.lit(", "), F.lit("\n~~~\n## no\n")), F.lit("\n````\n### deep  #\n\nunder deep\n## "), "source", F.lit("\nend"),
+    )
+    ids = F.array(F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, F.col("doc_id")))
+    rows = docs.select(text.alias("text"), F.explode(ids).alias("doc_id"))
+    out = chunk.line_sections(rows, id_col="doc_id", text_col="text")
+    return out.withColumns({"doc_id": F.col("doc_id").cast("string"), "path": F.array_join("path", " > ")})
 
 
 @register(
@@ -937,6 +962,8 @@ for _name, _sql in {
     "code_references": code_corpus.CODE_REFERENCES_SQL,
     "attach_references": code_corpus.ATTACH_REFERENCES_SQL,
     "call_edges": code_corpus.CALL_EDGES_SQL,
+    "resolved_references": code_corpus.RESOLVED_SQL,
+    "call_reach": code_corpus.CALL_REACH_SQL,
     "csv_round_trip": code_corpus.CSV_ROUND_TRIP_SQL,
     "special_rows": f"""
 SELECT 'File: doc/' || CAST(doc_id AS VARCHAR) || '.md' || chr(10) || chr(10) || 'Content:' || chr(10) || {_CLIP4000} || chr(10) || chr(10) AS source_code,

@@ -2,7 +2,7 @@
 
 Parquet is the default storage; these are the text-file equivalents. Written with
 quoting on every field so multi-line source code survives, and read back with an
-explicit all-string schema: only empty cells become null — words like ``NA`` or
+explicit all-string schema; blanks at the ends of a text stay. Only empty cells become null — words like ``NA`` or
 ``None`` stay text (no type inference).
 """
 
@@ -24,6 +24,7 @@ def write_entities_csv(df: DataFrame, path: str, fields: list[str] | None = None
     (df.select(*[F.col(c).cast("string") for c in fields])
      .write.mode("errorifexists")
      .option("header", True).option("quoteAll", True).option("escape", '"').option("multiLine", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
      .csv(path))
 
 
@@ -32,4 +33,5 @@ def read_entities_csv(spark: SparkSession, path: str, fields: list[str]) -> Data
     schema = T.StructType([T.StructField(c, T.StringType()) for c in fields])
     return (spark.read.schema(schema)
             .option("header", True).option("multiLine", True).option("escape", '"')
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
             .csv(path))

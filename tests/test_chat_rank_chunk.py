@@ -134,3 +134,22 @@ def test_line_sections(spark):
     df = spark.createDataFrame([(1, "# T\nbody\n\npara two\nmore\n## U\nx")], "id long, text string")
     got = [(r.section, r.first_line, r.text) for r in chunk.line_sections(df, id_col="id", text_col="text").orderBy("section").collect()]
     assert got == [(1, 1, "# T\nbody"), (2, 4, "para two\nmore"), (3, 6, "## U\nx")]
+
+
+def test_line_sections_fences_levels_and_ids(spark):
+    text = "intro\n# A\n## B ##\n~~~~ x\n# no\n\n~~~\n~~~~\nafter\n\n#no\n### C\n# D\n\n\n```\nopen\n\n## no"
+    rows = [(1, text), (1, text), (None, text), (None, "a\n\nb"), (None, "a\n\nb"), (2, None), (3, ""), (4, "\n \n")]
+    df = spark.createDataFrame(rows, "id long, text string")
+    got = [tuple(r) for r in chunk.line_sections(df, id_col="id", text_col="text").collect()]
+    one = [
+        (1, 1, 1, "intro", 0, "", []),
+        (2, 2, 1, "# A", 1, "A", ["A"]),
+        (3, 3, 7, "## B ##\n~~~~ x\n# no\n\n~~~\n~~~~\nafter", 2, "B", ["A", "B"]),
+        (4, 11, 1, "#no", 0, "", ["A", "B"]),
+        (5, 12, 1, "### C", 3, "C", ["A", "B", "C"]),
+        (6, 13, 1, "# D", 1, "D", ["D"]),
+        (7, 16, 4, "```\nopen\n\n## no", 0, "", ["D"]),
+    ]
+    two = [(1, 1, 1, "a", 0, "", []), (2, 3, 1, "b", 0, "", [])]
+    key = lambda r: str(r)
+    assert sorted(got, key=key) == sorted([(1, *r) for r in one] * 2 + [(None, *r) for r in one] + [(None, *r) for r in two] * 2, key=key)
