@@ -47,6 +47,7 @@ CACHE_KEYS, CACHE_KEY_CHARS = 400_000, 64
 #: the byte-level pre-tokenizer's pattern (fixed by the tokenizer file)
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _PIECE = regex.compile(PATTERN)
+_WIDE = re.compile(r"[^\x00-\x7f]+")
 _SAFE = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
 #: the classes that the pattern tells apart, each with one member
 _CLASSES = ((r"\p{L}", "a"), (r"\p{N}", "1"), (r"\s", "\n"), (r"[^\s\p{L}\p{N}]", "!"))
@@ -109,12 +110,15 @@ class Counts:
         self.lengths: dict[str, int] = dict(zip(self.keys, plan["lengths"]))
         self.frequent = len(self.lengths)
         self.special = re.compile("|".join(map(re.escape, plan["special"]))) if plan["special"] else None
-        self.odd = re.compile(f"[{re.escape(plan['odd'])}]") if plan["odd"] else None
+        self.odd = frozenset(plan["odd"])
 
     def _forget(self) -> None:
         """Back to the first tier once the cache is full."""
         self.lengths = {k: self.lengths[k] for k in self.keys}
 
+    def _odd_in(self, text: str) -> bool:
+        return not (text.isascii() or self.odd.isdisjoint("".join(_WIDE.findall(text))))
+
     def _split(self, text: str) -> tuple[list[str], list[str], int]:
         """(pre-tokens, stretches for the library, special tokens) of a text."""
         if self.special is None:
@@ -122,12 +126,12 @@ class Counts:
         else:
             parts = self.special.split(text)
             specials = len(parts) - 1
-        if self.odd is None or self.odd.search(text) is None:
+        if not self._odd_in(text):
             return [x for p in parts for x in _PIECE.findall(p)] if specials else _PIECE.findall(text), [], specials
         pieces, whole = [], []
         for p in parts:
             for stretch in _SAFE.split(p):
-                if self.odd.search(stretch):
+                if self._odd_in(stretch):
                     whole.append(stretch)
                 else:
                     pieces.extend(_PIECE.findall(stretch))
