@@ -3,16 +3,23 @@
 Words (runs of letters, lower case) have affix, n-gram, word and lexicon features; the
 weights of the features and of the transitions between neighbouring words are fitted
 together by maximum likelihood (forward-backward, AdaGrad) on chains made of pieces of the
-sampled texts, some of them switching language. A text is cut into chains of ``CHAIN`` words;
-all chains of a batch run forward and backward together as arrays. The language of a text
-is the one with the largest sum of word marginals (by letters); its score is that share.
-
-``fit`` takes about ``PER_LANG`` texts of every language (a documented bound, the smallest
-hashes of doc_id) from the training fold; lang, source and doc_id are never inputs of a
+sampled texts, some of them switching language. A text is one chain, however long: the
+windows of ``CHAIN`` words of all texts of a slice run forward and backward together as arrays, and
+messages pass the borders exactly: the product of a window's potentials takes the message at
+its begin to its end, so a short pass over windows gives every window the messages that come
+in from both sides. The language of a text is the one with the largest sum of word
+marginals (by letters); its score is that share.
+
+Words of a slice are told apart by Arrow, and the features of the distinct ones are found
+together: 64-bit hashes of affixes and n-grams from arrays of code points, looked up in one
+table.
+
+``fit`` takes about ``PER_LANG`` whole texts of every language (a documented bound, by a
+hash of doc_id) from the training fold; lang, source and doc_id are never inputs of a
 prediction.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0; without any
-training row every text is ``und``; ties go to the first language by code point; rows with
+training row every text is ``und`` (and ``keep_known`` keeps all rows); ties go to the first language by code point; rows with
 null lang or null doc_id are never trained on; repeated rows are predicted each; further
 columns are ignored by ``predict`` and kept by ``keep_known``.
 """
@@ -21,6 +28,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,27 +38,124 @@ from pyspark.sql import functions as F
 
 from .common import fold, read, staged, text_slices
 
-PER_LANG = 1_000
-PIECES, PIECE_WORDS = 4, 24
+PER_LANG = 250
+PIECE_WORDS = 24
 CHAIN = 64
 MIN_FEATURE, MIN_LEXICON = 3, 5
-EPOCHS = 4
+EPOCHS = 2
 SEED = 7
-SURE = 0.3
-MEMO_WORDS = 200_000
+#: least share of a text's letters in words of which the model knows a feature
+KNOWN = 0.5
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def word_features(word: str, lexicon: dict[str, str]) -> list[str]:
+    """The word, its affixes of up to four letters, all its two- and three-letter parts, its lexicon entry."""
     s = f"<{word}>"
-    out = {"w" + word}
-    out.update("p" + word[:n] for n in (1, 2, 3, 4))
-    out.update("s" + word[-n:] for n in (1, 2, 3, 4))
-    out.update(s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1))
+    out = ["w" + word]
+    out += ["p" + word[:n] for n in range(1, min(4, len(word)) + 1)]
+    out += ["s" + word[-n:] for n in range(1, min(4, len(word)) + 1)]
+    out += [f"{n}" + s[i : i + n] for n in (2, 3) for i in range(len(s) - n + 1)]
     if word in lexicon:
-        out.add(lexicon[word])
-    return sorted(out)
+        out.append(lexicon[word])
+    return out
+
+
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
+_KIND = {k: np.uint64(ord(k)) for k in "wps23"}
+
+
+def _fold(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    h = (h ^ c) * _MIX[1]
+    return (h ^ (h >> np.uint64(31))) * _MIX[2]
+
+
+def _seed(kind: str, n: int) -> np.ndarray:
+    return np.full(n, _KIND[kind] * _MIX[0], np.uint64)
+
+
+def feature_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(word number, hash) of every feature of the words but the lexicon's."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    begin = np.cumsum(size) - size
+    number, out = [], []
+    with np.errstate(over="ignore"):
+        # whole words and affixes: letter by letter over all words long enough
+        whole = _seed("w", len(words))
+        for i in range(int(size.max(initial=0))):
+            on = np.nonzero(size > i)[0]
+            whole[on] = _fold(whole[on], points[begin[on] + i])
+        number.append(np.arange(len(words)))
+        out.append(whole)
+        for kind in "ps":
+            for n in (1, 2, 3, 4):
+                on = np.nonzero(size >= n)[0]
+                at = begin[on] if kind == "p" else begin[on] + size[on] - n
+                h = _seed(kind, len(on))
+                for i in range(n):
+                    h = _fold(h, points[at + i])
+                number.append(on)
+                out.append(h)
+        # parts of <word>: its letters with the two signs around them
+        wide = size + 2
+        first = np.cumsum(wide) - wide
+        text = np.empty(int(wide.sum()), np.uint64)
+        inner = np.ones(len(text), bool)
+        inner[first] = inner[first + wide - 1] = False
+        text[first], text[first + wide - 1], text[inner] = ord("<"), ord(">"), points
+        of = np.repeat(np.arange(len(words)), wide)
+        for n in (2, 3):
+            at = np.nonzero(of[: len(of) - n + 1] == of[n - 1 :])[0]
+            h = _seed(str(n), len(at))
+            for i in range(n):
+                h = _fold(h, text[at + i])
+            number.append(of[at])
+            out.append(h)
+    return np.concatenate(number), np.concatenate(out)
+
+
+class FeatureTable:
+    """Feature numbers by 64-bit hash, in an open table of fixed probes."""
+
+    def __init__(self, names: list[str]):
+        some = [x for x in names if x[0] in _KIND]
+        keys = np.array([self._hash(x) for x in some], np.uint64)
+        number = np.array([i for i, x in enumerate(names) if x[0] in _KIND], np.int64)
+        self.mask = np.uint64((1 << max(4, int(4 * len(some) + 1).bit_length())) - 1)
+        self.keys, self.number = np.zeros(int(self.mask) + 1, np.uint64), np.full(int(self.mask) + 1, -1, np.int64)
+        left, self.probes = np.arange(len(some)), 0
+        while len(left):
+            slot = ((keys[left] + np.uint64(self.probes)) & self.mask).astype(np.int64)
+            free = self.number[slot] < 0
+            chosen, first = np.unique(slot[free], return_index=True)
+            taken = left[free][first]
+            self.keys[chosen], self.number[chosen] = keys[taken], number[taken]
+            left = np.setdiff1d(left, taken)
+            self.probes += 1
+
+    @staticmethod
+    def _hash(name: str) -> np.uint64:
+        points = np.frombuffer(name[1:].encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            h = _seed(name[0], 1)
+            for c in points:
+                h = _fold(h, c)
+        return h[0]
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int64)
+        open_ones = np.arange(len(h))
+        for k in range(self.probes):
+            slot = ((h[open_ones] + np.uint64(k)) & self.mask).astype(np.int64)
+            there = self.number[slot] >= 0
+            hit = there & (self.keys[slot] == h[open_ones])
+            out[open_ones[hit]] = self.number[slot[hit]]
+            open_ones = open_ones[there & ~hit]
+            if not len(open_ones):
+                break
+        return out
 
 
 def build_lexicon(pieces: list[tuple[list[str], int]], langs: list[str]) -> dict[str, str]:
@@ -99,27 +204,79 @@ def forward_backward(emit: np.ndarray, start: np.ndarray, trans: np.ndarray, len
     return gamma.transpose(1, 0, 2) * live[:, :, None], pair
 
 
-def marginals(emit: np.ndarray, start: np.ndarray, trans: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Word marginals alone; ``length`` must not increase (finished chains drop out)."""
-    b, n, k = emit.shape
-    e = np.exp(emit - emit.max(axis=2, keepdims=True)).transpose(1, 0, 2).copy()
-    t, tt = np.exp(trans), np.exp(trans).T.copy()
-    on = [int(np.searchsorted(-length, -i, side="left")) for i in range(n)]  # chains longer than i
+def marginals(emit: np.ndarray, start: np.ndarray, trans: np.ndarray, size: np.ndarray, window: int = CHAIN) -> np.ndarray:
+    """Word marginals of several chains; ``emit`` holds their words one after the other, ``size`` their lengths.
+
+    The chains are cut into windows that run side by side. The product of the potentials of a
+    window carries a message from one border to the other, whatever it is, so after one
+    pass over the borders every window has the messages of the one chain that it is part of.
+    """
+    k = emit.shape[1]
+    if not len(emit):
+        return np.zeros((0, k))
+    per = -(-size // window)
+    chain = np.repeat(np.arange(len(size)), per)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(per) - per, per)
+    begin = (np.cumsum(size) - size)[chain] + place * window
+    length = np.minimum(window, size[chain] - place * window)
+    order = np.argsort(-length, kind="stable")  # windows that end drop out at the end
+    begin, length, first = begin[order], length[order], place[order] == 0
+    n, b = int(length[0]), len(order)
+    on = np.searchsorted(-length, -np.arange(n), side="left")  # windows longer than i
+    e = np.exp(emit - emit.max(axis=1, keepdims=True))
+    t = np.exp(trans - trans.max())
+    tt, begin_message = np.ascontiguousarray(t.T), np.exp(start - start.max())
+    came, back_in = np.empty((b, k)), np.ones((b, k))
+    came[:] = begin_message
+    many = per[chain[order]] > 1
+    if many.any():
+        at = np.nonzero(many)[0]  # stays sorted by length
+        m_on = np.searchsorted(-length[at], -np.arange(n), side="left")
+        p = np.repeat(np.eye(k)[None], len(at), axis=0)
+        for i in range(n):
+            m = m_on[i]
+            x = p[:m] if i == 0 else p[:m] @ t
+            if i == 0:
+                x = np.where(first[at[:m], None, None], x, x @ t)
+            x = x * e[begin[at[:m]] + i][:, None, :]
+            p[:m] = x / x.max(axis=(1, 2), keepdims=True)
+        where = np.full(b, -1, np.int64)
+        where[order[at]] = np.arange(len(at))  # by original window number
+        slot = np.empty(b, np.int64)
+        slot[order] = np.arange(b)
+        head = np.cumsum(per) - per
+        long = np.nonzero(per > 1)[0]
+        long = long[np.argsort(-per[long], kind="stable")]
+        rounds = np.searchsorted(-per[long], -np.arange(int(per[long[0]])), side="left")
+        a = np.repeat(begin_message[None], len(long), axis=0)
+        for r in range(len(rounds) - 1):  # messages to the right
+            m = rounds[r + 1]
+            w = head[long[:m]] + r
+            x = np.einsum("ij,ijk->ik", a[:m], p[where[w]])
+            a[:m] = x / x.sum(axis=1, keepdims=True)
+            came[slot[w + 1]] = a[:m]
+        for r in range(len(rounds) - 1, 0, -1):  # and to the left
+            m = rounds[r]
+            w = head[long[:m]] + r
+            x = np.einsum("ijk,ik->ij", p[where[w]], back_in[slot[w]])
+            back_in[slot[w - 1]] = x / x.sum(axis=1, keepdims=True)
     alpha = np.zeros((n, b, k))
-    a = np.exp(start) * e[0]
-    alpha[0] = a / a.sum(axis=1, keepdims=True)
-    for i in range(1, n):
+    ahead = np.where(first[:, None], came, came @ t)
+    for i in range(n):
         m = on[i]
-        a = (alpha[i - 1, :m] @ t) * e[i, :m]
+        a = (ahead if i == 0 else alpha[i - 1, :m] @ t) * e[begin[:m] + i]
         alpha[i, :m] = a / a.sum(axis=1, keepdims=True)
-    beta = np.ones((b, k))
-    for i in range(n - 2, -1, -1):
-        m = on[i + 1]
-        back = (e[i + 1, :m] * beta[:m]) @ tt
-        beta[:m] = back / back.sum(axis=1, keepdims=True)
+    out = np.empty((len(emit), k))
+    beta = back_in
+    for i in range(n - 1, -1, -1):
+        m = on[i]
+        if i + 1 < n:
+            q = on[i + 1]
+            back = (e[begin[:q] + i + 1] * beta[:q]) @ tt
+            beta[:q] = back / back.sum(axis=1, keepdims=True)
         g = alpha[i, :m] * beta[:m]
-        alpha[i, :m] = g / g.sum(axis=1, keepdims=True)
-    return alpha.transpose(1, 0, 2)
+        out[begin[:m] + i] = g / g.sum(axis=1, keepdims=True)
+    return out
 
 
 def train(pieces: list[tuple[list[str], int]], langs: list[str], *, epochs: int = EPOCHS, seed: int = SEED) -> dict:
@@ -183,59 +340,53 @@ def train(pieces: list[tuple[list[str], int]], langs: list[str], *, epochs: int
 class Labeller:
     def __init__(self, model: dict):
         self.m, self.k = model, len(model["langs"])
-        self.memo: dict[str, int] = {}
-        self.emit = np.zeros((0, self.k))
-
-    def _rows(self, words: list[str]) -> np.ndarray:
-        memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-            self.emit = np.zeros((0, self.k))
-        new = list(set(words).difference(memo))
-        if new:
-            f, lex, w = self.m["features"], self.m["lexicon"], self.m["weights"]
-            lists = [[f[x] for x in word_features(v, lex) if x in f] for v in new]
-            row = np.repeat(np.arange(len(new)), [len(x) for x in lists])
-            col = np.fromiter((c for x in lists for c in x), np.int64)
-            add = np.stack([np.bincount(row, w[col, j], len(new)) for j in range(self.k)], axis=1)
-            memo.update(zip(new, range(len(self.emit), len(self.emit) + len(new))))
-            self.emit = np.concatenate([self.emit, add])
-        return np.fromiter(map(memo.__getitem__, words), np.int64, len(words))
-
-    def words(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
-        """(words per text, number of words per text, marginals of all words in order)."""
+        names = [""] * len(model["features"])
+        for x, i in model["features"].items():
+            names[i] = x
+        self.table = FeatureTable(names)
+
+    def emissions(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log potentials, whether any feature is known) of distinct words."""
+        f, lex, w = self.m["features"], self.m["lexicon"], self.m["weights"]
+        row, h = feature_hashes(words)
+        col = self.table.find(h)
+        row, col = row[col >= 0], col[col >= 0]
+        known = [(i, f[lex[x]]) for i, x in enumerate(words) if x in lex and lex[x] in f]
+        if known:
+            r, c = np.array(known, np.int64).T
+            row, col = np.concatenate([row, r]), np.concatenate([col, c])
+        emit = np.stack([np.bincount(row, w[col, j], len(words)) for j in range(self.k)], axis=1)
+        return emit, np.bincount(row, minlength=len(words)) > 0
+
+    def _words(self, texts: list[str]):
         found = [_LETTERS.findall(t.lower()) if t else [] for t in texts]
         n = np.array([len(x) for x in found], np.int64)
         if not self.k or not n.sum():
-            return found, n, np.zeros((int(n.sum()), self.k))
-        rows = self._rows([w for x in found for w in x])
-        # chains: (begin, length) of at most CHAIN words inside a text, longest first
-        per = -(-n // CHAIN)
-        text = np.repeat(np.arange(len(n)), per)
-        place = np.arange(len(text)) - np.repeat(np.cumsum(per) - per, per)
-        begin = (np.cumsum(n) - n)[text] + place * CHAIN
-        length = np.minimum(CHAIN, n[text] - place * CHAIN)
-        order = np.argsort(-length, kind="stable")
-        begin, length = begin[order], length[order]
-        at = begin[:, None] + np.arange(int(length[0]))[None, :]
-        live = np.arange(int(length[0]))[None, :] < length[:, None]
-        emit = self.emit[rows[np.where(live, at, begin[:, None])]]
-        got = marginals(emit, self.m["start"], self.m["trans"], length)
-        out = np.zeros((len(rows), self.k))
-        out[at[live]] = got[live]
-        return found, n, out
-
-    def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        """(language, score) per text."""
+            z = int(n.sum())
+            return found, n, np.zeros((z, self.k)), np.zeros(z), np.zeros(z, bool)
+        told = pa.array(list(chain.from_iterable(found)), pa.string()).dictionary_encode()
+        words = told.dictionary.to_pylist()
+        at = told.indices.to_numpy()
+        emit, known = self.emissions(words)
+        p = marginals(emit[at], self.m["start"], self.m["trans"], n[n > 0])
+        return found, n, p, np.fromiter(map(len, words), np.float64, len(words))[at], known[at]
+
+    def words(self, texts: list[str]) -> tuple[list[list[str]], np.ndarray, np.ndarray]:
+        """(words per text, number of words per text, marginals of all words in order)."""
+        return self._words(texts)[:3]
+
+    def texts(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """(language, score, share of letters in words that the model knows a feature of) per text."""
         if not self.k:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        found, n, p = self.words(texts)
-        letters = np.fromiter((len(w) for x in found for w in x), np.float64)
+            return ["und"] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+        _, n, p, letters, known = self._words(texts)
         text = np.repeat(np.arange(len(n)), n)
         mass = np.stack([np.bincount(text, p[:, j] * letters, len(n)) for j in range(self.k)], axis=1)
         best, total = mass.argmax(axis=1), mass.sum(axis=1)
-        score = np.where(n > 0, mass.max(axis=1) / np.where(total > 0, total, 1.0), 0.0)
-        return [self.m["langs"][b] if c else "und" for b, c in zip(best, n)], np.clip(score, 0.0, 1.0)
+        some = np.where(total > 0, total, 1.0)
+        score = np.where(n > 0, mass.max(axis=1) / some, 0.0)
+        share = np.bincount(text, letters * known, len(n)) / some
+        return [self.m["langs"][b] if c else "und" for b, c in zip(best, n)], np.clip(score, 0.0, 1.0), share
 
 
 def fit(docs: DataFrame, *, per_lang: int = PER_LANG, seed: int = SEED) -> dict:
@@ -254,9 +405,7 @@ def fit(docs: DataFrame, *, per_lang: int = PER_LANG, seed: int = SEED) -> dict:
                 out, langs = [], []
                 for t, lang in zip(texts, part.column("lang").to_pylist()):
                     words = _LETTERS.findall(t.lower())
-                    # pieces spread evenly over the whole text
-                    step = max(PIECE_WORDS, len(words) // PIECES)
-                    for a in range(0, min(len(words), step * PIECES), step):
+                    for a in range(0, len(words), PIECE_WORDS):
                         out.append(words[a : a + PIECE_WORDS])
                         langs.append(lang)
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string())), pa.array(langs, pa.string())], names=["words", "lang"])
@@ -293,7 +442,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         labeller = _labeller(shared)
         for batch in batches:
             for part, texts in text_slices(batch):
-                langs, score = labeller.texts(texts)
+                langs, score, _ = labeller.texts(texts)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(langs, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -320,19 +469,23 @@ def word_languages(docs: DataFrame, model: dict) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, pos bigint, word string, lang string, prob double")
 
 
-def keep_known(docs: DataFrame, model: dict, sure: float = SURE) -> DataFrame:
-    """``docs`` without rows of no language (``und``) or whose best language has a share under ``sure``.
+def keep_known(docs: DataFrame, model: dict, known: float = KNOWN) -> DataFrame:
+    """``docs`` without rows of no language (``und``) or of none that the model knows.
 
-    Texts that switch between languages stay: their best one has more than that.
+    The evidence is the share of a text's letters in words that have any feature of the
+    model; it doesn't depend on the number of languages, and texts that switch between
+    known ones stay. Where nothing could be learned, all rows stay.
     """
+    if not model["langs"]:
+        return docs
     shared = share_model(docs.sparkSession, model)
 
     def run(batches):
         labeller = _labeller(shared)
         for batch in batches:
             for part, texts in text_slices(batch):
-                langs, score = labeller.texts(texts)
-                yield part.filter(pa.array((np.array(langs) != "und") & (score >= sure)))
+                langs, _, share = labeller.texts(texts)
+                yield part.filter(pa.array((np.array(langs) != "und") & (share >= known)))
 
     return docs.mapInArrow(run, docs.schema)
 

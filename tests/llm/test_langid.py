@@ -36,16 +36,42 @@ def test_forward_backward_equals_enumeration():
     length = np.array([5, 3, 3, 1])
     emit, start, trans = rng.normal(size=(4, 5, 3)), rng.normal(size=3), rng.normal(size=(3, 3))
     gamma, pair = L.forward_backward(emit, start, trans, length)
-    quick = L.marginals(emit, start, trans, length)
+    flat = np.concatenate([emit[i, :n] for i, n in enumerate(length)])
+    begin = np.cumsum(length) - length
+    quick = [L.marginals(flat, start, trans, length, window=w) for w in (1, 2, 64)]
     want_pair = np.zeros((3, 3))
     for i, n in enumerate(length):
         m, p = enumerate_marginals(emit[i, :n], start, trans)
         want_pair += p
-        assert np.allclose(gamma[i, :n], m) and np.allclose(quick[i, :n], m)
+        assert np.allclose(gamma[i, :n], m) and all(np.allclose(q[begin[i] : begin[i] + n], m) for q in quick)
         assert (gamma[i, n:] == 0).all()
     assert np.allclose(pair, want_pair)
 
 
+def test_long_texts_are_one_chain():
+    rng = np.random.default_rng(5)
+    size = np.array([1, 1000, 64, 65, 3, 128, 640, 2])
+    k = 4
+    emit, start, trans = rng.normal(size=(int(size.sum()), k)) * 4, rng.normal(size=k), rng.normal(size=(k, k)) * 3
+    got = L.marginals(emit, start, trans, size)
+    at = np.cumsum(size) - size
+    for a, n in zip(at, size):
+        whole, _ = L.forward_backward(emit[None, a : a + n], start, trans, np.array([n]))
+        assert np.allclose(got[a : a + n], whole[0], atol=1e-12)
+
+
+def test_hashed_features_are_the_named_ones():
+    words = ["a", "der", "könig", "banana", "straße", "日本語", "x" * 40, "𝔘𝔫𝔦"]
+    row, h = L.feature_hashes(words)
+    for i, w in enumerate(words):
+        assert sorted(h[row == i].tolist()) == sorted(int(L.FeatureTable._hash(x)) for x in L.word_features(w, {}))
+    names = sorted({x for w in words[:6] for x in L.word_features(w, {})})
+    table = L.FeatureTable(names)
+    found = table.find(h)
+    for i, w in enumerate(words):
+        assert sorted(found[(row == i) & (found >= 0)].tolist()) == sorted(names.index(x) for x in L.word_features(w, {}) if x in names)
+
+
 def test_predicts_and_labels_switches(spark):
     rows = corpus()
     mixed = " ".join(EN[:12] + DE[:12] + EN[:12])
@@ -66,13 +92,18 @@ def test_predicts_and_labels_switches(spark):
     assert right >= 34
     kept = L.keep_known(docs, model)
     assert kept.columns == docs.columns
-    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(r.doc_id) for r in got if r.lang_pred != "und" and r.score >= L.SURE)
+    assert sorted(repr(r.doc_id) for r in kept.collect()) == sorted(repr(r.doc_id) for r in got if r.lang_pred != "und")
+    strange = spark.createDataFrame([(1, "ΑΒΓ δεζ ηθι", None, "", 0, 0), (2, "the ΑΒΓ king", None, "", 0, 0), (3, "...", None, "", 0, 0)], DOCS)
+    assert sorted(r.doc_id for r in L.keep_known(strange, model).collect()) == [2]
+    four = L.Labeller(model | {"langs": model["langs"]}).texts([" ".join(EN + DE)])
+    assert four[2][0] >= L.KNOWN  # an even mix of known languages stays
 
 
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([(1, "abc", None, "s", 0, 0)], DOCS)
     model = L.fit(docs)
     assert [(r.lang_pred, r.score) for r in L.predict(docs, model).collect()] == [("und", 0.0)]
+    assert L.keep_known(docs, model).count() == 1
     empty = docs.limit(0)
     assert L.predict(empty, L.fit(empty)).collect() == [] and L.word_languages(docs, model).count() == 1
     one = spark.createDataFrame([(i, "abc def ghi", "xx", "s", 0, 0) for i in range(9)], DOCS)
