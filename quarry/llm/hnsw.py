@@ -1,6 +1,6 @@
 """Operator 6: approximate nearest neighbours by one small-world graph per shard.
 
-Distinct vectors are hashed to shards of about ``SHARD`` vectors. A shard becomes one row:
+Distinct directions are hashed to shards of about ``SHARD`` vectors. A shard becomes one row:
 its vectors and a hierarchical navigable small-world graph as flat neighbour arrays. A node
 is on layer l with probability ``M``^-l; on each layer it is linked to at most ``2 M`` (layer 0)
 or ``M`` nodes, chosen from its nearest ones on the layer and on the layer above by the rule
@@ -12,8 +12,9 @@ queries of a block together. Every query meets every shard: blocks of queries ar
 the shards by a join, and the shards' answers are merged by a window. The scores returned
 are cosines of the original vectors in double precision.
 
-Equal vectors are one node that carries their k + 1 smallest ids: more can never be among
-the k answers of a query, as equal scores go to the smaller id.
+Vectors of one direction (equal after scaling to length one, to twelve places) are one node that
+carries their k + 1 smallest ids: more can never be among the k answers of a query, as
+equal scores go to the smaller id. A shard hands on every node found that ties with its k-th.
 
 Defined cases: vectors that are null, zero or hold null or non-finite components take no
 part; rows with null vec_id take no part; vectors of different length never meet; with
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +95,8 @@ def build(x: np.ndarray, m: int = M, wide: int = WIDE, seed: int = SEED) -> tupl
         place[nodes] = np.arange(len(nodes))
         frm, to = np.repeat(nodes, out.shape[1]), out.ravel()
         frm, to = frm[to >= 0], to[to >= 0]
-        order = np.argsort(place[to], kind="stable")
+        near = np.concatenate([np.zeros(0, x.dtype), *(np.einsum("nd,nd->n", x[frm[a : a + 32_768]], x[to[a : a + 32_768]]) for a in range(0, len(to), 32_768))])
+        order = np.lexsort((-near, place[to]))  # the nearest of those that link to a node stay
         frm, to = frm[order], place[to[order]]
         count = np.bincount(to, minlength=len(nodes))
         slot = np.arange(len(to)) - np.repeat(np.cumsum(count) - count, count)
@@ -150,7 +153,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return w / np.sqrt((w * w).sum(axis=1, keepdims=True))
 
 
-GRAPH = "dim int, shard int, vectors binary, ids binary, n_ids binary, layers binary, layer_sizes binary, links binary"
+GRAPH = "dim int, shard int, keep int, vectors binary, ids binary, n_ids binary, layers binary, layer_sizes binary, links binary"
 
 
 def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -161,6 +164,7 @@ def _graph(pdf: pd.DataFrame) -> pd.DataFrame:
             {
                 "dim": pdf["dim"].iloc[0],
                 "shard": pdf["shard"].iloc[0],
+                "keep": pdf["keep"].iloc[0],
                 "vectors": v.tobytes(),
                 "ids": np.concatenate(pdf["ids"].to_list()).astype(np.int64).tobytes(),
                 "n_ids": pdf["ids"].map(len).to_numpy(np.int32).tobytes(),
@@ -191,18 +195,41 @@ def vectors(df: DataFrame, vec: str = "embedding") -> DataFrame:
     return df.where(usable(v) & F.coalesce(some, F.lit(False)) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
 
 
-def index(base: DataFrame, *, keep: int = 6, shard: int = SHARD) -> DataFrame:
-    """``base(vec_id, v)`` -> one row per shard (see ``GRAPH``), written to the shared folder."""
-    first = Window.partitionBy("v").orderBy("vec_id")  # a rank limit: cut before the shuffle
-    ranked = base.distinct().withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep)
-    nodes = staged(ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "hnsw-nodes")
+def directions(base: DataFrame) -> DataFrame:
+    """``vec_id, v, key``: the vectors with their direction, rounded so that parallel ones agree."""
+
+    def run(batches):
+        for b in batches:
+            lists = b.column("v")
+            flat, off = lists.flatten().to_numpy(zero_copy_only=False), np.asarray(lists.offsets)
+            first, size = off[:-1] - off[0], np.diff(off)
+            if len(size):
+                w = flat / np.repeat(np.maximum.reduceat(np.abs(flat), first), size)
+                w = w / np.repeat(np.sqrt(np.add.reduceat(w * w, first)), size)
+            else:
+                w = flat
+            key = pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32)), pa.array(np.round(w, 12) + 0.0))
+            yield pa.RecordBatch.from_arrays([b.column("vec_id"), lists, key], names=["vec_id", "v", "key"])
+
+    return base.mapInArrow(run, "vec_id bigint, v array<double>, key array<double>")
+
+
+def index(base: DataFrame, *, k: int = 5, shard: int = SHARD) -> DataFrame:
+    """``base(vec_id, v)`` -> one row per shard (see ``GRAPH``), written to the shared folder; serves up to ``k`` answers."""
+    first = Window.partitionBy("key").orderBy("vec_id")  # a rank limit: cut before the shuffle
+    one = directions(base).groupBy("key", "vec_id").agg(F.min("v").alias("v"))
+    ranked = one.withColumn("r", F.row_number().over(first)).where(F.col("r") <= k + 1)
+    nodes = staged(ranked.groupBy("key").agg(F.min_by("v", "vec_id").alias("v"), F.sort_array(F.collect_list("vec_id")).alias("ids")), "hnsw-nodes")
     shards = max(1, -(-nodes.count() // shard))
-    nodes = nodes.withColumns({"dim": F.size("v"), "shard": F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")})
+    nodes = nodes.select("v", "ids", F.size("v").alias("dim"), F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int").alias("shard"), F.lit(k + 1).alias("keep"))
     return staged(nodes.groupBy("dim", "shard").applyInPandas(_graph, GRAPH), "hnsw-index")
 
 
 def neighbours(graphs: DataFrame, queries: DataFrame, *, k: int = 5, ef: int = EF, block: int = BLOCK) -> DataFrame:
-    """``query_id, rank, vec_id, score`` of ``queries(vec_id, v)`` against an index."""
+    """``query_id, rank, vec_id, score`` of ``queries(vec_id, v)`` against an index made for ``k`` answers or more."""
+    kept = graphs.agg(F.min("keep")).first()[0]
+    if kept is not None and kept < k + 1:
+        raise ValueError(f"the index keeps {kept} ids of a direction; {k} answers need {k + 1}")
     blocks = max(1, -(-queries.count() // block))
     asked = queries.distinct().withColumns({"dim": F.size("v"), "block": F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")})
     places = graphs.select(F.col("dim").alias("of_dim"), F.col("shard").alias("to"))  # one row per shard
@@ -225,8 +252,9 @@ def neighbours(graphs: DataFrame, queries: DataFrame, *, k: int = 5, ef: int = E
                 best, _ = search(x, layers, links, unit.astype(np.float32), max(ef, 2 * (k + 1)))
                 # what was found is ranked again in double precision
                 exact = np.where(best >= 0, np.einsum("qd,qcd->qc", unit, x64[np.maximum(best, 0)]), -2.0)
-                top = np.argsort(-exact, axis=1, kind="stable")[:, : 2 * (k + 1)]
-                best, exact = np.take_along_axis(best, top, 1), np.take_along_axis(exact, top, 1)
+                # a node other than the query's own gives an answer at least: k + 1 nodes hold k, and all that tie with the last
+                last = -np.sort(-exact, axis=1)[:, min(k, exact.shape[1] - 1)]
+                best = np.where(exact >= last[:, None], best, -1)
                 for i in range(len(part)):
                     for node, s in zip(best[i], exact[i]):
                         if node >= 0:

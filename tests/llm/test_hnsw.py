@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from quarry.llm import hnsw as N
 
@@ -18,9 +19,9 @@ def brute(ids, x, every, k=5):
     return out
 
 
-def answers(spark, rows, every=50, **kw):
+def answers(spark, rows, every=50, k=5, **kw):
     base = N.vectors(spark.createDataFrame(rows, SCHEMA))
-    got = N.neighbours(N.index(base, **kw), base.where(f"vec_id % {every} = 0")).collect()
+    got = N.neighbours(N.index(base, k=k, **kw), base.where(f"vec_id % {every} = 0"), k=k).collect()
     out = {}
     for r in sorted(got, key=lambda r: (r.query_id, r["rank"])):
         out.setdefault(r.query_id, []).append((r.vec_id, r.score))
@@ -59,6 +60,35 @@ def test_copies_and_ties(spark):
     assert [a for a, _ in got[300]][:2] == [301, 302]
 
 
+@pytest.mark.parametrize("k", [5, 10])
+def test_parallel_and_equal_vectors(spark, k):
+    rows = [(i, [(40 - i) * 0.5, (40 - i) * 1.5, (i - 40) * 0.25], 0, 0) for i in range(40)]  # one direction, other lengths
+    rows += [(i, [0.25, -1.0, 3.0], 0, 0) for i in range(100, 130)] + [(i, [math.sin(i), math.cos(i), 0.1 * i], 0, 0) for i in range(200, 260)]
+    got = answers(spark, rows, every=1, k=k)
+    want = brute(np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(float), 1, k=k)
+    assert {q: [i for i, _ in a] for q, a in got.items()} == {q: [i for i, _ in a] for q, a in want.items()}
+    assert all(abs(x[1] - y[1]) < 1e-9 for q in want for x, y in zip(got[q], want[q]))
+
+
+def test_index_of_fewer_answers_is_refused(spark):
+    base = N.vectors(spark.createDataFrame([(0, [1.0, 0.0], 0, 0), (1, [1.0, 1.0], 0, 0)], SCHEMA))
+    with pytest.raises(ValueError):
+        N.neighbours(N.index(base, k=5), base, k=6)
+
+
+@pytest.mark.parametrize("wide", [64, 256])
+def test_recall_of_a_whole_shard(wide):
+    rng = np.random.default_rng(wide)
+    x = rng.normal(size=(N.SHARD, wide)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    layers, links = N.build(x)
+    q = x[::64]
+    best, sims = N.search(x, layers, links, q)
+    want = np.argsort(-(q @ x.T), axis=1)[:, :6]
+    found = np.take_along_axis(best, np.argsort(-sims, axis=1)[:, :6], 1)
+    assert np.mean([len(set(a) & set(b)) / 6 for a, b in zip(found, want)]) >= 0.9
+
+
 def test_odd_rows(spark):
     rows = [
         (0, [1.0, 0.0], 0, 0), (1, [0.0, 0.0], 0, 0), (2, None, 0, 0), (3, [1.0, None], 0, 0), (4, [math.nan, 1.0], 0, 0),
