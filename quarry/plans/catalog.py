@@ -951,6 +951,33 @@ def q_expansion_prompts(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@register(
+    "index_append",
+    """
+WITH base AS (SELECT vec_id AS entity_id, label, 0 AS part FROM embeddings),
+one AS (SELECT vec_id AS entity_id, label + 100 AS label, 1 AS part FROM embeddings WHERE vec_id % 5 = 0 UNION ALL SELECT vec_id + 1000000000, label + 100, 1 FROM embeddings WHERE vec_id % 50 = 3),
+two AS (SELECT vec_id AS entity_id, label + 200 AS label, 3 AS part FROM embeddings WHERE vec_id % 10 = 0),
+gone AS (SELECT vec_id AS entity_id FROM embeddings WHERE vec_id % 7 = 0),
+merged AS (
+  SELECT * FROM base WHERE entity_id NOT IN (SELECT entity_id FROM one UNION SELECT entity_id FROM gone)
+  UNION ALL SELECT * FROM one WHERE entity_id NOT IN (SELECT entity_id FROM two UNION SELECT entity_id FROM gone)
+  UNION ALL SELECT * FROM two
+)
+SELECT CAST(entity_id AS BIGINT) AS entity_id, CAST(label AS BIGINT) AS label FROM merged""",
+)
+def q_index_append(spark: SparkSession, sf: str) -> DataFrame:
+    """A published table, rows changed and added, rows changed and taken away, read back merged by id."""
+
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("entity_id"), F.col("label").cast("long").alias("label"))
+    change = lambda d, by: d.withColumn("label", F.col("label") + by)
+    root = scratch_path(spark, "index-append")
+    index.publish({"vectors": rows}, root, "e")
+    one = rows.where("entity_id % 5 = 0").unionByName(rows.where("entity_id % 50 = 3").withColumn("entity_id", F.col("entity_id") + 1_000_000_000))
+    index.append_index({"vectors": change(one, 100)}, root, "e")
+    index.append_index({"vectors": change(rows.where("entity_id % 10 = 0"), 200)}, root, "e", {"vectors": rows.where("entity_id % 7 = 0")})
+    return index.open_index(spark, root, "e", "vectors")
+
+
 # ---------------------------------------------------------------------------
 # Code extraction, references and call edges over sources derived from `documents`
 # ---------------------------------------------------------------------------

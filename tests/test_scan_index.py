@@ -107,3 +107,47 @@ def test_index_life_cycle(spark, tmp_path):
     index.publish({"method": two, "class": two}, root, "x")
     assert index.clean_up(spark, root, "x") >= 3
     assert ids("method") == ids("class") == [3, 4]
+
+
+def test_appended_rows_replace_by_id(spark, tmp_path):
+    import pytest
+
+    from quarry.operators.search import vector_topk
+
+    root = str(tmp_path / "index")
+    schema = "entity_id long, text string, vec array<double>"
+    rows = lambda some: spark.createDataFrame([(i, t, [float(len(t)), float(i)]) for i, t in some], schema)
+    state = {i: f"a{i}" for i in range(20)}
+    index.publish({"method": rows(state.items()), "plain": spark.range(3).toDF("id")}, root, "x")
+    ask = spark.createDataFrame([(1, [3.0, 4.0]), (2, [2.0, 90.0])], "query_id long, query_vec array<double>")
+
+    def same():
+        got = index.open_index(spark, root, "x", "method")
+        assert sorted((r.entity_id, r.text) for r in got.collect()) == sorted(state.items())
+        find = lambda t: sorted(map(tuple, vector_topk(t, ask, id_col="entity_id", vec_col="vec", k=3, carry=["text"]).collect()))
+        assert find(got) == find(rows(state.items()))
+
+    def append(some, gone=()):
+        index.append_index({"method": rows(some)}, root, "x", {"method": spark.createDataFrame([(i,) for i in gone], "entity_id long")} if gone else None)
+        for i in gone:
+            state.pop(i, None)
+        state.update(dict(some))
+        same()
+
+    same()
+    append([(3, "b"), (4, "bbbb"), (30, "new")])
+    append([(3, "b"), (4, "bbbb"), (30, "new")])  # the same again changes nothing
+    append([(4, "c")], gone=[3, 5, 4, 99])
+    append([(5, "back")])
+    for bad in ([(1, "x"), (1, "y")], [(None, "x")]):
+        with pytest.raises(ValueError):
+            index.append_index({"method": spark.createDataFrame([(i, t, [0.0, 0.0]) for i, t in bad], schema)}, root, "x")
+    with pytest.raises(ValueError):
+        index.append_index({}, root, "x", {"plain": spark.createDataFrame([(1,)], "entity_id long")})
+    same()
+    assert len(index.compact_index(spark, root, "x")["method"]) == 1
+    same()
+    index.append_index({"plain": spark.range(2).toDF("id")}, root, "x")
+    assert sorted(r.id for r in index.open_index(spark, root, "x", "plain").collect()) == [0, 0, 1, 1, 2]
+    assert index.clean_up(spark, root, "x") >= 4
+    same()
