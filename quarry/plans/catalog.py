@@ -16,7 +16,7 @@ from .. import constants as K
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import chat, chunk, clean, embed, enrich, keyword, refs, rerank, search
-from ..sources import files
+from ..sources import files, history
 from ..session import scratch_path, ship_package
 from . import answer, code_corpus, index
 from ..sources.tables import table
@@ -336,15 +336,15 @@ def q_pair_turns(spark: SparkSession, sf: str) -> DataFrame:
     return chat.pair_turns(conv, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text")
 
 
-@register(
-    "last_n_history",
-    f"""
+_LAST_N_SQL = f"""
 WITH {_PAIRS_CONV_SQL},
 e AS (SELECT conv_id, turn, to_json(struct_pack(query := {_sql_strip("replace(query, '@codebase', '')")}, response := response)) AS entry FROM pairs),
 r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM e)
 SELECT conv_id, CAST(count(*) AS BIGINT) AS entries, string_agg(entry, chr(10) ORDER BY turn) AS history
-FROM r WHERE rn <= 5 GROUP BY conv_id""",
-)
+FROM r WHERE rn <= 5 GROUP BY conv_id"""
+
+
+@register("last_n_history", _LAST_N_SQL)
 def q_last_n_history(spark: SparkSession, sf: str) -> DataFrame:
     """H4 + H5 + P16: JSON history entries, last five per conversation, oldest first."""
     conv = table(spark, sf, "conversations")
@@ -353,6 +353,20 @@ def q_last_n_history(spark: SparkSession, sf: str) -> DataFrame:
     return chat.last_n_history(entries, user_col="conv_id", order_col="turn")
 
 
+@register("history_store", _LAST_N_SQL)
+def q_history_store(spark: SparkSession, sf: str) -> DataFrame:
+    """S19 + H4 + H5: entries appended to the stored history by ranges of turns, the last range
+    written twice (a retry), runs merged and cleaned up; the last five of every conversation read back."""
+    conv = table(spark, sf, "conversations")
+    pairs = chat.append_history(chat.pair_turns(conv, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text"))
+    pairs = pairs.withColumn("no", F.least(F.floor(F.col("turn") / 2), F.lit(3)))
+    root = scratch_path(spark, "history-store")
+    for no in (0, 1, 2, 3, 3):
+        history.append_entries(pairs.where(F.col("no") == no), root, no, user_col="conv_id", order_col="turn", fan=2)
+    history.clean_up(spark, root, fan=2)
+    return history.last_entries(spark, root, fan=2).select(F.col("user").cast("bigint").alias("conv_id"), "entries", "history")
+
+
 # ---------------------------------------------------------------------------
 # References over document lines (R1, R2, R4, R10): a name "defined" by starting a
 # line is referenced wherever else it occurs.

@@ -3,14 +3,16 @@
 ``readStream`` of turn files → ``foreachBatch``. Each micro-batch is processed by
 the same skew-safe batch operator as the batch form (``chat.carry_context``: a
 window per ``(user, chunk)`` plus a per-chunk carry), seeded with the state carried
-over from earlier micro-batches. The state is a table ``(user, context)`` — one row
-per user — written as a new snapshot for every micro-batch in the shared folder,
-so it is neither held in executor memory per key nor collected to one task: a user
-with a third of all turns is spread over as many tasks as the batch operator uses.
-
-Exactly-once: a micro-batch writes its output to ``batch=<id>`` and its state to
-``state/v=<id>`` with overwrite, reading ``state/v=<id-1>``; a retried micro-batch
-rewrites the same two folders. Rows arriving in a later micro-batch with an earlier
+over from earlier micro-batches. The state is a log of ``(user, context)`` in the shared
+folder (``sources.batch_log``): a micro-batch writes the users whose context it sets and no
+others, and reads the newest value of the users that it holds. So state is neither held in
+executor memory per key nor collected to one task, and a user with a third of all turns is
+spread over as many tasks as the batch operator uses.
+
+Exactly-once: a micro-batch writes its output to ``batch=<id>`` and its changes to the run of
+that number with overwrite, reading the runs of the batches before; a retried micro-batch
+rewrites the same folders. Runs that a larger one holds go when the next micro-batch starts,
+when no retry can ask for them. Rows arriving in a later micro-batch with an earlier
 timestamp are not reordered (the source has no event-time rule to wait for).
 """
 
@@ -22,18 +24,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import chat
+from ..sources import batch_log
 from ..session import scratch_path
 
 
-def _state_path(root: str, batch_id: int) -> str:
-    return os.path.join(root, "state", f"v={batch_id:012d}")
+def _state_root(root: str) -> str:
+    return os.path.join(root, "state")
 
 
-def _read_state(spark: SparkSession, root: str, batch_id: int, schema: str):
-    """State after the micro-batch before; a missing snapshot raises, users are never forgotten."""
-    if batch_id <= 0:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(_state_path(root, batch_id - 1))
+def _newest(state: DataFrame, user_col: str) -> DataFrame:
+    """One row per user: the context of the newest run."""
+    return state.groupBy(user_col).agg(F.max_by("context", "_end").alias("context"))
+
+
+def _read_state(spark: SparkSession, root: str, batch_id: int, schema: str, fan: int = batch_log.FAN) -> DataFrame:
+    """Changes of the micro-batches before, with ``_end``; a missing run raises, users are never forgotten."""
+    at = _state_root(root)
+    return batch_log.read(spark, at, batch_log.cover(batch_log.runs(spark, at), batch_id, fan), schema, fan)
 
 
 def carry_context_batch(
@@ -48,14 +55,13 @@ def carry_context_batch(
     chunk=None,
     default: str = "",
 ):
-    """One micro-batch: ``(rows with context, new state)``."""
+    """One micro-batch: ``(rows with context, users whose context it sets)``."""
     inner = chat.carry_context(batch, user_col=user_col, order_cols=order_cols, is_setter=setter, value=value, chunk=chunk, default=None, out_col="_ctx")
     seeded = inner.join(state.withColumnRenamed("context", "_prev"), user_col, "left")
     rows = seeded.select(user_col, *[c for c in keep_cols if c != user_col], F.coalesce("_ctx", "_prev", F.lit(default)).alias("context"))
     ordk = [F.col(c) for c in order_cols]
     last = batch.where(setter & value.isNotNull()).groupBy(user_col).agg(F.max(F.struct(*ordk, value.alias("_v")))["_v"].alias("_new"))
-    new_state = state.join(last, user_col, "full").select(user_col, F.coalesce("_new", "context").alias("context"))
-    return rows, new_state
+    return rows, last.select(user_col, F.col("_new").alias("context"))
 
 
 def carry_context_stream(
@@ -70,6 +76,7 @@ def carry_context_stream(
     user_type: str = "bigint",
     chunk=None,
     trigger: dict | None = None,
+    fan: int = batch_log.FAN,
 ):
     """Start the streaming H2 job; returns the query handle. Output: ``root/output``."""
     out_dir = os.path.join(root, "output")
@@ -77,12 +84,15 @@ def carry_context_stream(
 
     def process(batch: DataFrame, batch_id: int):
         spark = batch.sparkSession
-        state = _read_state(spark, root, batch_id, schema)
-        rows, new_state = carry_context_batch(
+        batch_log.forget(spark, _state_root(root), batch_id, fan)
+        log = _read_state(spark, root, batch_id, schema, fan)
+        state = _newest(log.join(batch.select(user_col).distinct(), user_col, "left_semi"), user_col)
+        rows, changed = carry_context_batch(
             batch, state, user_col=user_col, order_cols=order_cols, setter=setter, value=value, keep_cols=keep_cols, chunk=chunk
         )
         rows.write.mode("overwrite").parquet(os.path.join(out_dir, f"batch={batch_id:012d}"))
-        new_state.write.mode("overwrite").parquet(_state_path(root, batch_id))
+        merge = lambda df: _newest(df, user_col)
+        batch_log.append(changed, _state_root(root), batch_id, schema=schema, merge=merge, fan=fan)
 
     writer = stream.writeStream.foreachBatch(process).option("checkpointLocation", os.path.join(root, "checkpoint"))
     writer = writer.trigger(**(trigger or {"availableNow": True}))
@@ -104,7 +114,7 @@ def time_slices(df: DataFrame, ts_col: str, slices: int) -> list[DataFrame]:
     return [df.where(at == i) for i in range(slices)]
 
 
-def replay_events_context(spark: SparkSession, events: DataFrame, slices: int = 3) -> DataFrame:
+def replay_events_context(spark: SparkSession, events: DataFrame, slices: int = 3, fan: int = 2) -> DataFrame:
     """The event log replayed as a stream; a signup event sets a user's context.
 
     Each time range is appended to the source folder (as many files as it has partitions)
@@ -118,7 +128,7 @@ def replay_events_context(spark: SparkSession, events: DataFrame, slices: int =
         stream = spark.readStream.schema(events.schema).parquet(src_dir)
         q = carry_context_stream(
             stream, root=root, user_col="user_id", order_cols=["ts", "event_id"], setter=F.col("event_type") == "signup",
-            value=F.col("props"), keep_cols=["event_id"],
+            value=F.col("props"), keep_cols=["event_id"], fan=fan,
         )
         q.awaitTermination()
     out = spark.createDataFrame([], "user_id bigint, event_id bigint, context string")
