@@ -69,12 +69,13 @@ ENDS = {
     "tfoot": ({"tr", "td", "th", "tbody", "thead", "tfoot"}, {"table"}),
 }
 
+#: a quote opens a string only after "="; elsewhere in a tag it is part of a name or value
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>"
+    r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>=]++|=\s*+(?:\"[^\"]*\"|'[^']*')|=)*+)>"
     r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>|<[!?][^>]*>|<[!?/a-zA-Z][^>]*\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_ATTR = re.compile(r"([^\s>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _NAMED = {"class", "id", "role", "itemprop"}
 _START_OR_END = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
 _CLOSING = {t: re.compile(rf"</{t}(?:[\s/][^>]*)?>", re.I) for t in (*RAW, "xmp")}
@@ -138,7 +139,7 @@ class Page:
         def flush():
             nonlocal linked
             if buffer:
-                text = _SPACES.sub(" ", entities.unescape("".join(buffer))).strip()
+                text = _SPACES.sub(" ", "".join(buffer)).strip()
                 buffer.clear()
                 if text:
                     at = stack[-1]
@@ -153,7 +154,7 @@ class Page:
         while m := _TOKEN.search(source, pos):
             if m.start() > pos and not in_head:
                 piece = source[pos : m.start()]
-                buffer.append(piece)
+                buffer.append(entities.unescape(piece))  # a reference doesn't go on behind a tag
                 if in_link:
                     linked += len(piece)
             pos = m.end()
@@ -175,7 +176,7 @@ class Page:
                     in_head = in_link = False
                     self._close(stack, {"p"}, {"button", "td", "th"}, one=True)
                     self._push(stack, "pre", attrs)
-                    buffer.append(entities.escape(source[pos:stop], quote=False))
+                    buffer.append(source[pos:stop])
                     flush()
                     stack.pop()
                 pos = after
@@ -217,7 +218,7 @@ class Page:
                         del stack[i:]
                         break
         if pos < len(source) and not in_head:
-            buffer.append(source[pos:])
+            buffer.append(entities.unescape(source[pos:]))
         flush()
 
     def _end_of_unclosed(self, source, pos, tag, stack, in_head):

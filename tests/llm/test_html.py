@@ -50,6 +50,18 @@ def test_parsing():
     assert len(runs("<div>" * 3000 + "deep")) == 1
 
 
+def test_stray_quotes_and_cut_references():
+    assert runs("<p>a</p><p don't>b</p><p>it's c</p><p>d</p>") == ["a", "b", "it's c", "d"]
+    assert runs("<p>a</p><p \">b</p><p>c</p><p class='x\"y'>d\"</p>") == ["a", "b", "c", 'd"']
+    assert runs("<p title = 'a>b' x=\"c>'d\">e</p><p title=it's>f</p><p>g'h</p>") == ["e", "f", "g'h"]
+    assert runs("<p title=\"never closed>a</p><p>b</p>") == ["a", "b"]
+    assert runs("<p \"hidden\">a</p><p don't hidden>no</p><p data-x='hidden'>b</p>") == ["a", "b"]
+    assert runs("<p>&am<b>p;</b> &amp;<i>lt;</i> &l<!-- x -->t;</p>") == ["&amp; &lt; &lt;"]
+    assert runs("<p>&amp;amp; <b>&eacute;</b>&#65;</p><xmp>&amp; <b></xmp>&lt;") == ["&amp; \u00e9A", "&amp; <b>", "<"]
+    long = "<p a=b " + "x'y \" " * 50_000 + ">t</p>"
+    assert runs(long * 4) == ["t"] * 4
+
+
 def test_extraction(spark, model):
     article = "<article><h1>Title here</h1><p>First &eacute; paragraph of the story, long enough to read.</p><p>Second   one\nwith more of the same story.</p></article>"
     page = (
