@@ -356,13 +356,15 @@ def q_last_n_history(spark: SparkSession, sf: str) -> DataFrame:
 @register("history_store", _LAST_N_SQL)
 def q_history_store(spark: SparkSession, sf: str) -> DataFrame:
     """S19 + H4 + H5: entries appended to the stored history by ranges of turns, the last range
-    written twice (a retry), runs merged and cleaned up; the last five of every conversation read back."""
+    written twice (a retry) and merged with the first; the last five of every conversation read back."""
     conv = table(spark, sf, "conversations")
     pairs = chat.append_history(chat.pair_turns(conv, conv_col="conv_id", turn_col="turn", role_col="role", text_col="text"))
-    pairs = pairs.withColumn("no", F.least(F.floor(F.col("turn") / 2), F.lit(3)))
     root = scratch_path(spark, "history-store")
-    for no in (0, 1, 2, 3, 3):
-        history.append_entries(pairs.where(F.col("no") == no), root, no, user_col="conv_id", order_col="turn", fan=2)
+    no_of = F.least(F.floor(F.col("turn") / 4), F.lit(1)).cast("int")
+    pairs.select("conv_id", "turn", "entry", no_of.alias("no")).write.partitionBy("no").parquet(f"{root}-entries")
+    staged = spark.read.schema("conv_id bigint, turn bigint, entry string, no int").parquet(f"{root}-entries")
+    for no in (0, 1, 1):
+        history.append_entries(staged.where(F.col("no") == no), root, no, user_col="conv_id", order_col="turn", fan=2)
     history.clean_up(spark, root, fan=2)
     return history.last_entries(spark, root, fan=2).select(F.col("user").cast("bigint").alias("conv_id"), "entries", "history")
 
