@@ -19,7 +19,7 @@ from ..operators import chat
 from . import batch_log
 
 #: part of the format: the folder of a user must stay the same for all runs
-BUCKETS = 64
+BUCKETS = 16
 SCHEMA = "user string, turn bigint, entry string, bucket int"
 
 
@@ -56,7 +56,7 @@ def sink(root: str, *, user_col: str, order_col: str, entry_col: str = "entry",
 def entries(spark: SparkSession, root: str, users: DataFrame | None = None, *, user_col: str = "user", fan: int = batch_log.FAN) -> DataFrame:
     """Stored ``(user, turn, entry)``, of all users or of those in ``users`` (each once, null: none).
 
-    The driver learns which of the 64 buckets are asked for and the range of users, never the users.
+    The driver learns which of the 16 buckets are asked for and the range of users, never the users.
     """
     have = batch_log.runs(spark, root)
     stored = batch_log.read(spark, root, batch_log.cover(have, batch_log.newest(have, fan), fan), SCHEMA, fan)
