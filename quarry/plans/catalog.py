@@ -16,7 +16,8 @@ from .. import constants as K
 from ..functions import text as tx
 from ..functions import vectors as vec
 from ..operators import chat, chunk, clean, embed, enrich, keyword, refs, rerank, search
-from ..sources import files, history
+from ..plugins import DefaultEnricher
+from ..sources import answers, files, history
 from ..session import scratch_path, ship_package
 from . import answer, code_corpus, index
 from ..sources.tables import table
@@ -766,6 +767,38 @@ def q_enrich_batches(spark: SparkSession, sf: str) -> DataFrame:
     return enrich.enrich(docs).select("doc_id", "llm_comments")
 
 
+_ONCE_SQL = """
+WITH p AS (SELECT doc_id, source, lang, 'Class: ' || source || chr(10) || 'Method: ' || lang || chr(10) || 'Source Code:' || chr(10) || text AS prompt FROM documents)
+SELECT doc_id, CASE WHEN prompt IS NOT NULL THEN 'Summary: Class: ' || source || ' / Method: ' || lang || ' #' || substr(md5(prompt), 1, 12) END AS llm_comments,
+       CAST(CASE WHEN prompt IS NOT NULL THEN 1 ELSE 0 END AS BIGINT) AS answered,
+       CAST(CASE WHEN substr(md5(prompt), 1, 1) = '0' THEN 1 ELSE 0 END AS BIGINT) AS failed
+FROM p"""
+
+
+@register("enrich_once", _ONCE_SQL)
+def q_enrich_once(spark: SparkSession, sf: str) -> DataFrame:
+    """L3 + E2 with stored answers: a first run in which every sixteenth prompt fails (by its digest), then
+    the job again. Equal prompts are sent once; ``answered`` and ``failed`` count what was sent of each."""
+    import hashlib
+
+    import pandas as pd
+
+    def describe(prompts: list) -> list:
+        return DefaultEnricher().describe(pd.Series(prompts, dtype=object)).tolist()
+
+    def failing(prompts: list) -> list:
+        return [None if hashlib.md5(p.encode()).hexdigest()[0] == "0" else a for p, a in zip(prompts, describe(prompts))]
+
+    prompt = enrich.enrich_prompt(F.col("source"), F.col("lang"), F.col("text"))
+    docs = table(spark, sf, "documents")
+    root = scratch_path(spark, "answers")
+    answers.ask(docs, root, failing, model="digest", prompt=prompt, strict=False)
+    out = answers.ask(docs, root, describe, model="digest", prompt=prompt, out_col="llm_comments")
+    calls = answers.log(spark, root).groupBy("key").agg(F.count("answer").alias("answered"), F.count("error").alias("failed"))
+    out = out.withColumn("key", answers.key_of("digest", prompt)).join(calls, "key", "left")
+    return out.select("doc_id", "llm_comments", F.coalesce("answered", F.lit(0)).alias("answered"), F.coalesce("failed", F.lit(0)).alias("failed"))
+
+
 @register("stream_context", _EVENTS_CONTEXT_SQL)
 def q_stream_context(spark: SparkSession, sf: str) -> DataFrame:
     """H2 as a stream: the event log replayed in three time-ordered micro-batches
