@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as tx
 from ..functions import vectors as vec
-from ..operators import chat, chunk, clean, embed, enrich, keyword, refs, rerank, search
+from ..operators import bpe, chat, chunk, clean, embed, enrich, keyword, refs, rerank, search
 from ..plugins import DefaultEnricher
 from ..sources import answers, files, history
 from ..session import scratch_path, ship_package
@@ -216,6 +216,24 @@ register("clip_tokens", _clip_sql(K.MAX_TOKENS_SMALL))(_clip_query(K.MAX_TOKENS_
 register("clip_tokens_256", _clip_sql(256))(_clip_query(256))
 
 
+@register("bpe_token_count")
+def q_bpe_token_count(spark: SparkSession, sf: str) -> DataFrame:
+    """P7 with a real vocabulary: BPE tokens per document; merges run once per distinct word."""
+    import public_tokenizers as vocab
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.add_token_counts(docs, vocab.path("byte_bpe_50k.tiktoken"), pattern=vocab.PATTERN).drop("text")
+
+
+@register("bpe_clip")
+def q_bpe_clip(spark: SparkSession, sf: str) -> DataFrame:
+    """P8 with a real vocabulary: the first 256 BPE tokens of every document."""
+    import public_tokenizers as vocab
+
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return bpe.clip_to_tokens(docs, vocab.path("byte_bpe_50k.tiktoken"), 256, pattern=vocab.PATTERN).select("doc_id", "clipped")
+
+
 @register(
     "clip_chars",
     f"""
