@@ -19,7 +19,7 @@ from ..operators import bpe, chat, chunk, clean, embed, enrich, keyword, refs, r
 from ..plugins import DefaultEnricher
 from ..sources import answers, files, history
 from ..session import scratch_path, ship_package
-from . import answer, code_corpus, index
+from . import answer, code_corpus, index, pivots
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -98,6 +98,17 @@ def q_vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _mean_knn(spark, sf, "l2")
 
 
+@register("pivot_topk", _PAIRS_SQL.format(expr=_D2, where="", order="round(v, 9)", out="sqrt(v)", name="dist"))
+def q_pivot_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """V1 on vectors stored by pivot and distance: the rows of ``vector_topk`` from pruned scans."""
+    emb = table(spark, sf, "embeddings")
+    root = scratch_path(spark, "pivots")
+    dim = emb.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()[0]
+    pivots.write_pivots(emb, root, id_col="vec_id", vec_col="embedding", dim=dim)
+    res = pivots.pivot_topk(spark, root, _label_means(emb), k=5)
+    return res.select("query_id", F.col("id").alias("vec_id"), F.col("rank").cast("bigint").alias("rank"), _r6(F.col("dist")).alias("dist"))
+
+
 @register("cosine_topk", _PAIRS_SQL.format(expr=_COS, where="", order="round(v, 9) DESC", out="v", name="score"))
 def q_cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     """V2: cosine-similarity top-5."""
