@@ -4,10 +4,10 @@ A text is cut into words by the vocabulary's pattern (a JVM regex); the words pu
 text. The distinct words become a table ``(word, rows, n, ends)`` on which the ranked merges run,
 whatever the number of texts. Counts and cut positions come from joining that table back:
 frequent words by broadcast (bounded: ``FREQUENT`` words of at most ``SHORT`` bytes) right behind the
-explode, the others by a join on the word, after they are counted per text. So no hot word is ever
-shuffled.
+explode, the others by a join on the word. So no hot word is ever shuffled. A count names a long word by
+its digest, so that it may be among the frequent ones.
 
-Texts are told apart by their SHA-256, so rows need no id, equal rows are worked on once where that
+Texts are told apart by 16 bytes of their SHA-256, so rows need no id, equal rows are worked on once where that
 saves a shuffle, and other columns may have any name but the new one. A null text has a
 null result, an empty one no tokens. Java's tables of letters and digits decide the words:
 code points that its Unicode version does not know yet count as neither.
@@ -104,12 +104,22 @@ def word_table(words: DataFrame, ranks_path: str) -> DataFrame:
     return spark.read.schema(_WORDS).parquet(path)
 
 
-def _tiers(table: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Frequent short words (at most ``FREQUENT``), and all others."""
-    short = F.octet_length("word") <= SHORT
+def _name(word: Column) -> Column:
+    """A word of at most ``SHORT`` bytes, or the digest of a longer one (65 bytes, so never a short word)."""
+    return F.when(F.octet_length(word) <= SHORT, word).when(word.isNotNull(), F.concat(F.sha2(word, 256), F.lit("#")))
+
+
+def _digest(text: Column) -> Column:
+    """16 bytes of a text's SHA-256."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
+def _tiers(table: DataFrame, by: str = "word") -> tuple[DataFrame, DataFrame]:
+    """The most frequent names of at most ``SHORT`` + 1 bytes (``FREQUENT`` or fewer), and all others."""
+    short = F.octet_length(by) <= SHORT + 1
     top = table.where(short).select("rows").orderBy(F.desc("rows")).limit(FREQUENT).agg(F.count("rows").alias("c"), F.min("rows").alias("m")).first()
     often = short & (F.col("rows") > (top["m"] if top["c"] == FREQUENT else 0))
-    return table.where(often), table.where(~often)
+    return table.where(often).drop("rows"), table.where(~often).drop("rows")
 
 
 def add_token_counts(
@@ -117,21 +127,17 @@ def add_token_counts(
 ) -> DataFrame:
     """Add ``out_col``, the number of BPE tokens of a text (no special tokens)."""
     text, key = F.col(text_col), _fresh()
-    words = df.where(text.isNotNull()).select(F.sha2(text, 256).alias("key"), _words(text, pattern).alias("words"))
-    table = word_table(words.select(F.explode("words").alias("word")), ranks_path)
-    often, rare = _tiers(table.select("word", "rows", "n"))
-    # a null word stands for the row itself: equal texts add up, and are divided by their number
-    every = words.select("key", F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("word"))
-    tagged = every.join(F.broadcast(often.select("word", F.col("n").alias("n_often"))), "word", "left")
-    known = F.col("word").isNull() | F.col("n_often").isNotNull()
-    parts = tagged.groupBy("key", F.when(~known, F.col("word")).alias("word")).agg(
-        F.sum("n_often").alias("found"), F.count(F.when(F.col("word").isNull(), 1)).alias("copies"), F.count(F.lit(1)).alias("rows")
-    )
-    parts = parts.join(rare.select("word", F.col("n").alias("n_rare")), "word", "left")
-    sums = parts.groupBy("key").agg(
-        F.sum(F.coalesce("found", F.lit(0)) + F.when(F.col("word").isNotNull(), F.col("rows") * F.col("n_rare")).otherwise(0)).alias("sum"), F.sum("copies").alias("copies")
-    )
-    counts = sums.select(F.col("key").alias(key), F.expr("sum div copies").alias(out_col))
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "bpe-texts")
+    df.where(text.isNotNull()).select(_digest(text).alias("key"), _words(text, pattern).alias("words")).write.parquet(path)
+    texts = spark.read.schema("key binary, words array<string>").parquet(path)
+    table = word_table(texts.select(F.explode("words").alias("word")), ranks_path)
+    often, rare = _tiers(table.select(_name(F.col("word")).alias("name"), "rows", "n"), by="name")
+    # a null stands for the row itself: equal texts add up, and are divided by their number
+    every = texts.select("key", F.explode(F.concat("words", F.array(F.lit(None).cast("string")))).alias("word"))
+    tagged = every.select("key", _name(F.col("word")).alias("name")).join(F.broadcast(often), "name", "left")
+    known = tagged.groupBy("key").agg(F.sum("n").alias("known"), F.count(F.when(F.col("name").isNull(), 1)).alias("copies"))
+    others = tagged.where(F.col("name").isNotNull() & F.col("n").isNull()).select("key", "name").join(rare, "name").groupBy("key").agg(F.sum("n").alias("others"))
+    counts = known.join(others, "key", "left").select(F.col("key").alias(key), F.expr("(coalesce(known, 0) + coalesce(others, 0)) div copies").alias(out_col))
     return _joined(df, text, key, counts)
 
 
@@ -149,14 +155,14 @@ def clip_to_tokens(
     if max_tokens < 1:
         raise ValueError("max_tokens must be positive")
     text, key = F.col(text_col), _fresh()
-    long = df.where(F.octet_length(text) > max_tokens).select(F.sha2(text, 256).alias("key"), text.alias("text"))
+    long = df.where(F.octet_length(text) > max_tokens).select(_digest(text).alias("key"), text.alias("text"))
     long = long.groupBy("key").agg(F.min("text").alias("text")).select("key", _words(F.col("text"), pattern).alias("words"))
     first = F.posexplode(F.slice("words", 1, max_tokens)).alias("pos", "word")
     path = scratch_path(df.sparkSession, "bpe-first")
     long.select("key", F.size("words").alias("n_words"), first).write.parquet(path)
-    rows = df.sparkSession.read.schema("key string, n_words int, pos int, word string").parquet(path)
+    rows = df.sparkSession.read.schema("key binary, n_words int, pos int, word string").parquet(path)
     table = word_table(rows.select("word"), ranks_path)
-    often, rare = (t.select("word", "n", "ends") for t in _tiers(table))
+    often, rare = _tiers(table)
     hit = rows.join(F.broadcast(often), "word", "left")
     # words of the broadcast tier go past the join on the word
     rest = hit.where(F.col("n").isNull()).drop("n", "ends").join(rare, "word")
@@ -193,4 +199,4 @@ def _joined(df: DataFrame, text: Column, key: str, found: DataFrame) -> DataFram
     clash = set(found.columns) & set(df.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
-    return df.withColumn(key, F.sha2(text, 256)).join(found, key, "left").drop(key)
+    return df.withColumn(key, _digest(text)).join(found, key, "left").drop(key)

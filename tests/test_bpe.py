@@ -42,7 +42,7 @@ def frame(spark, texts):
 @pytest.mark.parametrize("frequent", [100_000, 3])
 def test_counts_equal_the_library(spark, library, monkeypatch, frequent):
     monkeypatch.setattr(bpe, "FREQUENT", frequent)
-    texts = planted() + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts = planted() + ["w" * 90 + " ", "w" * 90] * 9 + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
     got = bpe.add_token_counts(frame(spark, texts), PATH, pattern=public_tokenizers.PATTERN)
     assert got.columns == ["id", "text", "key", "tokens"]
     rows = {r.id: r.tokens for r in got.collect()}
@@ -52,7 +52,7 @@ def test_counts_equal_the_library(spark, library, monkeypatch, frequent):
 @pytest.mark.parametrize("limit,frequent", [(1, 100_000), (7, 100_000), (50, 2), (400, 100_000)])
 def test_clips_equal_the_library(spark, library, monkeypatch, limit, frequent):
     monkeypatch.setattr(bpe, "FREQUENT", frequent)
-    texts = planted() + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts = planted() + ["w" * 90 + " ", "w" * 90] * 9 + [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
 
     def plain(text):
         ids = library.encode_ordinary(text)
