@@ -29,6 +29,8 @@ from ..session import scratch_path
 #: words of the broadcast tier; they only decide how a length is found, not which
 FREQUENT = 100_000
 SHORT = 64
+#: words that are summed up together on the way to a cut
+STRETCH = 32
 #: a rank file is broadcast whole, so its size is checked
 MAX_RANK_BYTES = 64 << 20
 
@@ -155,20 +157,36 @@ def clip_to_tokens(
     if max_tokens < 1:
         raise ValueError("max_tokens must be positive")
     text, key = F.col(text_col), _fresh()
-    long = df.where(F.octet_length(text) > max_tokens).select(_digest(text).alias("key"), text.alias("text"))
-    long = long.groupBy("key").agg(F.min("text").alias("text")).select("key", _words(F.col("text"), pattern).alias("words"))
-    first = F.posexplode(F.slice("words", 1, max_tokens)).alias("pos", "word")
-    path = scratch_path(df.sparkSession, "bpe-first")
-    long.select("key", F.size("words").alias("n_words"), first).write.parquet(path)
-    rows = df.sparkSession.read.schema("key binary, n_words int, pos int, word string").parquet(path)
-    table = word_table(rows.select("word"), ranks_path)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "bpe-first")
+    long = df.where(F.octet_length(text) > max_tokens).select(_digest(text).alias("key"), _words(text, pattern).alias("words"))
+    long.select("key", F.size("words").alias("n_words"), F.slice("words", 1, max_tokens).alias("words")).write.parquet(path)
+    texts = spark.read.schema("key binary, n_words int, words array<string>").parquet(path)
+    table = word_table(texts.select(F.explode("words").alias("word")), ranks_path)
     often, rare = _tiers(table)
-    hit = rows.join(F.broadcast(often), "word", "left")
-    # words of the broadcast tier go past the join on the word
-    rest = hit.where(F.col("n").isNull()).drop("n", "ends").join(rare, "word")
-    found = hit.where(F.col("n").isNotNull()).unionByName(rest)
+
+    # tokens and characters per stretch of words; equal texts add up, and are divided by their number
+    every = texts.select("key", F.posexplode("words").alias("pos", "word"))
+    hit = every.join(F.broadcast(often.select("word", "n")), "word", "left")
+    rest = hit.where(F.col("n").isNull()).drop("n").join(rare.select("word", "n"), "word")
+    both = hit.where(F.col("n").isNotNull()).unionByName(rest)
+    parts = both.groupBy("key", (F.col("pos") / STRETCH).cast("int").alias("part")).agg(
+        F.sum("n").alias("tokens"), F.sum(F.length("word")).alias("chars"), F.count_if(F.col("pos") % STRETCH == 0).alias("copies")
+    )
+    before = Window.partitionBy("key").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("key", "part", F.expr("tokens div copies").alias("tokens"), F.expr("chars div copies").alias("chars"))
+    for c in ("tokens", "chars"):
+        parts = parts.withColumn(f"{c}_before", F.coalesce(F.sum(c).over(before), F.lit(0)))
+    parts = parts.where((F.col("tokens_before") < max_tokens) & (F.col("tokens_before") + F.col("tokens") >= max_tokens)).drop("tokens", "chars")
+
+    # the words of the stretch that holds the last token, one row per text
+    start = F.col("part") * STRETCH
+    found = texts.join(parts, "key").select("key", F.struct("n_words", start.alias("start"), "tokens_before", "chars_before", F.slice("words", start + 1, STRETCH).alias("words")).alias("s"))
+    found = found.groupBy("key").agg(F.first("s").alias("s")).select("key", "s.n_words", "s.start", "s.tokens_before", "s.chars_before", F.posexplode("s.words").alias("i", "word"))
+    found = found.withColumn("pos", F.col("start") + F.col("i"))
+    hit = found.join(F.broadcast(often), "word", "left")
+    found = hit.where(F.col("n").isNotNull()).unionByName(hit.where(F.col("n").isNull()).drop("n", "ends").join(rare, "word"), allowMissingColumns=True)
     upto = Window.partitionBy("key").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = found.withColumn("tokens", F.sum("n").over(upto)).withColumn("chars", F.sum(F.length("word")).over(upto))
+    found = found.withColumn("tokens", F.col("tokens_before") + F.sum("n").over(upto)).withColumn("chars", F.col("chars_before") + F.sum(F.length("word")).over(upto))
     left = F.lit(max_tokens) - (F.col("tokens") - F.col("n"))  # tokens that this word may still keep
     here = (left >= 1) & (F.col("tokens") >= max_tokens) & ((F.col("tokens") > max_tokens) | (F.col("pos") + 1 < F.col("n_words")))
     end = F.element_at("ends", left.cast("int"))
