@@ -112,3 +112,61 @@ def test_blocks_and_running_topk_agree(spark):
         key = lambda r: (r.query_id, r.g, r["rank"], r.id, r.t)
         got = sorted(map(key, one.collect()))
         assert got == sorted(map(key, many.collect())) and len(got) == 160 and all(t == f"t{i}" for *_, i, t in got)
+
+
+def test_merge_by_slices_keeps_the_full_order(spark):
+    rng = np.random.default_rng(11)
+    S = rng.integers(0, 6, size=(400, 7)) / 5.0
+    S[:, 6] = -np.inf  # a query without any hit
+    ids = rng.permutation(400)
+    best = None
+    for a in range(0, 400, 3):
+        best = search.merge_best(best, S[a : a + 3].copy(), ids[a : a + 3], 5)
+    for j in range(6):
+        want = sorted(range(400), key=lambda i: (-S[i, j], ids[i]))[:5]
+        order = sorted(range(5), key=lambda r: (-best[2][r, j], best[0][r, j]))
+        assert [int(best[0][r, j]) for r in order] == [int(ids[i]) for i in want]
+    assert np.isinf(best[2][:, 6]).all()
+
+
+def test_a_batch_is_searched_in_slices(spark, monkeypatch):
+    """No matrix of a task grows with the Arrow batch (a slice has ``chunk_cells`` cells)."""
+    rng = np.random.default_rng(5)
+    corpus = [(i, rng.integers(-2, 3, size=6)) for i in range(300)]
+    queries = [(1000 + j, rng.integers(-2, 3, size=6)) for j in range(4)]
+    c, q = frames(spark, corpus, queries)
+    block = next(iter(search.query_blocks(q, "query_id", "query_vec")))[0]
+    seen = []
+    inner = search._matrix
+    for metric in ("l2", "cosine", "dot"):
+        res = search.vector_topk(c, q, id_col="id", vec_col="v", k=5, metric=metric, chunk_cells=60).collect()
+        got = {}
+        for r in sorted(res, key=lambda r: (r["query_id"], r["rank"])):
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == brute(corpus, queries, 5, metric), metric
+    monkeypatch.setattr(search, "_matrix", lambda col, n, dim: seen.append(n) or inner(col, n, dim))
+    class Whole:  # the task's function on one large batch, without a session between
+        sparkSession, schema = spark, c.schema
+
+        def select(self, *cols):
+            self.schema = c.select(*cols).schema
+            return self
+
+        def mapInArrow(self, run, schema):
+            list(run([c.coalesce(1).toArrow().combine_chunks().to_batches()[0]]))
+
+    search._block_candidates(Whole(), block, id_col="id", vec_col="v", qid_name="query_id", qid_type=q.schema["query_id"].dataType, group_col=None, k=5, metric="dot", chunk_cells=60)
+    assert max(seen) <= 10 and sum(seen) == 300
+
+
+def test_embedding_slices_give_the_same_vectors(spark, monkeypatch):
+    import pyarrow as pa
+
+    from quarry.operators import embed
+
+    tokens = pa.array([["a", "b", "a"], None, [], ["c"] * 50, ["d", "e"]] * 20, pa.list_(pa.string()))
+    whole = embed._normalised(tokens, 16)
+    monkeypatch.setattr(embed, "SLICE_TOKENS", 7)
+    parts = list(embed._pieces(tokens, 16))
+    assert len(parts) > 20 and sum(map(len, parts)) == len(tokens)
+    assert np.array_equal(np.concatenate([embed._normalised(p, 16) for p in parts]), whole)
