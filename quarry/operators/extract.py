@@ -23,7 +23,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
-from ..session import checkpoint_dir, ship_package
+from ..functions.batches import text_slices
+from ..session import checkpoint_dir, scratch_path, ship_package
 from . import lex
 
 CHUNK_CHARS = 4_000_000
@@ -62,6 +63,13 @@ def _by_language(lang: Column, table: dict, fn) -> Column:
     return expr
 
 
+def _staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder; each reader takes only the columns it asks for."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _key(df: DataFrame) -> str:
     return f"key {df.schema['key'].dataType.simpleString()}"
 
@@ -169,7 +177,7 @@ def _parsed(batches):
     """``masked`` text and statements of every unit; begin, end and lines counted within the unit."""
     item = pa.list_(pa.struct([("a", pa.int32()), ("ln", pa.int32()), ("end_ln", pa.int32()), ("z", pa.int32()), ("name_ln", pa.int32()), ("head", pa.string()), ("stop", pa.string()), ("doc", pa.string()), ("source", pa.string())]))
     names = pa.list_(pa.struct([(c, pa.string()) for c in ("alias", "name", "module")]))
-    for b in batches:
+    for b in (part for whole in batches for part in text_slices(whole, "text")):
         masks, found, imported = [], [], []
         for text, language in zip(b.column("text").to_pylist(), b.column("language").to_pylist()):
             comments: list = []
@@ -205,7 +213,7 @@ def units(files: DataFrame, *, key: str = "file_path", text_col: str = "content"
         whole = whole.unionByName(_joined_units(chunks))
     items = "array<struct<a:int,ln:int,end_ln:int,z:int,name_ln:int,head:string,stop:string,doc:string,source:string>>"
     schema = f"{_key(rows)}, language string, first_line int, text string, masked string, statements {items}, imports array<struct<alias:string,name:string,module:string>>"
-    return whole.mapInArrow(_parsed, schema).checkpoint(eager=True)
+    return _staged(whole.mapInArrow(_parsed, schema), "units")
 
 
 def lines_of(parsed: DataFrame, key: str = "file_path") -> DataFrame:
@@ -265,7 +273,7 @@ def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "co
 
 def entities_of(parsed: DataFrame, *, key: str = "file_path", enclosing: str = "outer"):
     """``(lines, classes, methods)`` of units; see ``extract_all``."""
-    defs = definitions(parsed)
+    defs = _staged(definitions(parsed), "definitions")
     classes, methods = defs.where("kind = 'class'"), defs.where("kind = 'method'")
     place = ["key", "unit", "begin"]
     # containment as an equi-join: every class is exploded into the lines it covers, and a method

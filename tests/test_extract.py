@@ -201,3 +201,31 @@ def test_reference_columns_after_long_strings(spark):
 def test_long_literals_do_not_overflow(spark):
     code = 's = "' + "a\\\\" * 60_000 + '"\ndef f():\n    """' + "x\n" * 20_000 + '    """\n    return 1\n'
     assert _defs(spark, "python", code)[1] == [("f", "", 2, 20_004)]
+
+
+def test_a_batch_is_parsed_in_slices(monkeypatch):
+    """A worker parses some files at a time; it doesn't hold the statements of a whole Arrow batch."""
+    import pyarrow as pa
+
+    from quarry.functions import batches
+    from quarry.operators import extract, refs
+
+    text = "class A:\n    def b(self):\n        return c(1)\n"
+    rows = pa.RecordBatch.from_pydict({"key": [str(i) for i in range(50)], "language": ["python"] * 50, "first_line": [0] * 50, "text": [text] * 50})
+    whole = list(extract._parsed([rows]))
+    monkeypatch.setattr(batches, "SLICE_CHARS", 4 * len(text))
+    parts = list(extract._parsed([rows]))
+    assert len(whole) == 1 and len(parts) == 13
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+
+
+def test_units_are_read_by_column(spark):
+    """Units and definitions are written once, and a reader of names reads no texts."""
+    from quarry.operators import extract
+
+    files = spark.createDataFrame([("a.py", "python", "class A:\n    def b(self):\n        return 1\n"), ("n.py", "python", None)], "file_path string, language string, content string")
+    _, classes, methods = extract.entities_of(extract.units(files))
+    names = extract.name_vocabulary(classes, methods)
+    scans = [l for l in names._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in l or "Scan" in l]
+    assert scans and not any("source" in l for l in scans)
+    assert sorted(map(tuple, names.collect())) == [("class", "A"), ("method", "b")]
