@@ -184,3 +184,13 @@ def test_one_huge_file_is_many_units(spark):
     _, classes, methods = extract.extract_all(files, chunk_chars=1000)
     assert sorted((r.class_name, r.start_line) for r in classes.collect()) == sorted((f"C{i}", 3 * i + 1) for i in range(400))
     assert methods.count() == 400
+
+
+def test_identifier_places_without_neighbours(spark):
+    from quarry.operators import refs
+
+    lines = spark.createDataFrame([("f", 1, "Ab, c$d  é_1"), ("f", 2, ""), ("g", 1, None), ("g", 2, "  x.y(\u00df)")], "file_path string, ln int, masked string")
+    full, bare = refs.identifier_occurrences(lines), refs.identifier_occurrences(lines, neighbours=False)
+    assert bare.columns == ["file_path", "line", "column", "token"]
+    assert sorted(bare.collect()) == sorted(full.select(*bare.columns).collect())
+    assert bare.count() == 6
