@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..functions.batches import text_slices
 from ..session import ship_package
 
 
@@ -100,7 +101,7 @@ def recursive_chunks(df: DataFrame, *, id_col: str, text_col: str, size: int) ->
 
 _HEADER = re.compile(r"(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})(.*)$")
-_BLANK = re.compile(r"[\x09-\x0D\x20]*$")
+_BLANKS = "\t\n\x0b\x0c\r "
 
 
 def _sections(text: str) -> list[tuple]:
@@ -108,16 +109,16 @@ def _sections(text: str) -> list[tuple]:
     out, held, above = [], [], []
     fence, before = "", True
     for i, line in enumerate(text.split("\n"), 1):
-        m = _FENCE.match(line)
+        m = _FENCE.match(line) if "```" in line or "~~~" in line else None
         inside = bool(fence)
         if m and not fence:
             fence = m.group(1)
-        elif m and m.group(1)[0] == fence[0] and len(m.group(1)) >= len(fence) and _BLANK.match(m.group(2)):
+        elif m and m.group(1)[0] == fence[0] and len(m.group(1)) >= len(fence) and not m.group(2).strip(_BLANKS):
             fence = ""
-        if not inside and _BLANK.match(line):
+        if not inside and not line.strip(_BLANKS):
             before = True
             continue
-        header = None if inside else _HEADER.match(line)
+        header = _HEADER.match(line) if line[:1] == "#" and not inside else None
         if before or header:
             level = len(header.group(1)) if header else 0
             heading = header.group(2) if header else ""
@@ -148,12 +149,11 @@ def line_sections(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
     fields = [("section", pa.int64()), ("first_line", pa.int64()), ("n_lines", pa.int64()), ("text", pa.string()), ("level", pa.int32()), ("heading", pa.string()), ("path", pa.list_(pa.string()))]
 
     def run(batches):
-        for b in batches:
-            for i, text in enumerate(b.column("text").to_pylist()):
-                found = _sections(text)
-                columns = list(map(list, zip(*found))) or [[] for _ in fields]
-                ids = b.column("id").take(pa.array([i] * len(found), pa.int64()))
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, (_, t) in zip(columns, fields))], names=["id", *(n for n, _ in fields)])
+        for b in (part for whole in batches for part in text_slices(whole, "text")):
+            found = [_sections(text) for text in b.column("text").to_pylist()]
+            at = pa.array([i for i, some in enumerate(found) for _ in some], pa.int64())
+            columns = list(map(list, zip(*(x for some in found for x in some)))) or [[] for _ in fields]
+            yield pa.RecordBatch.from_arrays([b.column("id").take(at), *(pa.array(c, t) for c, (_, t) in zip(columns, fields))], names=["id", *(n for n, _ in fields)])
 
     kind = rows.schema["id"].dataType.simpleString()
     out = rows.mapInArrow(run, f"id {kind}, section bigint, first_line bigint, n_lines bigint, text string, level int, heading string, path array<string>")

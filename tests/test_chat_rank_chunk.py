@@ -153,3 +153,34 @@ def test_line_sections_fences_levels_and_ids(spark):
     two = [(1, 1, 1, "a", 0, "", []), (2, 3, 1, "b", 0, "", [])]
     key = lambda r: str(r)
     assert sorted(got, key=key) == sorted([(1, *r) for r in one] * 2 + [(None, *r) for r in one] + [(None, *r) for r in two] * 2, key=key)
+
+
+def test_sections_of_several_texts_share_a_batch(spark):
+    """Texts are cut in slices of a batch, one Arrow batch per slice instead of one per text."""
+    import pyarrow as pa
+
+    from quarry.operators import chunk
+
+    rows = spark.createDataFrame([(i, f"# h{i}\nx\n\ny \x0b\n \t\n```\n#\n\n``` \nz") for i in range(30)] + [(99, ""), (98, None)], "d long, t string").coalesce(1)
+    out = []
+
+    class Whole:
+        sparkSession, schema = spark, rows.schema
+
+        def select(self, *cols):
+            self.at = rows.select(*cols)
+            self.schema = self.at.schema
+            return self
+
+        def where(self, cond):
+            self.at = self.at.where(cond)
+            return self
+
+        def mapInArrow(self, run, schema):
+            out.extend(run([self.at.toArrow().combine_chunks().to_batches()[0]]))
+            return rows.withColumn("id", rows.d)
+
+    chunk.line_sections(Whole(), id_col="d", text_col="t")
+    assert len(out) == 1
+    got = [(r["id"], r["section"], r["first_line"], r["text"]) for r in pa.Table.from_batches(out).to_pylist()]
+    assert got == [x for i in range(30) for x in ((i, 1, 1, f"# h{i}\nx"), (i, 2, 4, "y \x0b"), (i, 3, 6, "```\n#\n\n``` \nz"))]
