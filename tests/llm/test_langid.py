@@ -114,3 +114,24 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = L.op7_langid(spark, "/root/testdata/sf0.01").join(docs, "doc_id").where("held_out").toPandas()
     assert (got.lang == got.lang_pred).mean() > 0.97
+
+
+def test_a_batch_is_labelled_in_slices(spark, monkeypatch):
+    """What a worker holds at a time follows ``SLICE_CHARS``, and the rows don't depend on it."""
+    docs = spark.createDataFrame([(i, f"der hund {i} und die katze" if i % 2 else f"the dog {i} and the cat", "de" if i % 2 else "en") for i in range(120)], "doc_id long, text string, lang string").coalesce(1)
+    model = L.fit(docs)
+    want = sorted(L.predict(docs, model).collect())
+    seen = []
+
+    class Whole:
+        sparkSession, schema = spark, docs.schema
+
+        def mapInArrow(self, run, schema):
+            list(run([docs.toArrow().combine_chunks().to_batches()[0]]))
+
+    inner = L.Labeller.texts
+    monkeypatch.setattr(L, "SLICE_CHARS", 300)
+    monkeypatch.setattr(L.Labeller, "texts", lambda self, texts: seen.append(sum(map(len, texts))) or inner(self, texts))
+    L.keep_known(Whole(), model)
+    assert max(seen) <= 300 and len(seen) > 5
+    assert sorted(L.predict(docs, model).collect()) == want
