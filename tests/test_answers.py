@@ -129,3 +129,29 @@ def test_enricher_generator_and_embedder_use_a_store(spark, tmp_path):
     emb = StoredEmbedder(lambda texts: [[len(t), 1.0] for t in texts], dim=2, store=str(tmp_path / "v"), model="len")
     for _ in range(2):
         assert sorted((r.id, r.v) for r in emb.embed(asked, "q", "v").collect()) == [(1, [3.0, 1.0]), (2, [3.0, 1.0]), (3, [0.0, 1.0])]
+
+
+def test_reranked_and_plain_turns_are_searched_together(spark, monkeypatch):
+    """One search per pass for all turns; the rows are those of two separate runs."""
+    from pyspark.sql import functions as F
+
+    from quarry.operators import embed
+    from quarry.plans import answer
+
+    words = ["red", "blue", "green", "fast", "slow", "cat", "dog", "tree"]
+    texts = [" ".join(words[(i * j + i) % 8] for j in range(1, 5)) for i in range(24)]
+    emb = embed.HashingEmbedder(dim=64, sparse=True)
+    base = spark.createDataFrame([(i, f"f{i}", t) for i, t in enumerate(texts)], "entity_id long, file_path string, text string")
+    methods = emb.embed(base.withColumnRenamed("text", "code"), "code", "method_embeddings")
+    classes = emb.embed(base.select("entity_id", "file_path", F.concat("text", F.lit(" class")).alias("source_code"), F.lit("").alias("references")), "source_code", "class_embeddings")
+    turns = spark.createDataFrame([(u, 1, f"@codebase {words[u % 8]} {words[(3 * u) % 8]}", "true" if u % 2 else None) for u in range(8)], "user long, turn int, text string, rr string")
+    seen = []
+    inner = answer._search
+    monkeypatch.setattr(answer, "_search", lambda *a, **kw: seen.append(1) or inner(*a, **kw))
+    got = {r["user"]: r["context"] for r in answer.answer_log(turns, methods, classes, emb, user_col="user", order_col="turn", rerank_col="rr").collect()}
+    assert len(seen) == 2
+    want = {}
+    for rerank in (False, True):
+        qs = turns.where(F.col("rr").isNotNull() == rerank).select(F.col("user").alias("query_id"), F.trim(F.replace("text", F.lit("@codebase"), F.lit(""))).alias("query"))
+        want |= {r["query_id"]: r["context"] for r in answer.two_pass_context(qs, methods, classes, emb, rerank=rerank).collect()}
+    assert got == want and len(got) == 8
