@@ -37,6 +37,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,7 +59,10 @@ _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0x100000001B3)
 _MEMO: dict[str, int] = {}
-_MEMO_WORDS = 200_000
+_MEMO_WORDS = 50_000
+#: text, and bytes of multisets, that a task holds in all their forms at a time
+SLICE_CHARS = 1_000_000
+SLICE_BYTES = 8_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -162,7 +166,7 @@ def _signed(bags, rows: int, bands: int, seed: int) -> np.ndarray:
 def _first_pass(rows: int, bands: int, width: int):
     def sign(batches):
         for batch in batches:
-            for part, texts in text_slices(batch):
+            for part, texts in text_slices(batch, chars=SLICE_CHARS):
                 bags = [shingles(t or "", width) for t in texts]
                 keys = [None if t is None else content_key(t, *b) for t, b in zip(texts, bags)]
                 buckets = _signed(bags, rows, bands, 0)
@@ -175,7 +179,7 @@ def _first_pass(rows: int, bands: int, width: int):
 def _bags(width: int):
     def out(batches):
         for batch in batches:
-            for _, texts in text_slices(batch):
+            for _, texts in text_slices(batch, chars=SLICE_CHARS):
                 bags = [(t, *shingles(t, width)) for t in texts if t is not None]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -205,8 +209,19 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return common / (int(a[1].sum()) + int(b[1].sum()) - common)
 
 
+def _bag_slices(batch, hashes: list[str]):
+    """Runs of rows whose multisets take about ``SLICE_BYTES``; a larger row is a run of its own."""
+    size = sum(pc.binary_length(batch.column(c)).to_numpy(zero_copy_only=False).astype(np.int64) for c in hashes)
+    end = np.cumsum(size)
+    a = 0
+    while a < batch.num_rows:
+        z = max(a + 1, int(np.searchsorted(end, (end[a - 1] if a else 0) + SLICE_BYTES, side="right")))
+        yield batch.slice(a, z - a)
+        a = z
+
+
 def _verify(batches):
-    for batch in batches:
+    for batch in (part for whole in batches for part in _bag_slices(whole, ["ha", "hb"])):
         cols = [batch.column(i).to_pylist() for i in range(6)]
         last, left = None, None
         sims = []
@@ -265,8 +280,7 @@ def _alike(total_a, total_b, threshold: float):
 def _rebucket(rows: int, bands: int, level: int):
     def sign(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
+            for part in (x.slice(a, 256) for x in _bag_slices(batch, ["hashes"]) for a in range(0, x.num_rows, 256)):
                 bags = [_bag(h, c) for h, c in zip(part.column("hashes").to_pylist(), part.column("counts").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("key"), part.column("total"), _lists(_signed(bags, rows, bands, level))], names=["key", "total", "buckets"])
 
@@ -317,7 +331,6 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
         r = roots.select(F.col("node").alias("key"), "root")
         return m.join(r, "key", "left").withColumn("root", F.coalesce("root", "key"))
 
-    far = 1.0 - threshold
     far = 1.0 - threshold
     for level in range(len(levels)):
         # 1. every member against the leader of its bucket
@@ -381,13 +394,13 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
 
     def keys(batches):
         for batch in batches:
-            for part, texts in text_slices(batch):
-                named = pa.array([None if t is None else content_key(t, *shingles(t, options.get("width", SHINGLE))) for t in texts], pa.binary())
+            for part, texts in text_slices(batch, chars=SLICE_CHARS):
+                named = pa.array([content_key(t, *shingles(t, options.get("width", SHINGLE))) for t in texts], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, named], names=[*part.schema.names, key])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BinaryType())])
-    named = docs.mapInArrow(keys, schema)
-    null_text = named.where(F.col(key).isNull()).drop(key)
+    named = docs.where(F.col("text").isNotNull()).mapInArrow(keys, schema)
+    null_text = docs.where(F.col("text").isNull())
     stay = stay.withColumnsRenamed({"s_id": f"{key}_id", "s_key": f"{key}_key"})
     on = named["doc_id"].cast("long").eqNullSafe(stay[f"{key}_id"]) & (named[key] == stay[f"{key}_key"])
     kept = named.join(stay, on, "left_semi").dropDuplicates(["doc_id", key]).drop(key)

@@ -142,3 +142,24 @@ def test_given_documents(spark):
     got = M.op5_minhash(spark, "/root/testdata/sf0.001").collect()
     want = brute(rows)
     assert groups((r.doc_id, r.class_id) for r in got) == groups((rows[i][0], c) for i, c in enumerate(want))
+
+
+def test_a_task_holds_bounded_slices(spark, monkeypatch):
+    """Pairs are compared in slices of a batch; rows without a text aren't read by Python to be kept."""
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    bags = [M.shingles(" ".join(rng.choice("abcdefg") for _ in range(200))) for _ in range(40)]
+    raw = [(h.tobytes(), b"" if (c == 1).all() else c.astype("<u4").tobytes()) for h, c in bags]
+    names = ["a", "ha", "ca", "b", "hb", "cb"]
+    batch = pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in zip(*[(b"%d" % (i // 4), *raw[i // 4], b"%d" % i, *raw[i]) for i in range(40)])], names=names)
+    whole = list(M._verify([batch]))
+    monkeypatch.setattr(M, "SLICE_BYTES", 3 * (len(raw[0][0]) + len(raw[1][0])))
+    parts = list(M._verify([batch]))
+    assert len(whole) == 1 and len(parts) > 10
+    assert pa.Table.from_batches(parts).to_pylist() == pa.Table.from_batches(whole).to_pylist()
+
+    docs = spark.createDataFrame([(1, None), (1, None), (2, "a b c d e f g"), (3, "a b c d e f g"), (None, None), (4, "")], "doc_id long, text string")
+    kept = M.keep_one(docs)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.where("doc_id is null or doc_id <> 3").collect()))
