@@ -63,7 +63,7 @@ def _by_language(lang: Column, table: dict, fn) -> Column:
     return expr
 
 
-def _staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder; each reader takes only the columns it asks for."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
@@ -173,13 +173,20 @@ def _joined_units(chunks: DataFrame) -> DataFrame:
     return text.select("key", "language", "first_line", "text")
 
 
-def _parsed(batches):
-    """``masked`` text and statements of every unit; begin, end and lines counted within the unit."""
+def _parsed(batches, size: int | None = None, sources: bool = True):
+    """``masked`` text and statements of every unit; begin, end and lines counted within the unit.
+
+    A text above ``size`` characters is left as it is, ``masked`` null. Without ``sources`` a statement's
+    text is null, unless its name may have to be read from it.
+    """
     item = pa.list_(pa.struct([("a", pa.int32()), ("ln", pa.int32()), ("end_ln", pa.int32()), ("z", pa.int32()), ("name_ln", pa.int32()), ("head", pa.string()), ("stop", pa.string()), ("doc", pa.string()), ("source", pa.string())]))
     names = pa.list_(pa.struct([(c, pa.string()) for c in ("alias", "name", "module")]))
     for b in (part for whole in batches for part in text_slices(whole, "text")):
         masks, found, imported = [], [], []
         for text, language in zip(b.column("text").to_pylist(), b.column("language").to_pylist()):
+            if size is not None and len(text) > size:
+                masks.append(None), found.append([]), imported.append([])
+                continue
             comments: list = []
             masked, _ = lex.lex(text, language, comments=comments)
             some = lex.python_statements(text, masked) if language == "python" else lex.statements(text, masked, language, comments)
@@ -187,7 +194,7 @@ def _parsed(batches):
             for a, z, head, stop, doc, name in sorted(some):
                 ln += text.count("\n", at, a)
                 at = a
-                rows.append((a, ln, ln + text.count("\n", a, z), z, ln + text.count("\n", a, name), head, stop, doc, text[a:z]))
+                rows.append((a, ln, ln + text.count("\n", a, z), z, ln + text.count("\n", a, name), head, stop, doc, text[a:z] if sources or "[]" in head else None))
             masks.append(masked)
             imported.append([dict(zip(("alias", "name", "module"), x)) for x in lex.imports(text, masked, language)])
             found.append([dict(zip(("a", "ln", "end_ln", "z", "name_ln", "head", "stop", "doc", "source"), r)) for r in rows])
@@ -197,23 +204,28 @@ def _parsed(batches):
         )
 
 
-def units(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", chunk_chars: int | None = None) -> DataFrame:
+def units(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", chunk_chars: int | None = None, sources: bool = True) -> DataFrame:
     """``key, language, first_line, text, masked, statements, imports`` per unit, written once.
 
-    Files of another language than the four, and null texts, have no unit.
+    Files of another language than the four, and null texts, have no unit. Units without ``sources``
+    are for ``names_of`` alone.
     """
     spark, size = files.sparkSession, chunk_chars or CHUNK_CHARS
     ship_package(spark)
     checkpoint_dir(spark)
     rows = files.select(F.col(key).alias("key"), F.col(lang_col).alias("language"), F.col(text_col).alias("text"))
     rows = rows.where(F.col("language").isin(*CLASS_HEAD) & F.col("text").isNotNull())
-    whole = rows.where(F.length("text") <= size).select("key", "language", F.lit(0).alias("first_line"), "text")
-    chunks = _chunks(rows.where(F.length("text") > size), size).repartition("key", "chunk").checkpoint(eager=True)
-    if not chunks.isEmpty():
-        whole = whole.unionByName(_joined_units(chunks))
     items = "array<struct<a:int,ln:int,end_ln:int,z:int,name_ln:int,head:string,stop:string,doc:string,source:string>>"
     schema = f"{_key(rows)}, language string, first_line int, text string, masked string, statements {items}, imports array<struct<alias:string,name:string,module:string>>"
-    return _staged(whole.mapInArrow(_parsed, schema), "units")
+    # one pass over the files: those above the size go through it unread
+    whole = rows.select("key", "language", F.lit(0).alias("first_line"), "text")
+    parsed = staged(whole.mapInArrow(lambda batches: _parsed(batches, size, sources), schema), "units")
+    large = parsed.where("masked is null").select("key", "language", "text")
+    if large.isEmpty():
+        return parsed
+    chunks = _chunks(large, size).repartition("key", "chunk").checkpoint(eager=True)
+    cut = staged(_joined_units(chunks).mapInArrow(lambda batches: _parsed(batches, None, sources), schema), "units")
+    return parsed.where("masked is not null").unionByName(cut)
 
 
 def lines_of(parsed: DataFrame, key: str = "file_path") -> DataFrame:
@@ -227,6 +239,13 @@ def lines_of(parsed: DataFrame, key: str = "file_path") -> DataFrame:
     )
 
 
+def code_lines_of(parsed: DataFrame, key: str = "file_path") -> DataFrame:
+    """``file, language, ln, masked, is_code``: the lines of ``lines_of`` that hold code, without their text."""
+    rows = parsed.select(F.col("key").alias(key), "language", "first_line", F.posexplode(F.split("masked", "\n", -1)).alias("pos", "masked"))
+    rows = rows.where(F.col("masked").rlike(r"\S"))
+    return rows.select(key, "language", (F.col("first_line") + F.col("pos") + 1).cast("int").alias("ln"), "masked", F.lit(True).alias("is_code"))
+
+
 def line_table(files: DataFrame, *, key: str = "file_path", text_col: str = "content", lang_col: str = "language", chunk_chars: int | None = None) -> DataFrame:
     """One row per line that isn't empty, with strings and comments blanked in ``masked``."""
     return lines_of(units(files, key=key, text_col=text_col, lang_col=lang_col, chunk_chars=chunk_chars), key)
@@ -235,21 +254,28 @@ def line_table(files: DataFrame, *, key: str = "file_path", text_col: str = "con
 def definitions(parsed: DataFrame) -> DataFrame:
     """``key, language, unit, begin, end, kind, name, doc, source, start_line, end_line``."""
     lang = F.col("language")
-    own = F.transform("statements", lambda s: F.regexp_extract(s["head"], JAVA_TYPE_NAME, 1))
-    rows = parsed.select("key", "language", F.col("first_line").alias("unit"), F.when(lang == "java", own).alias("own"), F.explode("statements").alias("s"))
+    # the types of a unit are found once, not again for each of its statements
+    own = F.filter(F.transform("statements", lambda s: F.regexp_extract(s["head"], JAVA_TYPE_NAME, 1)), lambda n: n != "")
+    rows = parsed.select("key", "language", F.col("first_line").alias("unit"), F.when(lang == "java", own).alias("own"), "statements")
+    rows = rows.select("key", "language", "unit", "own", F.explode("statements").alias("s"))
     head, block = F.col("s.head"), F.col("s.stop") == "{"
-    cname = _by_language(lang, CLASS_HEAD, lambda p: F.regexp_extract(head, p, 1))
-    mname = _by_language(lang, METHOD_HEAD, lambda p: F.regexp_extract(head, p, 1))
-    bare = F.regexp_extract(head, JAVA_CONSTRUCTOR, 1)
+    # every step is a column of its own, and asked more than once it is evaluated once
+    rows = rows.withColumn("cname", _by_language(lang, CLASS_HEAD, lambda p: F.regexp_extract(head, p, 1)))
+    rows = rows.withColumn("mname", _by_language(lang, METHOD_HEAD, lambda p: F.regexp_extract(head, p, 1)))
     # a name and brackets without a type before them: a constructor where a type has that name
-    mname = F.when((lang == "java") & (mname == ""), F.when(block & F.array_contains("own", bare), bare).otherwise("")).otherwise(mname)
-    mname = F.when(mname == "[]", F.regexp_extract("s.source", COMPUTED_NAME, 1)).otherwise(mname)
+    rows = rows.withColumn("bare", F.when((lang == "java") & (F.col("mname") == "") & block, F.regexp_extract(head, JAVA_CONSTRUCTOR, 1)).otherwise(""))
+    mname = F.when((lang == "java") & (F.col("mname") == ""), F.when(F.array_contains("own", F.col("bare")), F.col("bare")).otherwise("")).otherwise(F.col("mname"))
+    rows = rows.withColumn("mname", mname)
+    rows = rows.withColumn("mname", F.when(F.col("mname") == "[]", F.regexp_extract("s.source", COMPUTED_NAME, 1)).otherwise(F.col("mname")))
+    cname, mname = F.col("cname"), F.col("mname")
     is_class = (cname != "") & (block | lang.isin("python", "rust"))
     # what a semicolon ends is a definition in Java alone (abstract, native, of an interface)
     is_method = (mname != "") & (block | lang.isin("python", "java")) & ~(lang.isin("java", "javascript") & mname.isin(*NOT_A_NAME))
-    rows = rows.withColumn("kind", F.when(is_class, "class").when(is_method, "method")).withColumn("name", F.when(is_class, cname).otherwise(mname))
-    return rows.where(F.col("kind").isNotNull()).select(
-        "key", "language", "unit", F.col("s.a").alias("begin"), F.col("s.z").alias("end"), "kind", "name", F.col("s.doc").alias("doc"), F.col("s.source").alias("source"),
+    kind = F.when(is_class, F.struct(F.lit("class").alias("kind"), cname.alias("name"))).when(is_method, F.struct(F.lit("method").alias("kind"), mname.alias("name")))
+    # exploded, so that the filter behind it isn't moved before the steps and doesn't repeat them
+    rows = rows.select("key", "language", "unit", "s", F.explode(F.array(kind)).alias("d")).where(F.col("d").isNotNull())
+    return rows.select(
+        "key", "language", "unit", F.col("s.a").alias("begin"), F.col("s.z").alias("end"), F.col("d.kind").alias("kind"), F.col("d.name").alias("name"), F.col("s.doc").alias("doc"), F.col("s.source").alias("source"),
         (F.col("unit") + F.col("s.name_ln")).cast("int").alias("name_line"), (F.col("unit") + F.col("s.ln")).cast("int").alias("start_line"), (F.col("unit") + F.col("s.end_ln")).cast("int").alias("end_line"),
     )
 
@@ -271,26 +297,53 @@ def extract_all(files: DataFrame, *, key: str = "file_path", text_col: str = "co
     return entities_of(units(files, key=key, text_col=text_col, lang_col=lang_col, chunk_chars=chunk_chars), key=key, enclosing=enclosing)
 
 
-def entities_of(parsed: DataFrame, *, key: str = "file_path", enclosing: str = "outer"):
-    """``(lines, classes, methods)`` of units; see ``extract_all``."""
-    defs = _staged(definitions(parsed), "definitions")
-    classes, methods = defs.where("kind = 'class'"), defs.where("kind = 'method'")
-    place = ["key", "unit", "begin"]
-    # containment as an equi-join: every class is exploded into the lines it covers, and a method
-    # meets the classes that cover its first line (then the places themselves are compared)
+def _held(classes: DataFrame, methods: DataFrame, *more: Column) -> DataFrame:
+    """Every method with each class around it.
+
+    Containment as an equi-join: every class is exploded into the lines it covers, and a method
+    meets the classes that cover its first line (then the places themselves are compared).
+    """
     c = classes.select(
         F.col("key").alias("_k"), F.col("unit").alias("_u"), F.col("begin").alias("_a"), F.col("end").alias("_z"), F.col("name").alias("_n"),
         F.explode(F.sequence("start_line", "end_line")).alias("_l"),
     )
-    m = methods.select(*place, "end", "start_line", F.col("source").alias("_text"))
-    pairs = m.join(c, (m["key"].eqNullSafe(c["_k"])) & (m["unit"] == c["_u"]) & (m["start_line"] == c["_l"])).where("_a < begin and end <= _z")
+    m = methods.select("key", "unit", "begin", "end", "start_line", *more)
+    return m.join(c, (m["key"].eqNullSafe(c["_k"])) & (m["unit"] == c["_u"]) & (m["start_line"] == c["_l"])).where("_a < begin and end <= _z")
+
+
+def _with_class(methods: DataFrame, pairs: DataFrame, enclosing: str) -> DataFrame:
+    """``methods`` with the ``class_name`` of the outermost or innermost class around each, else ``""``."""
+    place = ["key", "unit", "begin"]
     pick = F.min_by if enclosing == "outer" else F.max_by
-    # only the methods' places and class names, and the classes' method texts, are shuffled
     encl = pairs.groupBy(*place).agg(pick("_n", "_a").alias("class_name"))
-    decl = pairs.groupBy("_k", "_u", "_a").agg(F.array_join(F.array_sort(F.collect_list(F.struct("begin", "_text")))["_text"], K.METHOD_DECL_SEPARATOR).alias("method_declarations"))
     e = encl.select(*[F.col(x).alias(f"_e{x}") for x in place], "class_name")
-    methods_out = methods.join(e, methods["key"].eqNullSafe(e["_ekey"]) & (methods["unit"] == e["_eunit"]) & (methods["begin"] == e["_ebegin"]), "left").select(
-        F.col("key").alias(key), F.coalesce("class_name", F.lit("")).alias("class_name"), "name", F.col("doc").alias("doc_comment"), F.col("source").alias("source_code"), "start_line", "end_line", "language", "name_line"
+    found = methods.join(e, methods["key"].eqNullSafe(e["_ekey"]) & (methods["unit"] == e["_eunit"]) & (methods["begin"] == e["_ebegin"]), "left")
+    return found.withColumn("class_name", F.coalesce("class_name", F.lit("")))
+
+
+def names_of(parsed: DataFrame, *, key: str = "file_path", enclosing: str = "outer"):
+    """``(lines, classes, methods)`` as ``entities_of``, without any text: for references and calls.
+
+    lines: those with code, ``masked`` alone. classes and methods: ``file_path, class_name`` (``name``),
+    ``start_line, end_line, language, name_line``; both are written once, as every step asks them.
+    """
+    defs = staged(definitions(parsed).drop("source", "doc"), "definitions")
+    classes, methods = defs.where("kind = 'class'"), defs.where("kind = 'method'")
+    places = ["start_line", "end_line", "language", "name_line"]
+    methods_out = _with_class(methods, _held(classes, methods), enclosing).select(F.col("key").alias(key), "class_name", "name", *places)
+    classes_out = classes.select(F.col("key").alias(key), F.col("name").alias("class_name"), *places)
+    return code_lines_of(parsed, key), classes_out, staged(methods_out, "methods")
+
+
+def entities_of(parsed: DataFrame, *, key: str = "file_path", enclosing: str = "outer"):
+    """``(lines, classes, methods)`` of units; see ``extract_all``."""
+    defs = staged(definitions(parsed), "definitions")
+    classes, methods = defs.where("kind = 'class'"), defs.where("kind = 'method'")
+    pairs = _held(classes, methods, F.col("source").alias("_text"))
+    # only the methods' places and class names, and the classes' method texts, are shuffled
+    decl = pairs.groupBy("_k", "_u", "_a").agg(F.array_join(F.array_sort(F.collect_list(F.struct("begin", "_text")))["_text"], K.METHOD_DECL_SEPARATOR).alias("method_declarations"))
+    methods_out = _with_class(methods, pairs, enclosing).select(
+        F.col("key").alias(key), "class_name", "name", F.col("doc").alias("doc_comment"), F.col("source").alias("source_code"), "start_line", "end_line", "language", "name_line"
     )
     classes_out = classes.join(decl, classes["key"].eqNullSafe(decl["_k"]) & (classes["unit"] == decl["_u"]) & (classes["begin"] == decl["_a"]), "left").select(
         F.col("key").alias(key), F.col("name").alias("class_name"), F.lit("").alias("constructor_declaration"), F.coalesce("method_declarations", F.lit("")).alias("method_declarations"),

@@ -242,8 +242,12 @@ def _extracted(spark: SparkSession, sf: str):
     return extract.entities_of(_units(spark, sf))
 
 
-def _units(spark: SparkSession, sf: str) -> DataFrame:
-    return extract.units(document_sources(table(spark, sf, "documents").select("doc_id", "lang", "text")))
+def _named(spark: SparkSession, sf: str):
+    return extract.names_of(_units(spark, sf, sources=False))
+
+
+def _units(spark: SparkSession, sf: str, sources: bool = True) -> DataFrame:
+    return extract.units(document_sources(table(spark, sf, "documents").select("doc_id", "lang", "text")), sources=sources)
 
 
 def extract_classes(spark: SparkSession, sf: str) -> DataFrame:
@@ -278,7 +282,7 @@ EXTRACT_METHODS_SQL = f"WITH {EXPECTED} SELECT * FROM methods"
 
 def name_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
     """The names defined anywhere."""
-    _, classes, methods = _extracted(spark, sf)
+    _, classes, methods = _named(spark, sf)
     return extract.name_vocabulary(classes, methods)
 
 
@@ -287,7 +291,7 @@ NAME_VOCABULARY_SQL = f"WITH {EXPECTED} SELECT 'class' AS kind, 'C' || i AS name
 
 def code_references(spark: SparkSession, sf: str) -> DataFrame:
     """Where the defined names are used, by file, line and column."""
-    lines, classes, methods = _extracted(spark, sf)
+    lines, classes, methods = _named(spark, sf)
     hits = refs.code_references(lines, classes, methods)
     return hits.select("kind", "name", "file", F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("col"))
 
@@ -297,8 +301,8 @@ CODE_REFERENCES_SQL = f"WITH {EXPECTED} SELECT kind, name, file, CAST(line AS BI
 
 def attach_references(spark: SparkSession, sf: str) -> DataFrame:
     """Every method and class with the rendered list of its uses."""
-    lines, classes, methods = _extracted(spark, sf)
-    rendered = refs.render_references(refs.code_references(lines, classes, methods))
+    lines, classes, methods = _named(spark, sf)
+    rendered = extract.staged(refs.render_references(refs.code_references(lines, classes, methods)), "rendered")
     m = refs.attach_references(methods, rendered, kind="method", name_col="name").select("file_path", F.lit("method").alias("kind"), "name", F.col("references").alias("refs"))
     c = refs.attach_references(classes, rendered, kind="class", name_col="class_name").select("file_path", F.lit("class").alias("kind"), F.col("class_name").alias("name"), F.col("references").alias("refs"))
     return m.unionByName(c)
@@ -313,7 +317,7 @@ SELECT file_path, e.kind, e.name, coalesce(refs, '') AS refs FROM e LEFT JOIN re
 
 def call_edges(spark: SparkSession, sf: str) -> DataFrame:
     """Which method calls which name, and where."""
-    lines, classes, methods = _extracted(spark, sf)
+    lines, classes, methods = _named(spark, sf)
     edges = callgraph.call_edges(methods, refs.code_references(lines, classes, methods))
     return edges.select("caller_file", "caller_class", "caller", "callee", F.col("line").cast("bigint").alias("line"), F.col("column").cast("bigint").alias("col"))
 
@@ -325,8 +329,8 @@ FROM hits h JOIN methods f ON f.file_path = h.file AND h.line BETWEEN f.start_li
 
 
 def _resolved(spark: SparkSession, sf: str):
-    parsed = _units(spark, sf)
-    lines, classes, methods = extract.entities_of(parsed)
+    parsed = _units(spark, sf, sources=False)
+    lines, classes, methods = extract.names_of(parsed)
     return methods, refs.resolve_references(lines, classes, methods, extract.imports_of(parsed))
 
 

@@ -229,3 +229,51 @@ def test_units_are_read_by_column(spark):
     scans = [l for l in names._jdf.queryExecution().executedPlan().toString().splitlines() if "ReadSchema" in l or "Scan" in l]
     assert scans and not any("source" in l for l in scans)
     assert sorted(map(tuple, names.collect())) == [("class", "A"), ("method", "b")]
+
+
+def test_names_need_no_texts(spark):
+    """Classes, methods and code lines for references are those of ``entities_of``, from units without sources."""
+    from quarry.operators import extract
+
+    rows = [
+        ("a.py", "python", "class A:\n    # c\n    def b(self):\n\n        class In:\n            def d(self): return 1\n        return 'x'\n\ndef e(): pass\n"),
+        ("B.java", "java", "class B {\n  B() { f(); }\n  int f() { return 1; }\n  enum E { X; E() {} }\n}\n"),
+        ("c.js", "javascript", "class C {\n  [Symbol.iterator]() { return null; }\n  g(a = {b: 1}) { return h(); }\n}\nclass C2 {}\n"),
+        ("c.js", "javascript", "class C {\n  [Symbol.iterator]() { return null; }\n}\n"),
+        (None, "rust", "struct R { x: i32 }\nfn s() -> i32 { 1 }\n"),
+    ]
+    files = spark.createDataFrame(rows, "file_path string, language string, content string")
+    whole, bare = extract.units(files), extract.units(files, sources=False)
+    sent = [s.source for r in bare.collect() for s in r.statements]
+    assert sum(x is not None for x in sent) == 2 and len(sent) > 10
+    lines, *full = extract.entities_of(whole)
+    code, *named = extract.names_of(bare)
+    for a, b in zip(full, named):
+        assert not {"source_code", "doc_comment", "method_declarations"} & set(b.columns)
+        assert sorted(map(repr, b.collect())) == sorted(map(repr, a.select(*b.columns).collect()))
+    assert sorted(map(repr, code.collect())) == sorted(map(repr, lines.where("is_code").select(*code.columns).collect()))
+
+
+def test_types_of_a_unit_are_found_once(spark):
+    """The patterns of a definition stand once in the plan and the unit's types below the explode, not per statement."""
+    from quarry.operators import extract
+
+    parsed = extract.units(spark.createDataFrame([("B.java", "java", "class B {\n  B() { f(); }\n}\n")], "file_path string, language string, content string"))
+    plan = extract.definitions(parsed)._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Generate explode(statements", 1)
+    assert "transform(" not in above and below.count("transform(") == 1
+    assert plan.count("?:default|const|async|unsafe") == 1
+
+
+def test_files_above_the_size_go_through_one_pass(spark):
+    from quarry.operators import extract
+
+    text = "".join(f"class C{i} {{\n  m{i}() {{ return 1; }}\n}}\n" for i in range(60))
+    rows = [("big.js", "javascript", text), ("small.js", "javascript", "class S {\n  s() { return 2; }\n}\n"), ("none.js", "javascript", None), ("empty.js", "javascript", "")]
+    files = spark.createDataFrame(rows, "file_path string, language string, content string")
+    for sources in (True, False):
+        parsed = extract.units(files, chunk_chars=500, sources=sources)
+        assert parsed.where("masked is null").isEmpty() and parsed.where("key = 'big.js'").count() > 3
+        _, classes, methods = extract.names_of(parsed)
+        assert sorted(r.class_name for r in classes.collect()) == sorted([f"C{i}" for i in range(60)] + ["S"])
+        assert {(r.class_name, r.name) for r in methods.collect()} == {(f"C{i}", f"m{i}") for i in range(60)} | {("S", "s")}
