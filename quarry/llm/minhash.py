@@ -287,6 +287,11 @@ def _rebucket(rows: int, bands: int, level: int):
     return sign
 
 
+def _gathered(df: DataFrame, name: str) -> DataFrame:
+    """``staged`` for a table far smaller than what it is made of: files of the advised size, not one per task."""
+    return staged(df.hint("rebalance"), name)
+
+
 def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int = SHINGLE, levels=LEVELS, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """``docs(doc_id, text)`` -> per row ``doc_id, key, class_key`` (null for a null text).
 
@@ -299,7 +304,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
     nodes = signed.where("key is not null and total > 0").groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("total").alias("total"), F.any_value("buckets").alias("buckets"))
     member = nodes.select("key", "doc_id", "total", F.explode("buckets").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    member = staged(member.join(shared, "bucket", "left_semi"), "near-members")
+    member = _gathered(member.join(shared, "bucket", "left_semi"), "near-members")
 
     # the multisets of every text that shares a bucket, once
     wanted = member.groupBy("key").agg(F.any_value("doc_id").alias("doc_id"))
@@ -337,7 +342,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
         first = F.min(F.struct(F.xxhash64("key", F.lit(level)).alias("o"), F.col("key").alias("k"))).alias("l")
         lead = member.groupBy("bucket").agg(F.count("*").alias("n"), first).where("n > 1").select("bucket", F.col("l.k").alias("a"))
         star = member.join(lead, "bucket").where("key <> a").select("bucket", "a", F.col("key").alias("b"), "total")
-        tested = staged(similarities(star.select("a", "b").distinct(), bags), "near-tested")
+        tested = _gathered(similarities(star.select("a", "b").distinct(), bags), "near-tested")
         add(tested)
         # 2. what the leader leaves open
         known = star.join(tested.select("a", "b", (1.0 - F.col("j")).alias("d")), ["a", "b"])
@@ -353,7 +358,7 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
         rest = left.where("one_block")
         if not rest.isEmpty():
             held = rest.select("bucket", "key", "main", "root").join(bags, "key")
-            add(staged(held.groupBy("bucket").applyInArrow(_block_links(threshold), "a binary, b binary, j double"), "near-tested"))
+            add(_gathered(held.groupBy("bucket").applyInArrow(_block_links(threshold), "a binary, b binary, j double"), "near-tested"))
         rest = left.where(~F.col("one_block")).drop("one_block")
         if rest.isEmpty():
             break
@@ -364,14 +369,14 @@ def near_duplicates(docs: DataFrame, *, threshold: float = THRESHOLD, width: int
             y = rest.select("bucket", F.col("key").alias("b"), F.col("total").alias("tb"), F.col("root").alias("rb"), F.col("main").alias("mb"))
             apart = (F.col("ra") != F.col("rb")) & (F.col("mb") | (F.col("a") < F.col("b")))
             pairs = x.join(y, "bucket").where(apart & _alike(F.col("ta"), F.col("tb"), threshold)).select("a", "b").distinct()
-            add(staged(similarities(pairs, bags), "near-tested"))
+            add(_gathered(similarities(pairs, bags), "near-tested"))
             break
         # 4. a larger one is dealt out again by fresh signatures with more rows a band
         r, b = levels[level + 1]
         again = bags.join(rest.select("key", "total").distinct(), "key").mapInArrow(_rebucket(r, b, level + 1), "key binary, total bigint, buckets array<bigint>")
         member = again.select("key", "total", F.explode("buckets").alias("bucket"))
         shared = member.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        member = staged(member.join(shared, "bucket", "left_semi"), "near-members")
+        member = _gathered(member.join(shared, "bucket", "left_semi"), "near-members")
 
     to = roots.select(F.col("node").alias("key"), F.col("root").alias("class_key"))
     return signed.select("doc_id", "key").join(to, "key", "left").select("doc_id", "key", F.coalesce("class_key", "key").alias("class_key"))

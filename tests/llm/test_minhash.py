@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from quarry.llm import minhash as M
 from quarry.llm.components import components
@@ -163,3 +164,34 @@ def test_a_task_holds_bounded_slices(spark, monkeypatch):
     kept = M.keep_one(docs)
     assert kept._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
     assert sorted(map(repr, kept.collect())) == sorted(map(repr, docs.where("doc_id is null or doc_id <> 3").collect()))
+
+
+def test_small_tables_are_written_in_few_files(spark, monkeypatch):
+    """Tables that keep few of many rows don't take a file from each task; every file starts a process beside the executor."""
+    rng = random.Random(8)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(14)) for _ in range(1_200)]
+    texts += [t + " more" for t in texts[:60]]
+    docs = spark.createDataFrame([(i, t, "k", 1, 2) for i, t in enumerate(texts)], DOCS)
+    staged = M.staged
+
+    class Written(Exception):
+        pass
+
+    def counted(df, name):
+        out = staged(df, name)
+        if name == "near-members":
+            raise Written(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(M, "staged", counted)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "8k"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        with pytest.raises(Written) as found:
+            M.near_duplicates(docs)
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert found.value.args[0] <= 12
